@@ -1,0 +1,171 @@
+"""Small synthetic inputs for unit tests (FIXTURES.md F1-F5)."""
+
+from __future__ import annotations
+
+import zipfile
+from xml.sax.saxutils import escape
+
+# the country table (12 rows).
+COUNTRY_CSV = """locality,average_price_nominal_euros,average_price_m2_nominal_euros,year,n_offers
+Grand-Duchy of Luxembourg,569216.0,3251.0,2010,19278
+Grand-Duchy of Luxembourg,597784.711711,3375.088978,2011,21253
+Grand-Duchy of Luxembourg,596347.972382,3408.711732,2012,14773
+Grand-Duchy of Luxembourg,644884.979694,3589.790108,2013,13298
+Grand-Duchy of Luxembourg,663639.733049,3647.123608,2014,9852
+Grand-Duchy of Luxembourg,724342.0,3943.0,2015,9630
+Grand-Duchy of Luxembourg,754509.221949,4124.10338,2016,9332
+Grand-Duchy of Luxembourg,812919.0678,4274.039466,2017,16055
+Grand-Duchy of Luxembourg,874685.96,4562.288,2018,13534
+Grand-Duchy of Luxembourg,970589.13,5038.614,2019,12171
+Grand-Duchy of Luxembourg,1180466.6,6364.361,2020,11757
+Grand-Duchy of Luxembourg,1317473.9,6743.722,2021,11925
+"""
+
+COUNTRY_SCHEMA = ("locality string, average_price_nominal_euros double, "
+                  "average_price_m2_nominal_euros double, year bigint, n_offers bigint")
+
+# Golden index, base 2010 (FIXTURES.md F1), rounded to 4 digits.
+GOLDEN_INDEX = {
+    2010: (100.0, 100.0), 2011: (105.019, 103.8169), 2012: (104.7666, 104.8512),
+    2013: (113.2935, 110.4211), 2014: (116.5884, 112.1847), 2015: (127.2526, 121.2858),
+    2016: (132.5524, 126.8565), 2017: (142.8138, 131.4685), 2018: (153.665, 140.3349),
+    2019: (170.5133, 154.9866), 2020: (207.3846, 195.7663), 2021: (231.4541, 207.4353),
+}
+
+# probe panel (locality, year, price) and expected (p0 fill, p0 max form, index fill).
+PROBE_PANEL = [
+    ("L", 2010, 10.0), ("L", 2011, None), ("L", 2012, 20.0),
+    ("M", 2012, 5.0),
+    ("N", 2009, 4.0), ("N", 2010, 8.0), ("N", 2011, 4.0),
+]
+PROBE_EXPECTED = {
+    ("L", 2010): (10.0, 10.0, 100.0), ("L", 2011): (10.0, 10.0, None),
+    ("L", 2012): (10.0, 10.0, 200.0), ("M", 2012): (None, None, None),
+    ("N", 2009): (None, 8.0, None), ("N", 2010): (8.0, 8.0, 100.0), ("N", 2011): (8.0, 8.0, 50.0),
+}
+
+# name rule vectors.
+NAME_VECTORS = [
+    ("House prices in €", "house_prices_in_"),
+    ("Commune", "commune"),
+    ("Nombre d'offres", "nombre_doffres"),
+    ("Prix moyen annoncé en € courant", "prix_moyen_annonc_en_courant"),
+    ("Prix moyen annoncé au m² en € courant", "prix_moyen_annonc_au_m_en_courant"),
+    (" a_b ", "_ab_"),
+]
+
+HEADERS = ["Commune", "Nombre d'offres", "Prix moyen annoncé en € courant",
+           "Prix moyen annoncé au m² en € courant"]
+
+
+def _col(i: int) -> str:
+    s = ""
+    i += 1
+    while i:
+        i, r = divmod(i - 1, 26)
+        s = chr(65 + r) + s
+    return s
+
+
+def write_xlsx(path: str, sheets: dict[str, list[list]]) -> None:
+    """Minimal SpreadsheetML workbook: strings as shared strings, numbers raw."""
+    strings: list[str] = []
+    index: dict[str, int] = {}
+
+    def sid(s):
+        if s not in index:
+            index[s] = len(strings)
+            strings.append(s)
+        return index[s]
+
+    sheet_xml = []
+    for rows in sheets.values():
+        out = []
+        for r, row in enumerate(rows, start=1):
+            cells = []
+            for c, v in enumerate(row):
+                ref = f"{_col(c)}{r}"
+                if v is None:
+                    continue
+                if isinstance(v, (int, float)):
+                    cells.append(f'<c r="{ref}"><v>{v}</v></c>')
+                else:
+                    cells.append(f'<c r="{ref}" t="s"><v>{sid(str(v))}</v></c>')
+            if cells:
+                out.append(f'<row r="{r}">{"".join(cells)}</row>')
+        sheet_xml.append(
+            '<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/'
+            f'spreadsheetml/2006/main"><sheetData>{"".join(out)}</sheetData></worksheet>')
+    ns_main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    ns_r = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    wb = (f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{ns_main}" xmlns:r="{ns_r}"><sheets>'
+          + "".join(f'<sheet name="{escape(n)}" sheetId="{i + 1}" r:id="rId{i + 1}"/>'
+                    for i, n in enumerate(sheets))
+          + "</sheets></workbook>")
+    rels = ('<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/'
+            'package/2006/relationships">'
+            + "".join(f'<Relationship Id="rId{i + 1}" Type="{ns_r}/worksheet" '
+                      f'Target="worksheets/sheet{i + 1}.xml"/>' for i in range(len(sheets)))
+            + "</Relationships>")
+    sst = (f'<?xml version="1.0" encoding="UTF-8"?><sst xmlns="{ns_main}" count="{len(strings)}">'
+           + "".join(f"<si><t xml:space=\"preserve\">{escape(s)}</t></si>" for s in strings) + "</sst>")
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("[Content_Types].xml", '<?xml version="1.0" encoding="UTF-8"?><Types xmlns='
+                   '"http://schemas.openxmlformats.org/package/2006/content-types"/>')
+        z.writestr("xl/workbook.xml", wb)
+        z.writestr("xl/_rels/workbook.xml.rels", rels)
+        z.writestr("xl/sharedStrings.xml", sst)
+        for i, x in enumerate(sheet_xml):
+            z.writestr(f"xl/worksheets/sheet{i + 1}.xml", x)
+
+
+def delivery_sheets(years=range(2010, 2022)) -> dict[str, list[list]]:
+    """twelve sheets, six preamble rows, header, details, totals and notes."""
+    sheets = {}
+    for k, y in enumerate(years):
+        g = 1.0 + 0.05 * k
+        rows: list[list] = [["Observatoire de l'Habitat"], ["Prix annoncés"], [], ["Année", str(y)], [], []]
+        rows.append(list(HEADERS))
+        rows.append(["  Esch-sur-Alzette ", "120", 400000 * g, 4000 * g])
+        rows.append(["Luxembourg-Ville" if y % 2 else "Luxembourg", "900", 900000 * g, 9000 * g])
+        rows.append(["Petange" if y % 2 else "Pétange", "80", "*", 3500 * g])
+        rows.append(["Mamer", "40", 700000 * g, 7000 * g])
+        if y >= 2012:
+            rows.append(["Schengen", "10", 500000 * g, 5000 * g])
+        rows.append([None, "5", 1.0, 1.0])
+        rows.append(["Moyenne nationale", None, 600000 * g, 6000 * g])
+        rows.append(["Total d'offres", "1150", None, None])
+        rows.append(["Commune", None, None, None])
+        rows.append(["Source : Observatoire de l'Habitat", None, None, None])
+        sheets[str(y)] = rows
+    return sheets
+
+
+def commune_pages() -> list[tuple[int, str]]:
+    """two pages; the current list is the 2nd table (two-row header, duplicated
+    Name), the former list the 3rd table of the second page."""
+    current = """<html><body>
+<table><tr><td>intro</td></tr></table>
+<table>
+<tr><th colspan="2">Name</th><th>Canton</th></tr>
+<tr><th>Name</th><th>Name</th><th>Canton</th></tr>
+<tr><td>x</td><td>Clemency</td><td>Capellen</td></tr>
+<tr><td>x</td><td>Erpeldange-sur-Sûre †</td><td>Diekirch</td></tr>
+<tr><td>x</td><td>Luxembourg City</td><td>Luxembourg</td></tr>
+<tr><td>x</td><td>Käerjeng</td><td>Capellen</td></tr>
+<tr><td>x</td><td>Petange</td><td>Esch</td></tr>
+<tr><td>x</td><td>Esch-sur-Alzette</td><td>Esch</td></tr>
+<tr><td>x</td><td>Mamer †</td><td>Capellen</td></tr>
+</table>
+<table><tr><td>footer</td></tr></table>
+</body></html>"""
+    former = """<html><body>
+<table><tr><td>a</td></tr></table>
+<table><tr><td>b</td></tr></table>
+<table>
+<tr><th>Name</th><th>Merged into</th></tr>
+<tr><td>Schengen</td><td>-</td></tr>
+<tr><td>Clémency</td><td>Käerjeng</td></tr>
+</table>
+</body></html>"""
+    return [(1, current), (2, former)]

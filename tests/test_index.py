@@ -1,0 +1,120 @@
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from pinax.operators import index
+from tests.fixtures import (COUNTRY_CSV, COUNTRY_SCHEMA, GOLDEN_INDEX, PROBE_EXPECTED,
+                            PROBE_PANEL)
+
+MEASURES = {"average_price_nominal_euros": ("p0", "pl"),
+            "average_price_m2_nominal_euros": ("p0_m2", "pl_m2")}
+
+
+@pytest.fixture()
+def country(spark, tmpdir_path):
+    p = f"{tmpdir_path}/country.csv"
+    with open(p, "w") as f:
+        f.write(COUNTRY_CSV)
+    from pinax.sources.files import read_csv
+    return read_csv(spark, p, COUNTRY_SCHEMA)
+
+
+@pytest.mark.parametrize("how", ["join", "window"])
+def test_golden_country_index(country, how):
+    out = index.price_index(country, ["locality"], "year", 2010, MEASURES, how=how, digits=4)
+    got = {r.year: (r.pl, r.pl_m2) for r in out.collect()}
+    assert got == GOLDEN_INDEX
+
+
+def test_single_series_uses_scalar_base(country):
+    out = index.price_index(country.drop("locality"), [], "year", 2010, MEASURES, digits=4)
+    assert {r.year: (r.pl, r.pl_m2) for r in out.collect()} == GOLDEN_INDEX
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def _probe(spark):
+    return spark.createDataFrame(PROBE_PANEL, "locality string, year int, price double")
+
+
+@pytest.mark.parametrize("how", ["join", "window"])
+def test_probe_fill_semantics(spark, how):
+    out = index.price_index(_probe(spark), ["locality"], "year", 2010, {"price": ("p0", "pl")}, how=how)
+    got = {(r.locality, r.year): (r.p0, r.pl) for r in out.collect()}
+    assert len(got) == len(PROBE_PANEL)
+    for k, (p0_fill, _, idx) in PROBE_EXPECTED.items():
+        assert got[k] == (p0_fill, idx), k
+
+
+@pytest.mark.parametrize("how", ["join", "window"])
+def test_probe_max_form(spark, how):
+    out = index.price_index(_probe(spark), ["locality"], "year", 2010, {"price": ("p0", "pl")},
+                            how=how, before_base="index")
+    got = {(r.locality, r.year): r.p0 for r in out.collect()}
+    for k, (_, p0_max, _) in PROBE_EXPECTED.items():
+        assert got[k] == p0_max, k
+
+
+def test_null_and_zero_base(spark):
+    rows = [("A", 2010, None), ("A", 2011, 5.0), ("B", 2010, 0.0), ("B", 2011, 5.0)]
+    df = spark.createDataFrame(rows, "locality string, year int, price double")
+    for how in ("join", "window"):
+        out = index.price_index(df, ["locality"], "year", 2010, ["price"], how=how)
+        assert all(r.price_index is None for r in out.collect())
+
+
+def test_duplicate_base_row_fails(spark):
+    rows = [("A", 2010, 1.0), ("A", 2010, 2.0), ("A", 2011, 3.0)]
+    df = spark.createDataFrame(rows, "locality string, year int, price double")
+    with pytest.raises(Exception, match="more than one base row"):
+        index.price_index(df, ["locality"], "year", 2010, ["price"]).collect()
+
+
+def test_window_equals_join_and_scale_invariance(spark):
+    from pinax.plans.panels import nation_year_prices
+    p = nation_year_prices(spark, "/root/testdata/sf0.01").select("n_name", "year", "price")
+    a = index.price_index(p, ["n_name"], "year", 1995, ["price"], how="join")
+    b = index.price_index(p, ["n_name"], "year", 1995, ["price"], how="window")
+    key = lambda r: (r.n_name, r.year)
+    ra = sorted(a.collect(), key=key)
+    rb = sorted(b.collect(), key=key)
+    assert ra == rb and len(ra) == 175
+    scaled = p.withColumn("price", F.col("price") * 3.0)
+    c = index.price_index(scaled, ["n_name"], "year", 1995, ["price"], digits=6).collect()
+    base = {key(r): round(r.price_index, 6) for r in ra}
+    assert all(abs(r.price_index - base[key(r)]) < 1e-6 for r in c)
+    assert all(r.price_index == 100.0 for r in ra if r.year == 1995)
+
+
+def test_forward_fill(spark):
+    rows = [("A", 1, 1.0), ("A", 2, None), ("A", 3, 3.0), ("A", 4, None), ("B", 1, None), ("B", 2, 7.0)]
+    df = spark.createDataFrame(rows, "k string, t int, v double")
+    got = {(r.k, r.t): r.v for r in index.forward_fill(df, ["k"], "t", ["v"]).collect()}
+    assert got == {("A", 1): 1.0, ("A", 2): 1.0, ("A", 3): 3.0, ("A", 4): 3.0,
+                   ("B", 1): None, ("B", 2): 7.0}
+
+
+def test_basket_with_one_good_equals_index(spark):
+    rows = [("L", "house", y, p, 10) for y, p in [(2010, 100.0), (2011, 110.0), (2012, 90.0)]]
+    df = spark.createDataFrame(rows, "loc string, good string, year int, price double, qty long")
+    bi = {r.year: r.basket_index for r in
+          index.basket_index(df, ["loc"], "good", "year", "price", "qty", 2010).collect()}
+    pi = {r.year: r.price_index for r in
+          index.price_index(df.drop("good", "qty"), ["loc"], "year", 2010, ["price"]).collect()}
+    assert bi == pi
+
+
+def test_basket_two_goods(spark):
+    rows = [("L", "a", 2010, 1.0, 2), ("L", "b", 2010, 2.0, 1), ("L", "a", 2011, 2.0, 5),
+            ("L", "b", 2011, 2.0, 9), ("L", "c", 2011, 9.0, 9)]
+    df = spark.createDataFrame(rows, "loc string, good string, year int, price double, qty long")
+    got = {r.year: (r.basket_index, r.n_goods) for r in
+           index.basket_index(df, ["loc"], "good", "year", "price", "qty", 2010).collect()}
+    # base basket q0 = (2, 1): 2010 cost 4, 2011 cost 2*2 + 2*1 = 6 -> 150; good c has no base
+    assert got == {2010: (100.0, 2), 2011: (150.0, 2)}
+
+
+def test_window_form_needs_keys(spark):
+    df = spark.createDataFrame([(2010, 1.0)], "year int, price double")
+    with pytest.raises((ValueError, PySparkException)):
+        index.price_index(df, [], "year", 2010, ["price"], how="window")
