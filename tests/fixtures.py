@@ -126,7 +126,7 @@ def delivery_sheets(years=range(2010, 2022)) -> dict[str, list[list]]:
         g = 1.0 + 0.05 * k
         rows: list[list] = [["Observatoire de l'Habitat"], ["Prix annoncés"], [], ["Année", str(y)], [], []]
         rows.append(list(HEADERS))
-        rows.append(["  Esch-sur-Alzette ", "120", 400000 * g, 4000 * g])
+        rows.append(["  Esch-sur-Alzette\u00a0", "120", 400000 * g, 4000 * g])
         rows.append(["Luxembourg-Ville" if y % 2 else "Luxembourg", "900", 900000 * g, 9000 * g])
         rows.append(["Petange" if y % 2 else "Pétange", "80", "*", 3500 * g])
         rows.append(["Mamer", "40", 700000 * g, 7000 * g])
