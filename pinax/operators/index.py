@@ -1,19 +1,23 @@
 """Base-period values, forward fill and price indices.
 
 Panel = DataFrame with entity ``keys``, a period column ``order_col`` and
-measure columns.  Operators take the column names; nothing depends on row
-order in storage.
+measure columns, unique on (keys, order_col) (``checks.duplicate_keys``).
+Operators take the column names; nothing depends on row order in storage.
 
 Two plans for the base value:
 
-* ``how="join"`` (default): the base rows are filtered (the predicate reaches
-  the scan), aggregated per entity (partial aggregation before the shuffle) and
-  left-joined back.  Spark sizes the base table: broadcast when it is small by
-  statistics or by AQE's measured size, otherwise a sort-merge join with AQE
-  splitting skewed partitions.  No window puts a whole entity in one task.
-* ``how="window"``: one exchange on ``keys`` and a sort, no join.  Only for
-  panels whose (keys, order_col) is unique, so a window partition holds at most
-  one row per period.
+* ``how="window"``: one exchange of the panel on ``keys`` and a sort.  Each
+  window partition holds one row per period, so its size does not grow with
+  the data, and the panel is computed once.  The right plan for a panel that
+  is itself an aggregate of large tables.
+* ``how="join"`` (default): base rows are filtered (the predicate reaches the
+  scan, so a panel stored by period reads one period), aggregated per entity
+  and left-joined back.  Spark sizes the base table: broadcast when small by
+  statistics or by AQE's measured size, so the panel itself is not shuffled;
+  otherwise a sort-merge join with AQE skew splitting.  The right plan for a
+  large panel read from storage.  (For a derived panel the base side
+  recomputes it: Spark infers a not-null filter on the join key for that side
+  only, so the two subtrees differ and the shuffle is not reused.)
 """
 
 from __future__ import annotations
@@ -37,10 +41,12 @@ def _ratio(num: Column, den: Column, scale: float, digits: int | None) -> Column
 
 
 def base_values(df: DataFrame, keys: list[str], order_col: str, base, values) -> DataFrame:
-    """One row per entity with the measures at the base period.
+    """One row per entity that has a base-period row, with its measures there.
 
-    Two base rows for one entity make the job fail (``raise_error``) instead of
-    picking one silently; use ``checks.duplicate_keys`` to find them.
+    The base-period filter reaches the scan: a panel stored partitioned (or
+    sorted) by period reads only the base period here.  Two base rows for one
+    entity make the job fail (``raise_error``) instead of picking one silently;
+    ``checks.duplicate_keys`` lists them.
     """
     m = _measures(values)
     agg = (df.filter(F.col(order_col) == F.lit(base))
@@ -125,10 +131,21 @@ def basket_index(df: DataFrame, keys: list[str], good: str, period: str, price:
     row; a good counts in a period only when its price then, its base price and
     its base quantity are all known, so numerator and denominator cover the
     same basket.  With one good this equals ``price_index``.
+
+    ``df`` is a panel unique on (keys, good, period).  The base price and
+    quantity reach every row through a window over (keys, good), which holds
+    one row per period, so the (usually expensive) panel is computed once and
+    no partition grows with the data; a self-join would recompute it.
     """
-    b = (df.filter(F.col(period) == F.lit(base))
-           .select(*keys, good, F.col(price).alias("__p0"), F.col(quantity).alias("__q0")))
-    j = df.select(*keys, good, period, price).join(b, on=[*keys, good], how="inner")
+    w = Window.partitionBy(*keys, good)
+    at_base = F.col(period) == F.lit(base)
+    j = df.select(*keys, good, period, price, quantity).withColumns({
+        "__nb": F.count_if(at_base).over(w),
+        "__p0": F.max(F.when(at_base, F.col(price))).over(w),
+        "__q0": F.max(F.when(at_base, F.col(quantity))).over(w),
+    })
+    msg = F.lit(f"more than one base row ({period} = {base}) for a good")
+    j = j.filter(F.when(F.col("__nb") > 1, F.raise_error(msg)).otherwise(F.col("__nb") == 1))
     ok = F.col(price).isNotNull() & F.col("__p0").isNotNull() & F.col("__q0").isNotNull()
     num = F.sum(F.when(ok, F.col(price) * F.col("__q0")))
     den = F.sum(F.when(ok, F.col("__p0") * F.col("__q0")))

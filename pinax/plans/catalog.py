@@ -51,7 +51,7 @@ RECODE_RULES = [("ring|bolt", "fastener"), ("fast", "FAST")]
 _IN_SELECTED = ", ".join(f"'{n}'" for n in SELECTED)
 
 
-def _indexed(spark, d, how="join", base=BASE_YEAR):
+def _indexed(spark, d, how="window", base=BASE_YEAR):
     p = nation_year_prices(spark, d).select("n_name", "year", "price")
     return index.price_index(p, ["n_name"], "year", base, {"price": ("p0", "pl")}, how=how)
 
@@ -60,7 +60,7 @@ def _indexed(spark, d, how="join", base=BASE_YEAR):
 # entity carried over the years; window over the aggregated panel).
 @register("q02_price_index", S.index_join(S.NATION_YEAR, "n_name", BASE_YEAR))
 def q02_price_index(spark, d):
-    return _indexed(spark, d, how="window")
+    return _indexed(spark, d)
 
 
 # Q13 (E2): the same index with the base value joined per entity.
