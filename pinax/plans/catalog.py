@@ -74,8 +74,9 @@ _PAD_SQL = "(' ' || chr(9) || chr(160) || text || chr(160) || chr(10) || ' ')"
 
 
 @register("q03_strip_text", f"""
-SELECT doc_id, length(text) AS n_raw, length({S.strip(_PAD_SQL)}) AS n_padded_stripped,
-       length({S.strip('text')}) AS n_stripped
+SELECT doc_id, CAST(length(text) AS INTEGER) AS n_raw,
+       CAST(length({S.strip(_PAD_SQL)}) AS INTEGER) AS n_padded_stripped,
+       CAST(length({S.strip('text')}) AS INTEGER) AS n_stripped
 FROM documents""")
 def q03_strip_text(spark, d):
     docs = table(spark, d, "documents")

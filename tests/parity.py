@@ -38,14 +38,25 @@ def _rows(cols, rows):
     return sorted(out, key=lambda r: tuple((x is None, str(type(x)), str(x)) for x in r))
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT", "date": "DATE",
+                 "timestamp_ntz": "TIMESTAMP"}
+
+
 def compare(spark_df, con, sql: str) -> tuple[bool, str]:
     s_cols = spark_df.columns
+    s_types = {f.name: f.dataType.simpleString() for f in spark_df.schema.fields}
     s_rows = [tuple(r) for r in spark_df.collect()]
+    rel = con.sql(sql)
+    d_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
     res = con.execute(sql)
     d_cols = [c[0] for c in res.description]
     d_rows = res.fetchall()
     if sorted(s_cols) != sorted(d_cols):
         return False, f"columns differ: spark={sorted(s_cols)} duck={sorted(d_cols)}"
+    bad = {c: (t, d_types[c]) for c, t in s_types.items() if SPARK_TO_DUCK.get(t, t) != d_types[c]}
+    if bad:
+        return False, f"types differ: {bad}"
     if len(s_rows) != len(d_rows):
         return False, f"row counts differ: spark={len(s_rows)} duck={len(d_rows)}"
     a, b = _rows(s_cols, s_rows), _rows(d_cols, d_rows)
