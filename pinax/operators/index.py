@@ -35,6 +35,18 @@ def _measures(values) -> dict[str, tuple[str, str]]:
     return {v: (f"{v}_base", f"{v}_index") for v in values}
 
 
+def _unique_guard(keys: list[str], order_col: str, value: Column) -> Column:
+    """``value``, or a job failure when (keys, order_col) repeats.
+
+    The count runs over ``partitionBy(keys, order_col)``, which the exchange and
+    sort on ``keys`` already satisfy, so the guard adds no shuffle.  It keeps
+    the bound the window forms rely on: one row per period in a partition.
+    """
+    n = F.count(F.lit(1)).over(Window.partitionBy(*keys, order_col))
+    msg = F.lit(f"rows are not unique on {keys + [order_col]}")
+    return F.when(n > 1, F.raise_error(msg)).otherwise(value)
+
+
 def _ratio(num: Column, den: Column, scale: float, digits: int | None) -> Column:
     out = F.try_divide(num, den) * F.lit(scale)
     return F.round(out, digits) if digits is not None else out
@@ -97,7 +109,7 @@ def price_index(df: DataFrame, keys: list[str], order_col: str, base, values,
             w = Window.partitionBy(*keys)
             base_expr = {bc: F.max(F.when(F.col(order_col) == F.lit(base), F.col(v))).over(w)
                          for v, (bc, _) in m.items()}
-        out = df.withColumns(base_expr)
+        out = df.withColumns({bc: _unique_guard(keys, order_col, e) for bc, e in base_expr.items()})
     else:
         raise ValueError("how must be 'join' or 'window'")
     return out.withColumns({ic: _ratio(F.col(v), F.col(bc), scale, digits)
@@ -119,7 +131,8 @@ def forward_fill(df: DataFrame, keys: list[str], order_col: str, cols: Iterable[
     """
     w = (Window.partitionBy(*keys).orderBy(order_col)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.withColumns({c: F.last(F.col(c), ignorenulls=True).over(w) for c in cols})
+    return df.withColumns({c: _unique_guard(keys, order_col, F.last(F.col(c), ignorenulls=True).over(w))
+                           for c in cols})
 
 
 def basket_index(df: DataFrame, keys: list[str], good: str, period: str, price: str,
@@ -140,7 +153,7 @@ def basket_index(df: DataFrame, keys: list[str], good: str, period: str, price:
     w = Window.partitionBy(*keys, good)
     at_base = F.col(period) == F.lit(base)
     j = df.select(*keys, good, period, price, quantity).withColumns({
-        "__nb": F.count_if(at_base).over(w),
+        "__nb": _unique_guard([*keys, good], period, F.count_if(at_base).over(w)),
         "__p0": F.max(F.when(at_base, F.col(price))).over(w),
         "__q0": F.max(F.when(at_base, F.col(quantity))).over(w),
     })

@@ -118,3 +118,15 @@ def test_window_form_needs_keys(spark):
     df = spark.createDataFrame([(2010, 1.0)], "year int, price double")
     with pytest.raises((ValueError, PySparkException)):
         index.price_index(df, [], "year", 2010, ["price"], how="window")
+
+
+def test_window_forms_reject_repeated_periods(spark):
+    rows = [("A", 2010, 1.0), ("A", 2011, 2.0), ("A", 2011, 3.0)]
+    df = spark.createDataFrame(rows, "k string, year int, price double")
+    with pytest.raises(Exception, match="not unique"):
+        index.price_index(df, ["k"], "year", 2010, ["price"], how="window").collect()
+    with pytest.raises(Exception, match="not unique"):
+        index.forward_fill(df, ["k"], "year", ["price"]).collect()
+    goods = df.withColumn("good", F.lit("g")).withColumn("qty", F.lit(1))
+    with pytest.raises(Exception, match="not unique"):
+        index.basket_index(goods, ["k"], "good", "year", "price", "qty", 2010).collect()
