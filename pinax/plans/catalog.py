@@ -22,7 +22,9 @@ from ..operators import checks, columns, entities, index, route, series
 from ..operators.joins import join_lookup
 from ..sources.html import list_links
 from . import sqltext as S
-from .panels import cents, nation_year_prices, orders_by_nation, table, year_prices
+from . import stages
+from .panels import (MIN_PUBLISHED, cents, delivery_rows, nation_year_prices, orders_by_nation, table,
+                     year_prices)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -470,3 +472,70 @@ GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""")
 def q30_duplicate_keys(spark, d):
     li = table(spark, d, "lineitem")
     return checks.duplicate_keys(li, ["l_orderkey", "l_linenumber"])
+
+
+# Q31-Q33: the reference's own flow - raw sheet rows -> names, strip, lenient
+# cast, row routing -> commune panel and country table -> index -> comparison
+# with the national index - on delivery rows derived from orders and lineitem.
+_UNIT_SQL = f"""
+SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS year,
+       sum({S.cents('l_extendedprice')}) AS unit_cents, sum(CAST(l_quantity AS BIGINT)) AS qty
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+GROUP BY 1, 2"""
+_UNIT = "CAST(u.unit_cents AS DOUBLE) / CAST(u.qty AS DOUBLE) / 100.0"
+_DELIVERY_PANEL_SQL = f"""
+SELECT p.n_name AS locality, p.n_orders AS n_offers,
+       CASE WHEN p.n_orders < {MIN_PUBLISHED} THEN NULL ELSE p.price END AS average_price_nominal_euros,
+       {_UNIT} AS average_price_m2_nominal_euros, p.year
+FROM ({S.NATION_YEAR}) p JOIN ({_UNIT_SQL}) u ON p.n_name = u.n_name AND p.year = u.year"""
+_DELIVERY_COUNTRY_SQL = f"""
+SELECT 'ALL' AS locality, y.price AS average_price_nominal_euros, {_UNIT} AS average_price_m2_nominal_euros,
+       y.year, y.n_orders AS n_offers
+FROM ({S.YEAR}) y JOIN (SELECT year, sum(unit_cents) AS unit_cents, sum(qty) AS qty
+                        FROM ({_UNIT_SQL}) GROUP BY year) u ON y.year = u.year"""
+
+
+def _deliveries(spark, d):
+    return stages.clean_deliveries(delivery_rows(spark, d), persist=False, country_name="ALL")
+
+
+@register("q31_delivery_panel", _DELIVERY_PANEL_SQL)
+def q31_delivery_panel(spark, d):
+    return _deliveries(spark, d).panel
+
+
+@register("q31_delivery_country", _DELIVERY_COUNTRY_SQL)
+def q31_delivery_country(spark, d):
+    return _deliveries(spark, d).country
+
+
+def _fill(col, base):
+    return (f"CASE WHEN year >= {base} THEN max(CASE WHEN year = {base} THEN {col} END) "
+            f"OVER (PARTITION BY locality) END")
+
+
+@register("q32_delivery_index", f"""
+WITH p AS ({_DELIVERY_PANEL_SQL}),
+b AS (SELECT *, {_fill('average_price_nominal_euros', BASE_YEAR)} AS p0,
+             {_fill('average_price_m2_nominal_euros', BASE_YEAR)} AS p0_m2 FROM p)
+SELECT *, average_price_nominal_euros / nullif(p0, 0) * 100 AS pl,
+       average_price_m2_nominal_euros / nullif(p0_m2, 0) * 100 AS pl_m2 FROM b""")
+def q32_delivery_index(spark, d):
+    return stages.index_panel(_deliveries(spark, d).panel, BASE_YEAR, how="window")
+
+
+@register("q33_delivery_vs_country", f"""
+WITH p AS ({_DELIVERY_PANEL_SQL}),
+b AS (SELECT locality, year, average_price_m2_nominal_euros
+             / nullif({_fill('average_price_m2_nominal_euros', BASE_YEAR)}, 0) * 100 AS pl_m2 FROM p),
+c AS ({_DELIVERY_COUNTRY_SQL}),
+n AS (SELECT year, average_price_m2_nominal_euros / nullif(CASE WHEN year >= {BASE_YEAR} THEN
+             (SELECT max(average_price_m2_nominal_euros) FROM c WHERE year = {BASE_YEAR}) END, 0) * 100
+             AS pl_m2_country FROM c)
+SELECT b.locality, b.year, b.pl_m2, n.pl_m2_country, b.pl_m2 - n.pl_m2_country AS gap
+FROM b JOIN n ON b.year = n.year WHERE b.locality IN ({_IN_SELECTED})""")
+def q33_delivery_vs_country(spark, d):
+    c = _deliveries(spark, d)
+    _, _, versus = stages.index_and_series(spark, c.panel, c.country, SELECTED, BASE_YEAR, how="window")
+    return versus

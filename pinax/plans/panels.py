@@ -61,3 +61,54 @@ def year_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = (o.groupBy(F.year("o_orderdate").alias("year"))
           .agg(F.sum(cents("o_totalprice")).alias("__c"), F.count(F.lit(1)).alias("n_orders")))
     return g.select("year", exact_avg("__c", "n_orders").alias("price"), "n_orders")
+
+
+def unit_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(n_name, year, unit_cents, qty)``: money and quantity of line items per
+    nation and year of their order, both exact sums."""
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", cents("l_extendedprice").alias("ec"), F.col("l_quantity").cast("bigint").alias("q"))
+    ob = orders_by_nation(spark, sf_dir).select("o_orderkey", "n_name", "year")
+    return (li.join(ob, li["l_orderkey"] == ob["o_orderkey"])
+              .groupBy("n_name", "year").agg(F.sum("ec").alias("unit_cents"), F.sum("q").alias("qty")))
+
+
+# Header texts of a delivery sheet, as they are printed in the workbook.
+SHEET_HEADERS = ["Commune", "Nombre d'offres", "Prix moyen annoncé en € courant",
+                 "Prix moyen annoncé au m² en € courant"]
+# A (nation, year) with fewer orders than this is published as '*'.
+MIN_PUBLISHED = 50
+
+
+def delivery_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw sheet rows as a statistics office would publish them, from the tables.
+
+    One sheet per order year: a detail row per nation (name padded with spaces
+    and a no-break space, numbers as text, '*' where fewer than
+    ``MIN_PUBLISHED`` orders), then the national average, the offer total and a
+    source note.  Every cell is a string; ``sheet`` holds the year.
+    """
+    p = nation_year_prices(spark, sf_dir)
+    u = unit_prices(spark, sf_dir)
+    s = lambda c: F.col(c).cast("string")
+    det = (p.join(u, ["n_name", "year"])
+            .select(F.concat(F.lit("  "), F.col("n_name"), F.lit(" ")).alias(SHEET_HEADERS[0]),
+                    s("n_orders").alias(SHEET_HEADERS[1]),
+                    F.when(F.col("n_orders") < MIN_PUBLISHED, F.lit("*")).otherwise(s("price"))
+                     .alias(SHEET_HEADERS[2]),
+                    (F.col("unit_cents").cast("double") / F.col("qty").cast("double") / F.lit(100.0))
+                    .cast("string").alias(SHEET_HEADERS[3]),
+                    s("year").alias("sheet")))
+    nat_p = year_prices(spark, sf_dir)
+    nat_u = u.groupBy("year").agg(F.sum("unit_cents").alias("unit_cents"), F.sum("qty").alias("qty"))
+    nat = nat_p.join(nat_u, "year")
+    null = F.lit(None).cast("string")
+    avg_row = nat.select(F.lit("Moyenne nationale").alias(SHEET_HEADERS[0]), null.alias(SHEET_HEADERS[1]),
+                         s("price").alias(SHEET_HEADERS[2]),
+                         (F.col("unit_cents").cast("double") / F.col("qty").cast("double") / F.lit(100.0))
+                         .cast("string").alias(SHEET_HEADERS[3]), s("year").alias("sheet"))
+    tot_row = nat.select(F.lit("Total d'offres").alias(SHEET_HEADERS[0]), s("n_orders").alias(SHEET_HEADERS[1]),
+                         null.alias(SHEET_HEADERS[2]), null.alias(SHEET_HEADERS[3]), s("year").alias("sheet"))
+    note = nat.select(F.lit("Source : order book").alias(SHEET_HEADERS[0]), null.alias(SHEET_HEADERS[1]),
+                      null.alias(SHEET_HEADERS[2]), null.alias(SHEET_HEADERS[3]), s("year").alias("sheet"))
+    return det.unionByName(avg_row).unionByName(tot_row).unionByName(note)

@@ -87,7 +87,8 @@ def classify(raw: DataFrame, sheet_col: str = "sheet", thousands_sep: str | None
 
 
 def clean_deliveries(raw: DataFrame, sheet_col: str = "sheet",
-                     thousands_sep: str | None = None, persist: bool = True) -> Cleaned:
+                     thousands_sep: str | None = None, persist: bool = True,
+                     country_name: str = COUNTRY_NAME) -> Cleaned:
     """Step 1: the commune panel and the country table from raw sheet rows.
 
     The classified frame feeds three branches; ``persist`` keeps it in memory
@@ -104,7 +105,7 @@ def clean_deliveries(raw: DataFrame, sheet_col: str = "sheet",
     price = route.branch(c, "country_price").drop("n_offers")
     count = (route.branch(c, "country_count")
              .select("year", F.col("n_offers").try_cast("bigint").alias("n_offers")))
-    country = columns.with_constant(join_lookup(price, count, ["year"]), "locality", COUNTRY_NAME)
+    country = columns.with_constant(join_lookup(price, count, ["year"]), "locality", country_name)
     country = country.select("locality", "average_price_nominal_euros",
                              "average_price_m2_nominal_euros", "year", "n_offers")
     return Cleaned(c, panel, country)
@@ -142,10 +143,10 @@ def index_panel(panel: DataFrame, base: int = BASE_YEAR, how: str = "join") -> D
 
 
 def index_and_series(spark: SparkSession, panel: DataFrame, country: DataFrame,
-                     selected: list[str] | None = None, base: int = BASE_YEAR):
+                     selected: list[str] | None = None, base: int = BASE_YEAR, how: str = "join"):
     """Step 3b: the selected localities' series (long form) and their gap to the
     national index.  Returns ``(indexed, long_series, versus_country)``."""
-    indexed = index_panel(panel, base)
+    indexed = index_panel(panel, base, how=how)
     sel = series.selection(spark, "locality", selected or SELECTED)
     chosen = series.select_entities(indexed, sel, ["locality"])
     long = series.long_series(chosen, ["locality"], "year", ["pl", "pl_m2"])
