@@ -85,6 +85,18 @@ def drop_trailing_marker(c: str | Column) -> Column:
     return F.regexp_replace(col_of(c), r"(?d) .\z", "")
 
 
+def replace_chars(c: str | Column, mapping: dict[str, str]) -> Column:
+    """Literal one-to-one character replacement (D5), e.g. ``{"\\351": "é"}``.
+
+    One ``translate`` pass instead of one regex replace per character.  For
+    text that was decoded with the wrong charset, decode it right instead
+    (``sources.files.read_csv(encoding=...)``).
+    """
+    if any(len(k) != 1 or len(v) != 1 for k, v in mapping.items()):
+        raise ValueError("replace_chars maps single characters to single characters")
+    return F.translate(col_of(c), "".join(mapping), "".join(mapping.values()))
+
+
 def contains(c: str | Column, pattern: str) -> Column:
     """Unanchored regex test (C1); null in, null out."""
     return col_of(c).rlike("(?d)" + pattern)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.text import drop_trailing_marker, replace_all
 from ..operators import columns, entities, index, route, series
 from ..operators.joins import join_lookup
+from ..sources.files import stage, write_series, write_table
 from ..sources.html import column, table_rows
 
 # --- fixed values (must equal the reference's for the same results) ----------
@@ -86,19 +87,8 @@ def classify(raw: DataFrame, sheet_col: str = "sheet", thousands_sep: str | None
     return route.route(df, "locality", ROW_RULES, default="detail")
 
 
-def clean_deliveries(raw: DataFrame, sheet_col: str = "sheet",
-                     thousands_sep: str | None = None, persist: bool = True,
-                     country_name: str = COUNTRY_NAME) -> Cleaned:
-    """Step 1: the commune panel and the country table from raw sheet rows.
-
-    The classified frame feeds three branches; ``persist`` keeps it in memory
-    (and on disk if it does not fit) for the job that reads them.  For a
-    multi-job run, ``sources.files.stage`` writes it to the shared checkpoint
-    folder instead.
-    """
-    c = classify(raw, sheet_col, thousands_sep)
-    if persist:
-        c = c.persist()
+def split_classified(c: DataFrame, country_name: str = COUNTRY_NAME) -> Cleaned:
+    """Commune panel and country table from classified rows (the three branches)."""
     panel = (route.branch(c, "detail")
              .withColumn("n_offers", F.col("n_offers").try_cast("bigint"))
              .select(*PANEL_COLUMNS))
@@ -111,6 +101,19 @@ def clean_deliveries(raw: DataFrame, sheet_col: str = "sheet",
     return Cleaned(c, panel, country)
 
 
+def clean_deliveries(raw: DataFrame, sheet_col: str = "sheet",
+                     thousands_sep: str | None = None, persist: bool = True,
+                     country_name: str = COUNTRY_NAME) -> Cleaned:
+    """Step 1: the commune panel and the country table from raw sheet rows.
+
+    The classified frame feeds three branches; ``persist`` keeps it in memory
+    (and on disk if it does not fit) for the job that reads them.  ``run``
+    stages it in the shared checkpoint folder instead, for multi-job runs.
+    """
+    c = classify(raw, sheet_col, thousands_sep)
+    return split_classified(c.persist() if persist else c, country_name)
+
+
 def entity_list(cells: DataFrame, table_idx: int, header_rows: int, name: str,
                 occurrence: int = 1) -> DataFrame:
     """Step 2a: one column of one scraped table as an entity list ``(commune)``.
@@ -155,3 +158,24 @@ def index_and_series(spark: SparkSession, panel: DataFrame, country: DataFrame,
     versus = series.compare_to(chosen.select("locality", "year", "pl_m2"), nat, ["year"],
                                "pl_m2", "pl_m2_country")
     return indexed, long, versus
+
+
+def run(spark: SparkSession, raw: DataFrame, out_dir: str, selected: list[str] | None = None,
+        base: int = BASE_YEAR, country_name: str = COUNTRY_NAME) -> dict[str, str]:
+    """The whole job: clean, index, write.
+
+    The classified rows are staged once in the shared checkpoint folder; the
+    panel, the country table, the indexed panel (partitioned by year) and the
+    plot-ready series of the selected localities (one folder per locality) are
+    then written from that staged copy.  A lost executor re-reads staged files
+    instead of re-decoding every workbook.  Returns the output paths.
+    """
+    c = split_classified(stage(classify(raw), "classified", spark), country_name)
+    indexed, long, versus = index_and_series(spark, c.panel, c.country, selected, base)
+    out = {k: f"{out_dir.rstrip('/')}/{k}" for k in ("panel", "country", "indexed", "series", "versus")}
+    write_table(c.panel, out["panel"])
+    write_table(c.country, out["country"])
+    write_table(indexed, out["indexed"], partition_by=["year"])
+    write_series(long, out["series"], "locality")
+    write_table(versus, out["versus"])
+    return out

@@ -77,3 +77,25 @@ def test_index_and_series(spark, cleaned):
     v = {(r.locality, r.year): r.gap for r in versus.collect()}
     assert abs(v[("Esch-sur-Alzette", 2013)]) < 1e-9        # same growth as the nation
     assert versus.filter(F.col("locality") == "Wincrange").count() == 0
+
+
+def test_run_writes_all_outputs(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "deliveries.xlsx")
+    write_xlsx(path, delivery_sheets())
+    workbook.register(spark)
+    raw = spark.read.format("workbook").option("skipRows", 6).load(path)
+    out = stages.run(spark, raw, os.path.join(tmpdir_path, "out"))
+    assert spark.read.parquet(out["panel"]).count() == 58
+    assert spark.read.parquet(out["country"]).count() == 12
+    idx = spark.read.parquet(out["indexed"])
+    assert idx.filter("year = 2010 AND locality = 'Mamer'").first().pl == 100.0
+    assert {"locality=Mamer", "locality=Schengen"} <= set(os.listdir(out["series"]))
+    assert spark.read.parquet(out["versus"]).count() == 4 * 12 - 2
+
+
+def test_replace_chars(spark):
+    from pinax.functions.text import replace_chars
+    df = spark.createDataFrame([("Pétange",), ("Erpeldange-sur-Sûre",), ("Käerjeng",)], "v string")
+    m = {"é": "e", "û": "u", "ä": "a"}
+    assert [r.x for r in df.select(replace_chars("v", m).alias("x")).collect()] == \
+        ["Petange", "Erpeldange-sur-Sure", "Kaerjeng"]
