@@ -63,3 +63,39 @@ def test_pushdown_and_pruning(spark):
 def test_index_window_form_one_exchange_on_entity(spark):
     p = plan_text(catalog.q02_price_index(spark, SF01))
     assert len(re.findall(r"Exchange hashpartitioning\(n_name#\d+, \d+\)", p)) == 1
+
+
+def test_hot_customer_is_split_by_aqe(spark):
+    """A third of all orders on one customer: with the join as a sort-merge join,
+    AQE splits the hot partition (map outputs of many tasks) and the totals stay
+    whole.  Thresholds are scaled down to the size of the test data."""
+    from pyspark.sql import functions as F
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.shuffle.partitions": "32",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        o = spark.read.parquet(f"{SF01}/orders.parquet")
+        hot = (o.withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.lit(42))
+                            .otherwise(F.col("o_custkey")))
+                .repartition(16))          # many map tasks, as a large input has
+        c = spark.read.parquet(f"{SF01}/customer.parquet").select("c_custkey", "c_nationkey")
+        j = (hot.join(c, hot["o_custkey"] == c["c_custkey"])
+                .groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"),
+                                            F.sum("o_totalprice").alias("v")))
+        assert sum(r.n for r in j.collect()) == o.count()
+        final = plan_text(j).split("== Initial Plan ==")[0]
+        assert "SortMergeJoin(skew=true)" in final and "skewed" in final
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
