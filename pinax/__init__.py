@@ -1,0 +1,9 @@
+"""pinax: panel price analytics on Spark.
+
+Operators are ``DataFrame -> DataFrame`` functions in ``pinax.operators``,
+column expressions in ``pinax.functions``, readers and writers in
+``pinax.sources``, the reference's end-to-end steps in ``pinax.plans.stages``
+and the query catalogue in ``pinax.plans.catalog``.
+"""
+
+__version__ = "0.1.0"

@@ -81,13 +81,20 @@ class _PageParser(HTMLParser):
                 self.rows.append((t["idx"], t["row"], header, t["cells"]))
             t["cells"] = None
 
+    def _end_link(self):
+        if self._a is not None:
+            self.links.append((len(self.links) + 1, self._a[0], _text(self._a[1])))
+            self._a = None
+
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         if tag in ("ul", "ol"):
             self._lists += 1
         elif tag == "li" and self._lists:
+            self._end_link()         # an omitted </a> ends with the item
             self._li += 1
         elif tag == "a" and self._li and "href" in a:
+            self._end_link()
             self._a = [a.get("href") or "", []]
         elif tag == "table":
             self._open_table()
@@ -108,12 +115,15 @@ class _PageParser(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag in ("ul", "ol") and self._lists:
+            self._end_link()
             self._lists -= 1
+            if not self._lists:
+                self._li = 0     # list items whose </li> was omitted end with the list
         elif tag == "li" and self._li:
+            self._end_link()
             self._li -= 1
-        elif tag == "a" and self._a is not None:
-            self.links.append((len(self.links) + 1, self._a[0], _text(self._a[1])))
-            self._a = None
+        elif tag == "a":
+            self._end_link()
         elif tag == "table" and self._tables:
             self._close_row(self._tables.pop())
         elif self._tables:

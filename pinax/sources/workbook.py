@@ -160,6 +160,8 @@ class WorkbookDataSource(DataSource):
             names = dedupe([str(x) if x is not None else "" for x in row]) if header \
                 else [f"_c{i}" for i in range(len(row))]
             break
+        if not names:
+            raise ValueError(f"no header row after {skip} skipped rows in {paths[0]!r}, sheet {sheets[0]!r}")
         fields = [StructField(n, StringType()) for n in names]
         fields.append(StructField(self._opt("sheetColumn", "sheet"), StringType()))
         if self._opt("fileColumn"):

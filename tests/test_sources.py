@@ -74,9 +74,10 @@ def test_html_tables_and_links(spark):
     col = [r.Name for r in html.column(rows, "Name", occurrence=2).filter("page_id = 1").collect()]
     assert "Luxembourg City" in col and len(col) == 7
     links_html = '<ul><li><a href="/a?x=1&amp;y=2">A &amp; B</a></li><li>no link</li></ul><a href="/out">o</a>'
-    lp = spark.createDataFrame([(9, links_html), (10, None)], "page_id long, html string")
-    got = [(r.page_id, r.pos, r.href, r.text) for r in html.list_links(lp).collect()]
-    assert got == [(9, 1, "/a?x=1&y=2", "A & B")]
+    open_li = '<ol><li><a href="/1">one<li><a href="/2">two</ol><p><a href="/no">x</a></p>'
+    lp = spark.createDataFrame([(9, links_html), (10, None), (11, open_li)], "page_id long, html string")
+    got = [(r.page_id, r.pos, r.href, r.text) for r in html.list_links(lp).orderBy("page_id", "pos").collect()]
+    assert got == [(9, 1, "/a?x=1&y=2", "A & B"), (11, 1, "/1", "one"), (11, 2, "/2", "two")]
 
 
 def test_rowspan_cells(spark):
