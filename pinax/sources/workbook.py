@@ -24,6 +24,11 @@ import re
 import zipfile
 from xml.etree import ElementTree as ET
 
+import io
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -41,7 +46,8 @@ def _col_index(letters: str) -> int:
     return n - 1
 
 
-def sheet_names(path: str) -> list[str]:
+def sheet_names(path) -> list[str]:
+    """Sheet names of a workbook (a path or a binary file object)."""
     with zipfile.ZipFile(path) as z:
         wb = ET.fromstring(z.read("xl/workbook.xml"))
     return [s.get("name") for s in wb.find("m:sheets", _NS)]
@@ -76,8 +82,10 @@ def _shared_strings(z: zipfile.ZipFile) -> list[str]:
     return out
 
 
-def iter_sheet_rows(path: str, sheet: str):
-    """Yield ``(row_number, [cell strings])`` of one sheet, 1-based row numbers."""
+def iter_sheet_rows(path, sheet: str):
+    """Yield ``(row_number, [cell strings])`` of one sheet, 1-based row numbers.
+
+    ``path`` is a local path or a binary file object (e.g. ``io.BytesIO``)."""
     with zipfile.ZipFile(path) as z:
         strings = _shared_strings(z)
         member = _sheet_member(z, sheet)
@@ -210,3 +218,58 @@ class _WorkbookReader(DataSourceReader):
 def register(spark) -> None:
     """Make ``spark.read.format("workbook")`` available in this session."""
     spark.dataSource.register(WorkbookDataSource)
+
+
+# --- cluster-wide reader: Spark lists and reads the files, tasks decode -------
+
+ROWS_SCHEMA = "path string, sheet string, row_idx int, cells array<string>, error string"
+
+
+def _decode_batches(sheets: list[str] | None):
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    names = sheets or sheet_names(io.BytesIO(content))
+                    for sh in names:
+                        for rnum, row in iter_sheet_rows(io.BytesIO(content), sh):
+                            out.append((path, sh, rnum, row, None))
+                except Exception as e:  # unreadable file: one error row, the job goes on
+                    out.append((path, None, None, None, repr(e)))
+            yield pd.DataFrame(out, columns=["path", "sheet", "row_idx", "cells", "error"])
+    return run
+
+
+def read_workbooks(spark: SparkSession, paths: str | list[str], sheets: list[str] | None = None,
+                   glob: str = "*.xlsx") -> DataFrame:
+    """Every row of every sheet of many workbooks: ``(path, sheet, row_idx, cells, error)``.
+
+    Files are listed and read by Spark's ``binaryFile`` source, so any
+    filesystem Spark can read works (HDFS, object stores); each task decodes
+    its own files.  ``row_idx`` is the sheet's own 1-based row number.  An
+    unreadable file gives one row with ``error`` set instead of failing the job.
+    """
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
+             .option("recursiveFileLookup", "true").load(paths).select("path", "content"))
+    return files.mapInPandas(_decode_batches(sheets), ROWS_SCHEMA)
+
+
+def sheet_frame(rows: DataFrame, header: list[str], skip_rows: int = 0,
+                sheet_col: str = "sheet") -> DataFrame:
+    """Wide string frame from ``read_workbooks`` rows under a declared header (A2).
+
+    Row ``skip_rows + 1`` of each sheet must hold exactly ``header`` (a
+    delivery whose header drifted fails the job instead of being read into the
+    wrong columns); rows after it become data rows, cell k in column k.
+    """
+    r = rows.filter(F.col("error").isNull())
+    hdr_row = F.col("row_idx") == F.lit(skip_rows + 1)
+    expected = F.array(*[F.lit(h) for h in header])
+    got = F.slice(F.col("cells"), 1, len(header))
+    msg = F.concat(F.lit("header differs from the declared one in "), F.col("path"),
+                   F.lit(" sheet "), F.col("sheet"))
+    checked = r.filter(F.when(hdr_row & ~(got == expected), F.raise_error(msg)).otherwise(F.lit(True)))
+    data = checked.filter(F.col("row_idx") > F.lit(skip_rows + 1))
+    cols = [F.try_element_at(F.col("cells"), F.lit(i + 1)).alias(h) for i, h in enumerate(dedupe(header))]
+    return data.select(*cols, F.col("sheet").alias(sheet_col))

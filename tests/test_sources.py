@@ -86,3 +86,24 @@ def test_rowspan_cells(spark):
     cells = html.html_cells(spark.createDataFrame([(1, page)], "page_id long, html string"))
     got = [list(r.cells) for r in cells.orderBy("row_idx").collect()]
     assert got == [["A", "B"], ["x", "1"], ["x", "2"]]
+
+
+def test_read_workbooks_via_binary_files(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "wb")
+    os.makedirs(d)
+    write_xlsx(os.path.join(d, "a.xlsx"), delivery_sheets(range(2010, 2016)))
+    write_xlsx(os.path.join(d, "b.xlsx"), delivery_sheets(range(2016, 2022)))
+    with open(os.path.join(d, "broken.xlsx"), "wb") as f:
+        f.write(b"not a zip")
+    rows = workbook.read_workbooks(spark, d)
+    assert rows.filter("error IS NOT NULL").count() == 1
+    wide = workbook.sheet_frame(rows, HEADERS, skip_rows=6)
+    assert wide.columns == [*HEADERS, "sheet"]
+    workbook.register(spark)
+    ref = spark.read.format("workbook").option("skipRows", 6).load(os.path.join(d, "a.xlsx") + ","
+                                                                     + os.path.join(d, "b.xlsx"))
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    assert sorted(map(tuple, wide.collect()), key=key) == sorted(map(tuple, ref.collect()), key=key)
+    import pytest as _pytest
+    with _pytest.raises(Exception, match="header differs"):
+        workbook.sheet_frame(rows, ["Commune", "Offres", "x", "y"], skip_rows=6).collect()
