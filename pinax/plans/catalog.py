@@ -497,7 +497,11 @@ FROM ({S.YEAR}) y JOIN (SELECT year, sum(unit_cents) AS unit_cents, sum(qty) AS
 
 
 def _deliveries(spark, d):
-    return stages.clean_deliveries(delivery_rows(spark, d), persist=False, country_name="ALL")
+    # The derived delivery rows stand in for files that are read once; they are
+    # (nations x years) rows at any scale, so they are kept in memory for the
+    # branches (panel, country price, country count, national base) that read them.
+    rows = delivery_rows(spark, d).persist()
+    return stages.clean_deliveries(rows, persist=False, country_name="ALL")
 
 
 @register("q31_delivery_panel", _DELIVERY_PANEL_SQL)

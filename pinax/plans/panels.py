@@ -63,16 +63,6 @@ def year_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("year", exact_avg("__c", "n_orders").alias("price"), "n_orders")
 
 
-def unit_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(n_name, year, unit_cents, qty)``: money and quantity of line items per
-    nation and year of their order, both exact sums."""
-    li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", cents("l_extendedprice").alias("ec"), F.col("l_quantity").cast("bigint").alias("q"))
-    ob = orders_by_nation(spark, sf_dir).select("o_orderkey", "n_name", "year")
-    return (li.join(ob, li["l_orderkey"] == ob["o_orderkey"])
-              .groupBy("n_name", "year").agg(F.sum("ec").alias("unit_cents"), F.sum("q").alias("qty")))
-
-
 # Header texts of a delivery sheet, as they are printed in the workbook.
 SHEET_HEADERS = ["Commune", "Nombre d'offres", "Prix moyen annoncé en € courant",
                  "Prix moyen annoncé au m² en € courant"]
@@ -80,6 +70,28 @@ SHEET_HEADERS = ["Commune", "Nombre d'offres", "Prix moyen annoncé en € coura
 MIN_PUBLISHED = 50
 
 
+def delivery_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order and line-item sums per (year, nation) and per year, in one aggregation.
+
+    Line items are summed per order first (partial aggregation before the
+    shuffle; the result is already partitioned by order key for the join), so
+    lineitem is shuffled once at the size of orders.  ``groupingSets`` then
+    produces the nation rows and the national rows from the same shuffle;
+    ``is_nat`` marks the national ones.
+    """
+    li = (table(spark, sf_dir, "lineitem")
+          .groupBy("l_orderkey")
+          .agg(F.sum(cents("l_extendedprice")).alias("ec"),
+               F.sum(F.col("l_quantity").cast("bigint")).alias("q")))
+    o = orders_by_nation(spark, sf_dir).select("o_orderkey", "n_name", "year",
+                                               cents("o_totalprice").alias("c"))
+    j = o.join(li, o["o_orderkey"] == li["l_orderkey"], "left")
+    return (j.groupingSets([["year", "n_name"], ["year"]], "year", "n_name")
+             .agg(F.sum("c").alias("cents"), F.count(F.lit(1)).alias("n_orders"),
+                  F.sum("ec").alias("unit_cents"), F.sum("q").alias("qty"),
+                  (F.grouping("n_name") == 1).alias("is_nat")))
+
+
 def delivery_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw sheet rows as a statistics office would publish them, from the tables.
 
@@ -88,27 +100,22 @@ def delivery_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ``MIN_PUBLISHED`` orders), then the national average, the offer total and a
     source note.  Every cell is a string; ``sheet`` holds the year.
     """
-    p = nation_year_prices(spark, sf_dir)
-    u = unit_prices(spark, sf_dir)
-    s = lambda c: F.col(c).cast("string")
-    det = (p.join(u, ["n_name", "year"])
-            .select(F.concat(F.lit("  "), F.col("n_name"), F.lit(" ")).alias(SHEET_HEADERS[0]),
-                    s("n_orders").alias(SHEET_HEADERS[1]),
-                    F.when(F.col("n_orders") < MIN_PUBLISHED, F.lit("*")).otherwise(s("price"))
-                     .alias(SHEET_HEADERS[2]),
-                    (F.col("unit_cents").cast("double") / F.col("qty").cast("double") / F.lit(100.0))
-                    .cast("string").alias(SHEET_HEADERS[3]),
-                    s("year").alias("sheet")))
-    nat_p = year_prices(spark, sf_dir)
-    nat_u = u.groupBy("year").agg(F.sum("unit_cents").alias("unit_cents"), F.sum("qty").alias("qty"))
-    nat = nat_p.join(nat_u, "year")
-    null = F.lit(None).cast("string")
-    avg_row = nat.select(F.lit("Moyenne nationale").alias(SHEET_HEADERS[0]), null.alias(SHEET_HEADERS[1]),
-                         s("price").alias(SHEET_HEADERS[2]),
-                         (F.col("unit_cents").cast("double") / F.col("qty").cast("double") / F.lit(100.0))
-                         .cast("string").alias(SHEET_HEADERS[3]), s("year").alias("sheet"))
-    tot_row = nat.select(F.lit("Total d'offres").alias(SHEET_HEADERS[0]), s("n_orders").alias(SHEET_HEADERS[1]),
-                         null.alias(SHEET_HEADERS[2]), null.alias(SHEET_HEADERS[3]), s("year").alias("sheet"))
-    note = nat.select(F.lit("Source : order book").alias(SHEET_HEADERS[0]), null.alias(SHEET_HEADERS[1]),
-                      null.alias(SHEET_HEADERS[2]), null.alias(SHEET_HEADERS[3]), s("year").alias("sheet"))
-    return det.unionByName(avg_row).unionByName(tot_row).unionByName(note)
+    g = delivery_sums(spark, sf_dir)
+    txt = lambda c: c.cast("string")
+    price = txt(exact_avg("cents", "n_orders"))
+    unit = txt(F.col("unit_cents").cast("double") / F.col("qty").cast("double") / F.lit(100.0))
+    none = F.lit(None).cast("string")
+    names = ["name", "offers", "price", "unit"]
+
+    def row(*cells):
+        return F.struct(*[c.alias(n) for c, n in zip(cells, names)])
+
+    detail = row(F.concat(F.lit("  "), F.col("n_name"), F.lit("\u00a0")), txt(F.col("n_orders")),
+                 F.when(F.col("n_orders") < MIN_PUBLISHED, F.lit("*")).otherwise(price), unit)
+    national = [row(F.lit("Moyenne nationale"), none, price, unit),
+                row(F.lit("Total d'offres"), txt(F.col("n_orders")), none, none),
+                row(F.lit("Source : order book"), none, none, none)]
+    rows = g.select(txt(F.col("year")).alias("sheet"),
+                    F.explode(F.when(F.col("is_nat"), F.array(*national))
+                               .otherwise(F.array(detail))).alias("r"))
+    return rows.select(*[F.col(f"r.{n}").alias(h) for n, h in zip(names, SHEET_HEADERS)], "sheet")
