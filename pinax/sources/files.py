@@ -28,6 +28,35 @@ def read_csv(spark: SparkSession, paths: str | list[str], schema: StructType | s
     return df.repartition(partitions) if partitions else df
 
 
+def read_sheet_exports(spark: SparkSession, paths: str | list[str], header: list[str],
+                       skip_rows: int = 0, sep: str = ",", encoding: str = "UTF-8",
+                       glob: str = "*.csv", tag_col: str = "sheet",
+                       pattern: str = r"([^/]+?)(\.[^./]+)*$") -> DataFrame:
+    """Delimited exports of sheets with preamble rows before the header (A2).
+
+    The CSV reader has no "skip the first k lines" option and splits files
+    across tasks, so row numbers are not known.  Here each file is one row
+    (``binaryFile``, any filesystem), decoded with ``encoding``, its lines are
+    numbered with ``posexplode``, lines ``1..skip_rows`` are dropped, line
+    ``skip_rows + 1`` must equal the declared ``header`` (else the job fails),
+    and the rest is parsed with the built-in ``from_csv`` - all in the JVM.
+    Sheet exports are small files; a quoted field holding a line break is not
+    supported.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths)
+    text = F.regexp_replace(F.decode(F.col("content"), encoding), "\r\n?", "\n")
+    raw = files.select(F.regexp_extract(F.col("path"), pattern, 1).alias(tag_col),
+                       F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    line_no = F.col("line_no") + 1
+    msg = F.concat(F.lit("header differs from the declared one in "), F.col(tag_col))
+    checked = raw.filter(F.when((line_no == skip_rows + 1) & (F.col("line") != F.lit(sep.join(header))),
+                                F.raise_error(msg)).otherwise(F.lit(True)))
+    body = checked.filter((line_no > skip_rows + 1) & (F.length("line") > 0))
+    ddl = ", ".join(f"`c{i}` string" for i in range(len(header)))
+    parsed = body.select(F.from_csv("line", ddl, {"sep": sep}).alias("r"), tag_col)
+    return parsed.select(*[F.col(f"r.c{i}").alias(h) for i, h in enumerate(header)], tag_col)
+
+
 def read_tagged(spark: SparkSession, paths: str | list[str], fmt: str = "parquet",
                 tag_col: str = "source", pattern: str = r"([^/]+?)(\.[^./]+)*$",
                 schema: StructType | str | None = None, **options) -> DataFrame:

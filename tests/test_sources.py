@@ -107,3 +107,23 @@ def test_read_workbooks_via_binary_files(spark, tmpdir_path):
     import pytest as _pytest
     with _pytest.raises(Exception, match="header differs"):
         workbook.sheet_frame(rows, ["Commune", "Offres", "x", "y"], skip_rows=6).collect()
+
+
+def test_read_sheet_exports_skips_preamble(spark, tmpdir_path):
+    import csv
+    d = os.path.join(tmpdir_path, "exports")
+    os.makedirs(d)
+    sheets = delivery_sheets(range(2010, 2013))
+    for name, rows in sheets.items():
+        with open(os.path.join(d, f"{name}.csv"), "w", newline="", encoding="utf-8") as f:
+            w = csv.writer(f, lineterminator="\r\n")
+            for r in rows:
+                w.writerow(["" if v is None else v for v in r])
+    df = files.read_sheet_exports(spark, d, HEADERS, skip_rows=6)
+    assert df.columns == [*HEADERS, "sheet"]
+    assert df.count() == 9 + 9 + 10
+    first = df.filter("sheet = '2010'").first()
+    assert first["Commune"] == "  Esch-sur-Alzette\u00a0" and first["Nombre d'offres"] == "120"
+    import pytest as _pytest
+    with _pytest.raises(Exception, match="header differs"):
+        files.read_sheet_exports(spark, d, HEADERS, skip_rows=5).collect()
