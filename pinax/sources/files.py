@@ -44,9 +44,9 @@ def read_sheet_exports(spark: SparkSession, paths: str | list[str], header: list
     supported.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths)
-    text = F.regexp_replace(F.decode(F.col("content"), encoding), "\r\n?", "\n")
+    text = F.regexp_replace(F.decode(F.col("content"), encoding), r"\r\n?", "\n")
     raw = files.select(F.regexp_extract(F.col("path"), pattern, 1).alias(tag_col),
-                       F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+                       F.posexplode(F.split(text, r"\n")).alias("line_no", "line"))
     line_no = F.col("line_no") + 1
     msg = F.concat(F.lit("header differs from the declared one in "), F.col(tag_col))
     checked = raw.filter(F.when((line_no == skip_rows + 1) & (F.col("line") != F.lit(sep.join(header))),
