@@ -12,9 +12,9 @@ Two plans for the base value:
   is itself an aggregate of large tables.
 * ``how="join"`` (default): base rows are filtered (the predicate reaches the
   scan, so a panel stored by period reads one period), aggregated per entity
-  and left-joined back.  Spark sizes the base table: broadcast when small by
-  statistics or by AQE's measured size, so the panel itself is not shuffled;
-  otherwise a sort-merge join with AQE skew splitting.  The right plan for a
+  and left-joined back.  The base table is counted with a bound first: within
+  the bound it is broadcast and the panel is not shuffled at all; beyond it
+  the join is a sort-merge join with AQE skew splitting.  The right plan for a
   large panel read from storage.  (For a derived panel the base side
   recomputes it: Spark infers a not-null filter on the join key for that side
   only, so the two subtrees differ and the shuffle is not reused.)
@@ -71,22 +71,40 @@ def base_values(df: DataFrame, keys: list[str], order_col: str, base, values) ->
                                for _, (b, _) in m.items()])
 
 
+def bounded_broadcast(small: DataFrame, max_rows: int | None) -> DataFrame:
+    """``small`` marked for broadcast if it has at most ``max_rows`` rows, else as is.
+
+    The size is checked, not assumed: the frame is persisted and counted with
+    ``limit(max_rows + 1)`` (a bounded job), so the hint is only given to data
+    with a proven bound, and a larger side falls back to a sort-merge join.
+    """
+    if not max_rows:
+        return small
+    small = small.persist()
+    if small.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(small)
+    return small
+
+
 def price_index(df: DataFrame, keys: list[str], order_col: str, base, values,
                 how: str = "join", before_base: str = "null", scale: float = 100.0,
-                digits: int | None = None) -> DataFrame:
+                digits: int | None = None, broadcast_max_rows: int | None = 1_000_000) -> DataFrame:
     """Base-period index per entity (I1): ``index = value / value_at_base * scale``.
 
     ``before_base="null"``: periods before the base get a null base value and
     index (forward-fill semantics); ``"index"``: they are indexed too.
     A null or zero base value gives a null index; an entity without a base row
-    keeps its rows with null base and index.
+    keeps its rows with null base and index.  In the join form the base table
+    (one row per entity) is broadcast when it has at most
+    ``broadcast_max_rows`` rows (checked, see ``bounded_broadcast``), so the
+    panel is joined where it lies; above that it is a sort-merge join.
     """
     m = _measures(values)
     if before_base not in ("null", "index"):
         raise ValueError("before_base must be 'null' or 'index'")
     after = F.col(order_col) >= F.lit(base)
     if how == "join" and keys:
-        b = base_values(df, keys, order_col, base, m)
+        b = bounded_broadcast(base_values(df, keys, order_col, base, m), broadcast_max_rows)
         out = df.join(b, on=keys, how="left")
         if before_base == "null":
             out = out.withColumns({bc: F.when(after, F.col(bc)) for bc, _ in m.values()})

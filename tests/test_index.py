@@ -130,3 +130,16 @@ def test_window_forms_reject_repeated_periods(spark):
     goods = df.withColumn("good", F.lit("g")).withColumn("qty", F.lit(1))
     with pytest.raises(Exception, match="not unique"):
         index.basket_index(goods, ["k"], "good", "year", "price", "qty", 2010).collect()
+
+
+def test_join_form_broadcast_only_within_bound(spark):
+    from pinax.plans.panels import nation_year_prices
+    p = nation_year_prices(spark, "/root/testdata/sf0.01").select("n_name", "year", "price")
+    small = index.price_index(p, ["n_name"], "year", 1995, ["price"], broadcast_max_rows=100)
+    big = index.price_index(p, ["n_name"], "year", 1995, ["price"], broadcast_max_rows=10)
+    plain = index.price_index(p, ["n_name"], "year", 1995, ["price"], broadcast_max_rows=None)
+    hint = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    assert hint(small) and not hint(big) and not hint(plain)
+    key = lambda r: (r.n_name, r.year)
+    assert sorted(small.collect(), key=key) == sorted(big.collect(), key=key) == \
+        sorted(plain.collect(), key=key)
