@@ -40,21 +40,31 @@ def read_sheet_exports(spark: SparkSession, paths: str | list[str], header: list
     numbered with ``posexplode``, lines ``1..skip_rows`` are dropped, line
     ``skip_rows + 1`` must equal the declared ``header`` (else the job fails),
     and the rest is parsed with the built-in ``from_csv`` - all in the JVM.
-    Sheet exports are small files; a quoted field holding a line break is not
-    supported.
+    The header line is parsed the same way (quoted headers match), a leading
+    byte-order mark is dropped, and a file too short to hold a header fails
+    the job.  Sheet exports are small files; a quoted field holding a line
+    break is not supported.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths)
-    text = F.regexp_replace(F.decode(F.col("content"), encoding), r"\r\n?", "\n")
-    raw = files.select(F.regexp_extract(F.col("path"), pattern, 1).alias(tag_col),
-                       F.posexplode(F.split(text, r"\n")).alias("line_no", "line"))
-    line_no = F.col("line_no") + 1
-    msg = F.concat(F.lit("header differs from the declared one in "), F.col(tag_col))
-    checked = raw.filter(F.when((line_no == skip_rows + 1) & (F.col("line") != F.lit(sep.join(header))),
-                                F.raise_error(msg)).otherwise(F.lit(True)))
-    body = checked.filter((line_no > skip_rows + 1) & (F.length("line") > 0))
+    text = F.regexp_replace(F.decode(F.col("content"), encoding), r"\A\x{FEFF}", "")  # BOM
+    lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), r"\n")
+    per_file = files.select(F.regexp_extract(F.col("path"), pattern, 1).alias(tag_col),
+                            lines.alias("lines"))
+    short = F.concat(F.lit(f"no header after {skip_rows} rows in "), F.col(tag_col))
+    per_file = per_file.filter(F.when(F.size("lines") <= skip_rows, F.raise_error(short))
+                                .otherwise(F.lit(True)))
+    raw = per_file.select(tag_col, F.posexplode("lines").alias("line_no", "line"))
     ddl = ", ".join(f"`c{i}` string" for i in range(len(header)))
-    parsed = body.select(F.from_csv("line", ddl, {"sep": sep}).alias("r"), tag_col)
-    return parsed.select(*[F.col(f"r.c{i}").alias(h) for i, h in enumerate(header)], tag_col)
+    parsed = raw.select(tag_col, (F.col("line_no") + 1).alias("line_no"),
+                        F.from_csv("line", ddl, {"sep": sep}).alias("r"), F.length("line").alias("len"))
+    cells = F.array(*[F.col(f"r.c{i}") for i in range(len(header))])
+    expected = F.array(*[F.lit(h) for h in header])
+    msg = F.concat(F.lit("header differs from the declared one in "), F.col(tag_col))
+    is_header = F.col("line_no") == skip_rows + 1
+    checked = parsed.filter(F.when(is_header & ~cells.eqNullSafe(expected), F.raise_error(msg))
+                             .otherwise(F.lit(True)))
+    body = checked.filter((F.col("line_no") > skip_rows + 1) & (F.col("len") > 0))
+    return body.select(*[F.col(f"r.c{i}").alias(h) for i, h in enumerate(header)], tag_col)
 
 
 def read_tagged(spark: SparkSession, paths: str | list[str], fmt: str = "parquet",

@@ -127,3 +127,23 @@ def test_read_sheet_exports_skips_preamble(spark, tmpdir_path):
     import pytest as _pytest
     with _pytest.raises(Exception, match="header differs"):
         files.read_sheet_exports(spark, d, HEADERS, skip_rows=5).collect()
+
+
+def test_sheet_exports_bom_quotes_and_short_files(spark, tmpdir_path):
+    import pytest as _pytest
+    d = os.path.join(tmpdir_path, "bom")
+    os.makedirs(d)
+    with open(os.path.join(d, "2020.csv"), "w", encoding="utf-8-sig") as f:
+        f.write('"Commune","Nombre d\'offres"\nMamer,40\n')
+    df = files.read_sheet_exports(spark, d, ["Commune", "Nombre d'offres"])
+    assert [tuple(r) for r in df.collect()] == [("Mamer", "40", "2020")]
+    short = os.path.join(tmpdir_path, "short")
+    os.makedirs(short)
+    with open(os.path.join(short, "2021.csv"), "w") as f:
+        f.write("Observatoire")
+    with _pytest.raises(Exception, match="no header"):
+        files.read_sheet_exports(spark, short, ["Commune", "Nombre d'offres"], skip_rows=3).collect()
+    with open(os.path.join(short, "2021.csv"), "w") as f:
+        f.write("")
+    with _pytest.raises(Exception, match="header differs"):
+        files.read_sheet_exports(spark, short, ["Commune", "Nombre d'offres"]).collect()
