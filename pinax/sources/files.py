@@ -42,7 +42,8 @@ def read_sheet_exports(spark: SparkSession, paths: str | list[str], header: list
     and the rest is parsed with the built-in ``from_csv`` - all in the JVM.
     The header line is parsed the same way (quoted headers match), a leading
     byte-order mark is dropped, and a file too short to hold a header fails
-    the job.  Sheet exports are small files; a quoted field holding a line
+    the job.  (A 0-byte file is skipped by Spark's file listing and adds no
+    rows; the per-year checks - totals, churn - are where a missing sheet shows.)  Sheet exports are small files; a quoted field holding a line
     break is not supported.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths)
