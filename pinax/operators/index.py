@@ -74,13 +74,14 @@ def base_values(df: DataFrame, keys: list[str], order_col: str, base, values) ->
 def bounded_broadcast(small: DataFrame, max_rows: int | None) -> DataFrame:
     """``small`` marked for broadcast if it has at most ``max_rows`` rows, else as is.
 
-    The size is checked, not assumed: the frame is persisted and counted with
-    ``limit(max_rows + 1)`` (a bounded job), so the hint is only given to data
-    with a proven bound, and a larger side falls back to a sort-merge join.
+    The size is checked, not assumed: the frame is counted with
+    ``limit(max_rows + 1)`` (a job that stops at the bound), so the hint is only
+    given to data with a proven bound, and a larger side falls back to a
+    sort-merge join.  Nothing is cached: for a base-period table the count
+    re-reads one period, which is cheap next to shuffling the panel.
     """
     if not max_rows:
         return small
-    small = small.persist()
     if small.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(small)
     return small

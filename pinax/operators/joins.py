@@ -16,10 +16,15 @@ def unique_on(df: DataFrame, keys: list[str], what: str = "lookup side") -> Data
     """``df`` with a lazy guard: the job fails if ``keys`` repeat.
 
     Implemented as an aggregation (combined map-side) with ``raise_error``, so
-    the check costs one shuffle of the lookup side and no extra action.
+    the check costs one shuffle of the lookup side and no extra action.  Rows
+    with a null key are dropped: they cannot match an inner or left join.
     """
     others = [c for c in df.columns if c not in keys]
-    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"),
+    # Rows with a null key never match in the join, so they are not checked.
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    g = df.filter(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"),
                               *[F.max(F.col(c)).alias(c) for c in others])
     msg = F.lit(f"keys {keys} are not unique in the {what}")
     guard = F.when(F.col("__n") > 1, F.raise_error(msg))

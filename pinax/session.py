@@ -33,15 +33,25 @@ BASE_CONF = {
 }
 
 
+def _master_configured() -> bool:
+    """True when spark-submit (or the environment) already names a master."""
+    from pyspark import SparkConf
+
+    if os.environ.get("SPARK_MASTER") or "--master" in os.environ.get("PYSPARK_SUBMIT_ARGS", ""):
+        return True
+    return SparkConf().contains("spark.master")
+
+
 def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "pinax", extra: dict | None = None) -> SparkSession:
     """Create (or reuse) a session with BASE_CONF applied.
 
-    ``master`` defaults to ``local[$BENCH_CPUS or *]``; on a cluster pass
-    ``master=None`` through spark-submit and this only adds settings.
+    ``master`` defaults to ``local[$BENCH_CPUS or *]`` only when nothing else
+    names one; under spark-submit (``--master``) the submitted master is kept
+    and this only adds settings.
     """
     builder = SparkSession.builder.appName(app_name)
-    if master is None and not os.environ.get("SPARK_MASTER"):
+    if master is None and not _master_configured():
         master = f"local[{os.environ.get('BENCH_CPUS', '*')}]"
     if master:
         builder = builder.master(master)

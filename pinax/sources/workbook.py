@@ -225,51 +225,77 @@ def register(spark) -> None:
 ROWS_SCHEMA = "path string, sheet string, row_idx int, cells array<string>, error string"
 
 
-def _decode_batches(sheets: list[str] | None):
+def _sheet_rows(content: bytes, sheet: str, skip_rows: int | None, header: list[str] | None):
+    """Rows of one sheet; with ``header`` set, row ``skip_rows + 1`` must exist and
+    equal it, and only the rows after it are returned."""
+    rows = iter_sheet_rows(io.BytesIO(content), sheet)
+    if header is None:
+        return list(rows)
+    out, seen = [], False
+    for rnum, row in rows:
+        if rnum <= skip_rows:
+            continue
+        if not seen:
+            got = [("" if x is None else str(x)) for x in row][: len(header)]
+            if rnum != skip_rows + 1 or got != list(header):
+                raise ValueError(f"header of sheet {sheet!r} at row {rnum} is {got}, "
+                                 f"expected {list(header)} at row {skip_rows + 1}")
+            seen = True
+            continue
+        out.append((rnum, row))
+    if not seen:
+        raise ValueError(f"sheet {sheet!r} has no header row after {skip_rows} rows")
+    return out
+
+
+def _decode_batches(sheets: list[str] | None, skip_rows: int | None, header: list[str] | None):
     def run(batches):
         for pdf in batches:
             out = []
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
                     names = sheets or sheet_names(io.BytesIO(content))
-                    for sh in names:
-                        for rnum, row in iter_sheet_rows(io.BytesIO(content), sh):
-                            out.append((path, sh, rnum, row, None))
-                except Exception as e:  # unreadable file: one error row, the job goes on
-                    out.append((path, None, None, None, repr(e)))
+                    rows = [(path, sh, rnum, row, None)
+                            for sh in names for rnum, row in _sheet_rows(content, sh, skip_rows, header)]
+                except Exception as e:  # bad file: one error row and none of its rows
+                    rows = [(path, None, None, None, repr(e))]
+                out.extend(rows)
             yield pd.DataFrame(out, columns=["path", "sheet", "row_idx", "cells", "error"])
     return run
 
 
 def read_workbooks(spark: SparkSession, paths: str | list[str], sheets: list[str] | None = None,
+                   skip_rows: int = 0, header: list[str] | None = None,
                    glob: str = "*.xlsx") -> DataFrame:
-    """Every row of every sheet of many workbooks: ``(path, sheet, row_idx, cells, error)``.
+    """Rows of every sheet of many workbooks: ``(path, sheet, row_idx, cells, error)``.
 
     Files are listed and read by Spark's ``binaryFile`` source, so any
     filesystem Spark can read works (HDFS, object stores); each task decodes
-    its own files.  ``row_idx`` is the sheet's own 1-based row number.  An
-    unreadable file gives one row with ``error`` set instead of failing the job.
+    its own files.  ``row_idx`` is the sheet's own 1-based row number.
+
+    With ``header`` given, each sheet is checked in the task that decodes it,
+    in row order: row ``skip_rows + 1`` must hold exactly ``header`` (a blank
+    or shifted header row is an error), and only the rows after it are
+    returned.  A file that cannot be read or checked gives one row with
+    ``error`` set and none of its other rows, so no half-read file slips through.
     """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", "true").load(paths).select("path", "content"))
-    return files.mapInPandas(_decode_batches(sheets), ROWS_SCHEMA)
+    return files.mapInPandas(_decode_batches(sheets, skip_rows, header), ROWS_SCHEMA)
 
 
-def sheet_frame(rows: DataFrame, header: list[str], skip_rows: int = 0,
-                sheet_col: str = "sheet") -> DataFrame:
-    """Wide string frame from ``read_workbooks`` rows under a declared header (A2).
+def sheet_frame(rows: DataFrame, header: list[str], sheet_col: str = "sheet",
+                strict: bool = True) -> DataFrame:
+    """Wide string frame from ``read_workbooks(..., header=header)`` rows (A2).
 
-    Row ``skip_rows + 1`` of each sheet must hold exactly ``header`` (a
-    delivery whose header drifted fails the job instead of being read into the
-    wrong columns); rows after it become data rows, cell k in column k.
+    Cell k goes to column k.  ``strict`` fails the job on any error row (a
+    delivery that does not fit the declared layout); otherwise error rows are
+    dropped and can be listed with ``rows.filter("error IS NOT NULL")``.
     """
-    r = rows.filter(F.col("error").isNull())
-    hdr_row = F.col("row_idx") == F.lit(skip_rows + 1)
-    expected = F.array(*[F.lit(h) for h in header])
-    got = F.slice(F.col("cells"), 1, len(header))
-    msg = F.concat(F.lit("header differs from the declared one in "), F.col("path"),
-                   F.lit(" sheet "), F.col("sheet"))
-    checked = r.filter(F.when(hdr_row & ~(got == expected), F.raise_error(msg)).otherwise(F.lit(True)))
-    data = checked.filter(F.col("row_idx") > F.lit(skip_rows + 1))
+    if strict:
+        msg = F.concat(F.lit("workbook could not be read: "), F.col("path"), F.lit(" "), F.col("error"))
+        rows = rows.filter(F.when(F.col("error").isNotNull(), F.raise_error(msg)).otherwise(F.lit(True)))
+    else:
+        rows = rows.filter(F.col("error").isNull())
     cols = [F.try_element_at(F.col("cells"), F.lit(i + 1)).alias(h) for i, h in enumerate(dedupe(header))]
-    return data.select(*cols, F.col("sheet").alias(sheet_col))
+    return rows.select(*cols, F.col("sheet").alias(sheet_col))

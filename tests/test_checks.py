@@ -98,3 +98,16 @@ def test_columns_helpers(spark):
     assert typed.first().average_price == 1.0
     k = columns.with_constant(typed, "nom_de_la_pice", "ALL")
     assert k.columns == typed.columns and k.first().nom_de_la_pice == "ALL"
+
+
+def test_join_lookup_ignores_null_keys(spark):
+    left = spark.createDataFrame([(2010, 1.0), (None, 2.0)], "year int, p double")
+    right = spark.createDataFrame([(2010, 5), (None, 6), (None, 7)], "year int, n long")
+    got = sorted((r.year, r.n) for r in join_lookup(left, right, ["year"]).collect())
+    assert got == [(2010, 5)]
+
+
+def test_master_detection(monkeypatch):
+    from pinax import session
+    monkeypatch.setenv("PYSPARK_SUBMIT_ARGS", "--master yarn pyspark-shell")
+    assert session._master_configured()

@@ -89,24 +89,35 @@ def test_rowspan_cells(spark):
 
 
 def test_read_workbooks_via_binary_files(spark, tmpdir_path):
+    import pytest as _pytest
     d = os.path.join(tmpdir_path, "wb")
     os.makedirs(d)
     write_xlsx(os.path.join(d, "a.xlsx"), delivery_sheets(range(2010, 2016)))
     write_xlsx(os.path.join(d, "b.xlsx"), delivery_sheets(range(2016, 2022)))
-    with open(os.path.join(d, "broken.xlsx"), "wb") as f:
-        f.write(b"not a zip")
-    rows = workbook.read_workbooks(spark, d)
-    assert rows.filter("error IS NOT NULL").count() == 1
-    wide = workbook.sheet_frame(rows, HEADERS, skip_rows=6)
+    raw = workbook.read_workbooks(spark, d)
+    assert raw.count() == 2 * 13 + 10 * 14          # stored rows only: 3 preamble, header, 9-10 data
+    rows = workbook.read_workbooks(spark, d, skip_rows=6, header=HEADERS)
+    wide = workbook.sheet_frame(rows, HEADERS)
     assert wide.columns == [*HEADERS, "sheet"]
     workbook.register(spark)
     ref = spark.read.format("workbook").option("skipRows", 6).load(os.path.join(d, "a.xlsx") + ","
                                                                      + os.path.join(d, "b.xlsx"))
     key = lambda r: tuple((x is None, str(x)) for x in r)
     assert sorted(map(tuple, wide.collect()), key=key) == sorted(map(tuple, ref.collect()), key=key)
-    import pytest as _pytest
-    with _pytest.raises(Exception, match="header differs"):
-        workbook.sheet_frame(rows, ["Commune", "Offres", "x", "y"], skip_rows=6).collect()
+    # a broken file, a drifted header and a shifted header: error rows, no partial rows
+    with open(os.path.join(d, "broken.xlsx"), "wb") as f:
+        f.write(b"not a zip")
+    shifted = {k: [[]] + v for k, v in delivery_sheets(range(2030, 2031)).items()}
+    write_xlsx(os.path.join(d, "shifted.xlsx"), shifted)
+    rows = workbook.read_workbooks(spark, d, skip_rows=6, header=HEADERS)
+    errs = rows.filter("error IS NOT NULL")
+    assert errs.count() == 2 and rows.filter("path LIKE '%shifted%' AND error IS NULL").count() == 0
+    assert workbook.sheet_frame(rows, HEADERS, strict=False).count() == wide.count()
+    with _pytest.raises(Exception, match="could not be read"):
+        workbook.sheet_frame(rows, HEADERS).collect()
+    drift = workbook.read_workbooks(spark, os.path.join(d, "a.xlsx"), skip_rows=6,
+                                    header=["Commune", "Offres", "x", "y"])
+    assert drift.filter("error LIKE '%header%'").count() == 1
 
 
 def test_read_sheet_exports_skips_preamble(spark, tmpdir_path):
