@@ -158,3 +158,18 @@ def test_sheet_exports_bom_quotes_and_short_files(spark, tmpdir_path):
         f.write("")
     # Spark's file listing skips 0-byte files: an empty export adds no rows
     assert files.read_sheet_exports(spark, short, ["Commune", "Nombre d'offres"]).count() == 0
+
+
+def test_published_index_series_gzip_pivot(spark, tmpdir_path):
+    """a published house-price index (geo, TIME_PERIOD, OBS_VALUE) as gzip CSV,
+    read under a schema and laid side by side per year (A6, J3)."""
+    from pinax.operators import series
+    p = os.path.join(tmpdir_path, "hpi.csv.gz")
+    rows = ["geo,TIME_PERIOD,OBS_VALUE", "LU,2020,190.31", "LU,2021,214.81", "EU27_2020,2020,127.12",
+            "EU27_2020,2021,138.92", "DE,2021,160.5"]
+    with gzip.open(p, "wt") as f:
+        f.write("\n".join(rows) + "\n")
+    hpi = files.read_csv(spark, p, "geo string, TIME_PERIOD bigint, OBS_VALUE double")
+    wide = series.pivot_wide(hpi, "TIME_PERIOD", "geo", "OBS_VALUE", ["LU", "EU27_2020"])
+    got = {r.TIME_PERIOD: (r.LU, r.EU27_2020) for r in wide.collect()}
+    assert got == {2020: (190.31, 127.12), 2021: (214.81, 138.92)}
