@@ -99,3 +99,22 @@ def test_hot_customer_is_split_by_aqe(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_join_form_prunes_to_the_base_period(spark, tmpdir_path):
+    """A panel stored partitioned by period: the base side of the join form reads
+    one partition, and the base table is broadcast, so the panel is not shuffled."""
+    from pinax.operators import index
+    from pinax.plans.panels import nation_year_prices
+    from pinax.sources.files import write_table
+    path = f"{tmpdir_path}/panel"
+    write_table(nation_year_prices(spark, SF01), path, partition_by=["year"])
+    panel = spark.read.parquet(path)
+    out = index.price_index(panel, ["n_name"], "year", 1995, ["price"])
+    out.collect()
+    final = plan_text(out).split("== Initial Plan ==")[0]
+    assert re.search(r"PartitionFilters: \[isnotnull\(year#\d+\), \(year#\d+ = 1995\)\]", final)
+    assert "BroadcastHashJoin" in final and "SortMergeJoin" not in final
+    # the only shuffle is the base side's aggregation of its one period
+    assert len(re.findall(r"Exchange hashpartitioning\(n_name#\d+, \d+\)", final)) == 1
+    assert len(re.findall(r"(?<!Broadcast)Exchange ", final)) == 1
