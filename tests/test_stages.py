@@ -99,3 +99,18 @@ def test_replace_chars(spark):
     m = {"é": "e", "û": "u", "ä": "a"}
     assert [r.x for r in df.select(replace_chars("v", m).alias("x")).collect()] == \
         ["Petange", "Erpeldange-sur-Sure", "Kaerjeng"]
+
+
+def test_cli_run_and_coverage(spark, tmpdir_path):
+    from pinax import cli
+    wb = os.path.join(tmpdir_path, "wb")
+    os.makedirs(wb)
+    write_xlsx(os.path.join(wb, "deliveries.xlsx"), delivery_sheets())
+    out = os.path.join(tmpdir_path, "out")
+    assert cli.main(["run", "--workbooks", wb, "--out", out]) == 0
+    assert spark.read.parquet(f"{out}/panel").count() == 58
+    pages = os.path.join(tmpdir_path, "pages")
+    spark.createDataFrame(commune_pages(), "page_id long, html string").write.parquet(pages)
+    miss = os.path.join(tmpdir_path, "missing")
+    assert cli.main(["coverage", "--panel", f"{out}/panel", "--pages", pages, "--out", miss]) == 0
+    assert spark.read.parquet(miss).count() == 0
