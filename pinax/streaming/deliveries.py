@@ -2,8 +2,10 @@
 
 The cleaning of ``plans.stages.classify`` is row-by-row (no state), so it runs
 unchanged on a streaming DataFrame.  Each micro-batch then splits into the
-commune panel and the country table, exactly like the batch step, and writes
-them under ``batch=<id>``: a batch re-run after a failure overwrites its own
+commune panel and the country table, exactly like the batch step, compares
+its panel rows with the rows earlier deliveries gave for the same years (a
+revisions report: changed, added, removed), and writes all three under
+``batch=<id>``: a batch re-run after a failure overwrites its own
 folder, so the output is written once even though ``foreachBatch`` is
 at-least-once.  Checkpoints go under the cluster's shared
 ``spark.checkpoint.dir``.
@@ -15,11 +17,13 @@ a header row); the sheet name is taken from the file name, e.g.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..operators import checks
 from ..plans import stages
 from ..session import checkpoint_dir
 
@@ -36,10 +40,30 @@ def read_deliveries(spark: SparkSession, folder: str, headers: list[str], fmt: s
     return df.withColumn("sheet", F.regexp_extract(F.col("_metadata.file_path"), sheet_pattern, 1))
 
 
+VALUES = ["n_offers", "average_price_nominal_euros", "average_price_m2_nominal_euros"]
+
+
+def _earlier_panel(spark: SparkSession, out_dir: str, batch_id: int) -> DataFrame | None:
+    """Panel rows written by earlier batches (a re-run batch does not see itself)."""
+    try:
+        old = spark.read.parquet(f"{out_dir}/panel")
+    except AnalysisException:      # nothing written yet
+        return None
+    return old.filter(F.col("batch") < batch_id).drop("batch")
+
+
 def _write_batch(out_dir: str):
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         c = stages.clean_deliveries(batch, persist=True)
         try:
+            old = _earlier_panel(spark, out_dir, batch_id)
+            if old is not None:
+                # K2: did this delivery change values already delivered for its years?
+                years = c.panel.select("year").distinct()
+                before = old.join(years, "year", "left_semi")
+                rev = checks.revisions(before, c.panel, ["locality", "year"], VALUES)
+                rev.write.mode("overwrite").parquet(f"{out_dir}/revisions/batch={batch_id}")
             c.panel.write.mode("overwrite").parquet(f"{out_dir}/panel/batch={batch_id}")
             c.country.write.mode("overwrite").parquet(f"{out_dir}/country/batch={batch_id}")
         finally:
@@ -47,6 +71,17 @@ def _write_batch(out_dir: str):
     return write
 
 
+def latest_panel(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The panel as of the newest delivery of each year.
+
+    A year delivered again replaces its earlier rows; one aggregation over the
+    (batch, year) pairs, then a semi join - no window over the whole panel.
+    """
+    p = spark.read.parquet(f"{out_dir}/panel")
+    newest = p.groupBy("year").agg(F.max("batch").alias("batch"))
+    return p.join(newest, ["year", "batch"], "left_semi").drop("batch")
+
+
 def start(raw: DataFrame, out_dir: str, name: str = "deliveries",
           available_now: bool = True) -> StreamingQuery:
     """Start the stream: cleaned panel and country rows under ``out_dir``.
