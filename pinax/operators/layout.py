@@ -1,0 +1,19 @@
+"""Partition layout helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread_over_cores(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over all cores when the input has fewer partitions.
+
+    CPU-heavy per-row work (regexes over whole texts, page and workbook
+    decoding) runs one task per input partition, and a small input stored as a
+    few large row groups would leave most cores idle.  A large input already
+    has more partitions than the cluster has cores, and then ``df`` is
+    returned unchanged: no shuffle is added where the data is big.  (Round-robin
+    repartitioning sorts first by default, so a retried task gets the same rows.)
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import checks, columns, entities, index, route, series
 from ..operators.joins import join_lookup
+from ..operators.layout import spread_over_cores
 from ..sources.html import list_links
 from . import sqltext as S
 from . import stages
@@ -81,7 +82,7 @@ SELECT doc_id, CAST(length(text) AS INTEGER) AS n_raw,
        CAST(length({S.strip('text')}) AS INTEGER) AS n_stripped
 FROM documents""")
 def q03_strip_text(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread_over_cores(table(spark, d, "documents").select("doc_id", "text"))
     pad = F.concat(F.lit(" \t\u00a0"), F.col("text"), F.lit("\u00a0\n "))
     return docs.select("doc_id", F.length("text").alias("n_raw"),
                        F.length(T.strip_ws(pad)).alias("n_padded_stripped"),
@@ -128,7 +129,8 @@ def q06_route_rows(spark, d):
 # Q07 (B2, D9): the name rule as a row operator over whole texts.
 @register("q07_name_rule", f"SELECT doc_id, {S.name_rule('text')} AS name_key FROM documents")
 def q07_name_rule(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.name_rule("text").alias("name_key"))
+    docs = spread_over_cores(table(spark, d, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", T.name_rule("text").alias("name_key"))
 
 
 # Q08 (D3, D4): regex replace and trailing-marker removal.

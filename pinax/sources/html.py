@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.layout import spread_over_cores
+
 CELL_SCHEMA = ("page_id long, table_idx int, row_idx int, is_header boolean, "
                "cells array<string>, error string")
 LINK_SCHEMA = "page_id long, pos int, href string, text string, error string"
@@ -188,13 +190,13 @@ def html_cells(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
     list of all tables would; ``colspan`` / ``rowspan`` repeat the cell text.
     """
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"))
-    return src.mapInPandas(_cells_batches, CELL_SCHEMA)
+    return spread_over_cores(src).mapInPandas(_cells_batches, CELL_SCHEMA)
 
 
 def list_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``(page_id, pos, href, text, error)`` for each ``<a href>`` inside a list item."""
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"))
-    return src.mapInPandas(_links_batches, LINK_SCHEMA)
+    return spread_over_cores(src).mapInPandas(_links_batches, LINK_SCHEMA)
 
 
 def table_rows(cells: DataFrame, table_idx: int, header_rows: int = 1) -> DataFrame:

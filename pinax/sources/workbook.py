@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ..operators.layout import spread_over_cores
 from pyspark.sql.types import StringType, StructField, StructType
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
@@ -281,7 +283,7 @@ def read_workbooks(spark: SparkSession, paths: str | list[str], sheets: list[str
     """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", "true").load(paths).select("path", "content"))
-    return files.mapInPandas(_decode_batches(sheets, skip_rows, header), ROWS_SCHEMA)
+    return spread_over_cores(files).mapInPandas(_decode_batches(sheets, skip_rows, header), ROWS_SCHEMA)
 
 
 def sheet_frame(rows: DataFrame, header: list[str], sheet_col: str = "sheet",

@@ -118,3 +118,12 @@ def test_join_form_prunes_to_the_base_period(spark, tmpdir_path):
     # the only shuffle is the base side's aggregation of its one period
     assert len(re.findall(r"Exchange hashpartitioning\(n_name#\d+, \d+\)", final)) == 1
     assert len(re.findall(r"(?<!Broadcast)Exchange ", final)) == 1
+
+
+def test_spread_only_when_fewer_partitions_than_cores(spark):
+    from pinax.operators.layout import spread_over_cores
+    cores = spark.sparkContext.defaultParallelism
+    small = spark.range(100).coalesce(1)
+    assert spread_over_cores(small).rdd.getNumPartitions() == cores
+    wide = spark.range(0, 1000, 1, cores * 2)
+    assert spread_over_cores(wide) is wide
