@@ -316,19 +316,26 @@ def q20_page_links(spark, d):
 
 
 # Q21 (A3, F1): yearly slices tagged with their origin and stacked by name.
+# A last slice takes every row outside the listed years, so no row is lost.
 _SLICES = list(range(1995, 2002))
+_LO, _HI = f"{_SLICES[0]}-01-01", f"{_SLICES[-1] + 1}-01-01"
 
 
 @register("q21_stack_slices", " UNION ALL ".join(
-    f"SELECT o_orderkey, o_totalprice, '{y}' AS sheet FROM orders "
-    f"WHERE o_orderdate >= TIMESTAMP '{y}-01-01' AND o_orderdate < TIMESTAMP '{y + 1}-01-01'"
-    for y in _SLICES))
+    [f"SELECT o_orderkey, o_totalprice, '{y}' AS sheet FROM orders "
+     f"WHERE o_orderdate >= TIMESTAMP '{y}-01-01' AND o_orderdate < TIMESTAMP '{y + 1}-01-01'"
+     for y in _SLICES]
+    + [f"SELECT o_orderkey, o_totalprice, 'other' AS sheet FROM orders WHERE o_orderdate IS NULL "
+       f"OR o_orderdate < TIMESTAMP '{_LO}' OR o_orderdate >= TIMESTAMP '{_HI}'"]))
 def q21_stack_slices(spark, d):
     o = table(spark, d, "orders")
-    frames = [o.filter((F.col("o_orderdate") >= F.lit(f"{y}-01-01").cast("timestamp_ntz"))
-                       & (F.col("o_orderdate") < F.lit(f"{y + 1}-01-01").cast("timestamp_ntz")))
+    ts = lambda v: F.lit(v).cast("timestamp_ntz")
+    frames = [o.filter((F.col("o_orderdate") >= ts(f"{y}-01-01")) & (F.col("o_orderdate") < ts(f"{y + 1}-01-01")))
                .select("o_orderkey", "o_totalprice", F.lit(str(y)).alias("sheet"))
               for y in _SLICES]
+    rest = o.filter(F.col("o_orderdate").isNull() | (F.col("o_orderdate") < ts(_LO))
+                    | (F.col("o_orderdate") >= ts(_HI)))
+    frames.append(rest.select("o_orderkey", "o_totalprice", F.lit("other").alias("sheet")))
     return entities.stack(frames)
 
 
