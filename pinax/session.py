@@ -28,7 +28,9 @@ BASE_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "32m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # Pages and workbooks reach Python workers in Arrow batches of this many
+    # rows; whole documents per row, so keep batches moderate.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     "spark.ui.enabled": "false",
 }
 

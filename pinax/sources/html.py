@@ -4,7 +4,8 @@ Input: a DataFrame ``(page_id, html)`` (for instance the ``pages`` table).
 Each Spark task parses its own pages with the standard-library
 ``html.parser`` inside ``mapInPandas`` (Arrow batches in, Arrow batches out),
 so parsing scales with the number of tasks and no page passes through the
-driver.  Everything after the parse - choosing a table by ordinal, reading the
+driver.  A batch holds ``spark.sql.execution.arrow.maxRecordsPerBatch`` pages;
+for very large pages lower it (e.g. 256) so a batch stays small in the worker.  Everything after the parse - choosing a table by ordinal, reading the
 header, picking a column - is ordinary DataFrame work on the emitted rows.
 """
 
