@@ -43,13 +43,20 @@ def read_deliveries(spark: SparkSession, folder: str, headers: list[str], fmt: s
 VALUES = ["n_offers", "average_price_nominal_euros", "average_price_m2_nominal_euros"]
 
 
+def _newest_per_year(panel: DataFrame) -> DataFrame:
+    """Rows of the newest batch of each year (one aggregation, then a semi join)."""
+    newest = panel.groupBy("year").agg(F.max("batch").alias("batch"))
+    return panel.join(newest, ["year", "batch"], "left_semi").drop("batch")
+
+
 def _earlier_panel(spark: SparkSession, out_dir: str, batch_id: int) -> DataFrame | None:
-    """Panel rows written by earlier batches (a re-run batch does not see itself)."""
+    """The panel as earlier batches left it: per year, the newest delivery before
+    this batch (a re-run batch does not see itself)."""
     try:
         old = spark.read.parquet(f"{out_dir}/panel")
     except AnalysisException:      # nothing written yet
         return None
-    return old.filter(F.col("batch") < batch_id).drop("batch")
+    return _newest_per_year(old.filter(F.col("batch") < batch_id))
 
 
 def _write_batch(out_dir: str):
@@ -77,9 +84,7 @@ def latest_panel(spark: SparkSession, out_dir: str) -> DataFrame:
     A year delivered again replaces its earlier rows; one aggregation over the
     (batch, year) pairs, then a semi join - no window over the whole panel.
     """
-    p = spark.read.parquet(f"{out_dir}/panel")
-    newest = p.groupBy("year").agg(F.max("batch").alias("batch"))
-    return p.join(newest, ["year", "batch"], "left_semi").drop("batch")
+    return _newest_per_year(spark.read.parquet(f"{out_dir}/panel"))
 
 
 def start(raw: DataFrame, out_dir: str, name: str = "deliveries",

@@ -58,3 +58,10 @@ def test_redelivered_year_is_reported_and_replaces(spark, tmpdir_path):
     latest = deliveries.latest_panel(spark, out)
     assert latest.filter("year = 2011").count() == 3
     assert latest.filter("year = 2010").count() == 4
+    # a third delivery of 2011 is compared with the second one only
+    third = [list(r) for r in fixed if not (r and r[0] == "Mamer")]
+    _export(src, {"2011": third}, [2011], suffix="c")
+    deliveries.start(raw, out, name=name).awaitTermination(120)
+    batches = sorted(int(f.split("=")[1]) for f in os.listdir(f"{out}/revisions") if f.startswith("batch="))
+    last = spark.read.parquet(f"{out}/revisions/batch={batches[-1]}")
+    assert {(r.locality, r.kind) for r in last.collect()} == {("Mamer", "removed")}
