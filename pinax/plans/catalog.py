@@ -21,6 +21,7 @@ from ..functions import text as T
 from ..operators import checks, columns, entities, index, route, series
 from ..operators.joins import join_lookup
 from ..operators.layout import spread_over_cores
+from ..sources.files import read_tagged
 from ..sources.html import list_links
 from . import sqltext as S
 from . import stages
@@ -552,3 +553,14 @@ def q33_delivery_vs_country(spark, d):
     c = _deliveries(spark, d)
     _, _, versus = stages.index_and_series(spark, c.panel, c.country, SELECTED, BASE_YEAR, how="window")
     return versus
+
+
+# Q34 (A3, A4): many files in one scan, each row tagged with the file it came from.
+_TAGGED = ["customer", "supplier", "orders", "lineitem"]
+
+
+@register("q34_tagged_scan", " UNION ALL ".join(
+    f"SELECT '{t}' AS source, count(*) AS n_rows FROM {t}" for t in _TAGGED))
+def q34_tagged_scan(spark, d):
+    rows = read_tagged(spark, [f"{d}/{t}.parquet" for t in _TAGGED], tag_col="source", mergeSchema="true")
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))

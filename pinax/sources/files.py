@@ -30,8 +30,7 @@ def read_csv(spark: SparkSession, paths: str | list[str], schema: StructType | s
 
 def read_sheet_exports(spark: SparkSession, paths: str | list[str], header: list[str],
                        skip_rows: int = 0, sep: str = ",", encoding: str = "UTF-8",
-                       glob: str = "*.csv", tag_col: str = "sheet",
-                       pattern: str = r"([^/]+?)(\.[^./]+)*$") -> DataFrame:
+                       glob: str = "*.csv", tag_col: str = "sheet") -> DataFrame:
     """Delimited exports of sheets with preamble rows before the header (A2).
 
     The CSV reader has no "skip the first k lines" option and splits files
@@ -49,8 +48,8 @@ def read_sheet_exports(spark: SparkSession, paths: str | list[str], header: list
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths)
     text = F.regexp_replace(F.decode(F.col("content"), encoding), r"\A\x{FEFF}", "")  # BOM
     lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), r"\n")
-    per_file = files.select(F.regexp_extract(F.col("path"), pattern, 1).alias(tag_col),
-                            lines.alias("lines"))
+    name = F.substring_index(F.substring_index(F.col("path"), "/", -1), ".", 1)
+    per_file = files.select(name.alias(tag_col), lines.alias("lines"))
     short = F.concat(F.lit(f"no header after {skip_rows} rows in "), F.col(tag_col))
     per_file = per_file.filter(F.when(F.size("lines") <= skip_rows, F.raise_error(short))
                                 .otherwise(F.lit(True)))
@@ -68,21 +67,32 @@ def read_sheet_exports(spark: SparkSession, paths: str | list[str], header: list
     return body.select(*[F.col(f"r.c{i}").alias(h) for i, h in enumerate(header)], tag_col)
 
 
+def file_tag(pattern: str | None = None):
+    """Column naming each row's source file: the file name without extensions,
+    or group 1 of ``pattern`` applied to the full path.
+
+    The default uses plain string functions on ``_metadata.file_name``; a
+    per-row regex over the whole path costs more than the scan itself.
+    """
+    if pattern is None:
+        return F.substring_index(F.col("_metadata.file_name"), ".", 1)
+    return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
+
+
 def read_tagged(spark: SparkSession, paths: str | list[str], fmt: str = "parquet",
-                tag_col: str = "source", pattern: str = r"([^/]+?)(\.[^./]+)*$",
+                tag_col: str = "source", pattern: str | None = None,
                 schema: StructType | str | None = None, **options) -> DataFrame:
     """Read many files in one scan and tag each row with its origin (A3, A4).
 
-    The tag is taken from the file path with ``pattern`` (group 1; default: the
-    file name without extensions), through the hidden ``_metadata`` column, so
-    there is no driver loop of reads and unions.  Directories like ``year=2010``
-    are partition columns by Spark's own discovery and need no tag.
+    The tag comes from the hidden ``_metadata`` column (``file_tag``), so there
+    is no driver loop of reads and unions.  Directories like ``year=2010`` are
+    partition columns by Spark's own discovery and need no tag.
     """
     r = spark.read.format(fmt).options(**options)
     if schema is not None:
         r = r.schema(schema)
     df = r.load(paths)
-    return df.withColumn(tag_col, F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
+    return df.withColumn(tag_col, file_tag(pattern))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,

@@ -26,18 +26,20 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..operators import checks
 from ..plans import stages
 from ..session import checkpoint_dir
+from ..sources.files import file_tag
 
 
 def read_deliveries(spark: SparkSession, folder: str, headers: list[str], fmt: str = "csv",
-                    sheet_pattern: str = r"([^/]+?)\.[^./]+$", max_files: int | None = None,
+                    sheet_pattern: str | None = None, max_files: int | None = None,
                     **options) -> DataFrame:
-    """Streaming read of delivery files, every cell a string, plus ``sheet``."""
+    """Streaming read of delivery files, every cell a string, plus ``sheet``
+    (the file name without extensions, or group 1 of ``sheet_pattern`` on the path)."""
     schema = StructType([StructField(h, StringType()) for h in headers])
     r = spark.readStream.format(fmt).schema(schema).option("header", True).options(**options)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     df = r.load(folder)
-    return df.withColumn("sheet", F.regexp_extract(F.col("_metadata.file_path"), sheet_pattern, 1))
+    return df.withColumn("sheet", file_tag(sheet_pattern))
 
 
 VALUES = ["n_offers", "average_price_nominal_euros", "average_price_m2_nominal_euros"]
