@@ -64,3 +64,16 @@ def test_fingerprint_ignores_partitioning(spark, rows):
     a = checks.fingerprint(df).first()
     b = checks.fingerprint(df.repartition(5, F.col("y"))).first()
     assert a == b and a.n_rows == len(rows)
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.too_slow])
+@given(st.integers(min_value=1, max_value=16), st.sampled_from(["join", "window"]))
+def test_index_ignores_partitioning(spark, n, how):
+    from pinax.operators import index
+    from pinax.plans.panels import nation_year_prices
+    p = nation_year_prices(spark, "/root/testdata/sf0.001").select("n_name", "year", "price")
+    key = lambda r: (r.n_name, r.year)
+    a = sorted(index.price_index(p, ["n_name"], "year", 1995, ["price"], how=how).collect(), key=key)
+    b = sorted(index.price_index(p.repartition(n), ["n_name"], "year", 1995, ["price"], how=how).collect(),
+               key=key)
+    assert a == b
