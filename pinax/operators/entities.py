@@ -48,6 +48,16 @@ def harmonise(df: DataFrame, col: str, rules: list[tuple[str, str]]) -> DataFram
     return df.withColumn(col, recode_expr(col, rules))
 
 
+def recode_report(df: DataFrame, col: str, rules: list[tuple[str, str]]) -> DataFrame:
+    """What ordered recode rules do to a column: ``(before, after, n)`` for every
+    value they change (D6).  Greedy rules (``P.*tange``) that catch more than
+    the intended spelling show up here instead of silently merging entities."""
+    after = recode_expr(col, rules)
+    return (df.select(F.col(col).alias("before"), after.alias("after"))
+              .filter(~F.col("before").eqNullSafe(F.col("after")))
+              .groupBy("before", "after").agg(F.count(F.lit(1)).alias("n")))
+
+
 def missing_from(df: DataFrame, key: str, dim: DataFrame, dim_key: str | None = None,
                  sort: bool = True) -> DataFrame:
     """Distinct non-null ``key`` values of ``df`` absent from ``dim``.

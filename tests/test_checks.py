@@ -111,3 +111,12 @@ def test_master_detection(monkeypatch):
     from pinax import session
     monkeypatch.setenv("PYSPARK_SUBMIT_ARGS", "--master yarn pyspark-shell")
     assert session._master_configured()
+
+
+def test_recode_report_shows_greedy_matches(spark):
+    rules = [("P.*tange", "Pétange"), ("City", "Luxembourg")]
+    df = spark.createDataFrame([("Petange",), ("Petange",), ("Paris et Petange",), ("Pétange",),
+                                ("Luxembourg City",), ("Mamer",)], "commune string")
+    got = {(r.before, r.after, r.n) for r in entities.recode_report(df, "commune", rules).collect()}
+    assert got == {("Petange", "Pétange", 2), ("Paris et Petange", "Pétange", 1),
+                   ("Luxembourg City", "Luxembourg", 1)}
