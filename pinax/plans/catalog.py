@@ -156,6 +156,20 @@ def q09_recode(spark, d):
     return p.withColumn("recoded", T.recode_expr("p_name", RECODE_RULES))
 
 
+# Q09 report: what the ordered rules change, with counts (section 7.4 of the survey).
+@register("q09_recode_report", """
+SELECT before, after, count(*) AS n
+FROM (SELECT p_name AS before,
+             CASE WHEN regexp_matches(r1, 'fast') THEN 'FAST' ELSE r1 END AS after
+      FROM (SELECT p_name,
+                   CASE WHEN regexp_matches(p_name, 'ring|bolt') THEN 'fastener' ELSE p_name END AS r1
+            FROM part))
+WHERE before IS DISTINCT FROM after
+GROUP BY before, after""")
+def q09_recode_report(spark, d):
+    return entities.recode_report(table(spark, d, "part"), "p_name", RECODE_RULES)
+
+
 # Q10 (E1, B10, B6): national price joined to the yearly offer count.
 @register("q10_country_join", f"""
 SELECT 'ALL' AS locality, y.price, y.year, c.n_offers
