@@ -67,16 +67,22 @@ def read_sheet_exports(spark: SparkSession, paths: str | list[str], header: list
     return body.select(*[F.col(f"r.c{i}").alias(h) for i, h in enumerate(header)], tag_col)
 
 
-def file_tag(pattern: str | None = None):
-    """Column naming each row's source file: the file name without extensions,
-    or group 1 of ``pattern`` applied to the full path.
-
-    The default uses plain string functions on ``_metadata.file_name``; a
-    per-row regex over the whole path costs more than the scan itself.
+def file_tag(pattern: str | None = None, strip: str = "all"):
+    """Column naming each row's source file.
+
+    Without ``pattern``: the file name with all extensions removed
+    (``strip="all"``: ``part-1.snappy.parquet`` -> ``part-1``) or only the last
+    one (``strip="last"``: ``2022.rev2.csv`` -> ``2022.rev2``), computed from
+    ``_metadata.file_name`` with string functions - a per-row regex over the
+    whole path costs more than the scan itself.  With ``pattern``: group 1 of
+    the pattern applied to the full path.
     """
-    if pattern is None:
-        return F.substring_index(F.col("_metadata.file_name"), ".", 1)
-    return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
+    if pattern is not None:
+        return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
+    name = F.col("_metadata.file_name")
+    if strip == "last":
+        return F.regexp_replace(name, r"\.[^.]*\z", "")
+    return F.substring_index(name, ".", 1)
 
 
 def read_tagged(spark: SparkSession, paths: str | list[str], fmt: str = "parquet",

@@ -33,13 +33,14 @@ def read_deliveries(spark: SparkSession, folder: str, headers: list[str], fmt: s
                     sheet_pattern: str | None = None, max_files: int | None = None,
                     **options) -> DataFrame:
     """Streaming read of delivery files, every cell a string, plus ``sheet``
-    (the file name without extensions, or group 1 of ``sheet_pattern`` on the path)."""
+    (the file name without its last extension, or group 1 of ``sheet_pattern``
+    on the path)."""
     schema = StructType([StructField(h, StringType()) for h in headers])
     r = spark.readStream.format(fmt).schema(schema).option("header", True).options(**options)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
     df = r.load(folder)
-    return df.withColumn("sheet", file_tag(sheet_pattern))
+    return df.withColumn("sheet", file_tag(sheet_pattern, strip="last"))
 
 
 VALUES = ["n_offers", "average_price_nominal_euros", "average_price_m2_nominal_euros"]

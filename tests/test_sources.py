@@ -173,3 +173,16 @@ def test_published_index_series_gzip_pivot(spark, tmpdir_path):
     wide = series.pivot_wide(hpi, "TIME_PERIOD", "geo", "OBS_VALUE", ["LU", "EU27_2020"])
     got = {r.TIME_PERIOD: (r.LU, r.EU27_2020) for r in wide.collect()}
     assert got == {2020: (190.31, 127.12), 2021: (214.81, 138.92)}
+
+
+def test_file_tag_strips_all_or_last_extension(spark, tmpdir_path):
+    from pyspark.sql import functions as F
+    d = os.path.join(tmpdir_path, "tags")
+    os.makedirs(d)
+    for n in ("2022.rev2.csv", "2021.csv", "plain"):
+        with open(os.path.join(d, n), "w") as f:
+            f.write("a\n1\n")
+    df = spark.read.option("header", True).csv(d)
+    got = {(r.a, r.b) for r in df.select(files.file_tag().alias("a"),
+                                         files.file_tag(strip="last").alias("b")).collect()}
+    assert got == {("2022", "2022.rev2"), ("2021", "2021"), ("plain", "plain")}

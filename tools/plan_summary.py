@@ -25,6 +25,20 @@ COUNTS = {
     "windows": r"\bWindow \[",
     "python": r"(MapInPandas|PythonMapInArrow|ArrowEvalPython|BatchEvalPython)",
 }
+# The main query's final plan ends at the top-level marker; subqueries print
+# their own (indented) markers inside it.
+_MAIN_INITIAL = re.compile(r"^\+- == Initial Plan ==", re.M)
+
+
+def final_plan(df) -> str:
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return _MAIN_INITIAL.split(plan)[0]
+
+
+def count_nodes(final: str) -> dict:
+    """Node counts; reused stages and subqueries do no new work and are skipped."""
+    lines = [ln for ln in final.splitlines() if "Reused" not in ln]
+    return {k: sum(len(re.findall(p, ln)) for ln in lines) for k, p in COUNTS.items()}
 
 
 def summarise(spark, sf_dir: str) -> list[tuple[str, dict]]:
@@ -32,10 +46,7 @@ def summarise(spark, sf_dir: str) -> list[tuple[str, dict]]:
     for name, fn in catalog.QUERIES.items():
         df = fn(spark, sf_dir)
         df.collect()
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        final = plan.split("== Initial Plan ==")[0]
-        # subqueries appear once per use; count distinct reused nodes once
-        out.append((name, {k: len(re.findall(p, final)) for k, p in COUNTS.items()}))
+        out.append((name, count_nodes(final_plan(df))))
     return out
 
 
