@@ -2,7 +2,9 @@
 
     python tools/plan_summary.py [sf_dir]     -> a markdown table on stdout
 
-Counts are taken from the plan Spark actually ran (after AQE re-planning).
+Counts are taken from the plan Spark actually ran (after AQE re-planning):
+initial plans, reused stages and the build plans of cached relations are
+left out.
 """
 
 from __future__ import annotations
@@ -25,14 +27,40 @@ COUNTS = {
     "windows": r"\bWindow \[",
     "python": r"(MapInPandas|PythonMapInArrow|ArrowEvalPython|BatchEvalPython)",
 }
-# The main query's final plan ends at the top-level marker; subqueries print
-# their own (indented) markers inside it.
-_MAIN_INITIAL = re.compile(r"^\+- == Initial Plan ==", re.M)
+_SKIP = ("== Initial Plan ==", "InMemoryRelation")
+
+
+_NODE = re.compile(r"^[ :|]*(\+-|:-) ")
+
+
+def _node_col(line: str) -> int | None:
+    """Column of a node's branch mark (``+-`` / ``:-``), None for other lines
+    (a root line, or a continuation of a literal holding a line break)."""
+    m = _NODE.match(line)
+    return m.end(1) - 2 if m else None
 
 
 def final_plan(df) -> str:
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return _MAIN_INITIAL.split(plan)[0]
+    """The executed plan only.
+
+    Drops every ``== Initial Plan ==`` section (the main query's and those of
+    subqueries printed inside it) and the build plan under each
+    ``InMemoryRelation`` (a cached relation is read by its InMemoryTableScan;
+    its one-time build would otherwise be printed again at every use).
+    Section ends are found from node lines only.
+    """
+    out, skip_col = [], None
+    for ln in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        col = _node_col(ln)
+        if skip_col is not None:
+            if col is None or col > skip_col:
+                continue
+            skip_col = None
+        if col is not None and any(m in ln for m in _SKIP):
+            skip_col = col
+            continue
+        out.append(ln)
+    return "\n".join(out)
 
 
 def count_nodes(final: str) -> dict:
