@@ -525,7 +525,9 @@ def _deliveries(spark, d):
     # (nations x years) rows at any scale, so they are kept in memory for the
     # branches (panel, country price, country count, national base) that read them.
     rows = delivery_rows(spark, d).persist()
-    return stages.clean_deliveries(rows, persist=False, country_name="ALL")
+    c = stages.clean_deliveries(rows, persist=False, country_name="ALL")
+    c.country = c.country.persist()      # one row per year, read by several branches
+    return c
 
 
 @register("q31_delivery_panel", _DELIVERY_PANEL_SQL)
