@@ -19,3 +19,4 @@ def test_bench_prints_one_json_line():
     assert {"metric", "value", "unit", "queries", "sf"} <= set(d)
     import __spark_entry__ as E
     assert set(d["queries"]) == set(E.queries()) and d["unit"] == "sec" and d["sf"] == 0.001
+    assert d["errors"] == {} and all(v is not None for v in d["queries"].values())
