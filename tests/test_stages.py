@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pinax.plans import stages
 from pinax.sources import html, workbook
-from tests.fixtures import commune_pages, delivery_sheets, write_xlsx
+from tests.fixtures import HEADERS, commune_pages, delivery_sheets, write_xlsx
 
 
 @pytest.fixture(scope="module")
@@ -114,3 +114,15 @@ def test_cli_run_and_coverage(spark, tmpdir_path):
     miss = os.path.join(tmpdir_path, "missing")
     assert cli.main(["coverage", "--panel", f"{out}/panel", "--pages", pages, "--out", miss]) == 0
     assert spark.read.parquet(miss).count() == 0
+
+
+def test_run_is_idempotent(spark, tmpdir_path):
+    """A re-run after a failure overwrites the outputs instead of adding to them."""
+    path = os.path.join(tmpdir_path, "deliveries.xlsx")
+    write_xlsx(path, delivery_sheets())
+    raw = workbook.sheet_frame(workbook.read_workbooks(spark, path, skip_rows=6, header=HEADERS), HEADERS)
+    out_dir = os.path.join(tmpdir_path, "out")
+    first = stages.run(spark, raw, out_dir)
+    counts = {k: spark.read.parquet(p).count() for k, p in first.items()}
+    second = stages.run(spark, raw, out_dir)
+    assert {k: spark.read.parquet(p).count() for k, p in second.items()} == counts
