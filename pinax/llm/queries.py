@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, mixing, quality, shards, simhash, urls
-from .common import table
+from . import bpe, html_text, mixing, quality, rlz, shards, simhash, suffixes, urls
+from .common import WORD, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -41,6 +41,12 @@ def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.remove_repeats(docs, window=200).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -53,6 +59,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept")
 
 
+def op7_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = F.array_join(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)), " ")
+    return rlz.remove_repeats(docs, window=13).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.encode(kept, "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs, MIX_WEIGHTS, MIX_BUDGET, MIX_EPOCHS, MIX_SEED)
@@ -70,15 +83,9 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("page_id", "url", "text", "n_chars"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_byte_bpe, op2_virtual_slots, op4_url_filter, op5_quality_rules, op8_mix_sources,
-                            op9_simhash, op10_main_text)}
+    f.__name__: f for f in (op1_byte_bpe, op2_virtual_slots, op3_suffix_dedup, op4_url_filter, op5_quality_rules,
+                            op7_rlz_dedup, op8_mix_sources, op9_simhash, op10_main_text)}
 
 ORACLE: dict[str, str] = {
     "op4_url_filter": """
