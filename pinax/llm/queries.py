@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, mixing, quality, rlz, shards, simhash, suffixes, urls
+from . import bpe, hamming_search, html_text, mixing, quality, rlz, shards, simhash, suffixes, urls
 from .common import WORD, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -21,6 +21,7 @@ URL_RULES = [
     urls.Rule("org", "/fr/", allow=True),
 ]
 N_SHARDS = 40
+SEARCH_K = 10
 MIX_WEIGHTS = [3, 1, 2]
 MIX_BUDGET, MIX_EPOCHS, MIX_SEED = 1.5, 2.0, 20240501
 
@@ -59,6 +60,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept")
 
 
+def op6_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return hamming_search.search(rows, rows.filter(F.col("vec_id") % 20 == 0), k=SEARCH_K, bits=64)
+
+
 def op7_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = F.array_join(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)), " ")
@@ -85,9 +91,20 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_byte_bpe, op2_virtual_slots, op3_suffix_dedup, op4_url_filter, op5_quality_rules,
-                            op7_rlz_dedup, op8_mix_sources, op9_simhash, op10_main_text)}
+                            op6_hamming_top_k, op7_rlz_dedup, op8_mix_sources, op9_simhash, op10_main_text)}
 
 ORACLE: dict[str, str] = {
+    "op6_hamming_top_k": f"""
+WITH pairs AS (
+  SELECT q.vec_id AS query_id, r.vec_id AS neighbour_id,
+         CAST(len(list_filter(list_zip(list_transform(q.embedding, lambda x: x > 0),
+                                       list_transform(r.embedding, lambda x: x > 0)),
+                              lambda z: z[1] <> z[2])) AS INTEGER) AS distance
+  FROM embeddings q JOIN embeddings r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS INTEGER) AS rank,
+         neighbour_id, distance FROM pairs)
+SELECT query_id, rank, neighbour_id, distance FROM ranked WHERE rank <= {SEARCH_K}""",
     "op4_url_filter": """
 WITH cut AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
