@@ -3,7 +3,7 @@ source mixing, tokens.
 
 ``STAGES`` names the stages in order.  Each takes ``(spark, docs, sf_dir)`` and
 returns what the next one gets as ``docs``; all but the last return the columns
-of ``docs``.  ``run`` writes each stage's result as Parquet under
+of ``documents`` (others are left behind, so none can clash).  ``run`` writes each stage's result as Parquet under
 ``spark.checkpoint.dir`` and reads it back.
 """
 
@@ -16,34 +16,37 @@ from pyspark.sql import functions as F
 from pinax.llm import bpe, mixing, quality, queries, rlz, simhash
 from pinax.llm.common import staged, table
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    judged = quality.quality_rules(docs, table(spark, sf_dir, "labels"))
-    return judged.filter("kept").select(*docs.columns)
+    judged = quality.quality_rules(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+    return judged.filter("kept").select(*COLUMNS)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    return simhash.deduplicate(docs, shingle=3, distance=3)
+    return simhash.deduplicate(docs.select(*COLUMNS), shingle=3, distance=3)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the passages that an earlier document has."""
-    cut = rlz.remove_repeats(docs, window=13)
-    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    cut = rlz.remove_repeats(docs.select(*COLUMNS), window=13)
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    mixed = mixing.mix(docs, queries.MIX_WEIGHTS, queries.MIX_BUDGET, queries.MIX_EPOCHS, queries.MIX_SEED)
-    return mixing.repeated_rows(mixed).select(*docs.columns)
+    mixed = mixing.mix(docs.select(*COLUMNS), queries.MIX_WEIGHTS, queries.MIX_BUDGET, queries.MIX_EPOCHS,
+                       queries.MIX_SEED)
+    return mixing.repeated_rows(mixed).select(*COLUMNS)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of each document, with the number of bytes they decode to."""
     path = public_tokenizers.path(queries.VOCABULARY)
-    both = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    both = bpe.decode(bpe.encode(docs.select(*COLUMNS), path, public_tokenizers.PATTERN), path)
     return both.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
                        F.octet_length("bytes").cast("long").alias("n_bytes"))
 
