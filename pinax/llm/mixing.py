@@ -80,6 +80,7 @@ def mix(docs: DataFrame, weights: list[float], budget: float = 1.5, max_epochs:
             .join(targets, F.col("source").eqNullSafe(F.col("_source")))
             .filter((F.col("_before") < F.col("need")) & (F.col("_before") + F.col("words") >= F.col("need")))
             .select("_source", F.col("_range").alias("_end"), "_before", "need"))
+    ends = staged(ends, "mix-ends")  # a row per source: with its size known, no texts are shuffled to it
     last = (placed.join(ends, F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_end")))
             .groupBy("_source", "_end", "_before", "need", "_place").agg(F.sum(n_words(text_col)).alias("words")))
     upto = F.sum("words").over(Window.partitionBy("_source").orderBy("_place")
