@@ -8,6 +8,7 @@ for local runs (tests, bench) that applies the settings below.
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -71,14 +72,18 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins.  ``fallback`` is used only when the
-    setting is unset (local tests); it is then also registered with the
-    SparkContext so ``DataFrame.checkpoint()`` works.
+    The cluster's setting always wins.  Where it is unset, ``fallback`` is used
+    or, in a single local JVM (tests, a laptop), a temporary folder; the choice
+    is registered with the SparkContext, so it is made once and
+    ``DataFrame.checkpoint()`` works too.  On a cluster an unset folder is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if fallback is None and (master == "local" or master.startswith("local[")):
+            fallback = tempfile.mkdtemp(prefix="pinax-checkpoints-")
         if fallback is None:
             raise RuntimeError("spark.checkpoint.dir is not set; pass a shared folder")
         d = fallback
