@@ -58,12 +58,12 @@ def _windows(t: pa.Table, window: int) -> tuple:
 def _factors(t: pa.Table, window: int) -> pa.Table:
     """Factors of the passages of whole groups against those of smaller ids."""
     _, _, _, hashes, record, at, place = _windows(t, window)
-    ids, r1, r2 = _ids(t.column("first_id")), t.column("_r1").to_numpy(), t.column("_r2").to_numpy()
+    ids, no = _ids(t.column("first_id")), t.column("_no").to_numpy()
     salt = np.uint64(0)
     while True:
         key = PrefixHash(hashes ^ salt).of(at, at + window)
         rec = record[at]
-        order = np.lexsort((place, r2[rec], r1[rec], ids[rec], key))
+        order = np.lexsort((place, no[rec], ids[rec], key))
         key = key[order]
         new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
         lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)) if len(key) else np.zeros(0, np.int64)
@@ -82,12 +82,12 @@ def _factors(t: pa.Table, window: int) -> pa.Table:
     last = np.append(begin[1:], len(found)) - 1 if len(found) else begin
     w = found[begin]
     start = place[w]
-    return pa.table({"_r1": r1[rec[w]], "_r2": r2[rec[w]], "start": start.astype(np.int32),
+    return pa.table({"_no": no[rec[w]], "start": start.astype(np.int32),
                      "end": (start + (here[last] - here[begin]) + window).astype(np.int32),
                      "source_id": ids[rec[source[w]]]})
 
 
-SPAN = "_r1 long, _r2 long, start int, end int, source_id long"
+SPAN = "_no long, start int, end int, source_id long"
 
 
 def _crowded(shown: DataFrame, window: int) -> DataFrame:
@@ -103,29 +103,26 @@ def _crowded(shown: DataFrame, window: int) -> DataFrame:
                     zip(starts[at].tolist(), ends[at + window - 1].tolist())]
             pick = pa.array(record[at])
             yield pa.RecordBatch.from_pydict({
-                "key": pa.array(keys, pa.binary()), "_r1": rb.column("_r1").take(pick),
-                "_r2": rb.column("_r2").take(pick), "id": pa.array(_ids(t.column("first_id"))[record[at]]),
+                "key": pa.array(keys, pa.binary()), "_no": rb.column("_no").take(pick), "id": pa.array(_ids(t.column("first_id"))[record[at]]),
                 "start": pa.array(place.astype(np.int32))})
 
     rows = shown.drop("_h", "crowded", "ahead").mapInArrow(
-        spread, "key binary, _r1 long, _r2 long, id long, start int").distinct()
+        spread, "key binary, _no long, id long, start int").distinct()
     least = rows.groupBy("key").agg(F.min("id").alias("source_id"))
     return (rows.join(least, "key").filter(F.col("id") > F.col("source_id"))
-            .select("_r1", "_r2", "start", (F.col("start") + window).alias("end"), "source_id"))
+            .select("_no", "start", (F.col("start") + window).alias("end"), "source_id"))
 
 
 def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM,
             crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """``(spans, copies)`` of the texts: words ``start`` to ``end`` occur in ``source_id`` before.
-
-    ``copies`` has each text's two hashes, smallest id and number of rows.
-    """
+    """``(spans, copies)`` of the texts: words ``start`` to ``end`` of text ``_no`` occur in
+    ``source_id`` before.  ``copies`` names the texts (``anchors.copies_of``)."""
     texts = anchors.named(docs.select(F.col(id_col).cast("long").alias("_id"), text_col), text_col)
-    copies = staged(texts.groupBy("_r1", "_r2").agg(F.min("_id").alias("first_id"), F.count("*").alias("n")), "texts")
+    copies = anchors.copies_of(texts, "_id")
     shared = anchors.shared_anchors(texts, text_col, anchors.word_units, window, gram, within=False)
-    shown, any_crowd = anchors.located(texts, copies.drop("n"), shared, text_col, anchors.word_units, window, gram,
+    shown, any_crowd = anchors.located(texts, copies, shared, text_col, anchors.word_units, window, gram,
                                        crowd)
-    cols = ["_h", "_r1", "_r2", "first_id", "unit", "back", "around"]
+    cols = ["_h", "_no", "first_id", "unit", "back", "around"]
     if not any_crowd:
         return anchors.by_gram(shown.select(*cols), lambda t: _factors(t, window), SPAN), copies
     shown = staged(shown, "rlz-passages")
@@ -149,11 +146,10 @@ def marked(docs: DataFrame, spans: DataFrame, copies: DataFrame, text_col: str)
 
     A text's spans, few for each of its windows, travel to the text, by its hashes.
     """
-    of_text = spans.select("_r1", "_r2", "start", "end").distinct().groupBy("_r1", "_r2").agg(
-        F.collect_list(F.struct("start", "end")).alias("_spans"))
-    facts = (copies.join(of_text, ["_r1", "_r2"], "left")
+    of_text = spans.groupBy("_no").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+    facts = (copies.join(of_text, "_no", "left").drop("_no")
              .withColumn("_spans", F.coalesce("_spans", F.array().cast("array<struct<start:int,end:int>>"))))
-    return anchors.named(docs, text_col).join(facts, ["_r1", "_r2"])
+    return anchors.packed(anchors.named(docs, text_col), text_col).join(facts, ["_r1", "_r2"])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
@@ -162,13 +158,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     What is left keeps its separators; a removed run goes with those after it.
     """
-    docs = without(docs, ["n_words", "n_removed", "_r1", "_r2", "first_id", "n", "_spans"])
+    docs = without(docs, ["n_words", "n_removed", "_r1", "_r2", "first_id", "n", "_no", "_spans"])
     spans, copies = factors(docs, id_col, text_col, window, gram, crowd)
     joined = marked(docs, spans, copies, text_col)
     columns = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in blocks(batches, text_col):
+        for rb in anchors.unpacked(batches, text_col):
             at = rb.schema.get_field_index(text_col)
             data, offs = utf8(rb.column(at))
             starts, ends, row = words(data, offs)

@@ -137,18 +137,18 @@ def _best(order: np.ndarray, common: np.ndarray) -> np.ndarray:
     return out
 
 
-SPAN = "_r1 long, _r2 long, start int, end int"
+SPAN = "_no long, start int, end int"
 
 
 def _repeats(t: pa.Table, window: int, gram: int) -> pa.Table:
     """Spans of the passages' windows that occur at two places, for whole groups of grams."""
-    h, r1, r2, unit = (t.column(c).to_numpy() for c in ("_h", "_r1", "_r2", "unit"))
-    order = np.lexsort((unit, r2, r1, h))
+    h, no, unit = (t.column(c).to_numpy() for c in ("_h", "_no", "unit"))
+    order = np.lexsort((unit, no, h))
     same = np.zeros(len(order), bool)
-    same[1:] = np.all([c[order][1:] == c[order][:-1] for c in (h, r1, r2, unit)], axis=0)
+    same[1:] = np.all([c[order][1:] == c[order][:-1] for c in (h, no, unit)], axis=0)
     t = t.take(pa.array(order[~same])).combine_chunks()  # a place counts once
-    h, r1, r2, unit, back, ahead = (t.column(c).to_numpy().astype(np.int64)
-                                    for c in ("_h", "_r1", "_r2", "unit", "back", "ahead"))
+    h, no, unit, back, ahead = (t.column(c).to_numpy().astype(np.int64)
+                                for c in ("_h", "_no", "unit", "back", "ahead"))
     data, offs = utf8(t.column("around"))
     anchor = offs[:-1] + back
     after, after_common = suffix_sort(data, anchor, ahead, h)
@@ -166,7 +166,7 @@ def _repeats(t: pa.Table, window: int, gram: int) -> pa.Table:
     edge = np.diff(hits.astype(np.int8), axis=1, prepend=0)
     who, low = np.nonzero(edge == 1)  # runs of hits, from the smallest j
     _, past = np.nonzero(edge == -1)
-    return pa.table({"_r1": r1[who], "_r2": r2[who], "start": (unit[who] - (past - 1)).astype(np.int32),
+    return pa.table({"_no": no[who], "start": (unit[who] - (past - 1)).astype(np.int32),
                      "end": (unit[who] - low + window).astype(np.int32)})
 
 
@@ -186,27 +186,25 @@ def _crowded(shown: DataFrame, window: int, gram: int) -> DataFrame:
                     start.append(u - j)
             pick = pa.array(who, pa.int64())
             yield pa.RecordBatch.from_pydict({
-                "key": pa.array(keys, pa.binary()), "_r1": rb.column("_r1").take(pick),
-                "_r2": rb.column("_r2").take(pick), "start": pa.array(start, pa.int32())})
+                "key": pa.array(keys, pa.binary()), "_no": rb.column("_no").take(pick), "start": pa.array(start, pa.int32())})
 
-    rows = shown.select("_r1", "_r2", "unit", "back", "ahead", "around").mapInArrow(
-        spread, "key binary, _r1 long, _r2 long, start int")
-    place = F.struct("_r1", "_r2", "start")
+    rows = shown.select("_no", "unit", "back", "ahead", "around").mapInArrow(
+        spread, "key binary, _no long, start int")
+    place = F.struct("_no", "start")
     many = (rows.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b"))
             .filter(F.col("a") != F.col("b")).select("key"))
-    return rows.join(many, "key", "left_semi").select("_r1", "_r2", "start", (F.col("start") + window).alias("end"))
+    return rows.join(many, "key", "left_semi").select("_no", "start", (F.col("start") + window).alias("end"))
 
 
 def repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD
             ) -> tuple[DataFrame, DataFrame]:
     """``(spans, copies)``: bytes of each text in windows that occur at another place."""
     texts = anchors.named(docs.select(text_col), text_col)
-    copies = staged(texts.groupBy("_r1", "_r2").agg(F.lit(0).cast("long").alias("first_id"),
-                                                    F.count("*").alias("n")), "texts")
+    copies = anchors.copies_of(texts)
     shared = anchors.shared_anchors(texts, text_col, anchors.byte_units, window, gram, within=True)
-    shown, any_crowd = anchors.located(texts, copies.drop("n"), shared, text_col, anchors.byte_units, window, gram,
+    shown, any_crowd = anchors.located(texts, copies, shared, text_col, anchors.byte_units, window, gram,
                                        crowd)
-    cols = ["_h", "_r1", "_r2", "unit", "back", "ahead", "around"]
+    cols = ["_h", "_no", "unit", "back", "ahead", "around"]
     if not any_crowd:
         return anchors.by_gram(shown.select(*cols), lambda t: _repeats(t, window, gram), SPAN), copies
     shown = staged(shown, "suffix-passages")
@@ -218,14 +216,14 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW
                    crowd: int = CROWD) -> DataFrame:
     """``docs`` without the text but with ``kept`` (the bytes left, in order), ``n_bytes``
     (before), ``n_removed`` and ``n_spans`` (maximal removed runs)."""
-    docs = without(docs, ["kept", "n_bytes", "n_removed", "n_spans", "_r1", "_r2", "first_id", "n", "_spans"])
+    docs = without(docs, ["kept", "n_bytes", "n_removed", "n_spans", "_r1", "_r2", "first_id", "n", "_no", "_spans"])
     spans, copies = repeats(docs, text_col, window, gram, crowd)
     joined = marked(docs, spans, copies, text_col)
     shape = docs.drop(text_col)
     columns = shape.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in blocks(batches, text_col):
+        for rb in anchors.unpacked(batches, text_col):
             data, offs = utf8(rb.column(rb.schema.get_field_index(text_col)))
             size = np.diff(offs)
             copied = rb.column(rb.schema.get_field_index("n")).to_numpy() > 1
