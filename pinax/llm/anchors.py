@@ -197,10 +197,12 @@ def located(texts: DataFrame, copies: DataFrame, shared: DataFrame, text_col: st
             gram: int, crowd: int) -> tuple[DataFrame, bool]:
     """Shared anchors with their surroundings, and whether some gram is crowded.
 
-    ``(_h, crowded, _no, first_id, unit, back, ahead, around)``: the anchor's
+    ``(_h, crowded, _no, first_id, units, back, ahead, around)``: the anchor's
     unit, the units before it and from it on (as far as a window with the anchor
-    can reach), and their bytes.  Each text is looked at once however many
-    copies it has.  Crowded grams have over ``crowd`` texts.
+    can reach), and their bytes.  Places of a text with equal surroundings, as in
+    text that repeats itself, share a row that lists their ``units``.  Each text
+    is looked at once however many copies it has.  Crowded grams have over
+    ``crowd`` texts.
     """
     shared = staged(shared.distinct(), "anchors")
     crowds = shared.groupBy("_h").count().filter(F.col("count") > crowd).select("_h", F.lit(True).alias("crowded"))
@@ -251,20 +253,59 @@ def located(texts: DataFrame, copies: DataFrame, shared: DataFrame, text_col: st
                 continue
             lo = np.maximum(at - (window - gram), u.offs[row])
             hi = np.minimum(at + window, u.offs[row + 1])
+            starts, ends = u.starts[lo], u.ends[hi - 1]
+            same = range_hashes(data, starts, ends)
+            order = np.lexsort((at, same, at - lo, h, row))
+            key = np.stack([row[order].astype(np.uint64), h[order], (at - lo)[order].astype(np.uint64), same[order]])
+            new = np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)])
             buf = data.tobytes()
-            around = [buf[a:b] for a, b in zip(u.starts[lo].tolist(), u.ends[hi - 1].tolist())]
-            pick = pa.array(row)
+            around = [buf[a:b] for a, b in zip(starts[order].tolist(), ends[order].tolist())]
+            first = np.flatnonzero(new)
+            lead = first[np.cumsum(new) - 1]
+            if any(around[i] != around[lead[i]] for i in np.flatnonzero(~new).tolist()):
+                first = np.arange(len(order))  # surroundings that share a hash but differ: list each place
+            rep = order[first]
+            units_of = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)),
+                                                pa.array((at - u.offs[row])[order].astype(np.int32)))
+            pick = pa.array(row[rep])
             yield pa.RecordBatch.from_pydict({
-                "_h": pa.array(h.view(np.int64)), "crowded": pa.array(flag), "_no": _column(rb, "_no").take(pick),
-                "first_id": _column(rb, "first_id").take(pick).cast(pa.int64()),
-                "unit": pa.array((at - u.offs[row]).astype(np.int32)), "back": pa.array((at - lo).astype(np.int32)),
-                "ahead": pa.array((hi - at).astype(np.int32)), "around": pa.array(around, pa.binary())})
-
-    shown = wanted.mapInArrow(show, "_h long, crowded boolean, _no long, first_id long, unit int, back int, "
-                                    "ahead int, around binary")
+                "_h": pa.array(h[rep].view(np.int64)), "crowded": pa.array(flag[rep]),
+                "_no": _column(rb, "_no").take(pick), "first_id": _column(rb, "first_id").take(pick).cast(pa.int64()),
+                "units": units_of, "back": pa.array((at - lo)[rep].astype(np.int32)),
+                "ahead": pa.array((hi - at)[rep].astype(np.int32)),
+                "around": pa.array([around[i] for i in first.tolist()], pa.binary())})
+
+    shown = wanted.mapInArrow(show, "_h long, crowded boolean, _no long, first_id long, units array<int>, "
+                                    "back int, ahead int, around binary")
     return shown, any_crowd
 
 
+def at_all_units(t: pa.Table, record: np.ndarray, start: np.ndarray, end: np.ndarray, *more: np.ndarray
+                 ) -> tuple[np.ndarray, ...]:
+    """Spans found around a record's first unit, for each of its units; overlapping ones of a
+    text (that agree in ``more``) joined: ``(no, start, end, *more)``."""
+    units = t.column("units").combine_chunks()
+    if isinstance(units, pa.ChunkedArray):
+        units = units.chunk(0) if units.num_chunks else pa.array([], units.type)
+    offs, flat = units.offsets.to_numpy(), units.values.to_numpy()
+    times = np.diff(offs)[record]
+    which = np.repeat(np.arange(len(record)), times)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+    shift = flat[offs[record[which]] + nth] - flat[offs[record[which]]]
+    no = t.column("_no").to_numpy()[record[which]]
+    start, end, more = start[which] + shift, end[which] + shift, [m[which] for m in more]
+    order = np.lexsort((start, *more, no))
+    no, start, end, more = no[order], start[order], end[order], [m[order] for m in more]
+    if not len(no):
+        return no, start, end, *more
+    other = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in (no, *more)], axis=0)])
+    far = np.cumsum(other) * (np.int64(1) << 32)  # keeps the running end within its text
+    reach = np.maximum.accumulate(end + far)
+    begin = np.flatnonzero(other | np.concatenate([[True], (start + far)[1:] > reach[:-1]]))
+    last = np.append(begin[1:], len(no)) - 1
+    return no[begin], start[begin], (reach - far)[last], *(m[begin] for m in more)
+
+
 def by_gram(rows: DataFrame, resolve: Callable[[pa.Table], pa.Table], schema: str, most: int = 24 << 20) -> DataFrame:
     """``resolve`` on complete groups of equal ``_h``, as many at a time as hold about ``most`` bytes."""
 

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,7 +52,8 @@ def _windows(t: pa.Table, window: int) -> tuple:
     first = np.searchsorted(record, np.arange(t.num_rows), side="left")
     at = np.arange(max(0, len(starts) - window + 1))
     at = at[at + window <= upto[record[at]]]
-    place = t.column("unit").to_numpy() - t.column("back").to_numpy()  # word number at which a passage starts
+    unit = (pc.list_element(t.column("units"), 0) if "units" in t.column_names else t.column("unit")).to_numpy()
+    place = unit - t.column("back").to_numpy()  # word number at which a passage starts
     return data, starts, ends, hashes, record, at, place[record[at]] + at - first[record[at]]
 
 
@@ -82,9 +84,9 @@ def _factors(t: pa.Table, window: int) -> pa.Table:
     last = np.append(begin[1:], len(found)) - 1 if len(found) else begin
     w = found[begin]
     start = place[w]
-    return pa.table({"_no": no[rec[w]], "start": start.astype(np.int32),
-                     "end": (start + (here[last] - here[begin]) + window).astype(np.int32),
-                     "source_id": ids[rec[source[w]]]})
+    no, start, end, by = anchors.at_all_units(t, rec[w], start, start + (here[last] - here[begin]) + window,
+                                              ids[rec[source[w]]])
+    return pa.table({"_no": no, "start": start.astype(np.int32), "end": end.astype(np.int32), "source_id": by})
 
 
 SPAN = "_no long, start int, end int, source_id long"
@@ -106,7 +108,8 @@ def _crowded(shown: DataFrame, window: int) -> DataFrame:
                 "key": pa.array(keys, pa.binary()), "_no": rb.column("_no").take(pick), "id": pa.array(_ids(t.column("first_id"))[record[at]]),
                 "start": pa.array(place.astype(np.int32))})
 
-    rows = shown.drop("_h", "crowded", "ahead").mapInArrow(
+    single = shown.select("_no", "first_id", F.explode("units").alias("unit"), "back", "around")
+    rows = single.mapInArrow(
         spread, "key binary, _no long, id long, start int").distinct()
     least = rows.groupBy("key").agg(F.min("id").alias("source_id"))
     return (rows.join(least, "key").filter(F.col("id") > F.col("source_id"))
@@ -122,7 +125,7 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     shared = anchors.shared_anchors(texts, text_col, anchors.word_units, window, gram, within=False)
     shown, any_crowd = anchors.located(texts, copies, shared, text_col, anchors.word_units, window, gram,
                                        crowd)
-    cols = ["_h", "_no", "first_id", "unit", "back", "around"]
+    cols = ["_h", "_no", "first_id", "units", "back", "around"]
     if not any_crowd:
         return anchors.by_gram(shown.select(*cols), lambda t: _factors(t, window), SPAN), copies
     shown = staged(shown, "rlz-passages")
@@ -188,7 +191,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             text = pa.Array.from_buffers(pa.string(), len(offs) - 1, [
                 None, pa.py_buffer(new[offs].astype(np.int32).tobytes()), pa.py_buffer(data[keep].tobytes())])
             nulls = rb.column(at).is_null()
-            text = pa.compute.if_else(nulls, pa.scalar(None, pa.string()), text)
+            text = pc.if_else(nulls, pa.scalar(None, pa.string()), text)
             n_removed = np.bincount(row[gone], minlength=len(offs) - 1)
             out = {c: rb.column(rb.schema.get_field_index(c)) for c in columns}
             out[text_col] = text

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ from .rlz import _removed, marked
 WINDOW, GRAM = 200, 64
 #: Texts of one gram that are sorted in one task; with more, windows are grouped by Spark.
 CROWD = 1 << 16
+#: Bytes of passages that are sorted at a time (more, if a gram has more); each takes some 60 bytes of arrays.
+AT_ONCE = 4 << 20
 
 
 class Extensions:
@@ -142,13 +145,15 @@ SPAN = "_no long, start int, end int"
 
 def _repeats(t: pa.Table, window: int, gram: int) -> pa.Table:
     """Spans of the passages' windows that occur at two places, for whole groups of grams."""
-    h, no, unit = (t.column(c).to_numpy() for c in ("_h", "_no", "unit"))
+    h, no = t.column("_h").to_numpy(), t.column("_no").to_numpy()
+    unit = pc.list_element(t.column("units"), 0).to_numpy()
     order = np.lexsort((unit, no, h))
     same = np.zeros(len(order), bool)
     same[1:] = np.all([c[order][1:] == c[order][:-1] for c in (h, no, unit)], axis=0)
     t = t.take(pa.array(order[~same])).combine_chunks()  # a place counts once
-    h, no, unit, back, ahead = (t.column(c).to_numpy().astype(np.int64)
-                                for c in ("_h", "_no", "unit", "back", "ahead"))
+    h, back, ahead = (t.column(c).to_numpy().astype(np.int64) for c in ("_h", "back", "ahead"))
+    unit = pc.list_element(t.column("units"), 0).to_numpy().astype(np.int64)
+    times = pc.list_value_length(t.column("units")).to_numpy()
     data, offs = utf8(t.column("around"))
     anchor = offs[:-1] + back
     after, after_common = suffix_sort(data, anchor, ahead, h)
@@ -156,18 +161,19 @@ def _repeats(t: pa.Table, window: int, gram: int) -> pa.Table:
     longest, widest = _best(after, after_common), _best(before, before_common)
     hits = np.zeros((len(h), window - gram + 2), bool)
     for j in range(window - gram + 1):  # windows that start j bytes before their anchor
-        able = np.flatnonzero((np.minimum(back, widest) >= j) & (np.minimum(ahead, longest) >= window - j))
-        if len(able) < 2:
+        alike = (widest >= j) & (longest >= window - j)
+        able = np.flatnonzero((back >= j) & (ahead >= window - j) & (alike | (times > 1)))
+        if not len(able):
             continue
         key = (_classes(after, after_common, window - j)[able] * (len(h) + 1)
                + _classes(before, before_common, j)[able])
-        _, number, counts = np.unique(key, return_inverse=True, return_counts=True)
-        hits[able, j] = counts[number] > 1
+        _, number = np.unique(key, return_inverse=True)
+        hits[able, j] = np.bincount(number, times[able])[number] > 1
     edge = np.diff(hits.astype(np.int8), axis=1, prepend=0)
     who, low = np.nonzero(edge == 1)  # runs of hits, from the smallest j
     _, past = np.nonzero(edge == -1)
-    return pa.table({"_no": no[who], "start": (unit[who] - (past - 1)).astype(np.int32),
-                     "end": (unit[who] - low + window).astype(np.int32)})
+    no, start, end = anchors.at_all_units(t, who, unit[who] - (past - 1), unit[who] - low + window)
+    return pa.table({"_no": no, "start": start.astype(np.int32), "end": end.astype(np.int32)})
 
 
 def _crowded(shown: DataFrame, window: int, gram: int) -> DataFrame:
@@ -188,7 +194,7 @@ def _crowded(shown: DataFrame, window: int, gram: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({
                 "key": pa.array(keys, pa.binary()), "_no": rb.column("_no").take(pick), "start": pa.array(start, pa.int32())})
 
-    rows = shown.select("_no", "unit", "back", "ahead", "around").mapInArrow(
+    rows = shown.select("_no", F.explode("units").alias("unit"), "back", "ahead", "around").mapInArrow(
         spread, "key binary, _no long, start int")
     place = F.struct("_no", "start")
     many = (rows.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b"))
@@ -204,11 +210,11 @@ def repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW, gram:
     shared = anchors.shared_anchors(texts, text_col, anchors.byte_units, window, gram, within=True)
     shown, any_crowd = anchors.located(texts, copies, shared, text_col, anchors.byte_units, window, gram,
                                        crowd)
-    cols = ["_h", "_no", "unit", "back", "ahead", "around"]
+    cols = ["_h", "_no", "units", "back", "ahead", "around"]
     if not any_crowd:
-        return anchors.by_gram(shown.select(*cols), lambda t: _repeats(t, window, gram), SPAN), copies
+        return anchors.by_gram(shown.select(*cols), lambda t: _repeats(t, window, gram), SPAN, AT_ONCE), copies
     shown = staged(shown, "suffix-passages")
-    few = anchors.by_gram(shown.filter(~F.col("crowded")).select(*cols), lambda t: _repeats(t, window, gram), SPAN)
+    few = anchors.by_gram(shown.filter(~F.col("crowded")).select(*cols), lambda t: _repeats(t, window, gram), SPAN, AT_ONCE)
     return few.unionByName(_crowded(shown.filter("crowded"), window, gram)), copies
 
 
