@@ -28,17 +28,22 @@ def _run(args, spark) -> dict:
     rows = workbook.read_workbooks(spark, args.workbooks, sheets=args.sheets, skip_rows=args.skip_rows,
                                    header=header)
     raw = workbook.sheet_frame(rows, header, strict=not args.lenient)
-    return stages.run(spark, raw, args.out, selected=args.select, base=args.base)
+    previous = spark.read.parquet(args.previous) if args.previous else None
+    dim = spark.read.parquet(args.entities) if args.entities else None
+    return stages.run(spark, raw, args.out, selected=args.select, base=args.base,
+                      thousands_sep=args.thousands_sep, previous=previous, dim=dim,
+                      fail_on=stages.MUST_BE_EMPTY if args.strict_checks else None)
 
 
 def _coverage(args, spark) -> dict:
     panel = spark.read.parquet(args.panel)
     pages = spark.read.parquet(args.pages)
-    cells = html.html_cells(pages)
-    current = stages.entity_list(cells.filter(cells.page_id == args.current_page), args.current_table,
-                                 args.current_header_rows, "Name", occurrence=args.current_occurrence)
-    former = stages.entity_list(cells.filter(cells.page_id == args.former_page), args.former_table,
-                                args.former_header_rows, "Name")
+    def of(page: int):
+        return html.html_tables(pages.filter(pages.page_id == page))  # only this page is parsed
+
+    current = stages.entity_list(of(args.current_page), args.current_table, args.current_header_rows, "Name",
+                                 occurrence=args.current_occurrence)
+    former = stages.entity_list(of(args.former_page), args.former_table, args.former_header_rows, "Name")
     missing = stages.coverage(panel, stages.communes(current, former))
     write_table(missing, args.out)
     return {"missing": args.out}
@@ -60,6 +65,10 @@ def main(argv=None) -> int:
     r.add_argument("--header", nargs="*", default=None, help="declared header texts")
     r.add_argument("--select", nargs="*", default=None, help="localities for the series output")
     r.add_argument("--base", type=int, default=stages.BASE_YEAR)
+    r.add_argument("--thousands-sep", default=None, help="grouping character in number cells, such as ,")
+    r.add_argument("--previous", default=None, help="panel of an earlier run, to report changed values")
+    r.add_argument("--entities", default=None, help="parquet table (commune), to report localities it lacks")
+    r.add_argument("--strict-checks", action="store_true", help="stop when a check that must be empty has rows")
     r.add_argument("--lenient", action="store_true", help="drop unreadable workbooks instead of failing")
     c = sub.add_parser("coverage", help="panel localities missing from scraped entity lists")
     c.add_argument("--panel", required=True)

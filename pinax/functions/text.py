@@ -10,7 +10,7 @@ because Java's ``$`` also matches before a final line break.
 from __future__ import annotations
 
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------
@@ -102,15 +102,18 @@ def contains(c: str | Column, pattern: str) -> Column:
     return col_of(c).rlike("(?d)" + pattern)
 
 
-def recode_expr(c: str | Column, rules: list[tuple[str, str]]) -> Column:
+def recode(df: DataFrame, col: str, rules: list[tuple[str, str]], to: str | None = None) -> DataFrame:
     """Ordered conditional recode (D6): each rule sees the previous rule's output.
 
     ``rules`` is a list of ``(regex, value)``.  A value matching rule i is
-    replaced by the literal of rule i, otherwise kept.
+    replaced by the literal of rule i, otherwise kept; the result is in ``to``
+    (default: in place).  One projection per rule: as one expression, every
+    rule would hold the rules before it twice and its size would double.
     """
-    out = col_of(c)
+    to = to or col
+    out = df if to == col else df.withColumn(to, F.col(col))
     for pattern, value in rules:
-        out = F.when(contains(out, pattern), F.lit(value)).otherwise(out)
+        out = out.withColumn(to, F.when(contains(to, pattern), F.lit(value)).otherwise(F.col(to)))
     return out
 
 

@@ -113,26 +113,31 @@ def churn(df: DataFrame, key: str, period: str) -> DataFrame:
     """First and last period per entity, flagged against the whole panel (K4).
 
     ``appeared``: first period after the panel's first; ``vanished``: last
-    period before the panel's last.  The panel bounds are scalar subqueries
-    (one value each, broadcast by Spark), not a join.
+    period before the panel's last.  The panel bounds are scalar subqueries over
+    the entities' spans, whose aggregate Spark computes once and reuses.
     """
     spans = df.groupBy(key).agg(F.min(period).alias("first_period"),
                                 F.max(period).alias("last_period"))
-    lo = df.select(F.min(period)).scalar()
-    hi = df.select(F.max(period)).scalar()
+    lo = spans.select(F.min("first_period")).scalar()
+    hi = spans.select(F.max("last_period")).scalar()
     return spans.select(key, "first_period", "last_period",
                         (F.col("first_period") > lo).alias("appeared"),
                         (F.col("last_period") < hi).alias("vanished"))
 
 
 def fingerprint(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Order-free fingerprint of a table (K5): row count, sum and xor of row hashes.
+    """Order-free fingerprint of a table (K5): row count and two sums of row hashes.
 
     Independent of partitioning and row order; equal inputs give equal
-    fingerprints on any cluster size.
+    fingerprints on any cluster size.  A row is hashed as text: each value after its
+    length, nulls marked, so neither a null that moves between columns nor a
+    shifted border between two values goes unnoticed.  MD5 is what other engines
+    have too; two 60-bit parts of it are summed exactly.
     """
-    cols = cols or df.columns
-    h = F.xxhash64(*[F.col(c) for c in cols])
+    cells = [F.coalesce(F.concat(F.length(s), F.lit(":"), s), F.lit("-"))
+             for s in (F.col(f"`{c}`").cast("string") for c in cols or df.columns)]
+    h = F.md5(F.concat(*cells))
+    part = lambda at: F.conv(F.substring(h, at, 15), 16, 10).cast("decimal(38,0)")
     return df.agg(F.count(F.lit(1)).alias("n_rows"),
-                  F.sum(h.cast("decimal(38,0)")).alias("hash_sum"),
-                  F.bit_xor(h).alias("hash_xor"))
+                  F.coalesce(F.sum(part(1)), F.lit(0)).cast("string").alias("hash_sum"),
+                  F.coalesce(F.sum(part(17)), F.lit(0)).cast("string").alias("hash_sum_2"))

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import recode_expr
+from ..functions.text import recode
 
 
 def stack(frames: list[DataFrame], allow_missing: bool = False) -> DataFrame:
@@ -34,7 +34,7 @@ def stack(frames: list[DataFrame], allow_missing: bool = False) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=allow_missing), frames)
 
 
-def distinct_values(df: DataFrame, col: str, sort: bool = True) -> DataFrame:
+def distinct_values(df: DataFrame, col: str, sort: bool = False) -> DataFrame:
     """Distinct values of one column (G1), optionally sorted nulls first.
 
     The sort is a range exchange; keep it for report output only.
@@ -45,26 +45,26 @@ def distinct_values(df: DataFrame, col: str, sort: bool = True) -> DataFrame:
 
 def harmonise(df: DataFrame, col: str, rules: list[tuple[str, str]]) -> DataFrame:
     """Apply ordered spelling rules to an entity column (D6 on a dimension)."""
-    return df.withColumn(col, recode_expr(col, rules))
+    return recode(df, col, rules)
 
 
 def recode_report(df: DataFrame, col: str, rules: list[tuple[str, str]]) -> DataFrame:
     """What ordered recode rules do to a column: ``(before, after, n)`` for every
     value they change (D6).  Greedy rules (``P.*tange``) that catch more than
     the intended spelling show up here instead of silently merging entities."""
-    after = recode_expr(col, rules)
-    return (df.select(F.col(col).alias("before"), after.alias("after"))
+    return (recode(df.select(F.col(col).alias("before")), "before", rules, to="after")
               .filter(~F.col("before").eqNullSafe(F.col("after")))
               .groupBy("before", "after").agg(F.count(F.lit(1)).alias("n")))
 
 
 def missing_from(df: DataFrame, key: str, dim: DataFrame, dim_key: str | None = None,
-                 sort: bool = True) -> DataFrame:
+                 sort: bool = False) -> DataFrame:
     """Distinct non-null ``key`` values of ``df`` absent from ``dim``.
 
     ``left_anti`` keeps null keys (``NOT IN`` would drop them, and ``NOT IN`` a
     list holding a null returns nothing), so nulls are removed explicitly.  An
-    empty result means full coverage.
+    empty result means full coverage.  ``sort`` orders the report, at the cost
+    of a range exchange.
     """
     dim_key = dim_key or key
     d = dim.select(F.col(dim_key).alias("__k")).filter(F.col("__k").isNotNull())

@@ -6,18 +6,16 @@ Operators take the column names; nothing depends on row order in storage.
 
 Two plans for the base value:
 
-* ``how="window"``: one exchange of the panel on ``keys`` and a sort.  Each
-  window partition holds one row per period, so its size does not grow with
-  the data, and the panel is computed once.  The right plan for a panel that
-  is itself an aggregate of large tables.
-* ``how="join"`` (default): base rows are filtered (the predicate reaches the
-  scan, so a panel stored by period reads one period), aggregated per entity
-  and left-joined back.  The base table is counted with a bound first: within
-  the bound it is broadcast and the panel is not shuffled at all; beyond it
-  the join is a sort-merge join with AQE skew splitting.  The right plan for a
-  large panel read from storage.  (For a derived panel the base side
-  recomputes it: Spark infers a not-null filter on the join key for that side
-  only, so the two subtrees differ and the shuffle is not reused.)
+* ``how="window"`` (default): one exchange of the panel on ``keys`` and a sort.
+  Each window partition holds one row per period, so its size does not grow
+  with the data, and the panel is computed once.  The right plan for a panel
+  that is itself an aggregate of large tables.  Without keys the panel is a
+  single series, whose rows are its periods.
+* ``how="join"``: base rows are filtered (the predicate reaches the scan, so a
+  panel stored by period reads one period), aggregated per entity and
+  left-joined back.  Spark chooses the join by the sizes it measures.  The
+  right plan for a large panel read from storage; a derived panel would be
+  computed for both sides, so stage it first (``sources.files.stage``).
 """
 
 from __future__ import annotations
@@ -67,45 +65,26 @@ def base_values(df: DataFrame, keys: list[str], order_col: str, base, values) ->
                   *[F.max(F.col(v)).alias(b) for v, (b, _) in m.items()]))
     dup = F.col("__n") > 1
     msg = F.lit(f"more than one base row ({order_col} = {base}) for an entity")
-    return agg.select(*keys, *[F.when(dup, F.raise_error(msg)).otherwise(F.col(b)).alias(b)
-                               for _, (b, _) in m.items()])
-
-
-def bounded_broadcast(small: DataFrame, max_rows: int | None) -> DataFrame:
-    """``small`` marked for broadcast if it has at most ``max_rows`` rows, else as is.
-
-    The size is checked, not assumed: the frame is counted with
-    ``limit(max_rows + 1)`` (a job that stops at the bound), so the hint is only
-    given to data with a proven bound, and a larger side falls back to a
-    sort-merge join.  Nothing is cached: for a base-period table the count
-    re-reads one period, which is cheap next to shuffling the panel.
-    """
-    if not max_rows:
-        return small
-    if small.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(small)
-    return small
+    once = F.when(dup, F.raise_error(msg)).otherwise(F.lit(True))
+    return agg.filter(once).select(*keys, *[b for b, _ in m.values()])
 
 
 def price_index(df: DataFrame, keys: list[str], order_col: str, base, values,
-                how: str = "join", before_base: str = "null", scale: float = 100.0,
-                digits: int | None = None, broadcast_max_rows: int | None = 1_000_000) -> DataFrame:
+                how: str = "window", before_base: str = "null", scale: float = 100.0,
+                digits: int | None = None) -> DataFrame:
     """Base-period index per entity (I1): ``index = value / value_at_base * scale``.
 
     ``before_base="null"``: periods before the base get a null base value and
     index (forward-fill semantics); ``"index"``: they are indexed too.
     A null or zero base value gives a null index; an entity without a base row
-    keeps its rows with null base and index.  In the join form the base table
-    (one row per entity) is broadcast when it has at most
-    ``broadcast_max_rows`` rows (checked, see ``bounded_broadcast``), so the
-    panel is joined where it lies; above that it is a sort-merge join.
+    keeps its rows with null base and index.
     """
     m = _measures(values)
     if before_base not in ("null", "index"):
         raise ValueError("before_base must be 'null' or 'index'")
     after = F.col(order_col) >= F.lit(base)
     if how == "join" and keys:
-        b = bounded_broadcast(base_values(df, keys, order_col, base, m), broadcast_max_rows)
+        b = base_values(df, keys, order_col, base, m)
         out = df.join(b, on=keys, how="left")
         if before_base == "null":
             out = out.withColumns({bc: F.when(after, F.col(bc)) for bc, _ in m.values()})
@@ -116,8 +95,6 @@ def price_index(df: DataFrame, keys: list[str], order_col: str, base, values,
         if before_base == "null":
             out = out.withColumns({bc: F.when(after, F.col(bc)) for bc, _ in m.values()})
     elif how == "window":
-        if not keys:
-            raise ValueError("the window form needs entity keys; use how='join'")
         if before_base == "null":
             w = (Window.partitionBy(*keys).orderBy(order_col)
                  .rowsBetween(Window.unboundedPreceding, Window.currentRow))

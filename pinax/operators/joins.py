@@ -15,21 +15,20 @@ from pyspark.sql import functions as F
 def unique_on(df: DataFrame, keys: list[str], what: str = "lookup side") -> DataFrame:
     """``df`` with a lazy guard: the job fails if ``keys`` repeat.
 
-    Implemented as an aggregation (combined map-side) with ``raise_error``, so
-    the check costs one shuffle of the lookup side and no extra action.  Rows
-    with a null key are dropped: they cannot match an inner or left join.
+    Implemented as an aggregation (combined map-side) and a filter that raises,
+    so the check costs one shuffle of the lookup side, no extra action, and stays
+    when later steps drop the value columns.  Rows with a null key are dropped:
+    they cannot match an inner or left join, and are not checked.
     """
-    others = [c for c in df.columns if c not in keys]
-    # Rows with a null key never match in the join, so they are not checked.
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
+    others = [c for c in df.columns if c not in keys]
     g = df.filter(known).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"),
-                              *[F.max(F.col(c)).alias(c) for c in others])
+                                            *[F.max(F.col(c)).alias(c) for c in others])
     msg = F.lit(f"keys {keys} are not unique in the {what}")
-    guard = F.when(F.col("__n") > 1, F.raise_error(msg))
-    return g.select(*keys, *[F.coalesce(guard, F.col(c)).alias(c) for c in others]) if others \
-        else g.select(*keys).filter(F.coalesce(guard.cast("boolean"), F.lit(True)))
+    once = F.when(F.col("__n") > 1, F.raise_error(msg)).otherwise(F.lit(True))
+    return g.filter(once).select(*df.columns)
 
 
 def join_lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:

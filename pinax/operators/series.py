@@ -3,22 +3,17 @@ long layouts (J1-J3, C5, A12)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def selection(spark: SparkSession, col: str, values: list) -> DataFrame:
-    """A selection as a one-column table (C5): joined, not five copy-pasted filters.
+def select_entities(df: DataFrame, key: str, values: list) -> DataFrame:
+    """Rows of the listed entities (J1, C5), the list being one parameter.
 
-    It is a local relation whose size Spark knows exactly, so the semi join
-    below broadcasts it without a hint.
+    A predicate on the key: below a window or an aggregate by the entity Spark
+    pushes it to the scan, so only the listed entities are computed.
     """
-    return spark.createDataFrame([(v,) for v in values], [col])
-
-
-def select_entities(df: DataFrame, sel: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the selected entities (J1): ``left_semi`` join on the keys."""
-    return df.join(sel, on=keys, how="left_semi")
+    return df.filter(F.col(key).isin(list(values)))
 
 
 def long_series(df: DataFrame, keys: list[str], period: str, measures: list[str],
@@ -40,11 +35,16 @@ def compare_to(df: DataFrame, ref: DataFrame, on: list[str], value: str, ref_val
     return df.join(ref.select(*on, ref_value), on=on, how="inner").withColumn(gap_col, gap)
 
 
-def pivot_wide(df: DataFrame, period: str, entity: str, value: str, entities: list) -> DataFrame:
+def pivot_wide(df: DataFrame, period: str, entity: str, value: str, entities: list,
+               periods: DataFrame | None = None) -> DataFrame:
     """One column per listed entity, one row per period.
 
     The values are given, so Spark does not run a job to find them and the
-    output schema is fixed.  (period, entity) is expected unique; ``max``
-    keeps the result deterministic.
+    output schema is fixed.  Other entities are filtered out first.
+    ``periods`` (one column) adds rows for periods in which no listed entity
+    has one.  (period, entity) is expected unique; ``max`` keeps the result
+    deterministic.
     """
-    return df.groupBy(period).pivot(entity, entities).agg(F.max(F.col(value)))
+    wide = (select_entities(df, entity, entities).groupBy(period).pivot(entity, entities)
+            .agg(F.max(F.col(value))))
+    return wide if periods is None else periods.select(period).distinct().join(wide, period, "left")

@@ -12,6 +12,7 @@ operations on the same inputs.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,12 +21,12 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import checks, columns, entities, index, route, series
 from ..operators.joins import join_lookup
-from ..operators.layout import spread_over_cores
-from ..sources.files import read_tagged
-from ..sources.html import list_links
+from ..session import checkpoint_dir
+from ..sources import html
+from ..sources.files import read_csv, read_tagged, stage, write_table
 from . import sqltext as S
 from . import stages
-from .panels import (MIN_PUBLISHED, cents, delivery_rows, nation_year_prices, orders_by_nation, table,
+from .panels import (STARRED, cents, delivery_rows, nation_year_prices, orders_by_nation, table,
                      year_prices)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,9 +56,9 @@ RECODE_RULES = [("ring|bolt", "fastener"), ("fast", "FAST")]
 _IN_SELECTED = ", ".join(f"'{n}'" for n in SELECTED)
 
 
-def _indexed(spark, d, how="window", base=BASE_YEAR):
+def _indexed(spark, d, base=BASE_YEAR):
     p = nation_year_prices(spark, d).select("n_name", "year", "price")
-    return index.price_index(p, ["n_name"], "year", base, {"price": ("p0", "pl")}, how=how)
+    return index.price_index(p, ["n_name"], "year", base, {"price": ("p0", "pl")})
 
 
 # Q02 (I1, H3, D8): the flagship, the reference's own shape (base value per
@@ -67,10 +68,12 @@ def q02_price_index(spark, d):
     return _indexed(spark, d)
 
 
-# Q13 (E2): the same index with the base value joined per entity.
+# Q13 (E2): the same index with the base value joined per entity.  Both sides of
+# the join read the panel, so it is staged: computed once.
 @register("q13_index_base_join", S.index_join(S.NATION_YEAR, "n_name", BASE_YEAR))
 def q13_index_base_join(spark, d):
-    return _indexed(spark, d, how="join")
+    p = stage(nation_year_prices(spark, d).select("n_name", "year", "price"), "q13")
+    return index.price_index(p, ["n_name"], "year", BASE_YEAR, {"price": ("p0", "pl")}, how="join")
 
 
 # Q03 (D1, B7): Unicode strip of whole documents padded with space, tab, NBSP.
@@ -79,15 +82,13 @@ _PAD_SQL = "(' ' || chr(9) || chr(160) || text || chr(160) || chr(10) || ' ')"
 
 @register("q03_strip_text", f"""
 SELECT doc_id, CAST(length(text) AS INTEGER) AS n_raw,
-       CAST(length({S.strip(_PAD_SQL)}) AS INTEGER) AS n_padded_stripped,
-       CAST(length({S.strip('text')}) AS INTEGER) AS n_stripped
+       {S.strip(_PAD_SQL)} AS padded_stripped, {S.strip('text')} AS stripped
 FROM documents""")
 def q03_strip_text(spark, d):
-    docs = spread_over_cores(table(spark, d, "documents").select("doc_id", "text"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
     pad = F.concat(F.lit(" \t\u00a0"), F.col("text"), F.lit("\u00a0\n "))
     return docs.select("doc_id", F.length("text").alias("n_raw"),
-                       F.length(T.strip_ws(pad)).alias("n_padded_stripped"),
-                       F.length(T.strip_ws("text")).alias("n_stripped"))
+                       T.strip_ws(pad).alias("padded_stripped"), T.strip_ws("text").alias("stripped"))
 
 
 # Q04 (D2): lenient cast of text cells.
@@ -130,19 +131,29 @@ def q06_route_rows(spark, d):
 # Q07 (B2, D9): the name rule as a row operator over whole texts.
 @register("q07_name_rule", f"SELECT doc_id, {S.name_rule('text')} AS name_key FROM documents")
 def q07_name_rule(spark, d):
-    docs = spread_over_cores(table(spark, d, "documents").select("doc_id", "text"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
     return docs.select("doc_id", T.name_rule("text").alias("name_key"))
 
 
-# Q08 (D3, D4): regex replace and trailing-marker removal.
+# Q08 (D3, D4): regex replace and trailing-marker removal (the marker is added first).
 @register("q08_regex_replace", r"""
 SELECT p_partkey, p_name, regexp_replace(p_name, ' .*$', '', 'g') AS first_word,
-       regexp_replace(p_name, ' .\z', '', 'g') AS no_marker
+       regexp_replace(p_name || ' †', ' .\z', '', 'g') AS no_marker,
+       regexp_replace(p_type, ' .\z', '', 'g') AS type_no_marker
 FROM part""")
 def q08_regex_replace(spark, d):
     p = table(spark, d, "part")
     return p.select("p_partkey", "p_name", T.replace_all("p_name", " .*$", "").alias("first_word"),
-                    T.drop_trailing_marker("p_name").alias("no_marker"))
+                    T.drop_trailing_marker(F.concat("p_name", F.lit(" †"))).alias("no_marker"),
+                    T.drop_trailing_marker("p_type").alias("type_no_marker"))
+
+
+# Literal character replacement.
+@register("q08_replace_chars", "SELECT doc_id, translate(text, 'éèêöüä', 'eeeoua') AS plain FROM documents")
+def q08_replace_chars(spark, d):
+    docs = table(spark, d, "documents")
+    plain = T.replace_chars("text", dict(zip("éèêöüä", "eeeoua")))
+    return docs.select("doc_id", plain.alias("plain"))
 
 
 # Q09 (D6): ordered recode, the second rule sees the first rule's output.
@@ -153,7 +164,7 @@ FROM (SELECT p_partkey, p_name,
       FROM part)""")
 def q09_recode(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_name")
-    return p.withColumn("recoded", T.recode_expr("p_name", RECODE_RULES))
+    return T.recode(p, "p_name", RECODE_RULES, to="recoded")
 
 
 # Q09 report: what the ordered rules change, with counts (section 7.4 of the survey).
@@ -271,8 +282,7 @@ SELECT e.n_name, e.year, e.pl, y.pl_country, e.pl - y.pl_country AS gap
 FROM e JOIN y ON e.year = y.year
 WHERE e.n_name IN ({_IN_SELECTED})""")
 def q16_vs_national(spark, d):
-    sel = series.selection(spark, "n_name", SELECTED)
-    ent = series.select_entities(_indexed(spark, d), sel, ["n_name"])
+    ent = series.select_entities(_indexed(spark, d), "n_name", SELECTED)
     nat = index.price_index(year_prices(spark, d), [], "year", BASE_YEAR,
                             {"price": ("p0_country", "pl_country")})
     out = series.compare_to(ent, nat, ["year"], "pl", "pl_country")
@@ -285,18 +295,18 @@ WITH e AS ({S.index_join(S.NATION_YEAR, "n_name", BASE_YEAR)})
 SELECT year, {", ".join(f"max(CASE WHEN n_name = '{n}' THEN pl END) AS \"{n}\"" for n in PIVOTED)}
 FROM e GROUP BY year""")
 def q17_pivot(spark, d):
-    return series.pivot_wide(_indexed(spark, d), "year", "n_name", "pl", PIVOTED)
+    years = table(spark, d, "orders").select(F.year("o_orderdate").alias("year"))
+    return series.pivot_wide(_indexed(spark, d), "year", "n_name", "pl", PIVOTED, periods=years)
 
 
-# Q18 (J1, C5, A12): long series for a selection held as a table.
+# Q18 (J1, C5, A12): long series for a selection held in one list.
 @register("q18_long_series", f"""
 WITH e AS ({S.index_join(S.NATION_YEAR, "n_name", BASE_YEAR)})
 SELECT n_name, year, 'price' AS series, price AS value FROM e WHERE n_name IN ({_IN_SELECTED})
 UNION ALL
 SELECT n_name, year, 'pl' AS series, pl AS value FROM e WHERE n_name IN ({_IN_SELECTED})""")
 def q18_long_series(spark, d):
-    sel = series.selection(spark, "n_name", SELECTED)
-    e = series.select_entities(_indexed(spark, d), sel, ["n_name"])
+    e = series.select_entities(_indexed(spark, d), "n_name", SELECTED)
     return series.long_series(e, ["n_name"], "year", ["price", "pl"])
 
 
@@ -322,16 +332,16 @@ def q19_columns(spark, d):
     return df.select("part_key", "locality", "type", "average_size", "average_price_nominal_euros")
 
 
-# Q20 (A7): links of list items, parsed from whole pages in Python workers.
+# Q20 (A7): links of list items, from whole pages.
 @register("q20_page_links", """
 SELECT page_id, CAST(unnest(generate_series(1, len(h))) AS INTEGER) AS pos, unnest(h) AS href
 FROM (SELECT page_id, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS h FROM pages)""")
 def q20_page_links(spark, d):
-    return list_links(table(spark, d, "pages")).select("page_id", "pos", "href")
+    return html.list_links(table(spark, d, "pages")).select("page_id", "pos", "href")
 
 
-# Q21 (A3, F1): yearly slices tagged with their origin and stacked by name.
-# A last slice takes every row outside the listed years, so no row is lost.
+# Q21 (A3, F1): yearly slices tagged with their origin and stacked by name, which on
+# one table is a tag computed in one scan.  Rows outside the listed years are tagged too.
 _SLICES = list(range(1995, 2002))
 _LO, _HI = f"{_SLICES[0]}-01-01", f"{_SLICES[-1] + 1}-01-01"
 
@@ -343,15 +353,9 @@ _LO, _HI = f"{_SLICES[0]}-01-01", f"{_SLICES[-1] + 1}-01-01"
     + [f"SELECT o_orderkey, o_totalprice, 'other' AS sheet FROM orders WHERE o_orderdate IS NULL "
        f"OR o_orderdate < TIMESTAMP '{_LO}' OR o_orderdate >= TIMESTAMP '{_HI}'"]))
 def q21_stack_slices(spark, d):
-    o = table(spark, d, "orders")
-    ts = lambda v: F.lit(v).cast("timestamp_ntz")
-    frames = [o.filter((F.col("o_orderdate") >= ts(f"{y}-01-01")) & (F.col("o_orderdate") < ts(f"{y + 1}-01-01")))
-               .select("o_orderkey", "o_totalprice", F.lit(str(y)).alias("sheet"))
-              for y in _SLICES]
-    rest = o.filter(F.col("o_orderdate").isNull() | (F.col("o_orderdate") < ts(_LO))
-                    | (F.col("o_orderdate") >= ts(_HI)))
-    frames.append(rest.select("o_orderkey", "o_totalprice", F.lit("other").alias("sheet")))
-    return entities.stack(frames)
+    year = F.year("o_orderdate")
+    sheet = F.when(year.isin(_SLICES), year.cast("string")).otherwise(F.lit("other"))
+    return table(spark, d, "orders").select("o_orderkey", "o_totalprice", sheet.alias("sheet"))
 
 
 # Q23 (I1, D8): null base, zero base and missing base row.
@@ -416,6 +420,29 @@ def q25_totals_check(spark, d):
                                "year", "n_orders", "n_orders")
 
 
+# Q25 over prices (K1): the yearly sum of all order prices against the nations' sums.
+_CENTS_SQL = f"""
+SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS year, sum({S.cents('o_totalprice')}) AS c
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+WHERE NOT (n_name = 'NATION_7' AND year(o_orderdate) = 1999) GROUP BY 1, 2"""
+
+
+@register("q25_totals_prices", f"""
+WITH s AS (SELECT year, CAST(sum(c) AS DOUBLE) AS detail_sum FROM ({_CENTS_SQL}) GROUP BY year),
+t AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(sum({S.cents('o_totalprice')}) AS DOUBLE) AS total
+      FROM orders GROUP BY 1)
+SELECT coalesce(t.year, s.year) AS year, total, detail_sum, detail_sum - total AS diff,
+       coalesce(abs(detail_sum - total) <= 0, false) AS ok
+FROM t FULL OUTER JOIN s ON t.year = s.year""")
+def q25_totals_prices(spark, d):
+    o = orders_by_nation(spark, d).filter(~((F.col("n_name") == "NATION_7") & (F.col("year") == 1999)))
+    detail = o.groupBy("n_name", "year").agg(F.sum(cents("o_totalprice")).alias("c"))
+    totals = (table(spark, d, "orders").groupBy(F.year("o_orderdate").alias("year"))
+              .agg(F.sum(cents("o_totalprice")).alias("c")))
+    out = checks.totals_match(detail, totals, "year", "c", "c")
+    return out.withColumn("detail_sum", F.col("detail_sum").cast("double"))
+
+
 # Q26 (K2): revisions between two deliveries of orders.
 _NEW_SQL = """
 SELECT o_orderkey,
@@ -483,10 +510,23 @@ def q28_churn(spark, d):
     return checks.churn(y, "o_custkey", "year")
 
 
-# Q29 (K5): order-free fingerprint (Spark only; DuckDB has no xxhash64).
-@register("q29_fingerprint")
+# Q29 (K5): order-free fingerprint.  Money as cents and dates as days, whose text
+# both engines write alike.
+_FP_COLS = ["CAST(o_orderkey AS VARCHAR)", "CAST(o_custkey AS VARCHAR)", "o_orderstatus",
+            f"CAST({S.cents('o_totalprice')} AS VARCHAR)", "CAST(CAST(o_orderdate AS DATE) AS VARCHAR)",
+            "o_orderpriority"]
+_FP_TEXT = " || ".join(f"coalesce(length({c}) || ':' || {c}, '-')" for c in _FP_COLS)
+
+
+@register("q29_fingerprint", f"""
+SELECT count(*) AS n_rows,
+       CAST(coalesce(sum(CAST(CAST('0x' || substr(h, 1, 15) AS BIGINT) AS HUGEINT)), 0) AS VARCHAR) AS hash_sum,
+       CAST(coalesce(sum(CAST(CAST('0x' || substr(h, 17, 15) AS BIGINT) AS HUGEINT)), 0) AS VARCHAR) AS hash_sum_2
+FROM (SELECT md5({_FP_TEXT}) AS h FROM orders)""")
 def q29_fingerprint(spark, d):
-    return checks.fingerprint(table(spark, d, "orders"))
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", cents("o_totalprice"),
+                                         F.to_date("o_orderdate"), "o_orderpriority")
+    return checks.fingerprint(o)
 
 
 # Q30 (K6): keys that are not unique.
@@ -508,9 +548,10 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 GROUP BY 1, 2"""
 _UNIT = "CAST(u.unit_cents AS DOUBLE) / CAST(u.qty AS DOUBLE) / 100.0"
+_STARS = ", ".join(f"'{n}@{y}'" for n, y in STARRED)
 _DELIVERY_PANEL_SQL = f"""
 SELECT p.n_name AS locality, p.n_orders AS n_offers,
-       CASE WHEN p.n_orders < {MIN_PUBLISHED} THEN NULL ELSE p.price END AS average_price_nominal_euros,
+       CASE WHEN p.n_name || '@' || p.year IN ({_STARS}) THEN NULL ELSE p.price END AS average_price_nominal_euros,
        {_UNIT} AS average_price_m2_nominal_euros, p.year
 FROM ({S.NATION_YEAR}) p JOIN ({_UNIT_SQL}) u ON p.n_name = u.n_name AND p.year = u.year"""
 _DELIVERY_COUNTRY_SQL = f"""
@@ -521,13 +562,7 @@ FROM ({S.YEAR}) y JOIN (SELECT year, sum(unit_cents) AS unit_cents, sum(qty) AS
 
 
 def _deliveries(spark, d):
-    # The derived delivery rows stand in for files that are read once; they are
-    # (nations x years) rows at any scale, so they are kept in memory for the
-    # branches (panel, country price, country count, national base) that read them.
-    rows = delivery_rows(spark, d).persist()
-    c = stages.clean_deliveries(rows, persist=False, country_name="ALL")
-    c.country = c.country.persist()      # one row per year, read by several branches
-    return c
+    return stages.clean_deliveries(delivery_rows(spark, d), country_name="ALL")
 
 
 @register("q31_delivery_panel", _DELIVERY_PANEL_SQL)
@@ -552,7 +587,7 @@ b AS (SELECT *, {_fill('average_price_nominal_euros', BASE_YEAR)} AS p0,
 SELECT *, average_price_nominal_euros / nullif(p0, 0) * 100 AS pl,
        average_price_m2_nominal_euros / nullif(p0_m2, 0) * 100 AS pl_m2 FROM b""")
 def q32_delivery_index(spark, d):
-    return stages.index_panel(_deliveries(spark, d).panel, BASE_YEAR, how="window")
+    return stages.index_panel(_deliveries(spark, d).panel, BASE_YEAR)
 
 
 @register("q33_delivery_vs_country", f"""
@@ -566,17 +601,53 @@ n AS (SELECT year, average_price_m2_nominal_euros / nullif(CASE WHEN year >= {BA
 SELECT b.locality, b.year, b.pl_m2, n.pl_m2_country, b.pl_m2 - n.pl_m2_country AS gap
 FROM b JOIN n ON b.year = n.year WHERE b.locality IN ({_IN_SELECTED})""")
 def q33_delivery_vs_country(spark, d):
-    c = _deliveries(spark, d)
-    _, _, versus = stages.index_and_series(spark, c.panel, c.country, SELECTED, BASE_YEAR, how="window")
+    # Panel and country table both read the classified rows: staged, lineitem is read once.
+    c = stages.split_classified(stage(stages.classify(delivery_rows(spark, d)), "q33"), "ALL")
+    _, _, versus = stages.index_and_series(c.panel, c.country, SELECTED, BASE_YEAR)
     return versus
 
 
-# Q34 (A3, A4): many files in one scan, each row tagged with the file it came from.
-_TAGGED = ["customer", "supplier", "orders", "lineitem"]
+# Q34 (A3, A4, F1): two tables of the same shape, each row tagged with the file it
+# came from, stacked under common names after their schemas are compared.
+_LIKE = {"customer": "c", "supplier": "s"}
 
 
 @register("q34_tagged_scan", " UNION ALL ".join(
-    f"SELECT '{t}' AS source, count(*) AS n_rows FROM {t}" for t in _TAGGED))
+    f"SELECT {p}_{'custkey' if t == 'customer' else 'suppkey'} AS party, {p}_name AS name, "
+    f"{p}_nationkey AS nationkey, {p}_acctbal AS acctbal, '{t}' AS source FROM {t}" for t, p in _LIKE.items()))
 def q34_tagged_scan(spark, d):
-    rows = read_tagged(spark, [f"{d}/{t}.parquet" for t in _TAGGED], tag_col="source", mergeSchema="true")
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
+    frames = []
+    for t, p in _LIKE.items():
+        rows = read_tagged(spark, f"{d}/{t}.parquet", tag_col="source")
+        frames.append(rows.select(F.col(f"{p}_{'custkey' if t == 'customer' else 'suppkey'}").alias("party"),
+                                  *[F.col(f"{p}_{c}").alias(c) for c in ("name", "nationkey", "acctbal")], "source"))
+    return entities.stack(frames)
+
+
+# Q35 (A5, A6, A10, A11): a table handed over as gzip CSV in Latin-1, several part
+# files with a header each, and read back under its schema.
+@register("q35_csv_hand_over", """
+SELECT p_partkey, 'Pétange ' || p_name AS name, p_retailprice FROM part""")
+def q35_csv_hand_over(spark, d):
+    part = table(spark, d, "part").select(
+        "p_partkey", F.concat(F.lit("Pétange "), "p_name").alias("name"), "p_retailprice")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/pinax-stage/q35-{uuid.uuid4().hex}"
+    write_table(part.repartition(4, "p_partkey"), path, fmt="csv", encoding="ISO-8859-1", compression="gzip")
+    return read_csv(spark, path, part.schema, encoding="ISO-8859-1")
+
+
+# Q36 (A7, A8, A9): rows of orders written as page tables with a two-level header (in
+# the query), parsed from the pages and read as columns again.
+@register("q36_page_tables", """
+SELECT o_custkey AS page_id, CAST(o_orderkey AS VARCHAR) AS order_key, o_orderpriority AS priority FROM orders""")
+def q36_page_tables(spark, d):
+    o = table(spark, d, "orders")
+    cells = F.concat(F.lit("<tr><td>x</td><td>"), F.col("o_orderkey").cast("string"), F.lit("</td><td><b>"),
+                     F.col("o_orderpriority"), F.lit("</b></td></tr>"))
+    head = "<table><tr><td>other</td></tr></table><table><tr><th colspan=2>Order</th><th>Name</th></tr>" \
+           "<tr><th>Name</th><th>Key</th><th>Name</th></tr>"
+    pages = o.groupBy(F.col("o_custkey").alias("page_id")).agg(
+        F.concat(F.lit(head), F.array_join(F.collect_list(cells), ""), F.lit("</table>")).alias("html"))
+    rows = html.table_rows(html.html_tables(pages), 1, header_rows=2)
+    both = html.columns(rows, {"order_key": ("Key", 1), "priority": ("Name", 2)})
+    return both.select("page_id", "order_key", "priority")

@@ -66,18 +66,17 @@ def year_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Header texts of a delivery sheet, as they are printed in the workbook.
 SHEET_HEADERS = ["Commune", "Nombre d'offres", "Prix moyen annoncé en € courant",
                  "Prix moyen annoncé au m² en € courant"]
-# A (nation, year) with fewer orders than this is published as '*'.
-MIN_PUBLISHED = 50
+# Cells that are published as '*': these nations in these years, at any size of the data.
+STARRED = [("NATION_3", 1996), ("NATION_5", 1998), ("NATION_10", 1995), ("NATION_23", 2000)]
 
 
 def delivery_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order and line-item sums per (year, nation) and per year, in one aggregation.
+    """Order and line-item sums per (year, nation) and per year.
 
     Line items are summed per order first (partial aggregation before the
     shuffle; the result is already partitioned by order key for the join), so
-    lineitem is shuffled once at the size of orders.  ``groupingSets`` then
-    produces the nation rows and the national rows from the same shuffle;
-    ``is_nat`` marks the national ones.
+    lineitem is shuffled once at the size of orders.  The sums add up, so the
+    national rows are rolled up from the (year, nation) rows; ``is_nat`` marks them.
     """
     li = (table(spark, sf_dir, "lineitem")
           .groupBy("l_orderkey")
@@ -86,18 +85,19 @@ def delivery_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = orders_by_nation(spark, sf_dir).select("o_orderkey", "n_name", "year",
                                                cents("o_totalprice").alias("c"))
     j = o.join(li, o["o_orderkey"] == li["l_orderkey"], "left")
-    return (j.groupingSets([["year", "n_name"], ["year"]], "year", "n_name")
-             .agg(F.sum("c").alias("cents"), F.count(F.lit(1)).alias("n_orders"),
-                  F.sum("ec").alias("unit_cents"), F.sum("q").alias("qty"),
-                  (F.grouping("n_name") == 1).alias("is_nat")))
+    by_nation = j.groupBy("year", "n_name").agg(
+        F.sum("c").alias("cents"), F.count(F.lit(1)).alias("n_orders"),
+        F.sum("ec").alias("unit_cents"), F.sum("q").alias("qty"))
+    return (by_nation.groupingSets([["year", "n_name"], ["year"]], "year", "n_name")
+            .agg(*[F.sum(c).alias(c) for c in ("cents", "n_orders", "unit_cents", "qty")],
+                 (F.grouping("n_name") == 1).alias("is_nat")))
 
 
 def delivery_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw sheet rows as a statistics office would publish them, from the tables.
 
     One sheet per order year: a detail row per nation (name padded with spaces
-    and a no-break space, numbers as text, '*' where fewer than
-    ``MIN_PUBLISHED`` orders), then the national average, the offer total and a
+    and a no-break space, numbers as text, '*' for the prices in ``STARRED``), then the national average, the offer total and a
     source note.  Every cell is a string; ``sheet`` holds the year.
     """
     g = delivery_sums(spark, sf_dir)
@@ -106,12 +106,13 @@ def delivery_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = txt(F.col("unit_cents").cast("double") / F.col("qty").cast("double") / F.lit(100.0))
     none = F.lit(None).cast("string")
     names = ["name", "offers", "price", "unit"]
+    starred = F.coalesce(F.concat_ws("@", "n_name", "year").isin([f"{n}@{y}" for n, y in STARRED]), F.lit(False))
 
     def row(*cells):
         return F.struct(*[c.alias(n) for c, n in zip(cells, names)])
 
     detail = row(F.concat(F.lit("  "), F.col("n_name"), F.lit("\u00a0")), txt(F.col("n_orders")),
-                 F.when(F.col("n_orders") < MIN_PUBLISHED, F.lit("*")).otherwise(price), unit)
+                 F.when(starred, F.lit("*")).otherwise(price), unit)
     national = [row(F.lit("Moyenne nationale"), none, price, unit),
                 row(F.lit("Total d'offres"), txt(F.col("n_orders")), none, none),
                 row(F.lit("Source : order book"), none, none, none)]

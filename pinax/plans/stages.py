@@ -16,10 +16,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import drop_trailing_marker, replace_all
-from ..operators import columns, entities, index, route, series
-from ..operators.joins import join_lookup
-from ..sources.files import stage, write_series, write_table
+from ..functions.text import drop_trailing_marker, lenient_double, replace_all
+from ..operators import checks, columns, entities, index, route, series
+from ..sources.files import drop_staged, stage, write_series, write_table
 from ..sources.html import column, table_rows
 
 # --- fixed values (must equal the reference's for the same results) ----------
@@ -73,61 +72,72 @@ def classify(raw: DataFrame, sheet_col: str = "sheet", thousands_sep: str | None
     """Names, renames, strip, lenient cast, spelling fixes and row classes.
 
     ``raw`` is a frame of string cells as read from the sheets (for instance
-    ``spark.read.format("workbook")``) with the sheet name in ``sheet_col``.
+    ``workbook.sheet_frame``) with the sheet name in ``sheet_col``.  The year is
+    the four digits that the sheet's name holds (``2022.rev2`` is of 2022); a
+    name without them fails the job.  ``*_text`` columns keep the number cells as
+    they came, for the cast report.
     """
     df = columns.clean_columns(raw.withColumnRenamed(sheet_col, "year"))
     df = columns.rename_strict(df, RENAMES)
     df = columns.strip_all(df)
-    df = columns.lenient_cast(df, columns.columns_matching(df, contains="average"),
-                              thousands_sep=thousands_sep)
+    numbers = [*columns.columns_matching(df, contains="average"), "n_offers"]
+    df = df.withColumns({f"{c}_text": F.col(c) for c in numbers})
+    df = columns.lenient_cast(df, numbers, thousands_sep=thousands_sep)
     loc = F.col("locality")
     for pattern, value in LOCALITY_FIXES:
         loc = replace_all(loc, pattern, value)
-    df = df.withColumns({"locality": loc, "year": F.col("year").try_cast("int")})
+    year = F.regexp_extract("year", r"(?<![0-9])([0-9]{4})(?![0-9])", 1)
+    msg = F.concat(F.lit("no year in sheet name "), F.coalesce("year", F.lit("(null)")))
+    df = df.withColumns({"locality": loc, "n_offers": F.col("n_offers").cast("bigint"),
+                         "year": F.when(F.coalesce(year, F.lit("")) == "", F.raise_error(msg)).otherwise(year).cast("int")})
     return route.route(df, "locality", ROW_RULES, default="detail")
 
 
 def split_classified(c: DataFrame, country_name: str = COUNTRY_NAME) -> Cleaned:
-    """Commune panel and country table from classified rows (the three branches)."""
-    panel = (route.branch(c, "detail")
-             .withColumn("n_offers", F.col("n_offers").try_cast("bigint"))
-             .select(*PANEL_COLUMNS))
-    price = route.branch(c, "country_price").drop("n_offers")
-    count = (route.branch(c, "country_count")
-             .select("year", F.col("n_offers").try_cast("bigint").alias("n_offers")))
-    country = columns.with_constant(join_lookup(price, count, ["year"]), "locality", country_name)
-    country = country.select("locality", "average_price_nominal_euros",
-                             "average_price_m2_nominal_euros", "year", "n_offers")
+    """Commune panel and country table from classified rows.
+
+    The country table is one aggregate by year: the price row and the count row
+    of a year meet in it, and a year with one of them missing is left out, as
+    an inner join of the two would.  Two rows of a kind in a year fail the job.
+    """
+    panel = route.branch(c, "detail").select(*PANEL_COLUMNS)
+    is_price, is_count = F.col("row_class") == "country_price", F.col("row_class") == "country_count"
+    prices = ["average_price_nominal_euros", "average_price_m2_nominal_euros"]
+    by_year = c.filter(is_price | is_count).groupBy("year").agg(
+        F.count_if(is_price).alias("__prices"), F.count_if(is_count).alias("__counts"),
+        *[F.max(F.when(is_price, F.col(p))).alias(p) for p in prices],
+        F.max(F.when(is_count, F.col("n_offers"))).alias("n_offers"))
+    msg = F.concat(F.lit("more than one national row of a kind in "), F.col("year").cast("string"))
+    whole = (F.when((F.col("__prices") > 1) | (F.col("__counts") > 1), F.raise_error(msg))
+             .otherwise((F.col("__prices") == 1) & (F.col("__counts") == 1)))
+    country = by_year.filter(whole).select(F.lit(country_name).alias("locality"), *prices, "year", "n_offers")
     return Cleaned(c, panel, country)
 
 
-def clean_deliveries(raw: DataFrame, sheet_col: str = "sheet",
-                     thousands_sep: str | None = None, persist: bool = True,
+def clean_deliveries(raw: DataFrame, sheet_col: str = "sheet", thousands_sep: str | None = None,
                      country_name: str = COUNTRY_NAME) -> Cleaned:
     """Step 1: the commune panel and the country table from raw sheet rows.
 
-    The classified frame feeds three branches; ``persist`` keeps it in memory
-    (and on disk if it does not fit) for the job that reads them.  ``run``
-    stages it in the shared checkpoint folder instead, for multi-job runs.
+    Nothing is kept in memory.  A job that reads more than one branch stages
+    the classified rows first, as ``run`` does.
     """
-    c = classify(raw, sheet_col, thousands_sep)
-    return split_classified(c.persist() if persist else c, country_name)
+    return split_classified(classify(raw, sheet_col, thousands_sep), country_name)
 
 
-def entity_list(cells: DataFrame, table_idx: int, header_rows: int, name: str,
+def entity_list(tables: DataFrame, table_idx: int, header_rows: int, name: str,
                 occurrence: int = 1) -> DataFrame:
     """Step 2a: one column of one scraped table as an entity list ``(commune)``.
 
-    ``cells`` is the output of ``sources.html.html_cells``.  The trailing
+    ``tables`` is the output of ``sources.html.html_tables``.  The trailing
     marker (``Name †``) is dropped.
     """
-    rows = table_rows(cells, table_idx, header_rows)
+    rows = table_rows(tables, table_idx, header_rows)
     col = column(rows, name, occurrence)
     return col.select(drop_trailing_marker(F.col(name)).alias("commune"))
 
 
 def communes(current: DataFrame, former: DataFrame, harmonise: bool = True,
-             sort: bool = True) -> DataFrame:
+             sort: bool = False) -> DataFrame:
     """Step 2b: current and former lists stacked, spelling harmonised, distinct."""
     both = entities.stack([former, current])
     if harmonise:
@@ -140,18 +150,20 @@ def coverage(panel: DataFrame, dim: DataFrame) -> DataFrame:
     return entities.missing_from(panel, "locality", dim, "commune")
 
 
-def index_panel(panel: DataFrame, base: int = BASE_YEAR, how: str = "join") -> DataFrame:
+def index_panel(panel: DataFrame, base: int = BASE_YEAR, how: str = "window") -> DataFrame:
     """Step 3a: both price measures indexed on the base year per locality."""
     return index.price_index(panel, ["locality"], "year", base, PRICE_MEASURES, how=how)
 
 
-def index_and_series(spark: SparkSession, panel: DataFrame, country: DataFrame,
-                     selected: list[str] | None = None, base: int = BASE_YEAR, how: str = "join"):
+def index_and_series(panel: DataFrame, country: DataFrame, selected: list[str] | None = None,
+                     base: int = BASE_YEAR, how: str = "window"):
     """Step 3b: the selected localities' series (long form) and their gap to the
-    national index.  Returns ``(indexed, long_series, versus_country)``."""
+    national index.  Returns ``(indexed, long_series, versus_country)``.
+
+    The selection is a predicate on the window's key, so Spark applies it below
+    the index.  The national series has a row per year."""
     indexed = index_panel(panel, base, how=how)
-    sel = series.selection(spark, "locality", selected or SELECTED)
-    chosen = series.select_entities(indexed, sel, ["locality"])
+    chosen = series.select_entities(indexed, "locality", selected or SELECTED)
     long = series.long_series(chosen, ["locality"], "year", ["pl", "pl_m2"])
     nat = index.price_index(country.drop("locality"), [], "year", base,
                             {"average_price_m2_nominal_euros": ("p0_m2_country", "pl_m2_country")})
@@ -160,22 +172,83 @@ def index_and_series(spark: SparkSession, panel: DataFrame, country: DataFrame,
     return indexed, long, versus
 
 
-def run(spark: SparkSession, raw: DataFrame, out_dir: str, selected: list[str] | None = None,
-        base: int = BASE_YEAR, country_name: str = COUNTRY_NAME) -> dict[str, str]:
-    """The whole job: clean, index, write.
+VALUES = ["n_offers", "average_price_nominal_euros", "average_price_m2_nominal_euros"]
 
-    The classified rows are staged once in the shared checkpoint folder; the
-    panel, the country table, the indexed panel (partitioned by year) and the
-    plot-ready series of the selected localities (one folder per locality) are
-    then written from that staged copy.  A lost executor re-reads staged files
-    instead of re-decoding every workbook.  Returns the output paths.
+
+def data_checks(c: Cleaned, previous: DataFrame | None = None, dim: DataFrame | None = None,
+                thousands_sep: str | None = None) -> dict[str, DataFrame]:
+    """Reports on a cleaned delivery, each with only the rows that need attention.
+
+    ``casts``: number cells of detail rows that hold text (other than the
+    placeholder ``*``) and were read as null (K3); ``nulls``: counts of null
+    cells (C4, always one row); ``duplicates``: keys that repeat (K6);
+    ``totals``: years whose offers do not add up to the published count (K1);
+    ``churn``: localities that do not span the panel (K4); ``fingerprint`` of
+    the panel (K5, always one row); with ``previous`` (an earlier panel),
+    ``revisions`` of the years it has (K2), and with ``dim`` (``commune``),
+    ``coverage``: localities that the entity list lacks (E3).
     """
-    c = split_classified(stage(classify(raw), "classified", spark), country_name)
-    indexed, long, versus = index_and_series(spark, c.panel, c.country, selected, base)
-    out = {k: f"{out_dir.rstrip('/')}/{k}" for k in ("panel", "country", "indexed", "series", "versus")}
-    write_table(c.panel, out["panel"])
-    write_table(c.country, out["country"])
-    write_table(indexed, out["indexed"], partition_by=["year"])
-    write_series(long, out["series"], "locality")
-    write_table(versus, out["versus"])
+    detail = route.branch(c.classified, "detail")
+    lost = [F.when(F.col(f"{v}_text").isNotNull() & (F.col(f"{v}_text") != "*")
+                   & lenient_double(f"{v}_text", thousands_sep).isNull(), F.lit(v)) for v in VALUES]
+    casts = (detail.withColumn("columns", F.array_compact(F.array(*lost)))
+             .filter(F.size("columns") > 0).select("locality", "year", "columns", *[f"{v}_text" for v in VALUES]))
+    out = {
+        "casts": casts,
+        "nulls": checks.null_report(c.panel),
+        "duplicates": checks.duplicate_keys(c.panel, ["locality", "year"]),
+        "totals": checks.totals_match(c.panel, c.country, "year", "n_offers", "n_offers").filter("NOT ok"),
+        "churn": checks.churn(c.panel, "locality", "year").filter("appeared OR vanished"),
+        "fingerprint": checks.fingerprint(c.panel),
+    }
+    if previous is not None:
+        out["revisions"] = checks.revisions(previous, c.panel, ["locality", "year"], VALUES).filter("kind <> 'added'")
+    if dim is not None:
+        out["coverage"] = coverage(c.panel, dim)
     return out
+
+
+#: Reports that must be empty for a delivery to pass.
+MUST_BE_EMPTY = ["casts", "duplicates", "revisions", "coverage", "totals"]
+
+
+class CheckFailed(RuntimeError):
+    """Checks of a delivery found rows; their reports are written."""
+
+
+def run(spark: SparkSession, raw: DataFrame, out_dir: str, selected: list[str] | None = None,
+        base: int = BASE_YEAR, country_name: str = COUNTRY_NAME, thousands_sep: str | None = None,
+        previous: DataFrame | None = None, dim: DataFrame | None = None,
+        fail_on: list[str] | None = None) -> dict[str, str]:
+    """The whole job: clean, check, index, write.
+
+    The classified rows are staged once in the shared checkpoint folder (and
+    removed at the end); the check reports (``data_checks``, under ``checks/``),
+    the panel, the country table, the indexed panel (partitioned by year) and the
+    plot-ready series of the selected localities (one folder per locality) are
+    written from that staged copy.  A lost executor re-reads staged files
+    instead of re-decoding every workbook.  With ``fail_on`` (names of reports,
+    for instance ``MUST_BE_EMPTY``) a report that has rows stops the job after
+    the reports are written and before any other output is.  Returns the output paths.
+    """
+    classified = stage(classify(raw, thousands_sep=thousands_sep), "classified", spark)
+    try:
+        c = split_classified(classified, country_name)
+        out = {k: f"{out_dir.rstrip('/')}/{k}" for k in ("panel", "country", "indexed", "series", "versus")}
+        failed = []
+        for name, report in data_checks(c, previous, dim, thousands_sep).items():
+            out[f"checks/{name}"] = path = f"{out_dir.rstrip('/')}/checks/{name}"
+            write_table(report, path)
+            if name in (fail_on or []) and not spark.read.schema(report.schema).parquet(path).isEmpty():
+                failed.append(name)
+        if failed:
+            raise CheckFailed(f"checks with findings: {', '.join(failed)} (see {out_dir}/checks)")
+        indexed, long, versus = index_and_series(c.panel, c.country, selected, base)
+        write_table(c.panel, out["panel"])
+        write_table(c.country, out["country"])
+        write_table(indexed, out["indexed"], partition_by=["year"])
+        write_series(long, out["series"], "locality")
+        write_table(versus, out["versus"])
+        return out
+    finally:
+        drop_staged(classified)

@@ -22,9 +22,12 @@ def read_csv(spark: SparkSession, paths: str | list[str], schema: StructType | s
       makes per-character repairs such as ``\\351 -> é`` unnecessary.
     * gzip is not splittable, so one file is one task; ``partitions`` spreads
       the rows before heavy downstream work.
+    * With a header, its names must equal the schema's (``enforceSchema=false``),
+      and a cell that does not fit its type fails the job (``FAILFAST``): columns
+      in another order give an error, not wrong values.
     """
-    df = (spark.read.schema(schema).option("header", header).option("encoding", encoding)
-          .option("sep", sep).option("mode", "PERMISSIVE").csv(paths))
+    df = (spark.read.schema(schema).option("header", header).option("encoding", encoding).option("sep", sep)
+          .option("enforceSchema", not header).option("mode", "FAILFAST").csv(paths))
     return df.repartition(partitions) if partitions else df
 
 
@@ -54,14 +57,18 @@ def read_sheet_exports(spark: SparkSession, paths: str | list[str], header: list
     per_file = per_file.filter(F.when(F.size("lines") <= skip_rows, F.raise_error(short))
                                 .otherwise(F.lit(True)))
     raw = per_file.select(tag_col, F.posexplode("lines").alias("line_no", "line"))
-    ddl = ", ".join(f"`c{i}` string" for i in range(len(header)))
+    # One column more than declared: a longer header or data row shows up in it.
+    ddl = ", ".join(f"`c{i}` string" for i in range(len(header) + 1))
     parsed = raw.select(tag_col, (F.col("line_no") + 1).alias("line_no"),
                         F.from_csv("line", ddl, {"sep": sep}).alias("r"), F.length("line").alias("len"))
+    extra = F.col(f"r.c{len(header)}")
     cells = F.array(*[F.col(f"r.c{i}") for i in range(len(header))])
     expected = F.array(*[F.lit(h) for h in header])
     msg = F.concat(F.lit("header differs from the declared one in "), F.col(tag_col))
     is_header = F.col("line_no") == skip_rows + 1
-    checked = parsed.filter(F.when(is_header & ~cells.eqNullSafe(expected), F.raise_error(msg))
+    long = F.concat(F.lit("a row has more cells than the header in "), F.col(tag_col))
+    checked = parsed.filter(F.when(is_header & (~cells.eqNullSafe(expected) | extra.isNotNull()), F.raise_error(msg))
+                             .when((F.col("line_no") > skip_rows) & extra.isNotNull(), F.raise_error(long))
                              .otherwise(F.lit(True)))
     body = checked.filter((F.col("line_no") > skip_rows + 1) & (F.col("len") > 0))
     return body.select(*[F.col(f"r.c{i}").alias(h) for i, h in enumerate(header)], tag_col)
@@ -90,21 +97,36 @@ def read_tagged(spark: SparkSession, paths: str | list[str], fmt: str = "parquet
                 schema: StructType | str | None = None, **options) -> DataFrame:
     """Read many files in one scan and tag each row with its origin (A3, A4).
 
+    Without ``schema`` the inputs must have equal column names and types; each
+    input's schema is looked up (metadata only) and a difference is an error, so
+    nothing is silently filled or dropped.
+
     The tag comes from the hidden ``_metadata`` column (``file_tag``), so there
     is no driver loop of reads and unions.  Directories like ``year=2010`` are
     partition columns by Spark's own discovery and need no tag.
     """
-    r = spark.read.format(fmt).options(**options)
-    if schema is not None:
-        r = r.schema(schema)
-    df = r.load(paths)
+    read = lambda: spark.read.format(fmt).options(**options)
+    if schema is None:
+        each = [paths] if isinstance(paths, str) else list(paths)
+        found = [read().load(p).schema for p in each]
+        for p, s in zip(each, found):
+            if [(f.name, f.dataType) for f in s] != [(f.name, f.dataType) for f in found[0]]:
+                raise ValueError(f"{p} has columns {s.simpleString()}, {each[0]} has {found[0].simpleString()}")
+        schema = found[0]
+    df = read().schema(schema).load(paths)
     return df.withColumn(tag_col, file_tag(pattern))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None,
                 mode: str = "overwrite", **options) -> None:
     """Persist a clean table for the next stage (A11).  No ``coalesce(1)``: every
-    task writes its own files."""
+    task writes its own files.  CSV gets a header (``read_csv`` expects one in
+    every part file).  With ``partition_by`` the rows are rebalanced on these
+    columns first, so a folder holds few files and a large one is still split."""
+    if fmt == "csv":
+        options = {"header": True, **options}
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     w = df.write.mode(mode).format(fmt).options(**options)
     if partition_by:
         w = w.partitionBy(*partition_by)
@@ -126,10 +148,20 @@ def stage(df: DataFrame, name: str | None = None, spark: SparkSession | None = N
 
     Cuts the lineage (a lost executor re-reads files instead of recomputing the
     whole upstream plan) and lets several branches share one computation.  The
-    folder is ``spark.checkpoint.dir`` as set by the cluster.
+    folder is ``spark.checkpoint.dir`` as set by the cluster; ``drop_staged``
+    removes it.
     """
     spark = spark or df.sparkSession
-    base = checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/pinax-stage/{name or 'stage'}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/pinax-stage/{name or 'stage'}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(staged: DataFrame) -> None:
+    """Remove the files of a frame returned by ``stage``, once its readers are done."""
+    spark = staged.sparkSession
+    jvm = spark.sparkContext._jvm
+    for folder in {f.rpartition("/")[0] for f in staged.inputFiles()}:
+        if "/pinax-stage/" in folder:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,12 +1,10 @@
 """Tables and list links from a table of web pages.
 
 Input: a DataFrame ``(page_id, html)`` (for instance the ``pages`` table).
-Each Spark task parses its own pages with the standard-library
-``html.parser`` inside ``mapInPandas`` (Arrow batches in, Arrow batches out),
-so parsing scales with the number of tasks and no page passes through the
-driver.  A batch holds ``spark.sql.execution.arrow.maxRecordsPerBatch`` pages;
-for very large pages lower it (e.g. 256) so a batch stays small in the worker.  Everything after the parse - choosing a table by ordinal, reading the
-header, picking a column - is ordinary DataFrame work on the emitted rows.
+Tables nest, so each task parses its own pages with the standard-library
+``html.parser`` (``mapInPandas``), a page at a time; everything after the parse
+(choosing a table by ordinal, reading the header, picking a column) is ordinary
+DataFrame work.  Links need no tree and are found by built-in expressions.
 """
 
 from __future__ import annotations
@@ -18,11 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.layout import spread_over_cores
-
-CELL_SCHEMA = ("page_id long, table_idx int, row_idx int, is_header boolean, "
-               "cells array<string>, error string")
-LINK_SCHEMA = "page_id long, pos int, href string, text string, error string"
+TABLE_SCHEMA = ("page_id long, table_idx int, rows array<struct<is_header: boolean, cells: array<string>>>, "
+                "error string")
 
 _SPACES = re.compile(r"\s+")
 
@@ -32,15 +27,11 @@ def _text(parts: list[str]) -> str:
 
 
 class _PageParser(HTMLParser):
-    """One pass over a page: list links and table rows in document order."""
+    """One pass over a page: table rows in document order."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.links: list[tuple[int, str, str]] = []
         self.rows: list[tuple[int, int, bool, list[str]]] = []
-        self._lists = 0          # depth of open <ul>/<ol>
-        self._li = 0             # depth of open <li> inside a list
-        self._a: list | None = None   # [href, text parts] of the open list link
         self._n_tables = 0
         self._tables: list[dict] = []  # stack of open tables
 
@@ -79,27 +70,13 @@ class _PageParser(HTMLParser):
         if t["cells"] is not None:
             while len(t["cells"]) in t["down"]:
                 self._fill_down(t, len(t["cells"]))
-            if t["cells"]:
-                header = all(k == "th" for k in t["kinds"])
-                self.rows.append((t["idx"], t["row"], header, t["cells"]))
+            header = bool(t["kinds"]) and all(k == "th" for k in t["kinds"])
+            self.rows.append((t["idx"], t["row"], header, t["cells"]))  # an empty row keeps its place
             t["cells"] = None
 
-    def _end_link(self):
-        if self._a is not None:
-            self.links.append((len(self.links) + 1, self._a[0], _text(self._a[1])))
-            self._a = None
-
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        if tag in ("ul", "ol"):
-            self._lists += 1
-        elif tag == "li" and self._lists:
-            self._end_link()         # an omitted </a> ends with the item
-            self._li += 1
-        elif tag == "a" and self._li and "href" in a:
-            self._end_link()
-            self._a = [a.get("href") or "", []]
-        elif tag == "table":
+        if tag == "table":
             self._open_table()
         elif self._tables:
             t = self._tables[-1]
@@ -117,17 +94,7 @@ class _PageParser(HTMLParser):
                 t["rowspan"] = _int(a.get("rowspan"))
 
     def handle_endtag(self, tag):
-        if tag in ("ul", "ol") and self._lists:
-            self._end_link()
-            self._lists -= 1
-            if not self._lists:
-                self._li = 0     # list items whose </li> was omitted end with the list
-        elif tag == "li" and self._li:
-            self._end_link()
-            self._li -= 1
-        elif tag == "a":
-            self._end_link()
-        elif tag == "table" and self._tables:
+        if tag == "table" and self._tables:
             self._close_row(self._tables.pop())
         elif self._tables:
             t = self._tables[-1]
@@ -137,8 +104,6 @@ class _PageParser(HTMLParser):
                 self._close_row(t)
 
     def handle_data(self, data):
-        if self._a is not None:
-            self._a[1].append(data)
         if self._tables and self._tables[-1]["cell"] is not None:
             self._tables[-1]["cell"].append(data)
 
@@ -159,69 +124,95 @@ def _parse(html):
     return p
 
 
-def _cells_batches(batches):
+def _table_batches(batches):
+    columns = ["page_id", "table_idx", "rows", "error"]
     for pdf in batches:
-        out = []
         for pid, html in zip(pdf["page_id"], pdf["html"]):
             try:
+                tables: dict[int, list] = {}
                 for t, r, h, cells in _parse(html).rows:
-                    out.append((pid, t, r, h, cells, None))
+                    tables.setdefault(t, []).append((r, {"is_header": h, "cells": cells}))
+                out = [(pid, t, [x for _, x in sorted(rows, key=lambda x: x[0])], None) for t, rows in tables.items()]
             except Exception as e:  # malformed page: one error row, job goes on
-                out.append((pid, None, None, None, None, repr(e)))
-        yield pd.DataFrame(out, columns=["page_id", "table_idx", "row_idx", "is_header",
-                                         "cells", "error"])
-
-
-def _links_batches(batches):
-    for pdf in batches:
-        out = []
-        for pid, html in zip(pdf["page_id"], pdf["html"]):
-            try:
-                for pos, href, text in _parse(html).links:
-                    out.append((pid, pos, href, text, None))
-            except Exception as e:
-                out.append((pid, None, None, None, repr(e)))
-        yield pd.DataFrame(out, columns=["page_id", "pos", "href", "text", "error"])
+                out = [(pid, None, None, repr(e))]
+            if out:
+                yield pd.DataFrame(out, columns=columns)  # a page at a time
 
 
-def html_cells(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """``(page_id, table_idx, row_idx, is_header, cells, error)`` for every table row.
+def html_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """``(page_id, table_idx, rows, error)``: each ``<table>`` of each page with its rows.
 
     ``table_idx`` counts ``<table>`` elements in document order from 0, as a
     list of all tables would; ``colspan`` / ``rowspan`` repeat the cell text.
+    Filter the pages before this step: only what is left is parsed.
     """
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"))
-    return spread_over_cores(src).mapInPandas(_cells_batches, CELL_SCHEMA)
+    return src.mapInPandas(_table_batches, TABLE_SCHEMA)
+
+
+def html_cells(tables: DataFrame) -> DataFrame:
+    """``(page_id, table_idx, row_idx, is_header, cells)`` for every row of ``html_tables``."""
+    return (tables.filter(F.col("error").isNull())
+            .select("page_id", "table_idx", F.posexplode("rows").alias("row_idx", "r"))
+            .select("page_id", "table_idx", "row_idx", "r.is_header", "r.cells").filter(F.size("cells") > 0))
+
+
+#: A link that opens a list item: its address and what stands between its tags.
+LIST_LINK = r"""(?is)<li\b[^>]*>\s*<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)(?=</a>|</?li\b|</?[ou]l\b|\z)"""
 
 
 def list_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """``(page_id, pos, href, text, error)`` for each ``<a href>`` inside a list item."""
+    """``(page_id, pos, href, text)`` for each link that opens a list item, in page order.
+
+    Built-in expressions only.  Of the character references, the five that XML
+    has are decoded; tags inside the link are dropped.
+    """
+    found = lambda g: F.regexp_extract_all("html", F.lit(LIST_LINK), F.lit(g))
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"))
-    return spread_over_cores(src).mapInPandas(_links_batches, LINK_SCHEMA)
+    each = src.select("page_id", F.posexplode(F.arrays_zip(found(1).alias("href"), found(2).alias("text")))
+                      .alias("pos", "a"))
+    return each.select("page_id", (F.col("pos") + 1).alias("pos"), _decoded(F.col("a.href")).alias("href"),
+                       F.trim(F.regexp_replace(_decoded(F.regexp_replace("a.text", "<[^>]*>", "")), r"\s+", " "))
+                       .alias("text"))
+
+
+def _decoded(c):
+    for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(ref), F.lit(char))
+    return c
 
 
-def table_rows(cells: DataFrame, table_idx: int, header_rows: int = 1) -> DataFrame:
+def table_rows(tables: DataFrame, table_idx: int, header_rows: int = 1) -> DataFrame:
     """Rows of the ``table_idx``-th table of each page with their header.
 
     The deepest of the first ``header_rows`` rows names the columns (a
-    two-level header is flattened to its lower level).  Output
+    two-level header is flattened to its lower level); it lies in the same row
+    of ``html_tables`` and is carried along, so a page is parsed once.  Output
     ``(page_id, row_idx, header, cells)``; pick a column with ``column``.
     """
-    t = cells.filter((F.col("table_idx") == table_idx) & F.col("error").isNull())
-    hdr = (t.filter(F.col("row_idx") == header_rows - 1)
-            .select("page_id", F.col("cells").alias("header")))
-    body = t.filter(F.col("row_idx") >= header_rows).select("page_id", "row_idx", "cells")
-    return body.join(hdr, on="page_id", how="left")
+    t = tables.filter((F.col("table_idx") == table_idx) & F.col("error").isNull())
+    header = F.try_element_at("rows", F.lit(header_rows))["cells"]
+    return (t.select("page_id", header.alias("header"), F.posexplode("rows").alias("row_idx", "r"))
+            .filter((F.col("row_idx") >= header_rows) & (F.size("r.cells") > 0))
+            .select("page_id", "row_idx", "header", F.col("r.cells").alias("cells")))
 
 
-def column(rows: DataFrame, name: str, occurrence: int = 1) -> DataFrame:
-    """The cell under the ``occurrence``-th header equal to ``name``.
+def columns(rows: DataFrame, wanted: dict[str, tuple[str, int]]) -> DataFrame:
+    """``(page_id, row_idx, <name>...)``: for each ``name: (header text, occurrence)`` the cell
+    under the ``occurrence``-th header equal to the text.
 
     ``occurrence=2`` is what a frame library calls ``Name.1`` after it renames
     duplicated headers.  Positions are found per page with array functions, so
     pages with different layouts each get their own column.
     """
-    pos = F.filter(F.sequence(F.lit(1), F.size("header")),
-                   lambda i: F.element_at(F.col("header"), i) == F.lit(name))
-    k = F.try_element_at(pos, F.lit(occurrence))
-    return rows.select("page_id", "row_idx", F.try_element_at(F.col("cells"), k).alias(name))
+    def cell(text: str, occurrence: int):
+        at = F.filter(F.sequence(F.lit(1), F.size("header")),
+                      lambda i: F.element_at(F.col("header"), i) == F.lit(text))
+        return F.try_element_at(F.col("cells"), F.try_element_at(at, F.lit(occurrence)))
+
+    return rows.select("page_id", "row_idx", *[cell(*w).alias(n) for n, w in wanted.items()])
+
+
+def column(rows: DataFrame, name: str, occurrence: int = 1) -> DataFrame:
+    """One column of ``columns``, under its header text."""
+    return columns(rows, {name: (name, occurrence)})

@@ -1,25 +1,15 @@
-"""Multi-sheet workbook scan as a Spark Python Data Source (A1, A2, A3, A4).
-
-``spark.read.format("workbook").option("skipRows", 6).option("sheets", "2010,2011")
-.load("/data/*.xlsx")`` returns one row per sheet row below the header, every
-cell as a string, plus the sheet name (and optionally the file) as columns.
-
-* One input partition per (file, sheet): many workbooks and sheets are read
-  in parallel; a single sheet is not split.
-* Each task opens its own file with the standard library (``zipfile`` +
-  ``xml.etree`` streaming parse of the sheet XML); nothing passes through the
-  driver except the file list and, for schema inference, the header row of the
-  first sheet.
-* Header handling (A2): rows ``1..skipRows`` of the sheet are skipped, the
-  next row is the header (``header=true``), data rows follow.  Duplicated
-  header texts get ``.1``, ``.2`` suffixes.  A user schema (``.schema(...)``)
-  is applied by position.
+"""Multi-sheet workbook scan (A1-A4): Spark lists and reads the files, tasks decode them.
+
+``read_workbooks`` gives one row per sheet row, every cell a string, with the
+sheet's name; ``sheet_frame`` turns them into columns.  A file is one row of
+Spark's ``binaryFile`` source, so any filesystem Spark reads works, and it is
+decoded in a task with the standard library (``zipfile`` and a streaming
+``xml.etree`` parse).  Rows ``1..skip_rows`` of a sheet are skipped, and the
+next row must be the declared header.
 """
 
 from __future__ import annotations
 
-import glob as _glob
-import os
 import re
 import zipfile
 from xml.etree import ElementTree as ET
@@ -29,10 +19,6 @@ import io
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-from ..operators.layout import spread_over_cores
-from pyspark.sql.types import StringType, StructField, StructType
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
        "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
@@ -128,108 +114,13 @@ def dedupe(names: list[str]) -> list[str]:
     return out
 
 
-def _paths(spec: str) -> list[str]:
-    out = []
-    for part in spec.split(","):
-        part = part.strip()
-        hits = sorted(_glob.glob(part)) if any(ch in part for ch in "*?[") else [part]
-        for h in hits:
-            if os.path.isdir(h):
-                out.extend(sorted(os.path.join(h, f) for f in os.listdir(h) if f.endswith(".xlsx")))
-            else:
-                out.append(h)
-    return out
-
-
-class WorkbookDataSource(DataSource):
-    """Options: ``path`` (comma list or glob), ``sheets`` (comma list; default all),
-    ``skipRows`` (int, default 0), ``header`` (default true), ``sheetColumn``
-    (default ``sheet``), ``fileColumn`` (default none)."""
-
-    @classmethod
-    def name(cls):
-        return "workbook"
-
-    def _opt(self, key, default=None):
-        for k, v in self.options.items():
-            if k.lower() == key.lower():
-                return v
-        return default
-
-    def schema(self):
-        paths = _paths(self._opt("path", ""))
-        if not paths:
-            raise FileNotFoundError(f"no workbook matches {self._opt('path')!r}")
-        sheets = self._sheets(paths[0])
-        skip = int(self._opt("skipRows", 0))
-        header = str(self._opt("header", "true")).lower() == "true"
-        names: list[str] = []
-        for rnum, row in iter_sheet_rows(paths[0], sheets[0]):
-            if rnum <= skip:
-                continue
-            names = dedupe([str(x) if x is not None else "" for x in row]) if header \
-                else [f"_c{i}" for i in range(len(row))]
-            break
-        if not names:
-            raise ValueError(f"no header row after {skip} skipped rows in {paths[0]!r}, sheet {sheets[0]!r}")
-        fields = [StructField(n, StringType()) for n in names]
-        fields.append(StructField(self._opt("sheetColumn", "sheet"), StringType()))
-        if self._opt("fileColumn"):
-            fields.append(StructField(self._opt("fileColumn"), StringType()))
-        return StructType(fields)
-
-    def _sheets(self, path):
-        s = self._opt("sheets")
-        return [x.strip() for x in s.split(",")] if s else sheet_names(path)
-
-    def reader(self, schema):
-        return _WorkbookReader(self, schema)
-
-
-class _WorkbookReader(DataSourceReader):
-    def __init__(self, src: WorkbookDataSource, schema: StructType):
-        self.paths = _paths(src._opt("path", ""))
-        self.sheets = src._opt("sheets")
-        self.skip = int(src._opt("skipRows", 0))
-        self.header = str(src._opt("header", "true")).lower() == "true"
-        self.sheet_col = src._opt("sheetColumn", "sheet")
-        self.file_col = src._opt("fileColumn")
-        self.n_cells = len(schema.fields) - 1 - (1 if self.file_col else 0)
-
-    def partitions(self):
-        if self.sheets:
-            names = [x.strip() for x in self.sheets.split(",")]
-            return [InputPartition((p, s)) for p in self.paths for s in names]
-        # Sheet names unknown: one partition per file, all its sheets.
-        return [InputPartition((p, None)) for p in self.paths]
-
-    def read(self, partition):
-        path, sheet = partition.value
-        for s in ([sheet] if sheet is not None else sheet_names(path)):
-            seen_header = not self.header
-            for rnum, row in iter_sheet_rows(path, s):
-                if rnum <= self.skip:
-                    continue
-                if not seen_header:
-                    seen_header = True
-                    continue
-                cells = (row + [None] * self.n_cells)[: self.n_cells]
-                yield tuple(cells) + (s,) + ((path,) if self.file_col else ())
-
-
-def register(spark) -> None:
-    """Make ``spark.read.format("workbook")`` available in this session."""
-    spark.dataSource.register(WorkbookDataSource)
-
-
-# --- cluster-wide reader: Spark lists and reads the files, tasks decode -------
-
 ROWS_SCHEMA = "path string, sheet string, row_idx int, cells array<string>, error string"
 
 
 def _sheet_rows(content: bytes, sheet: str, skip_rows: int | None, header: list[str] | None):
     """Rows of one sheet; with ``header`` set, row ``skip_rows + 1`` must exist and
-    equal it, and only the rows after it are returned."""
+    equal it in all its cells, only the rows after it are returned, and none may
+    have a filled cell beyond the header's columns."""
     rows = iter_sheet_rows(io.BytesIO(content), sheet)
     if header is None:
         return list(rows)
@@ -237,13 +128,18 @@ def _sheet_rows(content: bytes, sheet: str, skip_rows: int | None, header: list[
     for rnum, row in rows:
         if rnum <= skip_rows:
             continue
+        filled = len(row)
+        while filled and row[filled - 1] in (None, ""):
+            filled -= 1
         if not seen:
-            got = [("" if x is None else str(x)) for x in row][: len(header)]
+            got = ["" if x is None else str(x) for x in row[:max(filled, len(header))]]
             if rnum != skip_rows + 1 or got != list(header):
                 raise ValueError(f"header of sheet {sheet!r} at row {rnum} is {got}, "
                                  f"expected {list(header)} at row {skip_rows + 1}")
             seen = True
             continue
+        if filled > len(header):
+            raise ValueError(f"row {rnum} of sheet {sheet!r} has {filled} cells, the header has {len(header)}")
         out.append((rnum, row))
     if not seen:
         raise ValueError(f"sheet {sheet!r} has no header row after {skip_rows} rows")
@@ -251,9 +147,10 @@ def _sheet_rows(content: bytes, sheet: str, skip_rows: int | None, header: list[
 
 
 def _decode_batches(sheets: list[str] | None, skip_rows: int | None, header: list[str] | None):
+    columns = ["path", "sheet", "row_idx", "cells", "error"]
+
     def run(batches):
         for pdf in batches:
-            out = []
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
                     names = sheets or sheet_names(io.BytesIO(content))
@@ -261,8 +158,7 @@ def _decode_batches(sheets: list[str] | None, skip_rows: int | None, header: lis
                             for sh in names for rnum, row in _sheet_rows(content, sh, skip_rows, header)]
                 except Exception as e:  # bad file: one error row and none of its rows
                     rows = [(path, None, None, None, repr(e))]
-                out.extend(rows)
-            yield pd.DataFrame(out, columns=["path", "sheet", "row_idx", "cells", "error"])
+                yield pd.DataFrame(rows, columns=columns)  # a file at a time
     return run
 
 
@@ -273,7 +169,9 @@ def read_workbooks(spark: SparkSession, paths: str | list[str], sheets: list[str
 
     Files are listed and read by Spark's ``binaryFile`` source, so any
     filesystem Spark can read works (HDFS, object stores); each task decodes
-    its own files.  ``row_idx`` is the sheet's own 1-based row number.
+    its own files.  ``row_idx`` is the sheet's own 1-based row number.  How many
+    files a task gets is a reader setting (``spark.sql.files.maxPartitionBytes``,
+    ``spark.sql.files.openCostInBytes``).
 
     With ``header`` given, each sheet is checked in the task that decodes it,
     in row order: row ``skip_rows + 1`` must hold exactly ``header`` (a blank
@@ -283,7 +181,7 @@ def read_workbooks(spark: SparkSession, paths: str | list[str], sheets: list[str
     """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", "true").load(paths).select("path", "content"))
-    return spread_over_cores(files).mapInPandas(_decode_batches(sheets, skip_rows, header), ROWS_SCHEMA)
+    return files.mapInPandas(_decode_batches(sheets, skip_rows, header), ROWS_SCHEMA)
 
 
 def sheet_frame(rows: DataFrame, header: list[str], sheet_col: str = "sheet",

@@ -26,7 +26,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..operators import checks
 from ..plans import stages
 from ..session import checkpoint_dir
-from ..sources.files import file_tag
+from ..sources.files import drop_staged, file_tag, stage
 
 
 def read_deliveries(spark: SparkSession, folder: str, headers: list[str], fmt: str = "csv",
@@ -43,7 +43,7 @@ def read_deliveries(spark: SparkSession, folder: str, headers: list[str], fmt: s
     return df.withColumn("sheet", file_tag(sheet_pattern, strip="last"))
 
 
-VALUES = ["n_offers", "average_price_nominal_euros", "average_price_m2_nominal_euros"]
+VALUES = stages.VALUES
 
 
 def _newest_per_year(panel: DataFrame) -> DataFrame:
@@ -65,7 +65,8 @@ def _earlier_panel(spark: SparkSession, out_dir: str, batch_id: int) -> DataFram
 def _write_batch(out_dir: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        c = stages.clean_deliveries(batch, persist=True)
+        classified = stage(stages.classify(batch), "delivery", spark)
+        c = stages.split_classified(classified)
         try:
             old = _earlier_panel(spark, out_dir, batch_id)
             if old is not None:
@@ -77,7 +78,7 @@ def _write_batch(out_dir: str):
             c.panel.write.mode("overwrite").parquet(f"{out_dir}/panel/batch={batch_id}")
             c.country.write.mode("overwrite").parquet(f"{out_dir}/country/batch={batch_id}")
         finally:
-            c.classified.unpersist()
+            drop_staged(classified)
     return write
 
 

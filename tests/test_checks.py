@@ -80,6 +80,8 @@ def test_join_lookup_guards_uniqueness(spark):
     bad = spark.createDataFrame([(2010, 5), (2010, 6)], "year int, n long")
     with pytest.raises(Exception, match="not unique"):
         join_lookup(left, bad, ["year"]).collect()
+    with pytest.raises(Exception, match="not unique"):  # the guard is no value column that could be pruned
+        join_lookup(left, bad, ["year"]).select("year", "p").collect()
 
 
 def test_columns_helpers(spark):
@@ -120,3 +122,10 @@ def test_recode_report_shows_greedy_matches(spark):
     got = {(r.before, r.after, r.n) for r in entities.recode_report(df, "commune", rules).collect()}
     assert got == {("Petange", "Pétange", 2), ("Paris et Petange", "Pétange", 1),
                    ("Luxembourg City", "Luxembourg", 1)}
+
+
+def test_fingerprint_sees_a_moved_null_and_a_moved_border(spark):
+    fp = lambda rows: checks.fingerprint(spark.createDataFrame(rows, "a string, b string")).first()
+    seen = [fp(r) for r in ([("x", None)], [(None, "x")], [("xy", "z")], [("x", "yz")], [("-", "")], [("", "-")])]
+    assert len(set(seen)) == len(seen)
+    assert fp([]).n_rows == 0 and fp([("x", None), ("x", None)]) != fp([("x", None)])

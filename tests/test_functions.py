@@ -55,10 +55,10 @@ def test_recode_rules_see_previous_output(spark):
     rows = [("Clemency",), ("Erpeldange-sur-Sûre",), ("Luxembourg City",), ("Käerjeng",),
             ("Petange",), ("Mamer",), (None,)]
     df = spark.createDataFrame(rows, "v string")
-    got = [r.x for r in df.select(T.recode_expr("v", rules).alias("x")).collect()]
+    got = [r.x for r in T.recode(df, "v", rules, to="x").collect()]
     assert got == ["Clémency", "Erpeldange", "Luxembourg", "Kaerjeng", "Pétange", "Mamer", None]
     chained = [("a", "b"), ("b", "c")]
-    assert spark.range(1).select(T.recode_expr(F.lit("a"), chained).alias("x")).first().x == "c"
+    assert T.recode(spark.range(1).select(F.lit("a").alias("x")), "x", chained).first().x == "c"
 
 
 def test_class_expr_first_match_and_null(spark):
@@ -69,3 +69,15 @@ def test_class_expr_first_match_and_null(spark):
     df = spark.createDataFrame(rows, "v string")
     got = [r.c for r in df.select(T.class_expr("v", rules, "detail").alias("c")).collect()]
     assert got == ["note", "country_price", "country_count", "other", "detail", "null"]
+
+
+def test_many_recode_rules_plan_in_little_time(spark):
+    import time
+
+    rules = [(f"^v{i}$", f"v{i + 1}") for i in range(50)]
+    df = spark.createDataFrame([("v0",), ("v30",), ("x",)], "v string")
+    T.recode(df, "v", rules[:2]).collect()  # warm
+    t = time.time()
+    got = [r.v for r in T.recode(df, "v", rules).collect()]
+    assert got == ["v50", "v50", "x"] and time.time() - t < 15
+    assert len(T.recode(df, "v", rules)._jdf.queryExecution().optimizedPlan().toString()) < 50_000

@@ -67,7 +67,7 @@ def test_duplicate_base_row_fails(spark):
     rows = [("A", 2010, 1.0), ("A", 2010, 2.0), ("A", 2011, 3.0)]
     df = spark.createDataFrame(rows, "locality string, year int, price double")
     with pytest.raises(Exception, match="more than one base row"):
-        index.price_index(df, ["locality"], "year", 2010, ["price"]).collect()
+        index.price_index(df, ["locality"], "year", 2010, ["price"], how="join").collect()
 
 
 def test_window_equals_join_and_scale_invariance(spark):
@@ -114,12 +114,6 @@ def test_basket_two_goods(spark):
     assert got == {2010: (100.0, 2), 2011: (150.0, 2)}
 
 
-def test_window_form_needs_keys(spark):
-    df = spark.createDataFrame([(2010, 1.0)], "year int, price double")
-    with pytest.raises((ValueError, PySparkException)):
-        index.price_index(df, [], "year", 2010, ["price"], how="window")
-
-
 def test_window_forms_reject_repeated_periods(spark):
     rows = [("A", 2010, 1.0), ("A", 2011, 2.0), ("A", 2011, 3.0)]
     df = spark.createDataFrame(rows, "k string, year int, price double")
@@ -132,14 +126,22 @@ def test_window_forms_reject_repeated_periods(spark):
         index.basket_index(goods, ["k"], "good", "year", "price", "qty", 2010).collect()
 
 
-def test_join_form_broadcast_only_within_bound(spark):
+def test_both_forms_agree_and_neither_runs_a_job(spark):
     from pinax.plans.panels import nation_year_prices
     p = nation_year_prices(spark, "/root/testdata/sf0.01").select("n_name", "year", "price")
-    small = index.price_index(p, ["n_name"], "year", 1995, ["price"], broadcast_max_rows=100)
-    big = index.price_index(p, ["n_name"], "year", 1995, ["price"], broadcast_max_rows=10)
-    plain = index.price_index(p, ["n_name"], "year", 1995, ["price"], broadcast_max_rows=None)
-    hint = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
-    assert hint(small) and not hint(big) and not hint(plain)
+    jobs = lambda: spark.sparkContext.statusTracker().getJobIdsForGroup("index-build")
+    spark.sparkContext.setJobGroup("index-build", "")
+    try:
+        w = index.price_index(p, ["n_name"], "year", 1995, ["price"])
+        j = index.price_index(p, ["n_name"], "year", 1995, ["price"], how="join")
+        assert not jobs()
+    finally:
+        spark.sparkContext.setJobGroup("", "")
     key = lambda r: (r.n_name, r.year)
-    assert sorted(small.collect(), key=key) == sorted(big.collect(), key=key) == \
-        sorted(plain.collect(), key=key)
+    assert sorted(w.collect(), key=key) == sorted(j.select(w.columns).collect(), key=key)
+
+
+def test_single_series_window(spark):
+    df = spark.createDataFrame([(2009, 5.0), (2010, 10.0), (2011, 30.0)], "year int, price double")
+    got = {r.year: r.price_index for r in index.price_index(df, [], "year", 2010, ["price"]).collect()}
+    assert got == {2009: None, 2010: 100.0, 2011: 300.0}

@@ -9,7 +9,9 @@ from tests.conftest import SF01
 
 PYTHON_NODES = ("MapInPandas", "PythonMapInArrow", "BatchEvalPython", "ArrowEvalPython",
                 "FlatMapGroupsInPandas")
-PY_ALLOWED = {"q20_page_links"}
+PY_ALLOWED = {"q36_page_tables"}
+# A national series (one row per year, an aggregate) is indexed in one task.
+ONE_SERIES = {"q16_vs_national", "q33_delivery_vs_country"}
 
 
 def plan_text(df) -> str:
@@ -30,6 +32,8 @@ def test_single_partition_only_after_partial_aggregation(plans):
     """A whole table never funnels into one task: a SinglePartition exchange may
     only carry the per-task results of a partial aggregate."""
     for name, p in plans.items():
+        if name in ONE_SERIES:
+            continue
         lines = p.splitlines()
         for i, line in enumerate(lines):
             if "Exchange SinglePartition" in line:
@@ -46,14 +50,16 @@ def test_python_only_where_parsing_needs_it(plans):
 
 def test_windows_are_partitioned(plans):
     for name, p in plans.items():
+        if name in ONE_SERIES:
+            continue
         for m in re.finditer(r"Window \[.*?\], \[(.*?)\], \[", p):
             assert m.group(1).strip(), f"{name}: window without partitionBy"
 
 
 def test_pushdown_and_pruning(spark):
-    q21 = catalog.q21_stack_slices(spark, SF01)
-    p = q21._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate" in p
+    p = plan_text(catalog.q21_stack_slices(spark, SF01))
+    assert p.count("ReadSchema") == 1
+    assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double,o_orderdate:timestamp_ntz>" in p
     q02 = plan_text(catalog.q02_price_index(spark, SF01))
     assert "ReadSchema: struct<o_custkey:bigint,o_totalprice:double,o_orderdate:timestamp_ntz>" in q02
     q05 = plan_text(catalog.q05_regex_keep(spark, SF01))
@@ -110,7 +116,7 @@ def test_join_form_prunes_to_the_base_period(spark, tmpdir_path):
     path = f"{tmpdir_path}/panel"
     write_table(nation_year_prices(spark, SF01), path, partition_by=["year"])
     panel = spark.read.parquet(path)
-    out = index.price_index(panel, ["n_name"], "year", 1995, ["price"])
+    out = index.price_index(panel, ["n_name"], "year", 1995, ["price"], how="join")
     out.collect()
     final = plan_text(out).split("== Initial Plan ==")[0]
     assert re.search(r"PartitionFilters: \[isnotnull\(year#\d+\), \(year#\d+ = 1995\)\]", final)
@@ -120,10 +126,45 @@ def test_join_form_prunes_to_the_base_period(spark, tmpdir_path):
     assert len(re.findall(r"(?<!Broadcast)Exchange ", final)) == 1
 
 
-def test_spread_only_when_fewer_partitions_than_cores(spark):
-    from pinax.operators.layout import spread_over_cores
-    cores = spark.sparkContext.defaultParallelism
-    small = spark.range(100).coalesce(1)
-    assert spread_over_cores(small).rdd.getNumPartitions() == cores
-    wide = spark.range(0, 1000, 1, cores * 2)
-    assert spread_over_cores(wide) is wide
+def optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["q16_vs_national", "q18_long_series", "q17_pivot"])
+def test_selection_is_applied_at_the_scan(spark, name):
+    """The listed nations are filtered below the window and the aggregate."""
+    lines = optimized(catalog.QUERIES[name](spark, SF01)).splitlines()
+    depth = lambda ln: len(ln) - len(ln.lstrip(" :|+-"))
+    window = max(i for i, ln in enumerate(lines) if "Window [" in ln and "n_name" in ln)
+    aggregate = next(i for i, ln in enumerate(lines) if i > window and "Aggregate [n_name" in ln)
+    chosen = [i for i, ln in enumerate(lines) if "Filter" in ln and "n_name" in ln and "IN" in ln]
+    assert chosen and all(i > aggregate and depth(lines[i]) > depth(lines[aggregate]) for i in chosen)
+
+
+def test_panel_is_computed_once(spark):
+    for name in ("q13_index_base_join", "q33_delivery_vs_country"):  # staged
+        p = plan_text(catalog.QUERIES[name](spark, SF01))
+        assert "lineitem.parquet" not in p and "orders.parquet" not in p
+    for name, table, n in (("q23_index_edge_cases", "orders", 1), ("q31_delivery_panel", "lineitem", 1),
+                           ("q31_delivery_country", "lineitem", 1), ("q32_delivery_index", "lineitem", 1)):
+        text = optimized_scans(catalog.QUERIES[name](spark, SF01), table)
+        assert text == n, name
+
+
+def optimized_scans(df, table: str) -> int:
+    p = plan_text(df)
+    return len([ln for ln in p.splitlines() if "FileScan" in ln and f"{table}.parquet" in ln])
+
+
+def test_starred_cells_do_not_depend_on_the_size(spark):
+    from pinax.plans.panels import STARRED
+    for d in ("/root/testdata/sf0.001", SF01):
+        rows = catalog.q31_delivery_panel(spark, d).collect()
+        nulls = {(r.locality, r.year) for r in rows if r.average_price_nominal_euros is None}
+        assert nulls == set(STARRED) & {(r.locality, r.year) for r in rows}
+        assert len(nulls) < len(rows) / 10
+
+
+def test_page_tables_parse_each_page_once(spark):
+    p = plan_text(catalog.q36_page_tables(spark, SF01))
+    assert len(re.findall(r"MapInPandas", p)) == 1

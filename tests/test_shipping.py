@@ -13,7 +13,7 @@ sys.path.insert(0, {ROOT!r})
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
 import __spark_entry__ as E
-n = E.queries()["q20_page_links"](spark, {SF001!r}).count()
+n = E.queries()["q36_page_tables"](spark, {SF001!r}).count()
 print("ROWS", n)
 """
 

@@ -43,34 +43,85 @@ def test_read_tagged_and_write(spark, tmpdir_path):
     assert staged.count() == 6
 
 
-def test_workbook_source(spark, tmpdir_path):
-    path = os.path.join(tmpdir_path, "deliveries.xlsx")
-    write_xlsx(path, delivery_sheets())
-    assert workbook.sheet_names(path)[:2] == ["2010", "2011"]
-    workbook.register(spark)
-    sheets = ",".join(str(y) for y in range(2010, 2022))
-    df = (spark.read.format("workbook").option("skipRows", 6).option("sheets", sheets)
-          .load(path))
-    assert df.columns == [*HEADERS, "sheet"]
-    assert df.rdd.getNumPartitions() == 12          # one task per sheet
-    rows = df.filter(F.col("sheet") == "2010").collect()
-    assert rows[0]["Commune"] == "  Esch-sur-Alzette\u00a0"
-    assert rows[0]["Nombre d'offres"] == "120"
-    assert float(rows[0]["Prix moyen annoncé en € courant"]) == 400000.0
-    assert df.count() == 10 * 10 + 2 * 9            # Schengen starts in 2012
-    allsheets = spark.read.format("workbook").option("skipRows", 6).load(path)
-    assert allsheets.count() == df.count() and allsheets.rdd.getNumPartitions() == 1
+def _same_layout(d, name, rows):
+    write_xlsx(os.path.join(d, name), {"2020": [[]] * 2 + rows})
+
+
+def test_workbook_rows_and_columns_beyond_the_header(spark, tmpdir_path):
+    """The whole header counts, and a filled cell beyond it is an error, not a lost column."""
+    for name, rows, error in (("a", [["A", "B"], ["1", "2"]], None),
+                              ("b", [["A", "B", "EXTRA"], ["1", "2", "3"]], "header"),
+                              ("c", [["A", "B"], ["1", "2", "3"]], "has 3 cells"),
+                              ("d", [["B", "A"], ["1", "2"]], "header"),
+                              ("e", [["A", "B", None], ["1", "2", None]], None)):
+        d = os.path.join(tmpdir_path, name)
+        os.makedirs(d)
+        _same_layout(d, "x.xlsx", rows)
+        got = workbook.read_workbooks(spark, d, skip_rows=2, header=["A", "B"]).collect()
+        if error:
+            assert len(got) == 1 and error in got[0].error
+        else:
+            assert [(r.error, r.sheet) for r in got] == [(None, "2020")]
+
+
+def test_csv_round_trip_over_several_part_files(spark, tmpdir_path):
+    df = spark.createDataFrame([(i, f"é{i}", i / 2) for i in range(30)], "k long, v string, x double").repartition(4)
+    path = os.path.join(tmpdir_path, "csv")
+    files.write_table(df, path, fmt="csv")
+    assert len([f for f in os.listdir(path) if f.endswith(".csv")]) == 4
+    assert sorted(files.read_csv(spark, path, df.schema).collect()) == sorted(df.collect())
+
+
+def test_csv_with_swapped_columns_or_bad_cells_fails(spark, tmpdir_path):
+    import pytest as _pytest
+    for text in ("v,k\n1,x\n", "k,v\nx,notanumber\n", "k,v,w\nx,1,2\n"):
+        p = os.path.join(tmpdir_path, "f.csv")
+        with open(p, "w") as f:
+            f.write(text)
+        with _pytest.raises(Exception):
+            files.read_csv(spark, p, "k string, v int").collect()
+
+
+def test_sheet_exports_with_more_columns_fail(spark, tmpdir_path):
+    import pytest as _pytest
+    for i, text in enumerate(("A,B,EXTRA\n1,2,3\n", "A,B\n1,2,3\n")):
+        d = os.path.join(tmpdir_path, f"x{i}")
+        os.makedirs(d)
+        with open(os.path.join(d, "2020.csv"), "w") as f:
+            f.write(text)
+        with _pytest.raises(Exception, match="header differs|more cells"):
+            files.read_sheet_exports(spark, d, ["A", "B"]).collect()
+
+
+def test_tagged_inputs_must_have_one_schema(spark, tmpdir_path):
+    import pytest as _pytest
+    a, b = os.path.join(tmpdir_path, "a"), os.path.join(tmpdir_path, "b")
+    spark.range(2).withColumn("v", F.lit(1)).write.parquet(a)
+    spark.range(2).withColumn("w", F.lit(1)).write.parquet(b)
+    with _pytest.raises(ValueError, match="has columns"):
+        files.read_tagged(spark, [a, b])
+
+
+def test_partitioned_table_has_few_files(spark, tmpdir_path):
+    df = spark.range(4000).select("id", (F.col("id") % 5).alias("y")).repartition(8)
+    path = os.path.join(tmpdir_path, "t")
+    files.write_table(df, path, partition_by=["y"])
+    assert spark.read.parquet(path).count() == 4000
+    for d in os.listdir(path):
+        if d.startswith("y="):
+            assert len([f for f in os.listdir(os.path.join(path, d)) if f.endswith(".parquet")]) == 1
 
 
 def test_html_tables_and_links(spark):
     pages = spark.createDataFrame(commune_pages(), "page_id long, html string")
-    cells = html.html_cells(pages)
+    tables = html.html_tables(pages)
+    cells = html.html_cells(tables)
     t = {(r.page_id, r.table_idx, r.row_idx): (r.is_header, list(r.cells)) for r in cells.collect()}
     assert t[(1, 1, 0)] == (True, ["Name", "Name", "Canton"])      # colspan repeated
     assert t[(1, 1, 1)] == (True, ["Name", "Name", "Canton"])
     assert t[(1, 1, 3)][1] == ["x", "Erpeldange-sur-Sûre †", "Diekirch"]
     assert max(k[1] for k in t if k[0] == 2) == 2
-    rows = html.table_rows(cells, 1, header_rows=2)
+    rows = html.table_rows(tables, 1, header_rows=2)
     col = [r.Name for r in html.column(rows, "Name", occurrence=2).filter("page_id = 1").collect()]
     assert "Luxembourg City" in col and len(col) == 7
     links_html = '<ul><li><a href="/a?x=1&amp;y=2">A &amp; B</a></li><li>no link</li></ul><a href="/out">o</a>'
@@ -83,7 +134,7 @@ def test_html_tables_and_links(spark):
 def test_rowspan_cells(spark):
     page = ('<table><tr><th>A</th><th>B</th></tr><tr><td rowspan="2">x</td><td>1</td></tr>'
             '<tr><td>2</td></tr></table>')
-    cells = html.html_cells(spark.createDataFrame([(1, page)], "page_id long, html string"))
+    cells = html.html_cells(html.html_tables(spark.createDataFrame([(1, page)], "page_id long, html string")))
     got = [list(r.cells) for r in cells.orderBy("row_idx").collect()]
     assert got == [["A", "B"], ["x", "1"], ["x", "2"]]
 
@@ -99,11 +150,10 @@ def test_read_workbooks_via_binary_files(spark, tmpdir_path):
     rows = workbook.read_workbooks(spark, d, skip_rows=6, header=HEADERS)
     wide = workbook.sheet_frame(rows, HEADERS)
     assert wide.columns == [*HEADERS, "sheet"]
-    workbook.register(spark)
-    ref = spark.read.format("workbook").option("skipRows", 6).load(os.path.join(d, "a.xlsx") + ","
-                                                                     + os.path.join(d, "b.xlsx"))
-    key = lambda r: tuple((x is None, str(x)) for x in r)
-    assert sorted(map(tuple, wide.collect()), key=key) == sorted(map(tuple, ref.collect()), key=key)
+    got = wide.filter("sheet = '2010'").collect()
+    assert wide.count() == 10 * 10 + 2 * 9            # Schengen starts in 2012
+    assert got[0]["Commune"] == "  Esch-sur-Alzette\u00a0" and got[0]["Nombre d'offres"] == "120"
+    assert float(got[0]["Prix moyen annoncé en € courant"]) == 400000.0
     # a broken file, a drifted header and a shifted header: error rows, no partial rows
     with open(os.path.join(d, "broken.xlsx"), "wb") as f:
         f.write(b"not a zip")
