@@ -30,12 +30,14 @@ BOILERPLATE = set("nav header footer aside form button select textarea menu dial
 BLOCK = set("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 "
             "h6 hr html li main ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 CONTAINER = set("article body center div html main section td".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY_BLOCK = set("p".split())
 ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 NOT_TEXT_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|header|masthead|"
-    r"menu\w*|modal|nav\w*|newsletter|notice|pager|pagination|popup|promo\w*|related|replies|respond|share\w*|"
-    r"sharing|sidebar|skip|social\w*|sponsor\w*|subscribe\w*|toolbar|widgets?)(?:$|[\s_-])", re.I)
+    r"(?:^|[\s_-])(?:ad|ads|ad(?:banner|block|box|sense|slot|space|unit)s?|advert\w*|alerts?|banner|breadcrumbs?|"
+    r"comments?|cookies?|consent|discussion|disqus|footer|gdpr|header|masthead|menu\w*|modal|nav\w*|newsletter|"
+    r"notices?|notifications?|pager|pagination|popup|promo\w*|related|replies|respond|share\w*|sharing|side-?bar|"
+    r"skip|social\w*|sponsor\w*|subscribe\w*|toolbar|widgets?)(?:$|[\s_-])", re.I)
 TEXT_NAME = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 SPACE = re.compile(r"\s+")
 
@@ -147,10 +149,11 @@ def main_text(html: str | None) -> str:
         points = 1 + text.count(",") + min(len(text) / 100, 3)
         points *= 1 - min(1.0, links / len(text))
         # Paragraphs score; so does text that lies directly in a container.
+        # An article counts its parts in full, so no part of it outweighs it.
         at, share = (node.parent if node.tag not in CONTAINER else node), 1.0
         while at is not None:
             if at.tag in CONTAINER:
-                at.score += points * share
+                at.score += points * (1.0 if at.tag == "article" else share)
                 share /= 2
             at = at.parent
         at = node
@@ -175,9 +178,10 @@ def main_text(html: str | None) -> str:
                 inside = True
                 break
             at = at.parent
-        # A paragraph beside the best container is a part of it if it reads like text.
-        beside = node.parent is best.parent and node.tag == "p" and best.tag != "body" and (
-            (len(text) > 80 and links < 0.25 * len(text)) or (links == 0 and text.endswith((".", "!", "?"))))
+        # A heading or a paragraph beside the best container is a part of it if it reads like text.
+        beside = node.parent is best.parent and best.tag not in ("article", "main", "body") and (
+            (node.tag in HEADINGS and links == 0) or node.tag == "p" and (
+                (len(text) > 80 and links < 0.25 * len(text)) or (links == 0 and text.endswith((".", "!", "?")))))
         if inside or beside:
             out.append(text)
     return "\n".join(out)

@@ -118,6 +118,16 @@ def test_siblings_of_the_best_container_are_kept():
     assert len(html_text.main_text(html).split("\n")) == 4
 
 
+def test_an_article_is_not_cut_to_its_longest_part():
+    para = "<p>" + "Some words, and more words, of a story that goes on. " * 4 + "</p>"
+    article = f"<article><h1>Title</h1><section>{para * 9}</section><section><p>Short end.</p></section></article>"
+    body = f"<main><h2>Site</h2>{article}<div class='user-comments'>{para * 20}</div><aside>{para}</aside></main>"
+    lines = html_text.main_text(f"<body>{body}</body>").split("\n")
+    assert lines[0] == "Title" and lines[-1] == "Short end." and len(lines) == 11
+    plain = f"<body><div><h1>Title</h1><section>{para * 9}</section><ul><li><a href=x>more</a></li></ul></div></body>"
+    assert len(html_text.main_text(plain).split("\n")) == 10
+
+
 @pytest.mark.parametrize("html", ["", None, "plain", "<p>", "</div></p>", "<div>" * 3000 + "deep", "<a href='x'>only</a>",
                                   "<script>alert(1)", "<p>&#0;&#xD800;&bogus;</p>", "<", "<!--", "<![CDATA[x]]>"])
 def test_broken_pages(html):
