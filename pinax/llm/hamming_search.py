@@ -87,7 +87,9 @@ def search(rows: DataFrame, queries: DataFrame, k: int, bits: int, id_col: str =
     Equal codes are searched once.  Each round looks up one radius for the codes
     that are not done, and keeps ``k + 1`` verified ids of each (one may be a
     query's own).  A pair is verified only where its smallest segment distance is
-    met first, so no pair is counted twice and none needs a distinct.
+    met first, so no pair is counted twice and none needs a distinct.  The joins
+    are merge joins: what they meet grows with the data on both sides, and a
+    broadcast in each round would add up in the driver.
     """
     as_coded = lambda df: (df.select(F.col(id_col).cast("long").alias("id"), code(vector_col, bits).alias("code"))
                            .filter(F.col("id").isNotNull() & F.col("code").isNotNull()))
@@ -99,34 +101,36 @@ def search(rows: DataFrame, queries: DataFrame, k: int, bits: int, id_col: str =
     index = staged(entries.withColumn("_at", places).select("_at.segment", "_at.key", "code", "ids"), "search-index")
     total = entries.agg(F.sum(F.size("ids"))).first()[0] or 0
     asking = asked.select(F.col("code").alias("query")).distinct()
-    done: DataFrame | None = None
+    done: list[DataFrame] = []
     best: DataFrame | None = None
     nearest = F.row_number().over(Window.partitionBy("query").orderBy("distance", "id"))
+    mine = Window.partitionBy("query")
     for radius in range(max(w for _, w in parts) + 1):
         far = [F.bit_count(_part("query", p).bitwiseXOR(_part("code", p))) for p in parts]
         first = F.lit(True)  # this segment is the first at the smallest distance
         for i, d in enumerate(far):
             first = first & F.when(F.col("segment") > i, d > radius).when(F.col("segment") < i, d >= radius).otherwise(True)
-        found = (_lookups(asking, parts, radius).join(index, ["segment", "key"]).filter(first)
+        found = (_lookups(asking, parts, radius).join(index.hint("merge"), ["segment", "key"]).filter(first)
                  .select("query", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int").alias("distance"),
                          F.explode("ids").alias("id")))
         if best is not None:
             found = found.unionByName(best)
-        best = staged(found.withColumn("_n", nearest).filter(F.col("_n") <= k + 1).drop("_n"), "search-best")
         covered = len(parts) * (radius + 1) - 1
-        state = best.groupBy("query").agg(F.count_if(F.col("distance") <= covered).alias("sure"),
-                                          F.count("*").alias("n"))
-        open_ = (F.coalesce("sure", F.lit(0)) <= k) & (F.coalesce("n", F.lit(0)) < F.lit(total)) \
-            if covered < bits else F.lit(False)
-        ranked = staged(asking.join(state, "query", "left").select("query", open_.alias("open")), "search-state")
-        settled = best.join(ranked.filter(~F.col("open")), "query").drop("open")
-        done = settled if done is None else done.unionByName(settled)
-        asking = ranked.filter("open").select("query")
-        best = best.join(asking, "query", "left_semi")
+        # Open: not enough ids within the distance covered, and more to be found.
+        open_ = ((F.count_if(F.col("distance") <= covered).over(mine) <= k) & (F.count("*").over(mine) < F.lit(total))
+                 if covered < bits else F.lit(False))
+        kept = staged(found.withColumn("_n", nearest).filter(F.col("_n") <= k + 1).drop("_n")
+                      .withColumn("open", open_), "search-best")
+        settled, best = kept.filter(~F.col("open")).drop("open"), kept.filter("open").drop("open")
+        done.append(settled)
+        asking = staged(asking.join(settled.hint("merge"), "query", "left_anti"), "search-asking")
         if asking.isEmpty():
             break
+    sure = done[0]
+    for settled in done[1:]:
+        sure = sure.unionByName(settled)
     own = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "neighbour_id"))
-    return (asked.select(F.col("id").alias("query_id"), F.col("code").alias("query")).join(done, "query")
+    return (asked.select(F.col("id").alias("query_id"), F.col("code").alias("query")).join(sure.hint("merge"), "query")
             .filter(F.col("id") != F.col("query_id"))
             .select("query_id", F.col("id").alias("neighbour_id"), "distance")
             .withColumn("rank", own).filter(F.col("rank") <= k).select("query_id", "rank", "neighbour_id", "distance"))
