@@ -228,7 +228,7 @@ def q14_distinct_union(spark, d):
     p = table(spark, d, "part")
     s = entities.stack([p.select(F.col("p_name").alias("value")),
                         p.select(F.col("p_type").alias("value"))])
-    return entities.distinct_values(s, "value")
+    return entities.distinct_values(s, "value", sort=True)
 
 
 # Q15 (I2): Laspeyres index per nation and year over part types.
