@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pinax.llm import bpe, mixing, quality, queries, rlz, simhash
-from pinax.llm.common import staged, table
+from pinax.llm.common import drop_staged, staged, staged_paths, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -59,8 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows."""
+    """The last stage's rows.  What a stage has staged is removed once its result is written."""
     docs = table(spark, sf_dir, "documents")
+    before = set(staged_paths())
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), name)
+        drop_staged(spark, [p for p in staged_paths()[:-1] if p not in before])
     return docs

@@ -46,9 +46,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/pinax-llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STAGED: list[str] = []
+
+
+def staged_paths() -> list[str]:
+    """Tables that this session has staged, oldest first."""
+    return list(_STAGED)
+
+
+def drop_staged(spark: SparkSession, paths: list[str]) -> None:
+    """Remove staged tables that no later read needs."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(hadoop).delete(at, True)
+        _STAGED.remove(path)
+
+
 def as_struct_type(df: DataFrame, *extra: tuple[str, object]) -> StructType:
     out = StructType(list(df.schema.fields))
     for name, kind in extra:

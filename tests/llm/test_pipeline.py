@@ -69,7 +69,11 @@ def test_run_and_registration(spark, stages):
     assert set(queries.QUERIES) <= set(entry.queries())
     names = {int(q[2:].split("_")[0]) for q in queries.QUERIES}
     assert names == set(range(1, 11))
+    from pinax.llm.common import staged_paths
+
+    before = len(staged_paths())
     assert corpus_pipeline.run(spark, SF001).count() == stages[-1].count()
+    assert len(staged_paths()) == before + 1  # only the result stays
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
