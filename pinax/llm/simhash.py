@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from .anchors import named
 from .common import as_struct_type, blocks, is_separator, staged, utf8, without, words
 from .components import components
 
@@ -267,6 +268,18 @@ def links(distinct: DataFrame, distance: int) -> DataFrame:
             .mapInArrow(verify, "a long, b long"))
 
 
+def _classes(docs: DataFrame, shingle: int, distance: int, id_col: str, text_col: str) -> DataFrame:
+    """``(id, _r1, _r2, fingerprint, component, component_id)`` for each row; the hashes name its text."""
+    marked = staged(fingerprints(named(docs.select(id_col, text_col), text_col), text_col, shingle,
+                                 keep_text=False), "simhash")
+    distinct = staged(marked.groupBy("fingerprint").agg(F.min(id_col).alias("least")), "simhash-distinct")
+    roots = components(links(distinct, distance))
+    of = (distinct.join(roots, F.col("fingerprint") == F.col("node"), "left")
+          .select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("component")))
+    least = of.groupBy("component").agg(F.min("least").alias("component_id"))
+    return marked.join(of.select("fingerprint", "component").join(least, "component"), "fingerprint")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """``(id, fingerprint, component, component_id)`` for each row of ``docs``.
@@ -274,28 +287,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col
     ``component`` names the class (its smallest fingerprint), ``component_id``
     is the smallest id in it.
     """
-    marked = staged(fingerprints(docs.select(id_col, text_col), text_col, shingle, keep_text=False), "simhash")
-    distinct = staged(marked.groupBy("fingerprint").agg(F.min(id_col).alias("least")), "simhash-distinct")
-    roots = components(links(distinct, distance))
-    named = (distinct.join(roots, F.col("fingerprint") == F.col("node"), "left")
-             .select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("component")))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = named.select("fingerprint", "component").join(least, "component")
-    return marked.join(classes, "fingerprint").select(id_col, "fingerprint", "component", "component_id")
+    return (_classes(docs, shingle, distance, id_col, text_col)
+            .select(id_col, "fingerprint", "component", "component_id"))
 
 
 def deduplicate(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """One row of each class of near-duplicates: one with the smallest id.
 
-    The classes come back by fingerprint, computed anew where the text is, so
-    the texts that go are dropped before any shuffle of texts.
+    The rows that stay are chosen on numbers alone and found again by id and
+    text hashes, so texts cross one exchange.  Rows that agree in both, of which
+    one stays, need another; whether there are any is looked up first.
     """
-    classes = (near_duplicates(docs, shingle, distance, id_col, text_col)
-               .filter(F.col(id_col).eqNullSafe(F.col("component_id")))
-               .groupBy("component").agg(F.min(F.struct(F.col(id_col).alias("id"), F.col("fingerprint"))).alias("first"))
-               .select(F.col("first.id").alias("_id"), F.col("first.fingerprint").alias("_fp")))
-    own = fingerprints(docs, text_col, shingle)
-    kept = own.join(classes, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("fingerprint") == F.col("_fp")), "left_semi")
-    # Repeated rows agree in id and fingerprint; one of them stays.
-    return kept.dropDuplicates([id_col, "fingerprint"]).select(*[f"`{c}`" for c in docs.columns])
+    text = [F.col("_r1"), F.col("_r2")]
+    chosen = (_classes(docs, shingle, distance, id_col, text_col)
+              .filter(F.col(id_col).eqNullSafe(F.col("component_id")))
+              .groupBy("component", F.col(id_col).alias("id"), *text).agg(F.count("*").alias("n"))
+              .groupBy("component").agg(F.min(F.struct("id", *text, "n")).alias("first"))
+              .select(F.col("first.id").alias("_id"), F.col("first._r1").alias("_t1"),
+                      F.col("first._r2").alias("_t2"), F.col("first.n").alias("_n")))
+    chosen = staged(chosen, "simhash-chosen")
+    kept = named(without(docs, ["_r1", "_r2"]), text_col).join(
+        chosen, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_r1") == F.col("_t1")) & (F.col("_r2") == F.col("_t2")),
+        "left_semi")
+    if not chosen.filter(F.col("_n") > 1).isEmpty():
+        kept = kept.dropDuplicates([id_col, "_r1", "_r2"])
+    return kept.select(*[f"`{c}`" for c in docs.columns])
