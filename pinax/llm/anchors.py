@@ -25,6 +25,9 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import BLOCK_BYTES, BYTE_VALUES, PrefixHash, blocks, range_hashes, staged, utf8, words
 
+#: Bytes of passages that a task resolves at a time (more, if one gram has more); each
+#: takes some 40 bytes of arrays.
+AT_ONCE = 4 << 20
 #: Anchors' hashes that a task remembers as common.
 REMEMBERED = 1 << 20
 
@@ -306,7 +309,7 @@ def at_all_units(t: pa.Table, record: np.ndarray, start: np.ndarray, end: np.nda
     return no[begin], start[begin], (reach - far)[last], *(m[begin] for m in more)
 
 
-def by_gram(rows: DataFrame, resolve: Callable[[pa.Table], pa.Table], schema: str, most: int = 24 << 20) -> DataFrame:
+def by_gram(rows: DataFrame, resolve: Callable[[pa.Table], pa.Table], schema: str, most: int = AT_ONCE) -> DataFrame:
     """``resolve`` on complete groups of equal ``_h``, as many at a time as hold about ``most`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
