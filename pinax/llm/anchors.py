@@ -27,7 +27,7 @@ from .common import BLOCK_BYTES, BYTE_VALUES, PrefixHash, blocks, range_hashes,
 
 #: Bytes of passages that a task resolves at a time (more, if one gram has more); each
 #: takes some 40 bytes of arrays.
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
 #: Anchors' hashes that a task remembers as common.
 REMEMBERED = 1 << 20
 

@@ -32,8 +32,8 @@ CHUNK, OVERLAP = 1 << 15, 1 << 11
 #: The pattern never looks further than this beyond the end of a match.
 LOOKAHEAD = 4
 
-#: Pre-tokens whose ids a task remembers.
-REMEMBERED = 1 << 18
+#: Pre-tokens whose ids a task remembers: the common ones, most of the others occur once.
+REMEMBERED = 1 << 15
 
 
 def ranks(path: str) -> list[tuple[bytes, int]]:

@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 from ..session import checkpoint_dir
 
 #: Bytes of text that one numpy step handles; a longer document is a step of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 #: Separators of words: space and the ASCII controls tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -87,6 +87,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield rb.slice(a, b - a)
+    pa.default_memory_pool().release_unused()  # a worker that is kept for later tasks holds no spare memory
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
