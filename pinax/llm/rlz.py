@@ -13,8 +13,8 @@ Factors of at least ``window`` words are the duplicate spans.
 Cases: a null or empty text has no words and stays as it is.  Copies of a text
 lose all words that lie in a window, but for those with the smallest id.  Rows with
 the same id do not remove each other's words.  A null id comes after all others.
-Input columns that carry an internal name (leading underscore) are not allowed
-to hold a document's text; others pass through.
+Input columns that carry an output's name, or one used on the way (``first_id``,
+``n``, ``_r1`` and the like), are left out; all others pass through.
 """
 
 from __future__ import annotations
