@@ -2,15 +2,17 @@
 
 Each document gets plain measures of its text.  A rule rejects documents whose
 measure lies above a cutoff; the cutoffs are not guessed but chosen on labelled
-holdout documents, per stratum: a cutoff is used only if an exact binomial
-bound shows, with confidence ``1 - delta`` over all rules and strata at once,
-that it rejects at most ``alpha`` of the good documents.
+holdout documents, per stratum: a set of cutoffs, one for each rule, is used
+only if an exact binomial bound shows, with confidence ``1 - delta`` over all
+strata at once, that its rules together reject at most ``alpha`` of the good
+documents.
 
 Cases: a null or empty text has no words, so the base rules reject it.  Repeated
 rows are judged alike.  A null stratum is a stratum of its own.  Labels that are
 null, or of documents that are not in the table, are not used.  Input columns
-that carry an output's name are replaced.  With no labels no cutoff can be
-certified, and only the base rules reject.
+that carry an output's name are replaced.  A stratum with
+fewer than ``log(delta / strata) / log(1 - alpha)`` good labels past the base
+rules can have no cutoff certified, and only the base rules reject there.
 """
 
 from __future__ import annotations
@@ -46,6 +48,11 @@ RULES: dict[str, list[float]] = {
     "short_words": [-1.0, -1.5, -2.0, -2.5, -3.0],
 }
 
+#: The fixed order in which rule sets are tested: no rule at first, then each step tightens one rule by one
+#: candidate, so that all rules have gone the same share of their candidates.
+STEPS: list[tuple[str, int]] = [(rule, i) for _, _, rule, i in sorted(
+    ((i + 1) / len(cuts), k, rule, i) for k, (rule, cuts) in enumerate(RULES.items()) for i in range(len(cuts)))]
+
 
 def _values() -> dict[str, Column]:
     per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
@@ -132,50 +139,57 @@ def binomial_tail(k: int, n: int, p: float) -> float:
     return min(1.0, math.exp(top) * math.fsum(math.exp(t - top) for t in terms))
 
 
+def _first_step() -> Column:
+    """The first of ``STEPS`` whose rule set rejects the document, ``len(STEPS)`` if none does."""
+    values, no = _values(), {step: k for k, step in enumerate(STEPS)}
+    firsts = []
+    for rule, cuts in RULES.items():
+        first = F.lit(len(STEPS))
+        for i in reversed(range(len(cuts))):
+            first = F.when(values[rule] > F.lit(cuts[i]), F.lit(no[rule, i])).otherwise(first)
+        firsts.append(first)
+    return F.least(*firsts)
+
+
 def calibrate(holdout: DataFrame, stratum: str, good: Column, alpha: float = 0.02,
               delta: float = 0.05) -> DataFrame:
     """Certified cutoffs: ``(stratum, rule, cutoff, n_good, n_rejected)``.
 
     ``holdout`` has the measures and the stratum of labelled documents; ``good``
-    marks those that must not be rejected.  For each rule and stratum the
-    candidates are tested from lenient to strict, each at level
-    ``delta / (rules x strata)``: "its false-rejection rate exceeds
-    alpha / rules" is rejected when the exact binomial probability of so few
-    rejected good documents is at most the level, and testing stops at the
-    first candidate that is not certified.  Tests in a fixed order until the
-    first failure need no further correction, and the union over rules loses at
-    most ``alpha`` of the good documents of a stratum.  Of the certified
-    cutoffs, the rule uses the most lenient one that rejects as many bad
-    documents as the strictest does.
+    marks those that must not be rejected.  Rule sets are tested whole: the set
+    after each of ``STEPS`` has a cutoff for every rule tightened so far, and
+    rejects what the sets before it reject.  For each stratum the sets are
+    tested from lenient to strict, each at level ``delta / strata``: "the share
+    of good documents that any of its rules rejects exceeds alpha" is rejected
+    when the exact binomial probability of so few rejected good documents is at
+    most the level, and testing stops at the first set that is not certified.
+    Tests in a fixed order until the first failure need no further correction.
+    Of the certified sets, the stratum uses the most lenient one that rejects
+    as many bad documents as the strictest does.  ``n_rejected`` is the number
+    of good documents that the whole set rejects.
 
     The counts form one aggregate with map-side partial sums: a row for each
-    stratum (rules x candidates columns), whatever the number of documents.
+    stratum (two columns for each step), whatever the number of documents.
     """
-    values = _values()
-    counts = [F.count_if(good).alias("n_good")]
-    for rule, cuts in RULES.items():
-        for i, c in enumerate(cuts):
-            counts += [F.count_if(good & (values[rule] > F.lit(c))).alias(f"{rule}|{i}|good"),
-                       F.count_if(~good & (values[rule] > F.lit(c))).alias(f"{rule}|{i}|bad")]
-    tested = staged(holdout.filter(~base_failed())
+    first, counts = F.col("_first"), [F.count_if(good).alias("n_good")]
+    for k in range(len(STEPS)):
+        counts += [F.count_if(good & (first <= k)).alias(f"{k}|good"), F.count_if(~good & (first <= k)).alias(f"{k}|bad")]
+    tested = staged(holdout.filter(~base_failed()).withColumn("_first", _first_step())
                     .groupBy(F.col(stratum).cast("string").alias("stratum")).agg(*counts), "holdout")
-    level = delta / (len(RULES) * max(1, tested.count()))
+    level = delta / max(1, tested.count())
 
     def choose(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for r in part.to_dict("records"):
-                n = int(r["n_good"])
-                for rule, cuts in RULES.items():
-                    passed = []
-                    for i, c in enumerate(cuts):
-                        k = int(r[f"{rule}|{i}|good"])
-                        if binomial_tail(k, n, alpha / len(RULES)) > level:
-                            break
-                        passed.append((int(r[f"{rule}|{i}|bad"]), c, k))
-                    if passed:
-                        _, c, k = next(x for x in passed if x[0] == passed[-1][0])
-                        out.append((r["stratum"], rule, c, n, k))
+                n, passed = int(r["n_good"]), 0
+                while passed < len(STEPS) and binomial_tail(int(r[f"{passed}|good"]), n, alpha) <= level:
+                    passed += 1
+                if passed:
+                    last = next(k for k in range(passed) if r[f"{k}|bad"] == r[f"{passed - 1}|bad"])
+                    strictest = dict(STEPS[:last + 1])  # the last candidate of each rule
+                    out += [(r["stratum"], rule, RULES[rule][i], n, int(r[f"{last}|good"]))
+                            for rule, i in strictest.items()]
             yield pd.DataFrame(out, columns=["stratum", "rule", "cutoff", "n_good", "n_rejected"])
 
     return tested.mapInPandas(

@@ -1,6 +1,7 @@
 """Tokens, quality rules, main text."""
 
 import math
+import random
 
 import public_tokenizers
 import pytest
@@ -81,6 +82,59 @@ def test_verdicts(docs, labels, rows):
         assert r.base_failed == failed and not (failed and r.kept)
 
 
+def _judged_plainly(rows, quality_of, alpha=0.02, delta=0.05):
+    """The ids that are kept, from the texts, labels and ``RULES`` alone."""
+    of, lang, base = {}, {r[0]: r[2] for r in rows}, set()
+    for (i, n, chars, symbols, dup, cover), r in zip(data.measures_reference(rows), rows):
+        lines = len([x for x in r[1].split("\n") if x.strip()])
+        of[i] = [symbols / n, dup / lines, cover / n, chars / n, -chars / n]
+        if n < 50 or 2 * cover > n:
+            base.add(i)
+    cuts = list(quality.RULES.values())
+    order = sorted(((i + 1) / len(c), k, i) for k, c in enumerate(cuts) for i in range(len(c)))
+    rejects = lambda i, at: any(of[i][k] > c for k, c in at.items())
+    kept, strata = set(of) - base, {lang[i] for i in quality_of if i not in base}
+    for s in strata:
+        good, bad = ([i for i, q in quality_of.items() if q == want and lang[i] == s and i not in base] for want in (1, 0))
+        sets, at = [], {}
+        for _, k, i in order:
+            at = at | {k: cuts[k][i]}
+            x = sum(rejects(d, at) for d in good)
+            tail = sum(math.comb(len(good), j) * alpha ** j * (1 - alpha) ** (len(good) - j) for j in range(x + 1))
+            if tail > delta / len(strata):
+                break
+            sets.append((sum(rejects(d, at) for d in bad), at))
+        used = next((at for n, at in sets if n == sets[-1][0]), {})
+        kept -= {i for i in kept if lang[i] == s and rejects(i, used)}
+    return kept
+
+
+def test_kept_equals_a_plain_version(spark):
+    r, rows, quality_of = random.Random(4), [], {}
+    for lang, n_good in (("en", 700), ("fr", 260), (None, 217), ("es", 216)):
+        for k in range(n_good + 40):
+            bad = k >= n_good
+            words = ["".join(r.choices("abcdefgh", k=r.randint(2, 9))) for _ in range(60 if k % 19 else 30)]
+            if bad:
+                words = [w + "#" * (k % 3) if i % 2 else w * (1 + k % 2) for i, w in enumerate(words)]
+            elif lang == "en" and k % 200 == 1:
+                words[:40] = ["#&" + w for w in words[:40]]  # good ones that some rule sets reject
+            rows.append((len(rows), "\n".join(" ".join(words[i:i + 10]) for i in range(0, len(words), 10)), lang, None, 1))
+            if k % 10:
+                quality_of[len(rows) - 1] = int(not bad)
+    for lang in ("fr", None):  # more good labels past the base rules
+        rows += [(len(rows) + k, " ".join(["plain", "words"][k % 2] + str(i) for i in range(60)), lang, None, 1)
+                 for k in range(60)]
+        quality_of |= {row[0]: 1 for row in rows[-60:]}
+    docs = spark.createDataFrame(rows, data.DOC_SCHEMA).repartition(3)
+    labels = spark.createDataFrame([(i, q, 0) for i, q in quality_of.items()], "doc_id long, quality int, toxic int")
+    kept = {x.doc_id for x in quality.quality_rules(docs, labels).filter("kept").collect()}
+    assert kept == _judged_plainly(rows, quality_of)
+    lost = {lang: sum(x[2] == lang and x[0] not in kept and len(x[1].split()) >= 50 for x in rows)
+            for lang in ("en", "fr", None, "es")}
+    assert lost["fr"] > 0 and lost[None] > 0 and lost["en"] > 0 and lost["es"] == 0
+
+
 def test_quality_edges(no_docs, docs, labels, clashing):
     assert quality.quality_rules(no_docs, labels).count() == 0
     assert quality.quality_rules(docs, labels.limit(0)).filter("kept <> (not base_failed)").count() == 0
