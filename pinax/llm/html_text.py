@@ -6,7 +6,8 @@ container's points are discounted by its share of link text.  The best
 container is kept, with those siblings that look like a part of it.
 
 Cases: a null, empty or textless page gives an empty text.  Unclosed and
-misnested tags close with their container.  Pages are independent, so repeated
+misnested tags close with their container; a head closes at what cannot stand
+in it.  Pages are independent, so repeated
 rows give equal results.  Input columns that carry an output's name are
 replaced.  Deep nesting is held in lists, not on Python's stack.
 """
@@ -25,30 +26,42 @@ from .common import as_struct_type, blocks, without
 
 #: Elements of HTML by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-NO_TEXT = set("script style noscript template head iframe object svg canvas math audio video".split())
-BOILERPLATE = set("nav header footer aside form button select textarea menu dialog".split())
+NO_TEXT = set("script style noscript template head title iframe object svg canvas math audio video".split())
+#: Start tags that do not close an open head.
+IN_HEAD = set("html head base basefont bgsound link meta noframes noscript script style template title".split())
+BOILERPLATE = set("nav header footer aside button select textarea menu dialog".split())
 BLOCK = set("address article blockquote body center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 "
             "h6 hr html li main ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 CONTAINER = set("article body center div html main section td".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY_BLOCK = set("p".split())
-ROLES = set("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
+ROLES = set("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog".split())
 NOT_TEXT_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|ad(?:banner|block|box|sense|slot|space|unit)s?|advert\w*|alerts?|banner|breadcrumbs?|"
+    r"(?:^|[_-])(?:ad|ads|ad(?:banner|block|box|sense|slot|space|unit)s?|advert\w*|alerts?|banner|breadcrumbs?|"
     r"comments?|cookies?|consent|discussion|disqus|footer|gdpr|header|masthead|menu\w*|modal|nav\w*|newsletter|"
     r"notices?|notifications?|pager|pagination|popup|promo\w*|related|replies|respond|share\w*|sharing|side-?bar|"
-    r"skip|social\w*|sponsor\w*|subscribe\w*|toolbar|widgets?)(?:$|[\s_-])", re.I)
+    r"skip|social\w*|sponsor\w*|subscribe\w*|toolbar|widgets?)(?:$|[_-])", re.I)
+#: Names that say what a page has or has not, or how a part of it stands.
+STATE_NAME = re.compile(r"(?:has|is|no|not|with|without)[_-]|.*[_-](?:open|opened|closed|enabled|disabled)$", re.I)
 TEXT_NAME = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 SPACE = re.compile(r"\s+")
 
 
+def _furniture(name: str) -> bool:
+    """Whether a token of a class or an id names page furniture."""
+    return any(NOT_TEXT_NAME.search(x) and not STATE_NAME.match(x) for x in name.split())
+
+
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "named", "score", "length", "links", "blocks")
+    __slots__ = ("tag", "parent", "dropped", "named", "score", "length", "links", "blocks", "soft", "plain", "anchor")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, named: int):
         self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, named
         self.score, self.length, self.links = float(named), 0, 0
         self.blocks: list[int] = []  # texts that lie directly in this node
+        self.soft = False   # a form, or named like furniture: dropped unless it holds the page's text
+        self.plain = False  # an article or main that is not named like furniture
+        self.anchor = ""    # the id of a section that only its id names so
 
 
 class Tree(HTMLParser):
@@ -72,13 +85,24 @@ class Tree(HTMLParser):
     def block(self) -> Node:
         return self.node
 
+    def leave_head(self, tag: str) -> None:
+        """Close an open head at what cannot stand in it, as its end tag is optional."""
+        at: Node | None = self.node
+        if tag == "body":  # from any depth, but not out of a template
+            while at is not None and at.tag not in ("head", "template"):
+                at = at.parent
+        if at is not None and at.tag == "head" and tag not in IN_HEAD:
+            self.parts = []
+            self.node = at.parent
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        self.leave_head(tag)
         if tag == "a":
             self.in_link += 1
         if tag == "br":
             self.parts.append(" ")
         special = tag in NO_TEXT or tag in BOILERPLATE
-        if tag not in BLOCK and not special:
+        if tag not in BLOCK and not special and tag != "form":
             return
         self.flush()
         if tag in VOID:
@@ -90,10 +114,16 @@ class Tree(HTMLParser):
         a = {k: v or "" for k, v in attrs}
         name = f"{a.get('class', '')} {a.get('id', '')}"
         dropped = (self.node.dropped or special or a.get("role", "").lower() in ROLES or "hidden" in a
-                   or a.get("aria-hidden", "").lower() == "true"
-                   or (tag not in ("html", "body", "article", "main") and bool(NOT_TEXT_NAME.search(name))))
-        named = 25 if tag in ("article", "main") or a.get("role") == "main" else 10 if TEXT_NAME.search(name) else 0
+                   or a.get("aria-hidden", "").lower() == "true")
+        top = tag in ("article", "main") or a.get("role") == "main"
+        named = 25 if top else 10 if TEXT_NAME.search(name) else 0
+        furniture = _furniture(name)
         self.node = Node(tag, self.node, dropped, 0 if dropped else named)
+        self.node.plain = top and not furniture
+        self.node.soft = (tag == "form" or a.get("role", "").lower() == "form"
+                          or (furniture and tag not in HEADINGS and tag not in ("html", "body", "article", "main")))
+        if tag == "section" and self.node.soft and not _furniture(a.get("class", "")):
+            self.node.anchor = a.get("id", "").lower()
         self.nodes.append(self.node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -104,7 +134,7 @@ class Tree(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag == "a":
             self.in_link = max(0, self.in_link - 1)
-        if tag not in BLOCK and tag not in NO_TEXT and tag not in BOILERPLATE:
+        if tag not in BLOCK and tag not in NO_TEXT and tag not in BOILERPLATE and tag != "form":
             return
         self.flush()
         at = self.node
@@ -118,6 +148,8 @@ class Tree(HTMLParser):
             self.in_link = 0
 
     def handle_data(self, data: str) -> None:
+        if self.node.tag == "head" and data.strip():
+            self.leave_head("#text")
         if self.node.dropped:
             return
         self.parts.append(data)
@@ -138,11 +170,47 @@ def _within(node: Node, top: Node) -> bool:
     return False
 
 
+def _drop_furniture(tree: Tree) -> None:
+    """Drop the soft nodes that do not hold the page's text.
+
+    A form or an element named like furniture stays if it holds a plain article
+    or main, if it is a section whose id repeats its heading, or if it holds
+    more than half of the page's text outside links while no article, main or
+    element named like text that lies apart from it has a tenth as much.
+    """
+    nodes = tree.nodes
+    no = {id(n): i for i, n in enumerate(nodes)}
+    own, last, holds = [0] * len(nodes), list(range(len(nodes))), [False] * len(nodes)
+    headed: dict[int, str] = {}
+    for node, text, links in tree.texts:
+        own[no[id(node)]] += len(text) - min(links, len(text))
+        if node.tag in HEADINGS and node.parent is not None:
+            headed.setdefault(id(node.parent), re.sub(r"[\W_]+", "-", text.lower()).strip("-"))
+    for i in range(len(nodes) - 1, 0, -1):  # parents stand before their children
+        up = no[id(nodes[i].parent)]
+        own[up] += own[i]
+        last[up] = max(last[up], last[i])
+        holds[up] = holds[up] or holds[i] or (nodes[i].plain and not nodes[i].dropped and own[i] > 0)
+    under = [False] * len(nodes)
+    for i, n in enumerate(nodes):
+        under[i] = n.soft or n.dropped or (i > 0 and under[no[id(n.parent)]])
+    named = [i for i, n in enumerate(nodes) if (n.plain or n.named) and not under[i]]
+    for i, n in enumerate(nodes):
+        if i and nodes[no[id(n.parent)]].dropped:
+            n.dropped = True
+        elif n.soft and not n.dropped and not holds[i] and not n.plain:
+            chapter = n.anchor and not n.anchor.startswith(("comment", "repl")) and headed.get(id(n)) == n.anchor
+            n.dropped = not chapter and (2 * own[i] <= own[0] or any(
+                10 * own[k] >= own[i] for k in named if k > last[i] or last[k] < i))
+    tree.texts = [x for x in tree.texts if not x[0].dropped]
+
+
 def main_text(html: str | None) -> str:
     """The page's main text, a line for each block."""
     tree = Tree()
     tree.feed(html or "")
     tree.close()
+    _drop_furniture(tree)
     if not tree.texts:
         return ""
     for i, (node, text, links) in enumerate(tree.texts):

@@ -182,6 +182,34 @@ def test_an_article_is_not_cut_to_its_longest_part():
     assert len(html_text.main_text(plain).split("\n")) == 10
 
 
+STORY = "<p>Some words, and more words, of a story that goes on.</p>"
+
+
+@pytest.mark.parametrize("start", ["<html><head><title>T</title><body>", "<head><meta charset=x><title>T</title>",
+                                   "<head><title>T</title><noscript><style>p{}</style><body>"])
+def test_a_head_without_an_end_tag(start):
+    assert html_text.main_text(f"{start}{STORY * 2}").count("story") == 2
+    assert html_text.main_text("<head><title>T</title>Plain text.") == "Plain text."
+
+
+@pytest.mark.parametrize("wrap", ["class='layout has-sidebar'", "class='page no-sidebar'", "class='post-content comments-open'",
+                                  "class='header-fixed wrapper'", "id=discussion", "class=widget"])
+def test_a_wrapper_named_like_furniture_keeps_the_page(wrap):
+    rest = "<div class=sidebar><p>Some offers, here.</p></div>"
+    for inner in (f"<article>{STORY * 4}</article>", STORY * 4, f"<form action=x>{STORY * 4}</form>"):
+        assert html_text.main_text(f"<body><div {wrap}>{inner}{rest}</div></body>").split("\n") == [
+            "Some words, and more words, of a story that goes on."] * 4
+    assert "offers" not in html_text.main_text(f"<body><form id=aspnet>{STORY * 4}{rest}</form></body>")
+
+
+def test_sections_and_headings_are_not_furniture_by_their_id():
+    html = (f"<main><h1 id=related>Title</h1><section id=results><h2>Results</h2>{STORY * 3}</section>"
+            f"<section id=discussion><h2>Discussion</h2>{STORY * 2}</section>"
+            f"<section id=comments><h2>Comments</h2>{STORY}</section></main>")
+    text = html_text.main_text(f"<body><article>{html}</article></body>")
+    assert "Title" in text and "Discussion" in text and text.count("story") == 5
+
+
 @pytest.mark.parametrize("html", ["", None, "plain", "<p>", "</div></p>", "<div>" * 3000 + "deep", "<a href='x'>only</a>",
                                   "<script>alert(1)", "<p>&#0;&#xD800;&bogus;</p>", "<", "<!--", "<![CDATA[x]]>"])
 def test_broken_pages(html):
