@@ -3,7 +3,8 @@
 A page becomes a tree of blocks.  Each paragraph scores points for its length
 and commas and passes them to its ancestors, the nearer the more; a
 container's points are discounted by its share of link text.  The best
-container is kept, with those siblings that look like a part of it.
+container is kept, with every block beside it that is not mostly links, however
+short, up to the main or content container or the body that holds them.
 
 Cases: a null, empty or textless page gives an empty text.  Unclosed and
 misnested tags close with their container; a head closes at what cannot stand
@@ -213,22 +214,31 @@ def main_text(html: str | None) -> str:
     _drop_furniture(tree)
     if not tree.texts:
         return ""
-    for i, (node, text, links) in enumerate(tree.texts):
+    for node, text, links in tree.texts:
+        at: Node | None = node
+        while at is not None:
+            at.length += len(text)
+            at.links += links
+            at = at.parent
+    # An article counts its parts in full, so no part of it outweighs it; so does a main without articles.
+    full = {id(n) for n in tree.nodes if n.tag == "article" or (n.plain and n.length)}
+    for n in tree.nodes:
+        if n.tag == "article" and n.plain and n.length:
+            at = n.parent
+            while at is not None:
+                if at.tag != "article":
+                    full.discard(id(at))
+                at = at.parent
+    for node, text, links in tree.texts:
         points = 1 + text.count(",") + min(len(text) / 100, 3)
         points *= 1 - min(1.0, links / len(text))
         # Paragraphs score; so does text that lies directly in a container.
-        # An article counts its parts in full, so no part of it outweighs it.
         at, share = (node.parent if node.tag not in CONTAINER else node), 1.0
         while at is not None:
             if at.tag in CONTAINER:
-                at.score += points * (1.0 if at.tag == "article" else share)
+                at.score += points * (1.0 if id(at) in full else share)
                 share /= 2
             at = at.parent
-        at = node
-        while at is not None:
-            at.length += len(text)
-            at.links += links
-            at = at.parent
     containers = [n for n in tree.nodes if n.tag in CONTAINER and n.length] or [tree.nodes[0]]
     worth = {id(n): n.score * (1 - min(1.0, n.links / max(1, n.length))) for n in containers}
     best = max(containers, key=lambda n: worth[id(n)])
@@ -238,23 +248,48 @@ def main_text(html: str | None) -> str:
     for n in containers:
         if n.parent is best.parent and n is not best and worth[id(n)] >= least:
             kept.add(id(n))
+    opened = _beside(tree, best, kept)
     out = []
     for node, text, links in tree.texts:
-        at, inside = node, False
-        while at is not None:
-            if id(at) in kept:
-                inside = True
-                break
+        inside = id(node) in opened and 4 * links < len(text)
+        at = node
+        while at is not None and not inside:
+            inside = id(at) in kept
             at = at.parent
-        # A heading or a paragraph beside the best container is a part of it if it reads like text.
-        beside = node.parent is best.parent and best.tag not in ("article", "main", "body") and (
-            (node.tag in HEADINGS and links == 0) or node.tag == "p" and (
-                (len(text) > 80 and links < 0.25 * len(text)) or (links == 0 and text.endswith((".", "!", "?")))))
-        if inside or beside:
+        if inside:
             out.append(text)
     return "\n".join(out)
 
 
+def _beside(tree: Tree, best: Node, kept: set[int]) -> set[int]:
+    """Add what stands beside the best container to ``kept``; the nodes whose own texts stand there.
+
+    An article, a main or the body is whole.  Else the blocks beside it are a
+    part of it unless a quarter of their text is links, and so are those beside
+    its parent, up to a container that is named like text or the body; below a
+    main, up to the main.
+    """
+    opened: set[int] = set()
+    if best.plain or best.tag in ("article", "main", "body"):
+        return opened
+    children: dict[int, list[Node]] = {}
+    for n in tree.nodes[1:]:
+        children.setdefault(id(n.parent), []).append(n)
+    at, in_main = best.parent, False
+    while at is not None and not in_main:
+        in_main, at = at.plain, at.parent
+    at = best
+    while at.parent is not None:
+        up = at.parent
+        kept.update(id(n) for n in children[id(up)] if n is not at and 4 * n.links < n.length)
+        opened.add(id(up))
+        named = at is best and at.named or up.named
+        if up.plain or up.tag in ("body", "html", "#page") or 4 * up.links >= up.length or (named and not in_main):
+            break
+        at = up
+    return opened
+
+
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` without the html but with ``text`` and ``n_chars`` (its code points)."""
     pages = without(pages, [c for c in ("text", "n_chars") if c != html_col])

@@ -210,6 +210,19 @@ def test_sections_and_headings_are_not_furniture_by_their_id():
     assert "Title" in text and "Discussion" in text and text.count("story") == 5
 
 
+@pytest.mark.parametrize("around", ["<main>{}</main>", "<div id=content>{}</div>", "<div>{}</div>", "<div><div>{}</div></div>",
+                                    "<main><div id=content>{}</div></main>"])
+@pytest.mark.parametrize("part", ["<section>{}</section>", "<div><section>{}</section></div>"])
+def test_short_parts_beside_a_long_one_are_kept(around, part):
+    long = "<p>" + "Some words, and more words, of a story that goes on. " * 4 + "</p>"
+    say = lambda x: part.format(f"<p>{x}</p>")
+    inner = (f"<h1>Title</h1>bare{say('Intro')}{part.format(long * 30)}<ul><li>one<li>two</ul><table><tr><td>cell</table>"
+             f"<blockquote>Quote</blockquote><pre>code</pre>{say('The end')}")
+    lines = html_text.main_text(f"<body><nav>no</nav>{around.format(inner)}<ul><li><a href=x>more</a></ul></body>").split("\n")
+    assert len(lines) == 39 and lines[:3] == ["Title", "bare", "Intro"]
+    assert lines[33:] == ["one", "two", "cell", "Quote", "code", "The end"]
+
+
 @pytest.mark.parametrize("html", ["", None, "plain", "<p>", "</div></p>", "<div>" * 3000 + "deep", "<a href='x'>only</a>",
                                   "<script>alert(1)", "<p>&#0;&#xD800;&bogus;</p>", "<", "<!--", "<![CDATA[x]]>"])
 def test_broken_pages(html):
