@@ -7,6 +7,7 @@ from prefix sums, so no per-word Python object is made.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -162,9 +163,52 @@ class PrefixHash:
         return mixed(x + (ends - starts).astype(np.uint64))
 
 
-def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges."""
-    return PrefixHash(BYTE_VALUES[data]).of(starts, ends)
+#: Masks of the last bytes of a range, by the number of bytes in it.
+_LANE_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Bytes up to which a range is hashed eight bytes at a time; longer ones are digested.
+LONG_RANGE = 512
+
+
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that start at each byte, as one number."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of byte ranges.
+
+    Eight bytes at a time are mixed in by a bijection, so no regular pattern
+    cancels out; ranges of over ``LONG_RANGE`` bytes take a keyed BLAKE2 digest.
+    """
+    size = ends - starts
+    h = mixed(size.astype(np.uint64) + np.uint64((seed * BASE) % (1 << 64)))
+    lanes, live, at = _lanes(data), np.flatnonzero((size > 0) & (size <= LONG_RANGE)), 0
+    while len(live):
+        left = size[live] - at
+        h[live] = mixed(h[live] ^ (lanes[starts[live] + at] & _LANE_MASKS[np.minimum(left, 8)]))
+        at += 8
+        live = live[left > 8]
+    for i in np.flatnonzero(size > LONG_RANGE):
+        digest = hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little"))
+        h[i] = int.from_bytes(digest.digest(), "little")
+    return h
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each pair of ranges that start at ``a`` and ``b``, whether their ``size`` bytes are equal."""
+    same = np.ones(len(a), bool)
+    lanes, live, at = _lanes(data), np.flatnonzero((size > 0) & (size <= LONG_RANGE)), 0
+    while len(live):
+        left = size[live] - at
+        differ = (lanes[a[live] + at] ^ lanes[b[live] + at]) & _LANE_MASKS[np.minimum(left, 8)]
+        same[live[differ != 0]] = False
+        at += 8
+        live = live[(differ == 0) & (left > 8)]
+    for i in np.flatnonzero(size > LONG_RANGE):
+        same[i] = np.array_equal(data[a[i]:a[i] + size[i]], data[b[i]:b[i] + size[i]])
+    return same
 
 
 def repeated(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

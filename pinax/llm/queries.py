@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hamming_search, html_text, mixing, quality, rlz, shards, simhash, suffixes, urls
+from . import bpe, fim, hamming_search, html_text, mixing, quality, rlz, shards, simhash, suffixes, urls
 from .common import WORD, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -25,6 +25,9 @@ SEARCH_K = 10
 MIX_WEIGHTS = [3, 1, 2]
 MIX_BUDGET, MIX_EPOCHS, MIX_SEED = 1.5, 2.0, 20240501
 
+#: Seed, share of texts that are transformed and share of those with the suffix first, in per cent.
+FIM = ("7", 100, 50)
+
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -89,11 +92,39 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("page_id", "url", "text", "n_chars"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), *FIM)
+    digest = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       digest(F.col("output")).alias("output_sha256"), digest(fim.restored()).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_byte_bpe, op2_virtual_slots, op3_suffix_dedup, op4_url_filter, op5_quality_rules,
-                            op6_hamming_top_k, op7_rlz_dedup, op8_mix_sources, op9_simhash, op10_main_text)}
+                            op6_hamming_top_k, op7_rlz_dedup, op8_mix_sources, op9_simhash, op10_main_text, op11_fill_in_middle)}
 
 ORACLE: dict[str, str] = {
+    "op11_fill_in_middle": r"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+         sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hx FROM documents),
+drawn AS (
+  SELECT doc_id, text, u, CAST(len(u) AS BIGINT) AS n,
+         CAST('0x' || hx[1:8] AS BIGINT) % (len(u) + 1) AS h1, CAST('0x' || hx[9:16] AS BIGINT) % (len(u) + 1) AS h2,
+         CAST('0x' || hx[17:24] AS BIGINT) % 100 AS h3, CAST('0x' || hx[25:32] AS BIGINT) % 100 AS h4 FROM units),
+cut AS (
+  SELECT doc_id, text, n, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>')
+                                 OR contains(text, '<M>') OR h3 >= 100 THEN 'plain'
+                               WHEN h4 < 50 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(u[1:least(h1, h2)], '') AS p,
+         array_to_string(u[least(h1, h2) + 1:greatest(h1, h2)], '') AS m,
+         array_to_string(u[greatest(h1, h2) + 1:], '') AS s FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM cut""",
     "op6_hamming_top_k": f"""
 WITH pairs AS (
   SELECT q.vec_id AS query_id, r.vec_id AS neighbour_id,
