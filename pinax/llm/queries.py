@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fim, hamming_search, html_text, mixing, quality, rlz, shards, simhash, suffixes, urls
+from . import bpe, fim, hamming_search, html_text, licenses, mixing, quality, rlz, shards, simhash, suffixes, urls
 from .common import WORD, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -99,11 +99,49 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                        digest(F.col("output")).alias("output_sha256"), digest(fim.restored()).alias("restored_sha256"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def _license_sql() -> str:
+    """The same by regular expressions over the words, each followed by a blank."""
+    found = ", ".join(f"CASE WHEN regexp_matches(line, '{licenses.pattern(t.wording)}') THEN {no} END"
+                      for no, t in enumerate(licenses.TEMPLATES))
+    known = ", ".join(f"({no}, '{t.label}', {f"'{t.of}'" if t.of else 'NULL'})"
+                      for no, t in enumerate(licenses.TEMPLATES))
+    places = "\n  UNION ALL ".join(
+        f"SELECT doc_id, '{p.label}' AS label, unnest(list_filter(range(len(w)), lambda i: "
+        + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.wording.split(), 1)) + ")) AS place FROM split"
+        for p in licenses.PHRASES)
+    return rf"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+lined AS (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS line FROM split),
+places AS (
+  {places}),
+known(no, label, confirms) AS (VALUES {known}),
+accepted AS (SELECT doc_id, unnest(list_filter([{found}], lambda x: x IS NOT NULL)) AS no FROM lined),
+sure AS (SELECT doc_id, label FROM accepted JOIN known USING (no)
+         UNION SELECT doc_id, confirms FROM accepted JOIN known USING (no) WHERE confirms IS NOT NULL),
+labelled AS (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM accepted JOIN known USING (no)),
+base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
+                string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY 1),
+judged AS (SELECT l.doc_id, string_agg(l.label, ',' ORDER BY l.label) AS labels,
+                  CAST(count(*) + count(s.label) AS DOUBLE) / CAST(2 * count(*) AS DOUBLE) AS score
+           FROM labelled l LEFT JOIN sure s ON s.doc_id = l.doc_id AND s.label = l.label GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM split LEFT JOIN base USING (doc_id) LEFT JOIN judged USING (doc_id)"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_byte_bpe, op2_virtual_slots, op3_suffix_dedup, op4_url_filter, op5_quality_rules,
-                            op6_hamming_top_k, op7_rlz_dedup, op8_mix_sources, op9_simhash, op10_main_text, op11_fill_in_middle)}
+                            op6_hamming_top_k, op7_rlz_dedup, op8_mix_sources, op9_simhash, op10_main_text, op11_fill_in_middle, op13_license_scan)}
 
 ORACLE: dict[str, str] = {
+    "op13_license_scan": _license_sql(),
     "op11_fill_in_middle": r"""
 WITH units AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,

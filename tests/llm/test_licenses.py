@@ -1,0 +1,133 @@
+"""License templates: automaton against regular expressions, base phrases against plain loops."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from pinax.llm import licenses
+from pinax.llm.licenses import Template
+from tests.llm import data
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def plain_scan(rows, phrases=licenses.PHRASES, templates=licenses.TEMPLATES):
+    compiled = [(t, re.compile(licenses.pattern(t.wording))) for t in templates]
+    out = []
+    for r in rows:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or ""))
+        line = " " + "".join(x + " " for x in w)
+        places, base, labels, sure = [], set(), set(), set()
+        for p in phrases:
+            k = p.wording.split()
+            at = [i for i in range(len(w) - len(k) + 1) if w[i:i + len(k)] == k]
+            places += at
+            if at:
+                base.add(p.label)
+        labels |= base
+        for t, found in compiled:
+            if found.search(line):
+                labels.add(t.label)
+                sure |= {t.label, t.of}
+        score = sum(1.0 if x in sure else 0.5 for x in labels) / len(labels) if labels else 0.0
+        out.append((r[0], len(w), len(places), min(places, default=None), max(places, default=None),
+                    ",".join(sorted(base)), ",".join(sorted(labels)), score))
+    return out
+
+
+def instance(r, items, spoil=False):
+    """A text of the template, with random regions."""
+    out = []
+    for x in items:
+        if isinstance(x, str):
+            out.append(x.upper() if r.random() < 0.2 else x)
+        elif x[0] == "optional":
+            out += instance(r, x[1]) if r.random() < 0.5 else []
+        elif x[0] == "one":
+            out += instance(r, r.choice(x[1]))
+        else:
+            out += [r.choice(["acme", "the", "name", "émile", "7"]) for _ in range(r.randint(x[1], x[2]))]
+    if spoil and out:
+        out[r.randrange(len(out))] = "spoiled"
+    return out
+
+
+def licensed(seed=3):
+    r = random.Random(seed)
+    texts = []
+    for t in licenses.TEMPLATES:
+        for spoil in (False, True):
+            words = instance(r, licenses.parse(t.wording), spoil)
+            texts.append(r.choice(["", "Some words. ", "licensed under the "]) +
+                         "".join(x + r.choice([" ", ", ", "\n", "-"]) for x in words) + r.choice(["", "more", "2.0"]))
+    texts += ["mit license MIT-License mitlicense", "MIT\0License", "the Apache  license, mit", "general public license " * 5,
+              "mit mit license license", "éMIT License", "mit license", "released under the " * 50 + "mit licence",
+              "permission is hereby " * 200, "x" * 5000 + " mit license"]
+    return [(9000 + i, t, None, None, None) for i, t in enumerate(texts)]
+
+
+def collected(df):
+    return data.multiset(df.select("doc_id", *[n for n, _ in licenses.OUTPUTS]).collect())
+
+
+def test_labels_equal_regular_expressions(spark, rows):
+    rows = rows + licensed()
+    df = spark.createDataFrame(rows, data.DOC_SCHEMA).repartition(3)
+    assert collected(licenses.scan(df)) == data.multiset(plain_scan(rows))
+    found = {x for r in plain_scan(rows) for x in r[6].split(",")}
+    assert {t.label for t in licenses.TEMPLATES} <= found  # each template is met at least once
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_random_templates(spark, seed, monkeypatch):
+    r = random.Random(seed)
+    words = ["a", "b", "c"]
+
+    def wording(depth=0):
+        out = [r.choice(words)] if depth == 0 else []
+        for _ in range(r.randint(1, 4)):
+            kind = r.random()
+            if kind < 0.5 or depth > 1:
+                out.append(r.choice(words))
+            elif kind < 0.65:
+                out.append(f"<<optional>> {wording(depth + 1)} <</optional>>")
+            elif kind < 0.8:
+                out.append(f"<<one {wording(depth + 1)}|{r.choice(words)}>>")
+            else:
+                low = r.randint(0, 2)
+                out.append(f"<<var {low}-{low + r.randint(0, 3)}>>")
+        return " ".join(out)
+
+    templates = [Template(f"t{i}", wording(), r.choice([None, "p0"])) for i in range(4)]
+    phrases = [Template("p0", "a b"), Template("p1", "c c"), Template("t0", "b a a")]
+    if seed > 2:
+        monkeypatch.setattr(licenses, "MOST_SETS", 3)  # forgets all the time
+    rows = [(i, " ".join(r.choice("abcd") for _ in range(r.randint(0, 14))), None, None, None) for i in range(300)]
+    got = licenses.scan(spark.createDataFrame(rows, data.DOC_SCHEMA), phrases, templates)
+    assert collected(got) == data.multiset(plain_scan(rows, phrases, templates))
+
+
+@pytest.mark.parametrize("wording", ["<<optional>> a", "a <<one b|c", "a >> b", "<<var 1-2>> a", "<<optional>> a <</optional>>",
+                                     "a <<oops>>", ""])
+def test_bad_templates_are_refused(wording):
+    with pytest.raises(ValueError):
+        licenses.Automaton([Template("x", wording)])
+
+
+def test_edges(docs, no_docs, clashing):
+    assert licenses.scan(no_docs).count() == 0
+    got = licenses.scan(clashing(docs).withColumns({"Labels": F.lit(1), "score": F.lit(1)}))
+    assert got.count() == docs.count() and "a column" in got.columns and "Labels" not in got.columns
+
+
+def test_query(spark):
+    from pinax.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    got = queries.op13_license_scan(spark, sf)
+    assert got.dtypes == [("doc_id", "bigint"), ("n_words", "bigint"), ("n_base", "bigint"), ("first_word", "bigint"),
+                          ("last_word", "bigint"), ("base_labels", "string"), ("labels", "string"), ("score", "double")]
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    assert data.multiset(got.collect()) == data.multiset(plain_scan(rows))
