@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fim, hamming_search, html_text, licenses, mixing, quality, rlz, shards, simhash, suffixes, urls
+from . import bpe, fim, hamming_search, html_text, licenses, mixing, phrases, quality, rlz, shards, simhash, suffixes, urls
 from .common import WORD, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -28,6 +28,8 @@ MIX_BUDGET, MIX_EPOCHS, MIX_SEED = 1.5, 2.0, 20240501
 #: Seed, share of texts that are transformed and share of those with the suffix first, in per cent.
 FIM = ("7", 100, 50)
 
+PHRASES = {"min_count": 30, "top": 2000, "scale": 2_000_000, "covered_percent": 80}
+
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -99,6 +101,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                        digest(F.col("output")).alias("output_sha256"), digest(fim.restored()).alias("restored_sha256"))
 
 
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"), **PHRASES)
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -138,9 +144,36 @@ FROM split LEFT JOIN base USING (doc_id) LEFT JOIN judged USING (doc_id)"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_byte_bpe, op2_virtual_slots, op3_suffix_dedup, op4_url_filter, op5_quality_rules,
-                            op6_hamming_top_k, op7_rlz_dedup, op8_mix_sources, op9_simhash, op10_main_text, op11_fill_in_middle, op13_license_scan)}
+                            op6_hamming_top_k, op7_rlz_dedup, op8_mix_sources, op9_simhash, op10_main_text, op11_fill_in_middle, op12_phrase_mining,
+                            op13_license_scan)}
 
 ORACLE: dict[str, str] = {
+    "op12_phrase_mining": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM split GROUP BY 1),
+places AS (
+  SELECT lang, k, unnest(list_transform(range(len(w) - k + 1), lambda i: w[i + 1:i + k])) AS ws
+  FROM split, (VALUES (1), (2), (3), (4)) AS s(k) WHERE len(w) >= k),
+found AS (SELECT lang, k, ws, array_to_string(ws, ' ') AS phrase, count(*) AS f FROM places GROUP BY 1, 2, 3
+          HAVING count(*) >= 30),
+cuts AS (SELECT lang, phrase, ws, f AS a, k, unnest(range(1, k)) AS j FROM found WHERE k > 1),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, c.j,
+         CAST(CAST(2000000 AS HUGEINT) * c.a // (CAST(x.f AS HUGEINT) + y.f) AS BIGINT) AS score
+  FROM cuts c JOIN found x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:c.j], ' ')
+  JOIN found y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.j + 1:], ' ')),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+parts AS (
+  SELECT lang, f, array_to_string(ws[at + 1:at + n], ' ') AS phrase FROM (
+    SELECT lang, f, ws, n, unnest(range(k - n + 1)) AS at FROM found, (VALUES (2), (3)) AS s(n) WHERE k > n)),
+longer AS (SELECT lang, phrase, max(f) AS f FROM parts GROUP BY 1, 2),
+kept AS (SELECT w.* FROM worst w LEFT JOIN longer o ON o.lang = w.lang AND o.phrase = w.phrase
+         WHERE o.f IS NULL OR CAST(100 AS HUGEINT) * o.f < CAST(80 AS HUGEINT) * w.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
     "op13_license_scan": _license_sql(),
     "op11_fill_in_middle": r"""
 WITH units AS (
