@@ -9,8 +9,9 @@ concatenates the tokens' bytes.
 
 Cases: a null or empty text has no tokens and decodes to no bytes.  Repeated
 rows, and null or repeated ids, are encoded row by row.  Input columns that
-carry an output's name are replaced.  A pre-token longer than the overlap
-leaves no shared boundary; such neighbours are joined and split anew together.
+carry an output's name are replaced, and names that start with ``_bpe_`` are
+reserved.  A pre-token longer than the overlap leaves no shared boundary; such
+neighbours are joined and split anew together, until all neighbours share one.
 """
 
 from __future__ import annotations
@@ -20,22 +21,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 from pyspark.sql.window import Window
 
-from .common import as_struct_type, blocks, staged, without
+from .common import as_struct_type, blocks, reserved, staged, without
 
 #: Code points that a chunk adds to the one before, and by which it runs on.
 CHUNK, OVERLAP = 1 << 15, 1 << 11
+#: Tokens that one numpy step decodes; a longer row is a step of its own.
+DECODED = 1 << 18
 #: The pattern never looks further than this beyond the end of a match.
 LOOKAHEAD = 4
 
-#: Pre-tokens whose ids a task remembers: the common ones, most of the others occur once.
-REMEMBERED = 1 << 15
-
-
 def ranks(path: str) -> list[tuple[bytes, int]]:
     """Token bytes and ids of a vocabulary file (base64 bytes, blank, id)."""
     with open(path, "rb") as f:
@@ -49,55 +49,38 @@ def pretokens(pattern: str):
     return regex.compile(pattern).findall
 
 
-class PieceEncoder:
-    """Ids of texts that start and end at pre-token boundaries.
-
-    Pre-tokens recur, so their ids are remembered, up to a fixed number."""
-
-    def __init__(self, vocabulary: list[tuple[bytes, int]], pattern: str):
-        import tiktoken
-
-        self.split = pretokens(pattern)
-        self.merge = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=dict(vocabulary),
-                                       special_tokens={}).encode_ordinary
-        self.known: dict[str, list[int]] = {}
+def piece_encoder(vocabulary: list[tuple[bytes, int]], pattern: str):
+    """Function giving the ids of a text that starts and ends at pre-token boundaries."""
+    import tiktoken
 
-    def __call__(self, text: str) -> np.ndarray:
-        known, out = self.known, []
-        for piece in self.split(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.merge(piece)
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                if len(piece) <= 64:
-                    known[piece] = ids
-            out += ids
-        return np.array(out, np.int32)
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=dict(vocabulary), special_tokens={}).encode_ordinary
 
 
-def _list_array(rows: list[np.ndarray]) -> pa.Array:
+def _list_array(rows: list) -> pa.Array:
+    """One array of all values, by rows; a row may be a list or an array."""
     offs = np.zeros(len(rows) + 1, np.int32)
     np.cumsum([len(r) for r in rows], out=offs[1:])
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
+    flat = np.concatenate([np.asarray(r, np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
     return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(flat, pa.int32()))
 
 
 def _chunks(docs: DataFrame, text_col: str, chunk: int, overlap: int) -> DataFrame:
-    """One row for each chunk of each (long) text: ``_row, _no, _text``."""
+    """One row for each chunk of each (long) text: chunks ``_no`` up to ``_end``, ``_span`` code points
+    of its own, and the text, which goes on over the next one's start."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for i in range(rb.num_rows):
-                key, text = rb.column("_row")[i].as_py(), rb.column(text_col)[i].as_py()
+                key, text = rb.column("_bpe_row")[i].as_py(), rb.column(text_col)[i].as_py()
                 for no, at in enumerate(range(0, len(text), chunk)):
                     yield pa.RecordBatch.from_pydict(
-                        {"_row": [key], "_no": pa.array([no], pa.int32()), "_text": [text[at:at + chunk + overlap]]})
+                        {"_row": [key], "_no": pa.array([no], pa.int32()), "_end": pa.array([no + 1], pa.int32()),
+                         "_span": pa.array([chunk], pa.int32()), "_text": [text[at:at + chunk + overlap]]})
 
-    return docs.mapInArrow(cut, "_row string, _no int, _text string")
+    return docs.mapInArrow(cut, "_row string, _no int, _end int, _span int, _text string")
 
 
-def _boundaries(chunks: DataFrame, pattern: str, chunk: int, overlap: int) -> DataFrame:
+def _boundaries(chunks: DataFrame, pattern: str, overlap: int) -> DataFrame:
     """Adds the pre-token boundaries near both ends: ``_head`` counts from the
     chunk's start, ``_tail`` from the next chunk's start."""
 
@@ -105,55 +88,71 @@ def _boundaries(chunks: DataFrame, pattern: str, chunk: int, overlap: int) -> Da
         find = pretokens(pattern)
         for rb in batches:
             heads, tails = [], []
-            for text in rb.column("_text").to_pylist():
+            for text, span in zip(rb.column("_text").to_pylist(), rb.column("_span").to_pylist()):
                 at = np.cumsum([0, *map(len, find(text))])
-                heads.append(at[at <= overlap].astype(np.int32))
-                tail = at[(at >= chunk) & (at <= len(text) - LOOKAHEAD)] - chunk
-                tails.append(tail.astype(np.int32))
+                heads.append(at[at <= overlap])
+                tails.append(at[(at >= span) & (at <= len(text) - LOOKAHEAD)] - span)
             yield rb.append_column("_head", _list_array(heads)).append_column("_tail", _list_array(tails))
 
     ints = ArrayType(IntegerType())
     return chunks.mapInArrow(split, as_struct_type(chunks, ("_head", ints), ("_tail", ints)))
 
 
-def _stitched(bounds: DataFrame, chunk: int) -> DataFrame:
+def _links(bounds: DataFrame) -> DataFrame:
+    """``(_row, _no, _sync)``: the first boundary each chunk shares with the one before it, null if none."""
+    before = bounds.select("_row", F.col("_end").alias("_no"), F.col("_tail").alias("_before"))
+    shared = F.array_min(F.array_intersect("_head", "_before"))
+    return (bounds.join(before, ["_row", "_no"], "left")
+            .select("_row", "_no", F.when(F.col("_no") == 0, F.lit(0)).otherwise(shared).alias("_sync")))
+
+
+def _joined(bounds: DataFrame, links: DataFrame, pattern: str, overlap: int) -> DataFrame:
+    """The chunks, with runs of neighbours that share no boundary joined and split anew."""
+    run = F.sum(F.col("_sync").isNotNull().cast("int")).over(Window.partitionBy("_row").orderBy("_no"))
+    runs = links.withColumn("_run", run)
+    many = (runs.groupBy("_row", "_run").agg(F.min("_no").alias("_first"), F.max("_no").alias("_last"))
+            .filter(F.col("_first") < F.col("_last")))
+    marked = bounds.join(runs.join(many, ["_row", "_run"]).select("_row", "_no", "_first", "_last"), ["_row", "_no"], "left")
+    alone = marked.filter(F.col("_first").isNull()).select(bounds.columns)
+    own = F.when(F.col("_no") == F.col("_last"), F.col("_text")).otherwise(F.substring("_text", F.lit(1), F.col("_span")))
+    together = (marked.filter(F.col("_first").isNotNull()).withColumn("_own", own)
+                .groupBy("_row", F.col("_first").alias("_no"))
+                .agg(F.max("_end").alias("_end"), F.sum("_span").cast("int").alias("_span"),
+                     F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_no", "_own"))),
+                                              lambda x: x["_own"]), "").alias("_text")))
+    return alone.unionByName(_boundaries(together, pattern, overlap))
+
+
+def _stitched(chunks: DataFrame, pattern: str, overlap: int) -> DataFrame:
     """Pieces ``(_row, _no, _piece)`` that tile each text at true boundaries.
 
     Neighbours meet by equi-joins on (text, chunk number), so no task holds all
-    chunks of a text.  From the first chunk that shares no boundary with the one
-    before it, a text's chunks are joined to one piece: only what a chain of
-    shared boundaries links to the text's start is known to be split rightly.
+    chunks of a text.  What a chain of shared boundaries links to the text's
+    start is split rightly.  Where the chain breaks, the chunks on both sides
+    become one and are split again from the start of the first; that goes on
+    until no link is broken.
     """
-    edge = bounds.select("_row", (F.col("_no") + 1).alias("_no"), F.col("_tail").alias("_before"))
-    marked = (bounds.join(edge, ["_row", "_no"], "left")
-              .withColumn("_sync", F.when(F.col("_no") == 0, F.lit(0)).otherwise(
-                  F.array_min(F.array_intersect("_head", "_before"))))
-              .select("_row", "_no", "_sync"))
-    broken = F.min(F.when(F.col("_sync").isNull(), F.col("_no"))).over(Window.partitionBy("_row"))
-    linked = F.col("_broken").isNull() | (F.col("_no") < F.col("_broken"))
-    marked = (marked.withColumn("_broken", broken)
-              .withColumn("_first", F.when(linked, F.col("_no")).otherwise(F.col("_broken") - 1))
-              .withColumn("_sync", F.when(linked, F.col("_sync"))).drop("_broken"))
-    after = marked.select("_row", (F.col("_no") - 1).alias("_no"), F.col("_sync").alias("_next"))
-    own = bounds.select("_row", "_no", "_text").join(marked, ["_row", "_no"]).join(after, ["_row", "_no"], "left")
-    # The text that a chunk adds: from its start or sync to the next one's sync (or start, if joined).
-    start = F.coalesce(F.col("_sync"), F.lit(0))
-    size = F.char_length("_text")
-    end = F.when(F.col("_next").isNotNull(), F.lit(chunk) + F.col("_next")).otherwise(F.least(size, F.lit(chunk)))
-    part = F.substring(F.col("_text"), start + 1, end - start)
-    return (own.withColumn("_part", part).groupBy("_row", F.col("_first").alias("_no"))
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_no", "_part"))),
-                                          lambda x: x["_part"]), "").alias("_piece")))
+    bounds = staged(_boundaries(chunks, pattern, overlap), "bpe-chunks")
+    links = staged(_links(bounds), "bpe-links")
+    while not links.filter(F.col("_sync").isNull()).isEmpty():
+        bounds = staged(_joined(bounds, links, pattern, overlap), "bpe-chunks")
+        links = staged(_links(bounds), "bpe-links")
+    own = bounds.select("_row", "_no", "_end", "_span", "_text").join(links, ["_row", "_no"])
+    after = links.select("_row", F.col("_no").alias("_end"), F.col("_sync").alias("_next"))
+    # The text that a chunk adds: from its sync to the next one's.
+    end = F.coalesce(F.col("_span") + F.col("_next"), F.char_length("_text"))
+    return (own.join(after, ["_row", "_end"], "left")
+            .select("_row", "_no", F.substring(F.col("_text"), F.col("_sync") + 1, end - F.col("_sync")).alias("_piece")))
 
 
 def _encoded(df: DataFrame, text_col: str, vocabulary: list[tuple[bytes, int]], pattern: str) -> DataFrame:
     shape = df.drop(text_col)
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(vocabulary, pattern)
+        encode = piece_encoder(vocabulary, pattern)
         for rb in blocks(batches, text_col):
             at = rb.schema.get_field_index(text_col)
-            found = _list_array([encoder(t or "") for t in rb.column(at).to_pylist()])
+            found = _list_array([encode(t or "") for t in rb.column(at).to_pylist()])
             yield rb.remove_column(at).append_column("ids", found)
 
     return df.mapInArrow(ids, as_struct_type(shape, ("ids", ArrayType(IntegerType()))))
@@ -168,16 +167,15 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", chu
     only piece and is encoded where it is read.  Longer ones are chunked into a
     staged table, whose row keys stay fixed when a lost executor's tasks rerun.
     """
-    docs, vocabulary = without(docs, ["ids", "_row", "_no"]), ranks(path)
+    docs, vocabulary = without(reserved(docs, "_bpe_"), ["ids"]), ranks(path)
     long = F.coalesce(F.char_length(text_col) > chunk, F.lit(False))
     short_ids = _encoded(docs.filter(~long), text_col, vocabulary, pattern)
-    rows = staged(docs.filter(long).withColumn("_row", F.expr("uuid()")), "bpe-long")
-    spread = _chunks(rows.select("_row", text_col), text_col, chunk, overlap).repartition("_row", "_no")
-    bounds = staged(_boundaries(spread, pattern, chunk, overlap), "bpe-chunks")
-    pieces = _encoded(_stitched(bounds, chunk), "_piece", vocabulary, pattern)
-    whole = pieces.groupBy("_row").agg(
+    rows = staged(docs.filter(long).withColumn("_bpe_row", F.expr("uuid()")), "bpe-long")
+    spread = _chunks(rows.select("_bpe_row", text_col), text_col, chunk, overlap).repartition("_row", "_no")
+    pieces = _encoded(_stitched(spread, pattern, overlap), "_piece", vocabulary, pattern)
+    whole = pieces.groupBy(F.col("_row").alias("_bpe_row")).agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_no", "ids"))), lambda x: x["ids"])).alias("ids"))
-    long_ids = rows.drop(text_col).join(whole, "_row").drop("_row")
+    long_ids = rows.drop(text_col).join(whole, "_bpe_row").drop("_bpe_row")
     return short_ids.unionByName(long_ids)
 
 
@@ -186,12 +184,22 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     encoded, vocabulary = without(encoded, ["bytes"]), ranks(path)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = {i: t for t, i in vocabulary}
+        tokens: list[bytes] = [b""] * (1 + max((i for _, i in vocabulary), default=0))
+        for token, i in vocabulary:
+            tokens[i] = token
+        flat, sizes = np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens], np.int64)
+        starts = np.cumsum(sizes) - sizes
         for rb in batches:
             ids = rb.column(rb.schema.get_field_index(ids_col))
-            for at in range(0, rb.num_rows, 512):
-                part = ids.slice(at, 512)
-                out = [b"".join(map(tokens.__getitem__, x or ())) for x in part.to_pylist()]
-                yield rb.slice(at, 512).append_column("bytes", pa.array(out, pa.binary()))
+            n_ids = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            step = np.cumsum(n_ids) // DECODED
+            cuts = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), rb.num_rows] if rb.num_rows else []
+            for a, b in zip(cuts, cuts[1:]):
+                found = ids.slice(a, b - a).flatten().to_numpy(zero_copy_only=False)
+                upto = np.append(0, np.cumsum(sizes[found]))
+                from_ = np.arange(upto[-1]) + np.repeat(starts[found] - upto[:-1], sizes[found])
+                ends = upto[np.append(0, np.cumsum(n_ids[a:b]))]
+                out = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(flat[from_])])
+                yield rb.slice(a, b - a).append_column("bytes", out.cast(pa.binary()))
 
     return encoded.mapInArrow(join, as_struct_type(encoded, ("bytes", BinaryType())))

@@ -37,6 +37,14 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def reserved(df: DataFrame, prefix: str) -> DataFrame:
+    """``df``, refused if a column's name starts with the prefix that an operator keeps for its own columns."""
+    taken = [c for c in df.columns if c.lower().startswith(prefix)]
+    if taken:
+        raise ValueError(f"column names that start with {prefix} are reserved: {taken}")
+    return df
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet under ``spark.checkpoint.dir`` and read back.
 
@@ -211,19 +219,55 @@ def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray)
     return same
 
 
-def repeated(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each entry, whether its (row, key) occurs more than once, and whether
+def numbered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number from 0 for each byte range; equal ranges, and only those, have the same.
+
+    Ranges are brought together by their hashes and then compared; should
+    different ranges share a hash, others are taken.
+    """
+    size, seed = ends - starts, 0
+    while True:
+        h = range_hashes(data, starts, ends, seed)
+        order = np.argsort(h)
+        at = np.flatnonzero(h[order][1:] == h[order][:-1])
+        one, two = order[at], order[at + 1]
+        if (size[one] == size[two]).all() and same_bytes(data, starts[one], starts[two], size[one]).all():
+            break
+        seed += 1
+    new = np.ones(len(order), np.int64)
+    new[at + 1] = 0
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
+def repeated(rows: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry, whether its (row, keys) occurs more than once, and whether
     it has occurred at an earlier place."""
-    n = len(keys)
-    order = np.lexsort((keys, rows))
-    r, k = rows[order], keys[order]
+    n = len(rows)
+    order = np.lexsort((*keys, rows))
     same = np.zeros(n + 1, bool)
-    same[1:n] = (r[1:] == r[:-1]) & (k[1:] == k[:-1])
+    same[1:n] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (rows, *keys)])
     many, again = np.empty(n, bool), np.empty(n, bool)
     many[order] = same[:n] | same[1:]
     again[order] = same[:n]
     return many, again
 
 
+def packed(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns of numbers from 0 as fewer columns with the same equalities: several in one where 63 bits hold them."""
+    out: list[np.ndarray] = []
+    room = 0
+    for c in columns:
+        bits = max(1, int(c.max(initial=0)).bit_length())
+        if bits <= room:
+            out[-1] = (out[-1] << bits) | c
+            room -= bits
+        else:
+            out.append(c.copy())
+            room = 63 - bits
+    return out
+
+
 def per_row(rows: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
     return np.bincount(rows, weights, n).astype(np.int64)
