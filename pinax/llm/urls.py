@@ -6,11 +6,16 @@ every prefix of its path that has the length of some rule's path.  A cascade of
 Bloom filters then says exactly which of these keys are listed, without a join:
 the first level encodes the listed keys, the second the corpus's keys that
 wrongly pass the first, the third the listed keys that wrongly pass the second,
-and so on until a level lets no wrong key of the corpus pass.
+and so on until a level lets no wrong key of the corpus pass.  The first level
+has so many bits for a listed key that about as many wrong keys pass as are
+listed, however large the corpus; so every level is as bounded as the rules,
+which the caller holds in a list.
 
 Cases: a null url, or one without ``://``, has an empty host and path and fits
-no rule.  Repeated rows are judged alike.  An empty table builds one level.
-Input columns that carry an output's name are replaced.
+no rule.  Repeated rows are judged alike.  Rules may be of one kind only, or
+none; a rule listed both ways allows.  An empty table gives no rows.  Input
+columns that carry an output's name are replaced, and names that start with
+``_url_`` are reserved.
 """
 
 from __future__ import annotations
@@ -21,14 +26,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import reserved, without
 
-#: Bits of each level for each key, and keys' hashes for each level.
-BITS_PER_KEY, HASHES = 12, 4
-
-#: Bytes of filter, at most, that are written into the query as constants.  A
-#: larger listing is looked up with a join instead, with the same results.
-FILTER_BYTES = 8 << 20
+#: Bits for each key of the levels after the first, and for each listed key of the first at most.
+BITS_PER_KEY, MOST_BITS_PER_KEY = 12, 96
+#: Wrong keys for each listed one, at most, that may pass the first level before it is built again with more bits.
+MOST_WRONG = 8
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -73,51 +76,60 @@ def keys_of(host: Column, path: Column, lengths: list[int]) -> Column:
 class Level:
     words: tuple[int, ...]  # bits, 64 to a word
     seed: int
+    hashes: int
 
     def bit(self, key: Column, i: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(self.seed * HASHES + i), key), F.lit(64 * len(self.words)))
+        return F.pmod(F.xxhash64(F.lit(self.seed), F.lit(i), key), F.lit(64 * len(self.words)).cast("long"))
 
     def passes(self, key: Column) -> Column:
-        bits = F.array(*[F.lit(w) for w in self.words])
+        # One literal, which Spark folds into an array of longs when it plans the query.
+        bits = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<long>")
         out = F.lit(True)
-        for i in range(HASHES):
+        for i in reversed(range(self.hashes)):
             at = self.bit(key, i)
             word = F.element_at(bits, (F.shiftright(at, 6) + 1).cast("int"))
-            out = out & (F.getbit(word, F.pmod(at, F.lit(64)).cast("int")) == 1)
+            out = F.when(F.getbit(word, F.pmod(at, F.lit(64)).cast("int")) == 1, out).otherwise(F.lit(False))
         return out
 
 
-def _level(keys: DataFrame, n: int, seed: int) -> Level:
+def _level(keys: DataFrame, n: int, bits_per_key: int, seed: int) -> Level:
     """A filter of the ``n`` keys: its words are an aggregate of bounded size."""
-    size = max(1, math.ceil(n * BITS_PER_KEY / 64))
-    level = Level((0,) * size, seed)
-    at = F.explode(F.array(*[level.bit(F.col("key"), i) for i in range(HASHES)]))
+    size = max(1, math.ceil(n * bits_per_key / 64))
+    level = Level((0,) * size, seed, max(1, round(bits_per_key * math.log(2) / 2)))
+    at = F.explode(F.array(*[level.bit(F.col("key"), i) for i in range(level.hashes)]))
     words = (keys.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
              .agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(at, 64) as int))")).alias("bits")))
-    found = dict(words.collect()) if n else {}
-    return Level(tuple(found.get(i, 0) for i in range(size)), seed)
+    found = dict(words.collect())  # at most ``size`` rows
+    return Level(tuple(found.get(i, 0) for i in range(size)), seed, level.hashes)
 
 
 class Cascade:
     """Exact membership of keys of a known universe in a listing."""
 
-    def __init__(self, listed: DataFrame, universe: DataFrame):
-        """``listed`` has distinct ``key``; ``universe`` has every ``key`` that will be asked.
+    def __init__(self, listed: DataFrame, universe: DataFrame, n_universe: int):
+        """``listed`` has distinct ``key``; ``universe`` has every ``key`` that will be asked, ``n_universe`` at most.
 
         Only keys that pass a level go on to the next; they are made distinct
         after that, so what is shuffled are a level's false positives.
         """
         self.levels: list[Level] = []
-        inside, n_in = listed, listed.count()
-        outside: DataFrame | None = None
+        n_listed = listed.count()
+        if not n_listed:
+            return
+        # With b bits and b ln(2) / 2 hashes for a key, about one wrong key in e ** (0.42 b) passes.
+        bits = BITS_PER_KEY + math.ceil(2.4 * math.log(max(1.0, n_universe / n_listed)))
+        inside, outside, n_in = listed, universe, n_listed
         while True:
-            level = _level(inside, n_in, len(self.levels))
-            self.levels.append(level)
-            if outside is None:
-                wrong = universe.filter(level.passes(F.col("key"))).distinct().join(listed, "key", "left_anti")
-            else:
-                wrong = outside.filter(level.passes(F.col("key")))
+            first = not self.levels
+            level = _level(inside, n_in, min(bits, MOST_BITS_PER_KEY) if first else BITS_PER_KEY, len(self.levels))
+            wrong = outside.filter(level.passes(F.col("key")))
+            if first:
+                wrong = wrong.distinct().join(listed, "key", "left_anti")
             n_wrong = wrong.count()
+            if first and n_wrong > MOST_WRONG * n_listed and bits < MOST_BITS_PER_KEY:
+                bits *= 2
+                continue
+            self.levels.append(level)
             if not n_wrong:
                 return
             # The keys let through wrongly are encoded next; the roles change.
@@ -131,46 +143,29 @@ class Cascade:
         return out
 
 
-def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url",
-          filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> DataFrame:
     """``pages`` with ``host``, ``path``, ``rule`` (the longest that fits, or null) and ``verdict``.
 
     A url that fits no rule is not listed, which the cascade shows, and allowed.
     """
-    pages = without(pages, ["host", "path", "rule", "verdict"])
+    pages = without(reserved(pages, "_url_"), ["host", "path", "rule", "verdict"])
     spark = pages.sparkSession
     lengths = sorted({len(r.path) for r in rules})
     parts = (pages.withColumn("host", host_of(url_col)).withColumn("path", path_of(url_col)))
-    keyed = parts.withColumn("_keys", keys_of(F.col("host"), F.col("path"), lengths) if rules
+    keyed = parts.withColumn("_url_keys", keys_of(F.col("host"), F.col("path"), lengths) if rules
                              else F.array().cast("array<string>"))
-    universe = keyed.select(F.explode("_keys").alias("key"))
+    universe = keyed.select(F.explode("_url_keys").alias("key"))
+    n_universe = keyed.agg(F.sum(F.size("_url_keys"))).first()[0] or 0
 
     def listing(allow: bool) -> DataFrame:
         found = sorted({(f"{r.host}\t{r.path}",) for r in rules if r.allow == allow})
         return spark.createDataFrame(found, "key string")
 
-    if len(rules) * BITS_PER_KEY * 2 <= filter_bytes * 8:
-        block, allow = Cascade(listing(False), universe), Cascade(listing(True), universe)
-        fits = F.filter("_keys", lambda k: block.has(k) | allow.has(k))
-        key = F.try_element_at(fits, F.lit(1))
-        judged = keyed.withColumn("_key", key).withColumn("_allow", allow.has(F.col("_key")))
-    else:
-        judged = _looked_up(keyed, listing(False), listing(True))
-    return _verdict(judged)
-
-
-def _looked_up(keyed: DataFrame, block: DataFrame, allow: DataFrame) -> DataFrame:
-    """``keyed`` with the longest listed key, by equi-joins on the distinct hosts and paths."""
-    listed = (block.withColumn("_allow", F.lit(False)).unionByName(allow.withColumn("_allow", F.lit(True)))
-              .groupBy("key").agg(F.bool_or("_allow").alias("_allow")))
-    asked = keyed.select("host", "path", F.explode("_keys").alias("key")).distinct()
-    longest = F.struct(F.char_length("key").alias("n"), F.col("key").alias("_key"), F.col("_allow").alias("_allow"))
-    found = asked.join(listed, "key").groupBy("host", "path").agg(F.max(longest).alias("_best"))
-    return (keyed.join(found, ["host", "path"], "left")
-            .select("*", "_best._key", "_best._allow").drop("_best"))
-
-
-def _verdict(judged: DataFrame) -> DataFrame:
-    verdict = F.when(F.col("_key").isNull() | F.col("_allow"), F.lit("allow")).otherwise(F.lit("block"))
-    return (judged.withColumn("rule", F.replace("_key", F.lit("\t"), F.lit("")))
-            .withColumn("verdict", verdict).drop("_keys", "_key", "_allow"))
+    block, allow = (Cascade(listing(kind), universe, n_universe) for kind in (False, True))
+    looked = F.transform("_url_keys", lambda k: F.struct(k.alias("key"), allow.has(k).alias("allow"),
+                                                         block.has(k).alias("block")))
+    fits = F.try_element_at(F.filter(looked, lambda x: x["allow"] | x["block"]), F.lit(1))
+    verdict = F.when(F.col("_url_fit").isNull() | F.col("_url_fit.allow"), F.lit("allow")).otherwise(F.lit("block"))
+    return (keyed.withColumn("_url_fit", fits)
+            .withColumn("rule", F.replace(F.col("_url_fit.key"), F.lit("\t"), F.lit("")))
+            .withColumn("verdict", verdict).drop("_url_keys", "_url_fit"))

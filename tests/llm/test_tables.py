@@ -61,39 +61,78 @@ URLS = ["http://a.net/x", "https://A.Example.NET/en/1?q=/de/", "http://example.n
         "http://a\n.net/x", "http://example.com.net/de/"]
 
 
-def _judged(url):
+def _judged(url, rules=tuple(URL_RULES)):
     url = url or ""
     rest = url.split("://", 1)[1] if "://" in url else ""
     cut = next((i for i, c in enumerate(rest) if c in "/?#"), len(rest))
     host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut])
     path = rest[cut:].split("?")[0].split("#")[0]
-    fits = [r for r in URL_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
     best = max(fits, key=lambda r: len(r.key), default=None)
     return host, path, best and best.key, "block" if best and not best.allow else "allow"
 
 
-@pytest.mark.parametrize("filter_bytes", [urls.FILTER_BYTES, 0])
-def test_url_verdicts(spark, filter_bytes):
-    df = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in
-           urls.judge(df, URL_RULES, filter_bytes=filter_bytes).collect()}
-    assert got == {i: _judged(u) for i, u in enumerate(URLS)}
+def _verdicts(spark, found, rules):
+    df = spark.createDataFrame(list(enumerate(found)), "page_id long, url string")
+    return {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(df, rules).collect()}
+
+
+def test_url_verdicts(spark):
+    assert _verdicts(spark, URLS, URL_RULES) == {i: _judged(u) for i, u in enumerate(URLS)}
+
+
+@pytest.mark.parametrize("seed", range(14))
+def test_url_rules_of_one_kind_and_random_ones(spark, seed):
+    r = random.Random(seed)
+    made = [urls.Rule(r.choice(["net", "org", "example.net", "example.com", "a.net", ""]), r.choice(["", "/", "/en/", "/d"]),
+                      [False, True, r.random() < 0.5][seed % 3]) for _ in range(r.choice([1, 2, 2, 5]))]
+    rules = list({x.key: x for x in made}.values())
+    got = {i: x[2:] for i, x in _verdicts(spark, URLS, rules).items()}
+    for i, u in enumerate(URLS):
+        host, path, key, verdict = _judged(u, rules)
+        assert got[i] == (key, verdict), (u, rules)
+
 
+def test_many_url_rules(spark):
+    rules = [urls.Rule(f"h{i}.net", "/" if i % 3 else "/en/", i % 2 == 0) for i in range(20_000)]
+    found = [f"http://{'www.' if i % 5 else ''}h{i}.net/{'en/' if i % 7 else ''}x" for i in range(0, 26_000, 13)]
+    by_host = {x.host: x for x in rules}
+    want = {}
+    for i, u in enumerate(found):
+        host, path, _, _ = _judged(u, ())
+        rule = by_host.get(host.removeprefix("www."))
+        fits = rule is not None and path.startswith(rule.path)
+        want[i] = (host, path, rule.key if fits else None, "block" if fits and not rule.allow else "allow")
+    assert _verdicts(spark, found, rules) == want
 
-def test_cascade_is_exact(spark):
+
+def test_url_reserved_names(spark):
+    df = spark.createDataFrame([(1, "http://a.net/")], "page_id long, url string")
+    with pytest.raises(ValueError):
+        urls.judge(df.withColumn("_url_keys", F.lit(1)), URL_RULES)
+    wide = df.select("*", F.lit(1).alias("_keys"), F.lit(2).alias("_key"), F.lit(3).alias("_allow"), F.lit(4).alias("key"))
+    assert {"_keys", "_key", "_allow", "key"} < set(urls.judge(wide, URL_RULES).columns)
+
+
+def test_cascade_is_exact(spark, monkeypatch):
     listed = spark.range(0, 300).select(F.concat(F.lit("k"), "id").alias("key"))
     universe = spark.range(0, 6000).select(F.concat(F.lit("k"), "id").alias("key"))
-    old = urls.BITS_PER_KEY
-    try:
-        urls.BITS_PER_KEY = 2  # many false positives, so several levels
-        cascade = urls.Cascade(listed, universe)
-    finally:
-        urls.BITS_PER_KEY = old
+    for name, value in (("BITS_PER_KEY", 2), ("MOST_BITS_PER_KEY", 2)):  # many false positives, so several levels
+        monkeypatch.setattr(urls, name, value)
+    cascade = urls.Cascade(listed, universe, 6000)
     assert len(cascade.levels) > 2
     got = {r[0] for r in universe.filter(cascade.has(F.col("key"))).collect()}
     assert got == {f"k{i}" for i in range(300)}
 
 
+def test_the_first_level_is_built_again_when_too_many_pass(spark):
+    listed = spark.range(0, 50).select(F.concat(F.lit("k"), "id").alias("key"))
+    universe = spark.range(0, 200_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    cascade = urls.Cascade(listed, universe, 50)  # a universe said to be smaller than it is
+    assert all(len(x.words) <= 50 * urls.MOST_BITS_PER_KEY for x in cascade.levels)
+    assert universe.filter(cascade.has(F.col("key"))).count() == 50
+
+
 def test_url_edges(spark, clashing):
     df = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
     assert urls.judge(df.limit(0), URL_RULES).count() == 0
