@@ -10,8 +10,8 @@ documents.
 Cases: a null or empty text has no words, so the base rules reject it.  Repeated
 rows are judged alike.  A null stratum is a stratum of its own.  Labels that are
 null, or of documents that are not in the table, are not used.  Input columns
-that carry an output's name are replaced.  A stratum with
-fewer than ``log(delta / strata) / log(1 - alpha)`` good labels past the base
+that carry an output's name are replaced, and names that start with
+``_quality_`` are reserved.  A stratum with fewer than ``log(delta / strata) / log(1 - alpha)`` good labels past the base
 rules can have no cutoff certified, and only the base rules reject there.
 """
 
@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import (as_struct_type, blocks, is_separator, per_row, range_hashes, repeated, runs, staged, utf8,
-                     without, words)
+from .common import (as_struct_type, blocks, is_separator, numbered, packed, per_row, repeated, reserved, runs, staged,
+                     utf8, without, words)
 
 #: Fixed values of the base rules and measures.
 SYMBOLS = b"#*$%&|<>"
@@ -80,20 +80,16 @@ def _measures(data: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     ls, le, lrow = runs(data != 10, offs)
     filled = np.searchsorted(starts, le) > np.searchsorted(starts, ls)
     ls, le, lrow = ls[filled], le[filled], lrow[filled]
-    _, again = repeated(lrow, range_hashes(data, ls, le))
+    _, again = repeated(lrow, numbered(data, ls, le))
     n_lines, n_dup_lines = per_row(lrow, n), per_row(lrow[again], n)
 
-    # Words in windows that occur twice: a window is named by its words' hashes in order.
+    # Words in windows that occur twice: a window is the numbers of its words in order.
     k = REPEAT_WORDS
     covered = np.zeros(len(starts) + k, bool)
     if len(starts) >= k:
-        h = range_hashes(data, starts, ends)
-        key = np.zeros(len(h) - k + 1, np.uint64)
-        for i in range(k):
-            key = (key ^ h[i:len(h) - k + 1 + i]) * np.uint64(0xD1342543DE82EF95) + np.uint64(i + 1)
-            key ^= key >> np.uint64(29)
-        inside = np.flatnonzero(row[:len(key)] == row[k - 1:])
-        many, _ = repeated(row[inside], key[inside])
+        number = numbered(data, starts, ends)
+        inside = np.flatnonzero(row[:len(starts) - k + 1] == row[k - 1:])
+        many, _ = repeated(*packed([row[inside], *(number[inside + i] for i in range(k))]))
         for i in range(k):
             covered[inside[many] + i] = True
     n_repeat = per_row(row[covered[:len(starts)]], n)
@@ -124,19 +120,31 @@ def base_failed() -> Column:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) for X binomial (n, p), summed exactly term by term in logarithms."""
-    if k >= n:
-        return 1.0
-    if p <= 0:
+    """P(X <= k) for X binomial (n, p).
+
+    Terms are added from the largest on the shorter side of the mean, each from
+    the one before it, until they no longer change the sum: their number grows
+    with the root of ``n``.
+    """
+    if k >= n or p <= 0:
         return 1.0
-    if p >= 1:
+    if k < 0 or p >= 1:
         return 0.0
-    head = math.lgamma(n + 1)
-    lp, lq = math.log(p), math.log1p(-p)
-    terms = [head - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * lp + (n - i) * lq
-             for i in range(k + 1)]
-    top = max(terms)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(t - top) for t in terms))
+    below = k <= n * p
+    i = k if below else k + 1
+    top = (math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p)
+           + (n - i) * math.log1p(-p))
+    odds, term, total = p / (1 - p), 1.0, 0.0
+    while term > total * 1e-17 and 0 <= i <= n:
+        total += term
+        if below:
+            term *= i / ((n - i + 1) * odds)
+            i -= 1
+        else:
+            term *= (n - i) / (i + 1) * odds
+            i += 1
+    side = math.exp(top + math.log(total))
+    return min(1.0, side) if below else max(0.0, 1.0 - side)
 
 
 def _first_step() -> Column:
@@ -171,10 +179,10 @@ def calibrate(holdout: DataFrame, stratum: str, good: Column, alpha: float = 0.0
     The counts form one aggregate with map-side partial sums: a row for each
     stratum (two columns for each step), whatever the number of documents.
     """
-    first, counts = F.col("_first"), [F.count_if(good).alias("n_good")]
+    first, counts = F.col("_quality_first"), [F.count_if(good).alias("n_good")]
     for k in range(len(STEPS)):
         counts += [F.count_if(good & (first <= k)).alias(f"{k}|good"), F.count_if(~good & (first <= k)).alias(f"{k}|bad")]
-    tested = staged(holdout.filter(~base_failed()).withColumn("_first", _first_step())
+    tested = staged(holdout.filter(~base_failed()).withColumn("_quality_first", _first_step())
                     .groupBy(F.col(stratum).cast("string").alias("stratum")).agg(*counts), "holdout")
     level = delta / max(1, tested.count())
 
@@ -204,16 +212,16 @@ def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
     """
     values, rules = _values(), list(RULES)
     wide = cutoffs.groupBy("stratum").agg(*[
-        F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in rules])
-    wide = wide.withColumnRenamed("stratum", "_stratum")
+        F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_quality_cut_{r}") for r in rules])
+    wide = wide.withColumnRenamed("stratum", "_quality_stratum")
     m = without(measured, ["base_failed", "kept"])
-    j = m.join(wide, F.col(stratum).cast("string").eqNullSafe(F.col("_stratum")), "left")
+    j = m.join(wide, F.col(stratum).cast("string").eqNullSafe(F.col("_quality_stratum")), "left")
     fails = F.lit(False)
     for r in rules:
-        fails = fails | F.coalesce(values[r] > F.col(f"_cut_{r}"), F.lit(False))
+        fails = fails | F.coalesce(values[r] > F.col(f"_quality_cut_{r}"), F.lit(False))
     return (j.withColumn("base_failed", base_failed())
             .withColumn("kept", ~F.col("base_failed") & ~fails)
-            .drop("_stratum", *[f"_cut_{r}" for r in rules]))
+            .drop("_quality_stratum", *[f"_quality_cut_{r}" for r in rules]))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.02,
@@ -223,13 +231,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alp
 
     ``labels`` has ``id_col`` and ``quality`` (1: good, 0: bad; of a document
     labelled more than once the lowest counts).  The holdout is every labelled
-    document; its texts are measured where they are read, and only the numbers
-    are joined with the labels.
+    document.  Texts are measured once, into a staged table, from whose numbers
+    cutoffs are chosen and documents judged.
     """
-    label = (labels.filter(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("_id"))
-             .agg(F.min("quality").alias("_quality")))
-    numbers = measure(docs.select(F.col(id_col).alias("_doc"), F.col(stratum).alias("_stratum_of"),
-                                  F.col(text_col).alias("_text")), "_text", keep_text=False)
-    holdout = numbers.join(label, F.col("_doc") == F.col("_id"))
-    cutoffs = calibrate(holdout, "_stratum_of", F.col("_quality") == 1, alpha, delta)
-    return judge(measure(docs, text_col, keep_text), cutoffs, stratum)
+    docs = without(reserved(docs, "_quality_"), ["base_failed", "kept"])
+    measured = staged(measure(docs, text_col, keep_text), "quality")
+    label = (labels.filter(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("_quality_id"))
+             .agg(F.min("quality").alias("_quality_label")))
+    numbers = measured.select(F.col(id_col).alias("_quality_doc"), F.col(stratum).alias("_quality_of"), *MEASURES)
+    holdout = numbers.join(label, F.col("_quality_doc") == F.col("_quality_id"))
+    cutoffs = calibrate(holdout, "_quality_of", F.col("_quality_label") == 1, alpha, delta)
+    return judge(measured, cutoffs, stratum)
