@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import checks, columns, entities, index, route, series
+from ..operators import checks, columns, entities, hashtree, index, lineage, route, series
 from ..operators.joins import join_lookup
 from ..session import checkpoint_dir
 from ..sources import html
-from ..sources.files import read_csv, read_tagged, stage, write_table
+from ..sources.files import (quarantine, read_csv, read_csv_checked, read_sheet_exports, read_tagged, stage,
+                             write_table)
 from . import sqltext as S
 from . import stages
 from .panels import (STARRED, cents, delivery_rows, nation_year_prices, orders_by_nation, table,
@@ -651,3 +652,176 @@ def q36_page_tables(spark, d):
     rows = html.table_rows(html.html_tables(pages), 1, header_rows=2)
     both = html.columns(rows, {"order_key": ("Key", 1), "priority": ("Name", 2)})
     return both.select("page_id", "order_key", "priority")
+
+
+# Q37, Q38 (K4): districts of nations (by customer number) as entities; in some nations two
+# are merged, one is split or one is renamed from a year on.  Volumes are numbers of orders.
+_LINEAGE_TOLERANCE, _LINEAGE_ROUNDS = 0.35, 6
+_DISTRICT = """n_name || '-' || CASE
+  WHEN o_custkey % 4 < 2 AND CAST(substr(n_name, 8) AS INT) % 3 = 0 AND year >= 1996 THEN '01'
+  WHEN o_custkey % 4 = 2 AND CAST(substr(n_name, 8) AS INT) % 3 = 1 AND year >= 1997
+    THEN CASE WHEN o_custkey % 8 = 2 THEN '2a' ELSE '2b' END
+  WHEN o_custkey % 4 = 3 AND CAST(substr(n_name, 8) AS INT) % 5 = 0 AND year >= 1995 THEN '3x'
+  ELSE CAST(o_custkey % 4 AS {text}) END"""
+
+
+def _lineage_sql(last: str) -> str:
+    """The rounds of acceptance written out, each with what the one before left open."""
+    rounds = "".join(f""",
+pairs{i} AS (SELECT o.since, o.n_name, o.entity AS old, n.entity AS new, o.volume AS old_volume, n.volume AS new_volume
+  FROM open{i} o JOIN open{i} n ON o.side = 'old' AND n.side = 'new' AND o.since = n.since AND o.n_name = n.n_name),
+cand{i} AS (
+  SELECT 'new' AS side, new AS target, since, new_volume AS target_volume, old AS part, old_volume AS part_volume
+  FROM pairs{i} WHERE old_volume <= new_volume * (1 + {_LINEAGE_TOLERANCE})
+  UNION ALL
+  SELECT 'old', old, since, old_volume, new, new_volume FROM pairs{i} WHERE new_volume <= old_volume * (1 + {_LINEAGE_TOLERANCE})),
+run{i} AS (SELECT *, sum(part_volume) OVER w AS run, row_number() OVER w AS rank FROM cand{i}
+  WINDOW w AS (PARTITION BY side, target ORDER BY part_volume DESC, part ROWS UNBOUNDED PRECEDING)),
+err{i} AS (SELECT *, abs(run - target_volume) / target_volume AS e FROM run{i}),
+best{i} AS (SELECT *, first_value(e) OVER w AS error, first_value(rank) OVER w AS parts FROM err{i}
+  WINDOW w AS (PARTITION BY side, target ORDER BY e, rank)),
+found{i} AS (SELECT * FROM best{i} WHERE rank <= parts AND error <= {_LINEAGE_TOLERANCE} AND (side = 'new' OR parts > 1)),
+members{i} AS (
+  SELECT side, target, parts, error, CASE side WHEN 'new' THEN 'old' ELSE 'new' END AS part_side, part AS entity FROM found{i}
+  UNION SELECT side, target, parts, error, side, target FROM found{i}),
+wish{i} AS (SELECT *, row_number() OVER (PARTITION BY part_side, entity ORDER BY error, side, target) AS nth FROM members{i}),
+agreed{i} AS (SELECT side, target FROM wish{i} GROUP BY side, target, parts HAVING count(*) FILTER (nth = 1) = parts + 1),
+accepted{i} AS (SELECT f.* FROM found{i} f JOIN agreed{i} USING (side, target)),
+used{i} AS (SELECT side, target AS entity FROM accepted{i}
+  UNION SELECT CASE side WHEN 'new' THEN 'old' ELSE 'new' END, part FROM accepted{i}),
+open{i + 1} AS (SELECT o.* FROM open{i} o ANTI JOIN used{i} USING (side, entity))""" for i in range(_LINEAGE_ROUNDS))
+    every = " UNION ALL ".join(f"SELECT * FROM accepted{i}" for i in range(_LINEAGE_ROUNDS))
+    return f"""
+WITH RECURSIVE rows AS (
+  SELECT n_name, CAST(year(o_orderdate) AS INTEGER) AS year, o_custkey
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+panel AS (SELECT {_DISTRICT.format(text='VARCHAR')} AS entity, n_name, year, CAST(count(*) AS DOUBLE) AS volume FROM rows GROUP BY ALL),
+periods AS (SELECT year, lead(year) OVER (ORDER BY year) AS after FROM (SELECT DISTINCT year FROM panel)),
+spans AS (SELECT entity, min(n_name) AS n_name, min(year) AS lo, max(year) AS hi, arg_min(volume, year) AS first_volume,
+                 arg_max(volume, year) AS last_volume FROM panel GROUP BY entity),
+open0 AS (
+  SELECT 'new' AS side, entity, lo AS since, first_volume AS volume, n_name FROM spans WHERE lo > (SELECT min(year) FROM panel)
+  UNION ALL
+  SELECT 'old', entity, after, last_volume, n_name FROM spans JOIN periods ON hi = year
+  WHERE hi < (SELECT max(year) FROM panel)){rounds},
+told AS (
+  SELECT CASE WHEN parts = 1 THEN 'renamed' WHEN side = 'new' THEN 'merged' ELSE 'split' END AS kind, since,
+         CASE side WHEN 'new' THEN part ELSE target END AS old, CASE side WHEN 'new' THEN target ELSE part END AS new,
+         CASE side WHEN 'new' THEN part_volume ELSE target_volume END AS old_volume,
+         CASE side WHEN 'new' THEN target_volume ELSE part_volume END AS new_volume, error FROM ({every}))
+{last}"""
+
+
+def _districts(spark, d):
+    o = orders_by_nation(spark, d)
+    return (o.withColumn("entity", F.expr(_DISTRICT.format(text="STRING")))
+            .groupBy("entity", "n_name", "year").agg(F.count("*").alias("n_orders")))
+
+
+def _lineage_events(spark, d):
+    return lineage.lineage_events(stage(_districts(spark, d), "q37"), "entity", "year", "n_orders", ["n_name"],
+                                  _LINEAGE_TOLERANCE)
+
+
+@register("q37_lineage_events", _lineage_sql("SELECT * FROM told"))
+def q37_lineage_events(spark, d):
+    return _lineage_events(spark, d)
+
+
+@register("q38_lineages", _lineage_sql("""
+, edges AS (SELECT old AS a, new AS b FROM told UNION SELECT new, old FROM told),
+reached(node, other) AS (SELECT a, a FROM edges UNION SELECT r.node, e.b FROM reached r JOIN edges e ON r.other = e.a)
+SELECT node AS entity, min(other) AS lineage FROM reached GROUP BY node"""))
+def q38_lineages(spark, d):
+    return lineage.lineages(_lineage_events(spark, d))
+
+
+# Q39 (A2): parts written as delimited sheets (one for each size) with preamble rows before
+# the header, and read as numbered lines.
+@register("q39_sheet_exports", """
+SELECT CAST(p_partkey AS VARCHAR) AS part, p_name AS name, CAST(p_size AS VARCHAR) AS sheet_size FROM part""")
+def q39_sheet_exports(spark, d):
+    rows = table(spark, d, "part").select(
+        "p_size", F.col("p_partkey").alias("no"),
+        F.concat_ws(",", F.col("p_partkey").cast("string"), F.concat(F.lit('"'), "p_name", F.lit('"')), "p_size").alias("value"))
+    heads = rows.select("p_size").distinct().select("p_size", F.posexplode(F.array(
+        *map(F.lit, ("House prices", "", "Published, revised", "Part,Name,Size")))).alias("no", "value"))
+    sheets = rows.unionByName(heads.withColumn("no", F.col("no").cast("long") - 4))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/pinax-stage/q39-{uuid.uuid4().hex}"
+    sheets.repartition("p_size").sortWithinPartitions("p_size", "no").select("p_size", "value").write.partitionBy(
+        "p_size").text(path)
+    read = read_sheet_exports(spark, path, ["Part", "Name", "Size"], skip_rows=3, glob="*.txt")
+    return read.select(F.col("Part").alias("part"), F.col("Name").alias("name"), F.col("Size").alias("sheet_size"))
+
+
+# Q40 (A5, A6): parts handed over as CSV in which some cells do not fit, rows are short or
+# too long; read in one scan into clean rows and quarantined ones.
+_SPOILED = """CASE WHEN p_partkey % 97 = 5 THEN p_partkey || ',n/a,' || p_retailprice
+  WHEN p_partkey % 101 = 7 THEN p_partkey || ',' || p_size || ',1,2'
+  WHEN p_partkey % 103 = 9 THEN CAST(p_partkey AS {text}) END"""
+
+
+@register("q40_quarantine", f"""
+WITH t AS (SELECT p_partkey, p_size, p_retailprice, {_SPOILED.format(text='VARCHAR')} AS bad_text
+           FROM (SELECT p_partkey, p_size, CAST({S.cents('p_retailprice')} AS BIGINT) AS p_retailprice FROM part))
+SELECT CASE WHEN bad_text IS NULL THEN 'clean' ELSE 'quarantined' END AS status,
+       CASE WHEN bad_text IS NULL THEN p_partkey END AS p_partkey, CASE WHEN bad_text IS NULL THEN p_size END AS p_size,
+       CASE WHEN bad_text IS NULL THEN p_retailprice END AS cents, bad_text FROM t""")
+def q40_quarantine(spark, d):
+    part = table(spark, d, "part").select("p_partkey", "p_size", cents("p_retailprice").alias("p_retailprice"))
+    line = F.coalesce(F.expr(_SPOILED.format(text="STRING")), F.concat_ws(",", "p_partkey", "p_size", "p_retailprice"))
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/pinax-stage/q40-{uuid.uuid4().hex}"
+    part.select(line).write.text(f"{folder}/in")
+    checked = read_csv_checked(spark, f"{folder}/in", "p_partkey bigint, p_size int, cents bigint", header=False)
+    good, bad = quarantine(checked, f"{folder}/out")
+    return good.select(F.lit("clean").alias("status"), "*", F.lit(None).cast("string").alias("bad_text")).unionByName(
+        bad.select(F.lit("quarantined").alias("status"), F.col("text").alias("bad_text")), allowMissingColumns=True)
+
+
+# Q41, Q42 (K5): a second version of orders with some prices raised, some rows taken out and
+# some added; the buckets in which the versions differ, and the rows in them that do.
+_ORDER_VALUES = ["cents", "o_orderpriority"]
+_NEW_ORDERS = """SELECT o_orderkey + CASE WHEN n = 1 THEN 0 ELSE 100000000 END AS o_orderkey,
+  cents + CASE WHEN n = 1 AND o_orderkey % 1997 = 5 THEN 1 ELSE 0 END AS cents, o_orderpriority
+FROM old_orders CROSS JOIN (VALUES (1), (2)) AS v(n)
+WHERE (n = 1 AND o_orderkey % 4999 <> 3) OR (n = 2 AND o_orderkey % 5003 = 7)"""
+_CELL = "length({c}) || ':' || {c}"
+_OLD_NEW = f"""
+WITH old_orders AS (SELECT o_orderkey, {S.cents('o_totalprice')} AS cents, o_orderpriority FROM orders),
+new_orders AS ({_NEW_ORDERS}),
+both_orders AS (SELECT 'old' AS v, * FROM old_orders UNION ALL SELECT 'new', * FROM new_orders),
+named AS (SELECT *, substr(md5({_CELL.format(c='CAST(o_orderkey AS VARCHAR)')}), 1, 3) AS bucket FROM both_orders)"""
+
+
+def _order_versions(spark, d):
+    old = table(spark, d, "orders").select("o_orderkey", cents("o_totalprice").alias("cents"), "o_orderpriority")
+    twice = old.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))).filter(
+        ((F.col("n") == 1) & (F.col("o_orderkey") % 4999 != 3)) | ((F.col("n") == 2) & (F.col("o_orderkey") % 5003 == 7)))
+    raised = ((F.col("n") == 1) & (F.col("o_orderkey") % 1997 == 5)).cast("long")
+    new = twice.select((F.col("o_orderkey") + F.when(F.col("n") == 1, 0).otherwise(100000000)).alias("o_orderkey"),
+                       (F.col("cents") + raised).alias("cents"), "o_orderpriority")
+    paths = []
+    for name, rows in (("old", old), ("new", new)):
+        paths.append(f"{checkpoint_dir(spark).rstrip('/')}/pinax-stage/q41-{name}-{uuid.uuid4().hex}")
+        hashtree.write_bucketed(rows, paths[-1], ["o_orderkey"])
+    return hashtree.changes(spark, *paths, ["o_orderkey"], _ORDER_VALUES)
+
+
+@register("q41_changed_buckets", _OLD_NEW + """,
+differ AS (SELECT bucket FROM named GROUP BY bucket, o_orderkey, cents, o_orderpriority HAVING count(DISTINCT v) < 2)
+SELECT bucket AS node, CAST(count(*) FILTER (v = 'old') AS BIGINT) AS old_rows,
+       CAST(count(*) FILTER (v = 'new') AS BIGINT) AS new_rows
+FROM named WHERE bucket IN (SELECT bucket FROM differ) GROUP BY bucket""")
+def q41_changed_buckets(spark, d):
+    return _order_versions(spark, d)[0]
+
+
+@register("q42_located_changes", _OLD_NEW + """
+SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey,
+       CASE WHEN o.o_orderkey IS NULL THEN 'added' WHEN n.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS kind,
+       o.cents AS old_cents, o.o_orderpriority AS old_o_orderpriority, n.cents AS new_cents,
+       n.o_orderpriority AS new_o_orderpriority
+FROM old_orders o FULL JOIN new_orders n ON o.o_orderkey = n.o_orderkey
+WHERE o.cents IS DISTINCT FROM n.cents OR o.o_orderpriority IS DISTINCT FROM n.o_orderpriority""")
+def q42_located_changes(spark, d):
+    return _order_versions(spark, d)[1]

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import drop_trailing_marker, lenient_double, replace_all
-from ..operators import checks, columns, entities, index, route, series
+from ..operators import checks, columns, entities, index, lineage, route, series
 from ..sources.files import drop_staged, stage, write_series, write_table
 from ..sources.html import column, table_rows
 
@@ -183,7 +183,8 @@ def data_checks(c: Cleaned, previous: DataFrame | None = None, dim: DataFrame |
     placeholder ``*``) and were read as null (K3); ``nulls``: counts of null
     cells (C4, always one row); ``duplicates``: keys that repeat (K6);
     ``totals``: years whose offers do not add up to the published count (K1);
-    ``churn``: localities that do not span the panel (K4); ``fingerprint`` of
+    ``churn``: localities that do not span the panel, and ``lineage``: those of
+    them whose offers show that they were merged, split or renamed (K4); ``fingerprint`` of
     the panel (K5, always one row); with ``previous`` (an earlier panel),
     ``revisions`` of the years it has (K2), and with ``dim`` (``commune``),
     ``coverage``: localities that the entity list lacks (E3).
@@ -199,6 +200,7 @@ def data_checks(c: Cleaned, previous: DataFrame | None = None, dim: DataFrame |
         "duplicates": checks.duplicate_keys(c.panel, ["locality", "year"]),
         "totals": checks.totals_match(c.panel, c.country, "year", "n_offers", "n_offers").filter("NOT ok"),
         "churn": checks.churn(c.panel, "locality", "year").filter("appeared OR vanished"),
+        "lineage": lineage.lineage_events(c.panel, "locality", "year", "n_offers"),
         "fingerprint": checks.fingerprint(c.panel),
     }
     if previous is not None:
@@ -239,6 +241,8 @@ def run(spark: SparkSession, raw: DataFrame, out_dir: str, selected: list[str] |
         for name, report in data_checks(c, previous, dim, thousands_sep).items():
             out[f"checks/{name}"] = path = f"{out_dir.rstrip('/')}/checks/{name}"
             write_table(report, path)
+            if name == "lineage":
+                drop_staged(report)
             if name in (fail_on or []) and not spark.read.schema(report.schema).parquet(path).isEmpty():
                 failed.append(name)
         if failed:

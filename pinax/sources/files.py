@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from ..session import checkpoint_dir
 
@@ -31,36 +32,83 @@ def read_csv(spark: SparkSession, paths: str | list[str], schema: StructType | s
     return df.repartition(partitions) if partitions else df
 
 
+def numbered_lines(spark: SparkSession, paths: str | list[str], encoding: str = "UTF-8",
+                   glob: str | None = None, least_lines: int = 0) -> DataFrame:
+    """``(path, name, line_no, line)`` of text files of any size, gzip included.
+
+    Files are scanned in splits by many tasks.  A first scan counts the lines of
+    each split; the prefix sums of these counts, a row for each split, give the
+    number of a split's first line, and a line's place in its split does the
+    rest.  No file is ever one row or one task (a gzip file is one split).
+    ``encoding`` is any in which a line feed is one byte; a byte-order mark is
+    dropped.  A file with lines, but fewer than ``least_lines``, fails the job.
+    """
+    options = {"pathGlobFilter": glob} if glob else {}
+    read = spark.read.options(recursiveFileLookup="true", **options).text(paths)
+    lines = read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"),
+                        F.col("_metadata.file_block_start").alias("__block"),
+                        F.monotonically_increasing_id().alias("__id"), "value")
+    # Within a split ids go up by one in reading order; both scans have the same splits.
+    splits = lines.groupBy("path", "__block").agg(F.min("__id").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy("path").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("path", "__block", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"),
+                           F.sum("__n").over(Window.partitionBy("path")).alias("__lines"))
+    if least_lines:
+        short = F.concat(F.lit(f"no header after {least_lines - 1} rows in "), F.col("path"))
+        starts = starts.filter(F.when(F.col("__lines") < least_lines, F.raise_error(short)).otherwise(F.lit(True)))
+    line_no = F.col("__before") + F.col("__id") - F.col("__first") + 1
+    raw = F.col("value").cast("binary")
+    text = F.col("value") if encoding.upper() in ("UTF-8", "UTF8") else F.decode(raw, encoding)
+    text = F.when(line_no == 1, F.regexp_replace(text, r"\A\x{FEFF}", "")).otherwise(text)
+    return lines.join(starts, ["path", "__block"]).select(
+        "path", "name", line_no.alias("line_no"), text.alias("line"))
+
+
+def joined_records(lines: DataFrame, quote: str = '"') -> DataFrame:
+    """``lines`` with the lines of a record that holds line breaks in quotes put together, under its first line's number.
+
+    A line with an odd number of quotes opens or closes a field that goes on;
+    only these lines are ordered within their file, and paired.  Only the lines
+    of such records are joined and grouped; a record must fit a row.
+    """
+    odd = F.length("line") - F.length(F.replace("line", F.lit(quote), F.lit("")))
+    turns = (lines.filter(odd % 2 == 1).select("path", "line_no")
+             .withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy("line_no"))))
+    spans = turns.groupBy("path", F.floor((F.col("nth") + 1) / 2).alias("pair")).agg(
+        F.min("line_no").alias("record"), F.max("line_no").alias("last"))
+    inside = spans.select("path", "record", F.explode(F.sequence("record", "last")).alias("line_no"))
+    marked = lines.join(inside, ["path", "line_no"], "left")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])
+    whole = marked.filter(F.col("record").isNotNull()).groupBy("path", "name", F.col("record").alias("line_no")).agg(
+        F.array_join(parts, "\n").alias("line"))
+    return marked.filter(F.col("record").isNull()).drop("record").unionByName(whole)
+
+
 def read_sheet_exports(spark: SparkSession, paths: str | list[str], header: list[str],
                        skip_rows: int = 0, sep: str = ",", encoding: str = "UTF-8",
-                       glob: str = "*.csv", tag_col: str = "sheet") -> DataFrame:
-    """Delimited exports of sheets with preamble rows before the header (A2).
+                       glob: str = "*.csv", tag_col: str = "sheet", line_breaks: bool = False) -> DataFrame:
+    """Delimited exports of sheets with preamble rows before the header (A2), of any size.
 
     The CSV reader has no "skip the first k lines" option and splits files
-    across tasks, so row numbers are not known.  Here each file is one row
-    (``binaryFile``, any filesystem), decoded with ``encoding``, its lines are
-    numbered with ``posexplode``, lines ``1..skip_rows`` are dropped, line
-    ``skip_rows + 1`` must equal the declared ``header`` (else the job fails),
-    and the rest is parsed with the built-in ``from_csv`` - all in the JVM.
+    across tasks.  Here lines are numbered by ``numbered_lines``: lines
+    ``1..skip_rows`` are dropped, line ``skip_rows + 1`` must equal the declared
+    ``header`` (else the job fails), and the rest is parsed with the built-in
+    ``from_csv`` - all in the JVM, by as many tasks as the files have splits.
     The header line is parsed the same way (quoted headers match), a leading
     byte-order mark is dropped, and a file too short to hold a header fails
     the job.  (A 0-byte file is skipped by Spark's file listing and adds no
-    rows; the per-year checks - totals, churn - are where a missing sheet shows.)  Sheet exports are small files; a quoted field holding a line
-    break is not supported.
+    rows; the per-year checks - totals, churn - are where a missing sheet shows.)
+    With ``line_breaks`` a quoted field may hold some (``joined_records``), and
+    a doubled quote in it stands for one.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths)
-    text = F.regexp_replace(F.decode(F.col("content"), encoding), r"\A\x{FEFF}", "")  # BOM
-    lines = F.split(F.regexp_replace(text, r"\r\n?", "\n"), r"\n")
-    name = F.substring_index(F.substring_index(F.col("path"), "/", -1), ".", 1)
-    per_file = files.select(name.alias(tag_col), lines.alias("lines"))
-    short = F.concat(F.lit(f"no header after {skip_rows} rows in "), F.col(tag_col))
-    per_file = per_file.filter(F.when(F.size("lines") <= skip_rows, F.raise_error(short))
-                                .otherwise(F.lit(True)))
-    raw = per_file.select(tag_col, F.posexplode("lines").alias("line_no", "line"))
+    lines = numbered_lines(spark, paths, encoding, glob, least_lines=skip_rows + 1)
+    lines = joined_records(lines) if line_breaks else lines
+    after = lines.filter(F.col("line_no") > skip_rows)
+    tag = F.substring_index("name", ".", 1).alias(tag_col)
     # One column more than declared: a longer header or data row shows up in it.
     ddl = ", ".join(f"`c{i}` string" for i in range(len(header) + 1))
-    parsed = raw.select(tag_col, (F.col("line_no") + 1).alias("line_no"),
-                        F.from_csv("line", ddl, {"sep": sep}).alias("r"), F.length("line").alias("len"))
+    options = {"sep": sep} | ({"multiLine": "true", "escape": "\""} if line_breaks else {})
+    parsed = after.select(tag, "line_no", F.from_csv("line", ddl, options).alias("r"), F.length("line").alias("len"))
     extra = F.col(f"r.c{len(header)}")
     cells = F.array(*[F.col(f"r.c{i}") for i in range(len(header))])
     expected = F.array(*[F.lit(h) for h in header])
@@ -68,12 +116,61 @@ def read_sheet_exports(spark: SparkSession, paths: str | list[str], header: list
     is_header = F.col("line_no") == skip_rows + 1
     long = F.concat(F.lit("a row has more cells than the header in "), F.col(tag_col))
     checked = parsed.filter(F.when(is_header & (~cells.eqNullSafe(expected) | extra.isNotNull()), F.raise_error(msg))
-                             .when((F.col("line_no") > skip_rows) & extra.isNotNull(), F.raise_error(long))
+                             .when(extra.isNotNull(), F.raise_error(long))
                              .otherwise(F.lit(True)))
     body = checked.filter((F.col("line_no") > skip_rows + 1) & (F.col("len") > 0))
     return body.select(*[F.col(f"r.c{i}").alias(h) for i, h in enumerate(header)], tag_col)
 
 
+def read_csv_checked(spark: SparkSession, paths: str | list[str], schema: StructType | str, header: bool = True,
+                     encoding: str = "UTF-8", sep: str = ",", glob: str | None = None) -> DataFrame:
+    """CSV whose bad rows are told, not fatal: the schema's columns and ``bad_file, bad_line, bad_text``.
+
+    A row with a cell that does not fit its type, or with too few or too many
+    cells, has the last three filled, with the file, the number of its line and
+    the line as it stands; all others have them null.  With ``header`` the first
+    line of each file must hold the schema's names, else it is such a row too.
+    """
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    asked = StructType([*schema.fields, StructField("__bad", StringType())])
+    lines = numbered_lines(spark, paths, encoding, glob)
+    options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}
+    parsed = lines.filter(F.length("line") > 0).withColumn("r", F.from_csv("line", _ddl(asked), options))
+    bad = F.col("r.__bad").isNotNull()
+    if header:
+        names = F.from_csv("line", ", ".join(f"`c{i}` string" for i in range(len(schema) + 1)), {"sep": sep})
+        found = F.array(*[names[f"c{i}"] for i in range(len(schema) + 1)])
+        expected = F.array(*[F.lit(f.name) for f in schema], F.lit(None).cast("string"))
+        is_header = (F.col("line_no") == 1) & found.eqNullSafe(expected)
+        parsed = parsed.filter(~is_header)
+        bad = bad | (F.col("line_no") == 1)
+    when_bad = lambda c: F.when(bad, c)
+    return parsed.select(*[F.when(~bad, F.col("r")[f.name]).alias(f.name) for f in schema],
+                         when_bad(F.col("path")).alias("bad_file"), when_bad(F.col("line_no")).alias("bad_line"),
+                         when_bad(F.col("line")).alias("bad_text"))
+
+
+def _ddl(schema: StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+
+BAD = ["bad_file", "bad_line", "bad_text"]
+
+
+def quarantine(checked: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Write ``read_csv_checked`` rows in one scan, and return clean and quarantined rows.
+
+    The table under ``path`` has two partitions, ``bad=false`` and ``bad=true``;
+    each of the frames reads one of them.
+    """
+    spark = checked.sparkSession
+    marked = checked.withColumn("bad", F.col("bad_line").isNotNull())
+    marked.write.mode("overwrite").partitionBy("bad").parquet(path)
+    table = spark.read.schema(marked.schema).parquet(path)
+    return (table.filter(~F.col("bad")).drop("bad", *BAD),
+            table.filter("bad").select(*[F.col(c).alias(c.removeprefix("bad_")) for c in BAD]))
+
+
 def file_tag(pattern: str | None = None, strip: str = "all"):
     """Column naming each row's source file.
 

@@ -1,5 +1,6 @@
 import gzip
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -236,3 +237,59 @@ def test_file_tag_strips_all_or_last_extension(spark, tmpdir_path):
     got = {(r.a, r.b) for r in df.select(files.file_tag().alias("a"),
                                          files.file_tag(strip="last").alias("b")).collect()}
     assert got == {("2022", "2022.rev2"), ("2021", "2021"), ("plain", "plain")}
+
+
+def _numbered(spark, folder, **options):
+    return {(r.name, r.line_no): r.line for r in files.numbered_lines(spark, folder, **options).collect()}
+
+
+def test_lines_of_many_splits_are_numbered(spark, tmpdir_path):
+    r = random.Random(2)
+    want = {}
+    for name, n, end in (("a.txt", 4000, "\n"), ("b.txt", 1, ""), ("c.txt", 700, "\r\n"), ("sub/d.txt", 90, "\n")):
+        rows = ["x" * r.randint(0, 60) + str(i) for i in range(n)]
+        path = os.path.join(tmpdir_path, name)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "w", newline="") as f:
+            f.write("".join(x + end for x in rows))
+        want |= {(os.path.basename(name), i): x for i, x in enumerate(rows, 1)}
+    with gzip.open(os.path.join(tmpdir_path, "e.txt.gz"), "wt") as f:
+        f.write("".join(f"{i}\n" for i in range(500)))
+    want |= {("e.txt.gz", i + 1): str(i) for i in range(500)}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        lines = files.numbered_lines(spark, tmpdir_path)
+        assert lines.rdd.getNumPartitions() > 1 and spark.read.text(tmpdir_path).rdd.getNumPartitions() > 20
+        assert _numbered(spark, tmpdir_path) == want
+        # A large sheet with a preamble is read by many tasks, as one row after the other.
+        path = os.path.join(tmpdir_path, "sheet.csv")
+        with open(path, "w", encoding="latin-1") as f:
+            f.write("note\n\nCommune,n\n" + "".join(f"Pétange {i},{i}\n" for i in range(3000)))
+        got = files.read_sheet_exports(spark, path, ["Commune", "n"], skip_rows=2, encoding="ISO-8859-1")
+        assert sorted(int(r.n) for r in got.collect()) == list(range(3000))
+        assert {r.Commune == f"Pétange {r.n}" for r in got.collect()} == {True}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_quoted_line_breaks(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "s.csv")
+    with open(path, "w") as f:
+        f.write('note\nA,B\n"two\nlines",1\nplain,2\n"a ""quoted"" word",3\n"x\n\ny, z\n",4\nlast,5\n')
+    got = files.read_sheet_exports(spark, path, ["A", "B"], skip_rows=1, line_breaks=True).collect()
+    assert sorted((r.B, r.A) for r in got) == [("1", "two\nlines"), ("2", "plain"), ("3", 'a ""quoted"" word'.replace('""', '"')),
+                                               ("4", "x\n\ny, z\n"), ("5", "last")]
+
+
+def test_bad_rows_are_quarantined(spark, tmpdir_path):
+    for name, body in (("one.csv", "id,x\n1,1.5\nb,2\n3,4,5\n4\n\n5,\n6,7"), ("two.csv", "x,id\n8,9.5\n")):
+        with open(os.path.join(tmpdir_path, name), "w") as f:
+            f.write(body)
+    checked = files.read_csv_checked(spark, tmpdir_path, "id int, x double", glob="*.csv")
+    good, bad = files.quarantine(checked, os.path.join(tmpdir_path, "out"))
+    assert sorted((r.id, r.x) for r in good.collect()) == [(1, 1.5), (5, None), (6, 7.0), (8, 9.5)]
+    assert sorted((r.file.rsplit("/", 1)[1], r.line, r.text) for r in bad.collect()) == [
+        ("one.csv", 3, "b,2"), ("one.csv", 4, "3,4,5"), ("one.csv", 5, "4"), ("two.csv", 1, "x,id")]
