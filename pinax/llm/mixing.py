@@ -8,7 +8,8 @@ until the words taken come as near to the share as whole documents can.
 
 Cases: a null or empty text has size 0.  A null source is a source of its own,
 last in order.  Rows with the same id and text are selected together.  Input
-columns that carry an output's name are replaced.  No documents: no rows.
+columns that carry an output's name are replaced, and names that start with
+``_mix_`` are reserved.  No documents: no rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, staged, without
+from .common import WORD, reserved, staged, without
 
 #: Hash ranges by which the running sums of a source are dealt out.
 RANGES = 4096
@@ -63,41 +64,44 @@ def mix(docs: DataFrame, weights: list[float], budget: float = 1.5, max_epochs:
     source: the first runs over at most ``RANGES`` rows of each, the second over
     one range.  What joins the documents is one row per source.
     """
-    docs = without(docs, ["size", "source_size", "target", "copies"])
+    docs = without(reserved(docs, "_mix_"), ["size", "source_size", "target", "copies"])
     place = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).bitwiseAND(F.lit((1 << 63) - 1))
-    placed = docs.withColumn("_place", place).withColumn("_range", F.shiftright("_place", _SHIFT))
-    source = F.col(source_col).alias("source")
-    sums = staged(placed.groupBy(source, "_range").agg(F.sum(n_words(text_col)).alias("words")), "mix-ranges")
+    placed = docs.withColumn("_mix_place", place)
+    # What the sums need of a document, under names of their own.
+    narrow = docs.select(F.col(source_col).alias("source"), place.alias("place"), F.col(text_col).alias("text"))
+    ranged = narrow.withColumn("range", F.shiftright("place", _SHIFT))
+    sums = staged(ranged.groupBy("source", "range").agg(F.sum(n_words("text")).alias("words")), "mix-ranges")
     targets = shares(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     targets = targets.withColumn("whole", whole.cast("int")).withColumn(
         "need", F.col("target") - F.col("whole") * F.col("source_size"))
-    targets = staged(targets, "mix-targets").withColumnRenamed("source", "_source")
+    targets = staged(targets, "mix-targets").withColumnRenamed("source", "of")
 
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("_range")
+    before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("range")
                                             .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ends = (sums.withColumn("_before", before)
-            .join(targets, F.col("source").eqNullSafe(F.col("_source")))
-            .filter((F.col("_before") < F.col("need")) & (F.col("_before") + F.col("words") >= F.col("need")))
-            .select("_source", F.col("_range").alias("_end"), "_before", "need"))
+    ends = (sums.withColumn("before", before).join(targets, F.col("source").eqNullSafe(F.col("of")))
+            .filter((F.col("before") < F.col("need")) & (F.col("before") + F.col("words") >= F.col("need")))
+            .select("of", F.col("range").alias("end"), "before", "need"))
     ends = staged(ends, "mix-ends")  # a row per source: with its size known, no texts are shuffled to it
-    last = (placed.join(ends, F.col(source_col).eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_end")))
-            .groupBy("_source", "_end", "_before", "need", "_place").agg(F.sum(n_words(text_col)).alias("words")))
-    upto = F.sum("words").over(Window.partitionBy("_source").orderBy("_place")
+    last = (ranged.join(ends, F.col("source").eqNullSafe(F.col("of")) & (F.col("range") == F.col("end")))
+            .groupBy("of", "end", "before", "need", "place").agg(F.sum(n_words("text")).alias("words")))
+    upto = F.sum("words").over(Window.partitionBy("of").orderBy("place")
                                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    middle = F.col("_before") + F.col("upto") - F.col("words") / 2  # taken if that comes nearer to the need
-    cut = (last.withColumn("upto", upto).groupBy("_source", "_end")
-           .agg(F.max(F.when(middle <= F.col("need"), F.col("_place"))).alias("_last"))
-           .select(F.col("_source").alias("_of"), F.coalesce("_last", F.shiftleft("_end", _SHIFT) - 1).alias("_last")))
-    chosen = targets.join(cut, F.col("_source").eqNullSafe(F.col("_of")), "left")
-    extra = F.coalesce((F.col("_place") <= F.col("_last")).cast("int"), F.lit(0))
-    return (placed.join(staged(chosen.drop("_of", "need"), "mix-chosen"),
-                        F.col(source_col).eqNullSafe(F.col("_source")))
-            .withColumn("size", n_words(text_col)).withColumn("copies", F.col("whole") + extra)
-            .drop("_source", "_place", "_range", "_last", "whole"))
+    middle = F.col("before") + F.col("upto") - F.col("words") / 2  # taken if that comes nearer to the need
+    cut = (last.withColumn("upto", upto).groupBy("of", "end")
+           .agg(F.max(F.when(middle <= F.col("need"), F.col("place"))).alias("last"))
+           .select(F.col("of").alias("cut_of"), F.coalesce("last", F.shiftleft("end", _SHIFT) - 1).alias("last")))
+    chosen = (targets.join(cut, F.col("of").eqNullSafe(F.col("cut_of")), "left")
+              .select(F.col("of").alias("_mix_of"), "source_size", "target", F.col("whole").alias("_mix_whole"),
+                      F.col("last").alias("_mix_last")))
+    extra = F.coalesce((F.col("_mix_place") <= F.col("_mix_last")).cast("int"), F.lit(0))
+    return (placed.join(staged(chosen, "mix-chosen"), F.col(source_col).eqNullSafe(F.col("_mix_of")))
+            .withColumn("size", n_words(text_col)).withColumn("copies", F.col("_mix_whole") + extra)
+            .drop("_mix_of", "_mix_place", "_mix_last", "_mix_whole"))
 
 
 def repeated_rows(mixed: DataFrame) -> DataFrame:
     """Each row as often as its ``copies`` say."""
     once = mixed.filter(F.col("copies") > 0)
-    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_copy", "copies")
+    return (once.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+            .drop("_mix_copy", "copies"))
