@@ -28,11 +28,12 @@ def _run(args, spark) -> dict:
     rows = workbook.read_workbooks(spark, args.workbooks, sheets=args.sheets, skip_rows=args.skip_rows,
                                    header=header)
     raw = workbook.sheet_frame(rows, header, strict=not args.lenient)
+    headers = workbook.sheet_headers(spark, args.workbooks, args.skip_rows, args.sheets)
     previous = spark.read.parquet(args.previous) if args.previous else None
     dim = spark.read.parquet(args.entities) if args.entities else None
     return stages.run(spark, raw, args.out, selected=args.select, base=args.base,
                       thousands_sep=args.thousands_sep, previous=previous, dim=dim,
-                      fail_on=stages.MUST_BE_EMPTY if args.strict_checks else None)
+                      fail_on=stages.MUST_BE_EMPTY if args.strict_checks else None, headers=headers, expected=header)
 
 
 def _coverage(args, spark) -> dict:

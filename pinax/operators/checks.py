@@ -109,6 +109,30 @@ def schema_drift(expected: StructType, df: DataFrame) -> list[tuple[str, str, st
     return out
 
 
+def schema_versions(headers: DataFrame, expected: list[str]) -> DataFrame:
+    """``(columns, n_parts, n_files, first_path, missing, unexpected, moved)``: layouts found in many files (K3).
+
+    ``headers`` has ``path, part, columns``, a row for each file or sheet (see
+    ``sheet_headers`` and ``file_headers``).  A layout is told with how many have
+    it; ``missing`` and ``unexpected`` are names against ``expected``, ``moved``
+    that the same names stand in another order.  A null ``columns`` is a part without a header.
+    ``headers`` joined with a layout gives the files that hold it.
+    """
+    want = F.array(*[F.lit(c) for c in expected])
+    found = headers.groupBy("columns").agg(F.count("*").alias("n_parts"), F.count_distinct("path").alias("n_files"),
+                                           F.min("path").alias("first_path"))
+    here = F.coalesce("columns", F.array().cast("array<string>"))
+    missing, unexpected = F.array_sort(F.array_except(want, here)), F.array_sort(F.array_except(here, want))
+    moved = ((F.size(missing) == 0) & (F.size(unexpected) == 0) & (F.size(here) == len(expected))
+             & ~here.eqNullSafe(want))
+    return found.select("*", missing.alias("missing"), unexpected.alias("unexpected"), moved.alias("moved"))
+
+
+def drifted(versions: DataFrame, expected: list[str]) -> DataFrame:
+    """The layouts of ``schema_versions`` that differ from the expected one in any way."""
+    return versions.filter(~F.col("columns").eqNullSafe(F.array(*[F.lit(c) for c in expected])))
+
+
 def churn(df: DataFrame, key: str, period: str) -> DataFrame:
     """First and last period per entity, flagged against the whole panel (K4).
 

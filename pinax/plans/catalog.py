@@ -23,7 +23,7 @@ from ..operators import checks, columns, entities, hashtree, index, lineage, rou
 from ..operators.joins import join_lookup
 from ..session import checkpoint_dir
 from ..sources import html
-from ..sources.files import (quarantine, read_csv, read_csv_checked, read_sheet_exports, read_tagged, stage,
+from ..sources.files import (file_headers, quarantine, read_csv, read_csv_checked, read_sheet_exports, read_tagged, stage,
                              write_table)
 from . import sqltext as S
 from . import stages
@@ -633,12 +633,12 @@ def q35_csv_hand_over(spark, d):
     part = table(spark, d, "part").select(
         "p_partkey", F.concat(F.lit("Pétange "), "p_name").alias("name"), "p_retailprice")
     path = f"{checkpoint_dir(spark).rstrip('/')}/pinax-stage/q35-{uuid.uuid4().hex}"
-    write_table(part.repartition(4, "p_partkey"), path, fmt="csv", encoding="ISO-8859-1", compression="gzip")
+    write_table(part.repartition("p_partkey"), path, fmt="csv", encoding="ISO-8859-1", compression="gzip")
     return read_csv(spark, path, part.schema, encoding="ISO-8859-1")
 
 
 # Q36 (A7, A8, A9): rows of orders written as page tables with a two-level header (in
-# the query), parsed from the pages and read as columns again.
+# the query; a large page in parts that keep the header), parsed and read as columns again.
 @register("q36_page_tables", """
 SELECT o_custkey AS page_id, CAST(o_orderkey AS VARCHAR) AS order_key, o_orderpriority AS priority FROM orders""")
 def q36_page_tables(spark, d):
@@ -647,8 +647,7 @@ def q36_page_tables(spark, d):
                      F.col("o_orderpriority"), F.lit("</b></td></tr>"))
     head = "<table><tr><td>other</td></tr></table><table><tr><th colspan=2>Order</th><th>Name</th></tr>" \
            "<tr><th>Name</th><th>Key</th><th>Name</th></tr>"
-    pages = o.groupBy(F.col("o_custkey").alias("page_id")).agg(
-        F.concat(F.lit(head), F.array_join(F.collect_list(cells), ""), F.lit("</table>")).alias("html"))
+    pages = html.subpages(o, "o_custkey", "o_orderkey", cells, head, "</table>")
     rows = html.table_rows(html.html_tables(pages), 1, header_rows=2)
     both = html.columns(rows, {"order_key": ("Key", 1), "priority": ("Name", 2)})
     return both.select("page_id", "order_key", "priority")
@@ -825,3 +824,28 @@ FROM old_orders o FULL JOIN new_orders n ON o.o_orderkey = n.o_orderkey
 WHERE o.cents IS DISTINCT FROM n.cents OR o.o_orderpriority IS DISTINCT FROM n.o_orderpriority""")
 def q42_located_changes(spark, d):
     return _order_versions(spark, d)[1]
+
+
+# Q43 (K3): parts delivered as one file for each size, in three layouts; the layouts found and how many files have them.
+_LAYOUTS = {0: "Part,Name,Size", 1: "Part,Size,Name", 2: "Part,Name,Brand"}
+
+
+@register("q43_schema_versions", f"""
+SELECT * FROM (SELECT p_size % 3 AS k, count(DISTINCT p_size) AS n_files FROM part GROUP BY 1)
+JOIN (VALUES (0, 'Part|Name|Size', '', '', false), (1, 'Part|Size|Name', '', '', true),
+             (2, 'Part|Name|Brand', 'Size', 'Brand', false)) AS v(k, layout, missing, unexpected, moved) USING (k)""")
+def q43_schema_versions(spark, d):
+    rows = table(spark, d, "part").withColumn("k", F.col("p_size") % 3)
+    cells = {0: ("p_partkey", "p_name", "p_size"), 1: ("p_partkey", "p_size", "p_name"), 2: ("p_partkey", "p_name", "p_brand")}
+    line = F.coalesce(*[F.when(F.col("k") == k, F.concat_ws(",", *c)) for k, c in cells.items()])
+    head = F.coalesce(*[F.when(F.col("k") == k, F.lit(x)) for k, x in _LAYOUTS.items()])
+    heads = rows.select("p_size", "k").distinct().select("p_size", F.lit(-1).cast("long").alias("no"), head.alias("value"))
+    sheets = rows.select("p_size", F.col("p_partkey").alias("no"), line.alias("value")).unionByName(heads)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/pinax-stage/q43-{uuid.uuid4().hex}"
+    sheets.repartition("p_size").sortWithinPartitions("p_size", "no").select("p_size", "value").write.partitionBy(
+        "p_size").text(path)
+    found = checks.schema_versions(file_headers(spark, path, glob="*.txt"), _LAYOUTS[0].split(","))
+    joined = lambda c: F.array_join(c, "|")
+    k = F.coalesce(*[F.when(joined("columns") == x.replace(",", "|"), F.lit(i)) for i, x in _LAYOUTS.items()])
+    return found.select(k.alias("k"), "n_files", joined("columns").alias("layout"), joined("missing").alias("missing"),
+                        joined("unexpected").alias("unexpected"), "moved")

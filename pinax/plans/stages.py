@@ -211,7 +211,7 @@ def data_checks(c: Cleaned, previous: DataFrame | None = None, dim: DataFrame |
 
 
 #: Reports that must be empty for a delivery to pass.
-MUST_BE_EMPTY = ["casts", "duplicates", "revisions", "coverage", "totals"]
+MUST_BE_EMPTY = ["schema", "casts", "duplicates", "revisions", "coverage", "totals"]
 
 
 class CheckFailed(RuntimeError):
@@ -220,8 +220,8 @@ class CheckFailed(RuntimeError):
 
 def run(spark: SparkSession, raw: DataFrame, out_dir: str, selected: list[str] | None = None,
         base: int = BASE_YEAR, country_name: str = COUNTRY_NAME, thousands_sep: str | None = None,
-        previous: DataFrame | None = None, dim: DataFrame | None = None,
-        fail_on: list[str] | None = None) -> dict[str, str]:
+        previous: DataFrame | None = None, dim: DataFrame | None = None, fail_on: list[str] | None = None,
+        headers: DataFrame | None = None, expected: list[str] | None = None) -> dict[str, str]:
     """The whole job: clean, check, index, write.
 
     The classified rows are staged once in the shared checkpoint folder (and
@@ -231,12 +231,23 @@ def run(spark: SparkSession, raw: DataFrame, out_dir: str, selected: list[str] |
     written from that staged copy.  A lost executor re-reads staged files
     instead of re-decoding every workbook.  With ``fail_on`` (names of reports,
     for instance ``MUST_BE_EMPTY``) a report that has rows stops the job after
-    the reports are written and before any other output is.  Returns the output paths.
+    the reports are written and before any other output is.  With ``headers``
+    (``path, part, columns``, see ``sheet_headers``) the layouts that differ from
+    the ``expected`` names are reported first (``checks/schema``, K3), before any
+    row is read, so a delivery that fails to be read leaves that report.  Returns the output paths.
     """
+    schema_path = f"{out_dir.rstrip('/')}/checks/schema"
+    if headers is not None:
+        report = checks.drifted(checks.schema_versions(headers, expected), expected)
+        write_table(report, schema_path)
+        if "schema" in (fail_on or []) and not spark.read.schema(report.schema).parquet(schema_path).isEmpty():
+            raise CheckFailed(f"checks with findings: schema (see {schema_path})")
     classified = stage(classify(raw, thousands_sep=thousands_sep), "classified", spark)
     try:
         c = split_classified(classified, country_name)
         out = {k: f"{out_dir.rstrip('/')}/{k}" for k in ("panel", "country", "indexed", "series", "versus")}
+        if headers is not None:
+            out["checks/schema"] = schema_path
         failed = []
         for name, report in data_checks(c, previous, dim, thousands_sep).items():
             out[f"checks/{name}"] = path = f"{out_dir.rstrip('/')}/checks/{name}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -122,6 +123,16 @@ def read_sheet_exports(spark: SparkSession, paths: str | list[str], header: list
     return body.select(*[F.col(f"r.c{i}").alias(h) for i, h in enumerate(header)], tag_col)
 
 
+def file_headers(spark: SparkSession, paths: str | list[str], skip_rows: int = 0, sep: str = ",",
+                 encoding: str = "UTF-8", glob: str | None = None) -> DataFrame:
+    """``(path, part, columns)``: the names in the header line of each delimited file, read in tasks."""
+    lines = numbered_lines(spark, paths, encoding, glob).filter(F.col("line_no") == skip_rows + 1)
+    cell = r'("(?:[^"]|"")*"|[^"%s]*)%s' % (re.escape(sep), re.escape(sep))  # each ends at a separator
+    cells = F.regexp_extract_all(F.concat("line", F.lit(sep)), F.lit(cell), F.lit(1))
+    names = F.transform(cells, lambda c: F.replace(F.regexp_replace(c, r'^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+    return lines.select("path", F.lit(None).cast("string").alias("part"), names.alias("columns"))
+
+
 def read_csv_checked(spark: SparkSession, paths: str | list[str], schema: StructType | str, header: bool = True,
                      encoding: str = "UTF-8", sep: str = ",", glob: str | None = None) -> DataFrame:
     """CSV whose bad rows are told, not fatal: the schema's columns and ``bad_file, bad_line, bad_text``.

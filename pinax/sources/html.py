@@ -2,7 +2,7 @@
 
 Input: a DataFrame ``(page_id, html)`` (for instance the ``pages`` table).
 Tables nest, so each task parses its own pages with the standard-library
-``html.parser`` (``mapInPandas``), a page at a time; everything after the parse
+``html.parser`` (``mapInPandas``), in batches of bounded size; everything after the parse
 (choosing a table by ordinal, reading the header, picking a column) is ordinary
 DataFrame work.  Links need no tree and are found by built-in expressions.
 """
@@ -13,7 +13,7 @@ import re
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TABLE_SCHEMA = ("page_id long, table_idx int, rows array<struct<is_header: boolean, cells: array<string>>>, "
@@ -124,19 +124,28 @@ def _parse(html):
     return p
 
 
+#: Characters of pages whose tables make one batch; a longer page is a batch of its own.
+BATCH_CHARS = 1 << 20
+
+
 def _table_batches(batches):
     columns = ["page_id", "table_idx", "rows", "error"]
     for pdf in batches:
+        out, held = [], 0
         for pid, html in zip(pdf["page_id"], pdf["html"]):
+            held += len(html or "")
             try:
                 tables: dict[int, list] = {}
                 for t, r, h, cells in _parse(html).rows:
                     tables.setdefault(t, []).append((r, {"is_header": h, "cells": cells}))
-                out = [(pid, t, [x for _, x in sorted(rows, key=lambda x: x[0])], None) for t, rows in tables.items()]
+                out += [(pid, t, [x for _, x in sorted(rows, key=lambda x: x[0])], None) for t, rows in tables.items()]
             except Exception as e:  # malformed page: one error row, job goes on
-                out = [(pid, None, None, repr(e))]
-            if out:
-                yield pd.DataFrame(out, columns=columns)  # a page at a time
+                out.append((pid, None, None, repr(e)))
+            if held >= BATCH_CHARS:
+                yield pd.DataFrame(out, columns=columns)
+                out, held = [], 0
+        if out:
+            yield pd.DataFrame(out, columns=columns)
 
 
 def html_tables(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -157,29 +166,83 @@ def html_cells(tables: DataFrame) -> DataFrame:
             .select("page_id", "table_idx", "row_idx", "r.is_header", "r.cells").filter(F.size("cells") > 0))
 
 
-#: A link that opens a list item: its address and what stands between its tags.
-LIST_LINK = r"""(?is)<li\b[^>]*>\s*<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["'][^>]*>(.*?)(?=</a>|</?li\b|</?[ou]l\b|\z)"""
+#: Named character references, beside those by number, that ``list_links`` decodes.
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "eacute": "é", "egrave": "è", "ecirc": "ê",
+            "euml": "ë", "agrave": "à", "acirc": "â", "auml": "ä", "ouml": "ö", "uuml": "ü", "szlig": "ß", "ccedil": "ç",
+            "ocirc": "ô", "ucirc": "û", "ugrave": "ù", "icirc": "î", "iuml": "ï", "Eacute": "É", "Auml": "Ä", "Ouml": "Ö",
+            "Uuml": "Ü", "ndash": "–", "mdash": "—", "rsquo": "’", "lsquo": "‘", "rdquo": "”", "ldquo": "“", "laquo": "«",
+            "raquo": "»", "hellip": "…", "euro": "€", "copy": "©", "dagger": "†"}
+#: What is no part of a list: comments, scripts, styles.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+_TAG = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+#: From an item's start tag to the next item's, or to the start or end of a list.
+_ITEM = r"(?is)<li\b" + _TAG + r"(.*?)(?=</?li\b|</?[ou]l\b|\z)"
+#: A link's attributes, and what stands up to its end.
+_LINK = r"(?is)<a(?=[\s/])(" + _TAG + r")(.*?)(?=</a\b|<a[\s/]|\z)"
+#: Its address, in quotes or without.
+_HREF = r"""(?is)(?:^|[\s"'/])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
 def list_links(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """``(page_id, pos, href, text)`` for each link that opens a list item, in page order.
+    """``(page_id, pos, href, text)`` for each link in a list item, in page order.
 
-    Built-in expressions only.  Of the character references, the five that XML
-    has are decoded; tags inside the link are dropped.
+    Items are taken first, without comments, scripts and styles; then every link
+    of an item, wherever it stands in it, whether its address is in quotes or
+    not.  Built-in expressions only.  Character references by number and those
+    in ``ENTITIES`` are decoded; tags inside the link are dropped.
     """
-    found = lambda g: F.regexp_extract_all("html", F.lit(LIST_LINK), F.lit(g))
-    src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).alias("html"))
-    each = src.select("page_id", F.posexplode(F.arrays_zip(found(1).alias("href"), found(2).alias("text")))
-                      .alias("pos", "a"))
-    return each.select("page_id", (F.col("pos") + 1).alias("pos"), _decoded(F.col("a.href")).alias("href"),
-                       F.trim(F.regexp_replace(_decoded(F.regexp_replace("a.text", "<[^>]*>", "")), r"\s+", " "))
-                       .alias("text"))
-
-
-def _decoded(c):
-    for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(ref), F.lit(char))
-    return c
+    src = pages.select(F.col(id_col).cast("long").alias("page_id"),
+                       F.regexp_replace(html_col, _HIDDEN, "").alias("html"))
+    def links(item):
+        found = lambda g: F.regexp_extract_all(item, F.lit(_LINK), F.lit(g))
+        return F.arrays_zip(found(1).alias("tag"), found(2).alias("text"))
+
+    items = F.regexp_extract_all("html", F.lit(_ITEM), F.lit(1))
+    every = F.filter(F.flatten(F.transform(items, links)), lambda x: x["tag"].rlike(_HREF))
+    each = src.select("page_id", F.posexplode(every).alias("pos", "a"))
+    href = F.concat(*[F.regexp_extract("a.tag", _HREF, g) for g in (1, 2, 3)])
+    text = F.regexp_replace(decoded(F.regexp_replace("a.text", "<[^>]*>", "")), r"\s+", " ")
+    return each.select("page_id", (F.col("pos") + 1).alias("pos"), F.trim(decoded(href)).alias("href"),
+                       F.trim(text).alias("text"))
+
+
+def decoded(c):
+    """The text with its character references decoded, each once, by a look-up."""
+    known = F.create_map(*[F.lit(x) for pair in (ENTITIES | {"amp": "&"}).items() for x in pair])
+    parts = F.split(c, "&")
+
+    def char(name):
+        number = F.when(name.rlike("^#[xX][0-9a-fA-F]{1,6}$"), F.conv(F.substr(name, F.lit(3)), 16, 10)).when(
+            name.rlike("^#[0-9]{1,7}$"), F.substr(name, F.lit(2))).cast("int")
+        valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        # A code point as four bytes, read back as text.
+        by_number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number.cast("long")), 8, "0")), "UTF-32"))
+        return F.coalesce(by_number, F.try_element_at(known, name))
+
+    def part(x):
+        name = F.substring_index(x, ";", 1)
+        found = F.when(F.contains(x, F.lit(";")), char(name))
+        return F.coalesce(F.concat(found, F.substr(x, F.char_length(name) + 2)), F.concat(F.lit("&"), x))
+
+    first = F.element_at(parts, 1)
+    rest = F.transform(F.slice(parts, 2, F.size(parts)), part)
+    return F.when(F.size(parts) > 1, F.concat(first, F.array_join(rest, ""))).otherwise(c)
+
+
+def subpages(rows: DataFrame, id_col: str, order_col: str, row_html: Column, head: str, foot: str,
+             rows_per_page: int = 1000) -> DataFrame:
+    """``(page_id, part, html)``: rows written as page tables of bounded size, each with the header ``head``.
+
+    A page is split into parts of about ``rows_per_page`` rows by the hash of
+    ``order_col``, and each part keeps the header; so a page with a third of all
+    rows is made by many groups, and parsed by many tasks.
+    """
+    o = rows.select(F.col(id_col).alias("page_id"), F.col(order_col).alias("__o"), row_html.alias("__h"))
+    parts = o.groupBy("page_id").agg(F.ceil(F.count("*") / rows_per_page).alias("__parts"))
+    dealt = o.join(parts, "page_id").withColumn("part", F.pmod(F.xxhash64("__o"), F.col("__parts")))
+    body = F.transform(F.array_sort(F.collect_list(F.struct("__o", "__h"))), lambda x: x["__h"])
+    return dealt.groupBy("page_id", "part").agg(
+        F.concat(F.lit(head), F.array_join(body, ""), F.lit(foot)).alias("html"))
 
 
 def table_rows(tables: DataFrame, table_idx: int, header_rows: int = 1) -> DataFrame:

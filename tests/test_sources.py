@@ -293,3 +293,72 @@ def test_bad_rows_are_quarantined(spark, tmpdir_path):
     assert sorted((r.id, r.x) for r in good.collect()) == [(1, 1.5), (5, None), (6, 7.0), (8, 9.5)]
     assert sorted((r.file.rsplit("/", 1)[1], r.line, r.text) for r in bad.collect()) == [
         ("one.csv", 3, "b,2"), ("one.csv", 4, "3,4,5"), ("one.csv", 5, "4"), ("two.csv", 1, "x,id")]
+
+
+def test_sheets_of_a_workbook_are_tasks(spark, tmpdir_path, monkeypatch):
+    """Twelve sheets are decoded by several tasks, in batches, and no list of a whole file is made."""
+    sheets = {str(2000 + i): [["A", "B"], *[[f"é{i}", str(k)] for k in range(300)]] for i in range(12)}
+    path = os.path.join(tmpdir_path, "twelve.xlsx")
+    write_xlsx(path, sheets)
+    monkeypatch.setattr(workbook, "BATCH_ROWS", 70)
+    rows = workbook.read_workbooks(spark, path, skip_rows=0, header=["A", "B"])
+    got = rows.withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 3600 and {r.sheet for r in got} == set(sheets)
+    assert len({r.task for r in got}) > 3
+    packed = list(workbook.packed_sheets(open(path, "rb").read(), None))
+    assert [n for n, _ in packed] == sorted(sheets)
+    for task in (workbook._decoded(0, ["A", "B"]),):
+        import pyarrow as pa
+        rb = pa.RecordBatch.from_pydict({"path": ["p"], "no": [0], "sheet": ["2000"], "packed": [packed[0][1]], "error": [None]})
+        assert [b.num_rows for b in task(iter([rb]))] == [70, 70, 70, 70, 20]
+
+
+def test_layouts_of_many_files(spark, tmpdir_path):
+    from pinax.operators import checks
+
+    write_xlsx(os.path.join(tmpdir_path, "a.xlsx"), {"1": [["x"], ["A", "B"], ["1", "2"]], "2": [["x"], ["B", "A"]]})
+    write_xlsx(os.path.join(tmpdir_path, "b.xlsx"), {"1": [["x"], ["A", "C"]], "2": [["x"]]})
+    with open(os.path.join(tmpdir_path, "broken.xlsx"), "wb") as f:
+        f.write(b"not a zip")
+    for name, line in (("a.csv", 'A,"B"'), ("b.csv", 'A,"B, ""b""",'), ("c.csv", "A,B")):
+        with open(os.path.join(tmpdir_path, name), "w") as f:
+            f.write(f"note\n{line}\n1,2\n")
+    sheets = workbook.sheet_headers(spark, tmpdir_path, skip_rows=1)
+    found = checks.schema_versions(sheets, ["A", "B"])
+    got = {None if r["columns"] is None else tuple(r["columns"]): (r.n_parts, r.n_files, r.missing, r.unexpected, r.moved)
+           for r in found.collect()}
+    assert got == {("A", "B"): (1, 1, [], [], False), ("B", "A"): (1, 1, [], [], True),
+                   ("A", "C"): (1, 1, ["B"], ["C"], False), None: (2, 2, ["A", "B"], [], False)}
+    assert checks.drifted(found, ["A", "B"]).count() == 3
+    lines = files.file_headers(spark, tmpdir_path, skip_rows=1, glob="*.csv")
+    assert sorted(map(tuple, (r["columns"] for r in lines.collect()))) == [("A", "B"), ("A", "B"), ("A", 'B, "b"', "")]
+
+
+def _links(spark, page):
+    df = spark.createDataFrame([(1, page)], "page_id long, html string")
+    return [(r.pos, r.href, r.text) for r in html.list_links(df).orderBy("pos").collect()]
+
+
+def test_links_anywhere_in_a_list_item(spark):
+    page = """<ul><li><b><a href="/1">one</a></b><li>See <a class=x href='/2'>two <i>b</i></a> and <a href=/3>three</a>
+      <!-- <li><a href="/no">no</a> --><li class="a>b"><a data-href="/x" title="t" href="/4?a=1&amp;b=2">4 &amp;lt; 5</a></li>
+      <li><a name="here">no address</a><li>none</ul><a href="/out">out</a>
+      <script>var x = "<li><a href='/js'>";</script>
+      <ol><li><a href="/5">P&eacute;tange &#233;&#xE9; &euro; &unknown; & &amp</a><ul><li><A HREF="/6">six</a></ul></ol><p><a href="/no">x"""
+    assert _links(spark, page) == [
+        (1, "/1", "one"), (2, "/2", "two b"), (3, "/3", "three"), (4, "/4?a=1&b=2", "4 &lt; 5"),
+        (5, "/5", "Pétange éé € &unknown; & &amp"), (6, "/6", "six")]
+    assert _links(spark, None) == _links(spark, "") == _links(spark, "<li><a href=") == []
+    long = "<ul><li " + "x=1 " * 20000 + ">" + "<a href=/a " + "y='2' " * 20000 + ">t</a>" + "z" * 300000 + "</ul>"
+    assert _links(spark, long) == [(1, "/a", "t")]
+
+
+def test_hot_pages_are_split_and_parsed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(html, "BATCH_CHARS", 500)
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("cust"))
+    cells = F.concat(F.lit("<tr><td>"), F.col("id").cast("string"), F.lit("</td></tr>"))
+    pages = html.subpages(rows, "cust", "id", cells, "<table><tr><th>Key</th></tr>", "</table>", rows_per_page=100)
+    of_hot = pages.filter("page_id = 7").collect()
+    assert len(of_hot) > 8 and max(p.html.count("<td>") for p in of_hot) < 200
+    got = html.columns(html.table_rows(html.html_tables(pages), 0), {"key": ("Key", 1)})
+    assert sorted((r.page_id, int(r.key)) for r in got.collect()) == sorted((r.cust, r.id) for r in rows.collect())
