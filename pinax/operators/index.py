@@ -25,6 +25,8 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import stage
+
 
 def _measures(values) -> dict[str, tuple[str, str]]:
     """Normalise ``values`` to ``{measure: (base_col, index_col)}``."""
@@ -161,3 +163,42 @@ def basket_index(df: DataFrame, keys: list[str], good: str, period: str, price:
     return (j.groupBy(*keys, period)
              .agg(_ratio(num, den, scale, digits).alias(index_col),
                   F.count(F.when(ok, F.lit(1))).alias("n_goods")))
+
+
+def forward_fill_segmented(df: DataFrame, keys: list[str], order_col: str, cols: Iterable[str],
+                           rows_per_segment: int = 100_000) -> DataFrame:
+    """``forward_fill`` for entities with very many rows (H2), such as a series of events.
+
+    A window over an entity would be one task, however long its series.  Here
+    the rows are sorted by range over all tasks, and each task's rows of an
+    entity form a segment, cut again after ``rows_per_segment`` rows.  The last known value of
+    each segment, a row for each, is carried over the entity's segments (a
+    window over segments), and a row takes the last value known in its own
+    segment or else what came in from the segments before.  Rows that are equal in
+    (keys, order_col) fail, as they have no order.
+    """
+    cols = list(cols)
+    spread = stage(df.repartitionByRange(*keys, order_col).sortWithinPartitions(*keys, order_col)
+                   .withColumn("__task", F.spark_partition_id())
+                   .withColumn("__nth", F.monotonically_increasing_id()), "segments")
+    # Ids go up by one in order within a task, so a segment is a task's share of so many ids.
+    segment = ["__task", "__cut"]
+    cut = spread.withColumn("__cut", F.floor(F.col("__nth").bitwiseAND(F.lit((1 << 33) - 1)) / rows_per_segment))
+    last = cut.groupBy(*keys, *segment).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__nth"))).alias(c) for c in cols],
+                                            F.min(order_col).alias("__from"), F.max(order_col).alias("__upto"))
+    before = (Window.partitionBy(*keys).orderBy(*segment).rowsBetween(Window.unboundedPreceding, -1))
+    carried = last.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *segment,
+                          *[F.last(c, ignorenulls=True).over(before).alias(f"__in_{c}") for c in cols],
+                          F.lag("__upto").over(Window.partitionBy(*keys).orderBy(*segment)).alias("__before"))
+    own = Window.partitionBy(*keys, *segment).orderBy("__nth")
+    upto = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    inside = cut.withColumns({f"__own_{c}": F.last(c, ignorenulls=True).over(upto) for c in cols}
+                             | {"__prev": F.lag(order_col).over(own)})
+    on = [inside[c] == carried[c] for c in segment]
+    joined = inside.join(carried, [*on, *same], "left").drop(carried["__task"], carried["__cut"])
+    msg = F.lit(f"rows with equal ({', '.join([*keys, order_col])})")
+    twice = F.coalesce(F.col("__prev"), F.col("__before")).eqNullSafe(F.col(order_col))
+    checked = joined.filter(F.when(twice, F.raise_error(msg)).otherwise(F.lit(True)))
+    filled = {c: F.coalesce(F.col(f"__own_{c}"), F.col(f"__in_{c}")) for c in cols}
+    return checked.select(*[filled.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns])

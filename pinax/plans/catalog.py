@@ -23,8 +23,8 @@ from ..operators import checks, columns, entities, hashtree, index, lineage, rou
 from ..operators.joins import join_lookup
 from ..session import checkpoint_dir
 from ..sources import html
-from ..sources.files import (file_headers, quarantine, read_csv, read_csv_checked, read_sheet_exports, read_tagged, stage,
-                             write_table)
+from ..sources.files import (file_headers, quarantine, read_csv, read_csv_checked, read_series, read_sheet_exports,
+                             read_tagged, stage, write_series_clustered, write_table)
 from . import sqltext as S
 from . import stages
 from .panels import (STARRED, cents, delivery_rows, nation_year_prices, orders_by_nation, table,
@@ -849,3 +849,29 @@ def q43_schema_versions(spark, d):
     k = F.coalesce(*[F.when(joined("columns") == x.replace(",", "|"), F.lit(i)) for i, x in _LAYOUTS.items()])
     return found.select(k.alias("k"), "n_files", joined("columns").alias("layout"), joined("missing").alias("missing"),
                         joined("unexpected").alias("unexpected"), "moved")
+
+
+# Q44 (H2): the last purchase of each event's user, where one user has a third of all events;
+# no task holds a user's events.
+@register("q44_segmented_fill", """
+WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_no,
+                  CASE WHEN event_type = 'purchase' THEN value END AS bought FROM events)
+SELECT event_id, user_no, last_value(bought IGNORE NULLS) OVER (PARTITION BY user_no ORDER BY event_id
+       ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bought FROM e""")
+def q44_segmented_fill(spark, d):
+    e = table(spark, d, "events").select(
+        "event_id", F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")).cast("long").alias("user_no"),
+        F.when(F.col("event_type") == "purchase", F.col("value")).alias("bought"))
+    return index.forward_fill_segmented(e, ["user_no"], "event_id", ["bought"])
+
+
+# Q45 (A12): yearly series of all customers, in files sorted by customer, read back.
+@register("q45_clustered_series", f"""
+SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(sum({S.cents('o_totalprice')}) AS BIGINT) AS cents
+FROM orders GROUP BY 1, 2""")
+def q45_clustered_series(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", F.year("o_orderdate").alias("year"), cents("o_totalprice").alias("c"))
+    long = o.groupBy("o_custkey", "year").agg(F.sum("c").alias("cents"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/pinax-stage/q45-{uuid.uuid4().hex}"
+    write_series_clustered(long, path, "o_custkey", "year")
+    return read_series(spark, path, "o_custkey")

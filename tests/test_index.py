@@ -145,3 +145,22 @@ def test_single_series_window(spark):
     df = spark.createDataFrame([(2009, 5.0), (2010, 10.0), (2011, 30.0)], "year int, price double")
     got = {r.year: r.price_index for r in index.price_index(df, [], "year", 2010, ["price"]).collect()}
     assert got == {2009: None, 2010: 100.0, 2011: 300.0}
+
+
+def test_segmented_fill_equals_the_window(spark):
+    import random
+
+    from pinax.operators import index
+
+    r = random.Random(3)
+    rows = [(r.choice([None, "a", "hot", "hot", "hot"]), i, r.choice([None, None, None, float(i)]), r.choice([None, "x", "y"]))
+            for i in range(900)] + [("empty", i, None, None) for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, t int, v double, s string").repartition(7)
+    want = sorted(index.forward_fill(df, ["k"], "t", ["v", "s"]).collect(), key=str)
+    for size in (100_000, 10, 1):
+        got = index.forward_fill_segmented(df, ["k"], "t", ["v", "s"], rows_per_segment=size)
+        assert got.columns == df.columns and sorted(got.collect(), key=str) == want
+    twice = df.union(spark.createDataFrame([("hot", next(x[1] for x in rows if x[0] == "hot"), None, None)], df.schema))
+    with pytest.raises(Exception, match="rows with equal"):
+        index.forward_fill_segmented(twice, ["k"], "t", ["v"], rows_per_segment=1).collect()
+    assert index.forward_fill_segmented(df.limit(0), ["k"], "t", ["v"]).count() == 0

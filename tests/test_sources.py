@@ -362,3 +362,16 @@ def test_hot_pages_are_split_and_parsed_in_parts(spark, monkeypatch):
     assert len(of_hot) > 8 and max(p.html.count("<td>") for p in of_hot) < 200
     got = html.columns(html.table_rows(html.html_tables(pages), 0), {"key": ("Key", 1)})
     assert sorted((r.page_id, int(r.key)) for r in got.collect()) == sorted((r.cust, r.id) for r in rows.collect())
+
+
+def test_clustered_series_touch_few_files(spark, tmpdir_path):
+    """Thousands of entities in a few files, and one of them is read from one or two."""
+    rows = spark.range(30_000).select((F.col("id") % 3000).alias("e"), (F.col("id") / 3000).cast("int").alias("y"), "id")
+    path = os.path.join(tmpdir_path, "series")
+    files.write_series_clustered(rows, path, "e", "y", files=12)
+    assert len([f for f in os.listdir(path) if f.endswith(".parquet")]) <= 12
+    one = files.read_series(spark, path, "e", [1234])
+    assert one.count() == 10 and one.select(F.input_file_name()).distinct().count() <= 2
+    assert "In(e" in one._jdf.queryExecution().executedPlan().toString() or "EqualTo(e" in \
+        one._jdf.queryExecution().executedPlan().toString()
+    assert sorted(files.read_series(spark, path, "e").collect()) == sorted(rows.collect())
