@@ -8,9 +8,12 @@ short, up to the main or content container or the body that holds them.
 
 Cases: a null, empty or textless page gives an empty text.  Unclosed and
 misnested tags close with their container; a head closes at what cannot stand
-in it.  Pages are independent, so repeated
-rows give equal results.  Input columns that carry an output's name are
-replaced.  Deep nesting is held in lists, not on Python's stack.
+in it.  Declarations and marked sections are no text, and a comment, declaration
+or tag that the page's end cuts off is left out.  A header is dropped unless it
+stands in an article, whose heading it holds.  Pages are independent, so
+repeated rows give equal results.  Input columns that carry an output's name are
+replaced.  The work grows in proportion to a page, however deep its nesting,
+which is held in lists and not on Python's stack.
 """
 
 from __future__ import annotations
@@ -46,6 +49,9 @@ NOT_TEXT_NAME = re.compile(
 STATE_NAME = re.compile(r"(?:has|is|no|not|with|without)[_-]|.*[_-](?:open|opened|closed|enabled|disabled)$", re.I)
 TEXT_NAME = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.I)
 SPACE = re.compile(r"\s+")
+COMMENT_END = re.compile(r"--!?>")
+#: References to numbers that no character has (the parser would read them digit by digit), and needless zeros.
+ZEROS, TOO_LARGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[1-9][0-9]{7,}")
 
 
 def _furniture(name: str) -> bool:
@@ -54,12 +60,12 @@ def _furniture(name: str) -> bool:
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "named", "score", "length", "links", "blocks", "soft", "plain", "anchor")
+    __slots__ = ("no", "tag", "parent", "dropped", "named", "score", "length", "links", "soft", "plain", "anchor")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool, named: int):
+    def __init__(self, no: int, tag: str, parent: Node | None, dropped: bool, named: int):
+        self.no = no  # place among the page's nodes; a parent stands before its children
         self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, named
         self.score, self.length, self.links = float(named), 0, 0
-        self.blocks: list[int] = []  # texts that lie directly in this node
         self.soft = False   # a form, or named like furniture: dropped unless it holds the page's text
         self.plain = False  # an article or main that is not named like furniture
         self.anchor = ""    # the id of a section that only its id names so
@@ -70,31 +76,62 @@ class Tree(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.node = Node("#page", None, False, 0)
-        self.nodes = [self.node]
+        self.nodes = [Node(0, "#page", None, False, 0)]
+        self.path = [self.nodes[0]]
+        self.open: dict[str, list[int]] = {}  # places on the path of each tag's open nodes
+        self.holders: list[int] = []          # places on the path of open containers
         self.texts: list[tuple[Node, str, int]] = []
         self.parts: list[str] = []
         self.in_link = self.link_chars = 0
 
+    @property
+    def node(self) -> Node:
+        return self.path[-1]
+
+    def enter(self, node: Node) -> None:
+        self.open.setdefault(node.tag, []).append(len(self.path))
+        if node.tag in CONTAINER:
+            self.holders.append(len(self.path))
+        self.path.append(node)
+        self.nodes.append(node)
+
+    def shut(self, at: int) -> None:
+        """Close the open nodes from a place on the path on."""
+        while len(self.path) > at:
+            tag = self.path.pop().tag
+            self.open[tag].pop()
+            if tag in CONTAINER:
+                self.holders.pop()
+
+    def is_open(self, tag: str) -> int:
+        """Place on the path of the last open node with this tag, 0 if there is none."""
+        at = self.open.get(tag)
+        return at[-1] if at else 0
+
     def flush(self) -> None:
         if self.parts:
             text = SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.texts.append((self.block(), text, self.link_chars))
+                self.texts.append((self.node, text, self.link_chars))
         self.parts, self.link_chars = [], 0
 
-    def block(self) -> Node:
-        return self.node
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        if self.rawdata.startswith((">", "->"), i + 4):
+            return self.rawdata.index(">", i + 4) + 1
+        end = COMMENT_END.search(self.rawdata, i + 4)
+        return end.end() if end else -1
+
+    def parse_marked_section(self, i: int, report: bool = True) -> int:
+        end = "]]>" if self.rawdata[i:i + 9].upper() == "<![CDATA[" else ">"
+        at = self.rawdata.find(end, i + 3)
+        return at + len(end) if at >= 0 else -1
 
     def leave_head(self, tag: str) -> None:
         """Close an open head at what cannot stand in it, as its end tag is optional."""
-        at: Node | None = self.node
-        if tag == "body":  # from any depth, but not out of a template
-            while at is not None and at.tag not in ("head", "template"):
-                at = at.parent
-        if at is not None and at.tag == "head" and tag not in IN_HEAD:
+        head = self.is_open("head")
+        if head > self.is_open("template") and tag not in IN_HEAD and (tag == "body" or head == len(self.path) - 1):
             self.parts = []
-            self.node = at.parent
+            self.shut(head)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.leave_head(tag)
@@ -109,9 +146,11 @@ class Tree(HTMLParser):
         if tag in VOID:
             return
         while self.node.tag in CLOSED_BY_BLOCK and tag in BLOCK:
-            self.node = self.node.parent
+            self.shut(len(self.path) - 1)
         if tag in ("li", "dd", "dt", "tr", "td", "th") and self.node.tag == tag:
-            self.node = self.node.parent
+            self.shut(len(self.path) - 1)
+        titles = tag == "header" and self.is_open("article") > 0
+        special = special and not titles
         a = {k: v or "" for k, v in attrs}
         name = f"{a.get('class', '')} {a.get('id', '')}"
         dropped = (self.node.dropped or special or a.get("role", "").lower() in ROLES or "hidden" in a
@@ -119,13 +158,13 @@ class Tree(HTMLParser):
         top = tag in ("article", "main") or a.get("role") == "main"
         named = 25 if top else 10 if TEXT_NAME.search(name) else 0
         furniture = _furniture(name)
-        self.node = Node(tag, self.node, dropped, 0 if dropped else named)
+        self.enter(Node(len(self.nodes), tag, self.node, dropped, 0 if dropped else named))
         self.node.plain = top and not furniture
         self.node.soft = (tag == "form" or a.get("role", "").lower() == "form"
-                          or (furniture and tag not in HEADINGS and tag not in ("html", "body", "article", "main")))
+                          or (furniture and not titles and tag not in HEADINGS
+                              and tag not in ("html", "body", "article", "main")))
         if tag == "section" and self.node.soft and not _furniture(a.get("class", "")):
             self.node.anchor = a.get("id", "").lower()
-        self.nodes.append(self.node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -138,14 +177,10 @@ class Tree(HTMLParser):
         if tag not in BLOCK and tag not in NO_TEXT and tag not in BOILERPLATE and tag != "form":
             return
         self.flush()
-        at = self.node
-        while at.parent is not None and at.tag != tag:
-            # A paragraph's end does not close the container around it.
-            if tag in CLOSED_BY_BLOCK and at.tag in CONTAINER:
-                return
-            at = at.parent
-        if at.parent is not None:
-            self.node = at.parent
+        at = self.is_open(tag)
+        # A paragraph's end does not close the container around it.
+        if at and not (tag in CLOSED_BY_BLOCK and self.holders and self.holders[-1] > at):
+            self.shut(at)
             self.in_link = 0
 
     def handle_data(self, data: str) -> None:
@@ -158,19 +193,12 @@ class Tree(HTMLParser):
             self.link_chars += len(data.strip())
 
     def close(self) -> None:
+        if not self.cdata_elem and re.match(r"<[!?/a-zA-Z]", self.rawdata):
+            self.rawdata = ""  # cut off by the page's end
         super().close()
         self.flush()
 
 
-def _within(node: Node, top: Node) -> bool:
-    at: Node | None = node
-    while at is not None:
-        if at is top:
-            return True
-        at = at.parent
-    return False
-
-
 def _drop_furniture(tree: Tree) -> None:
     """Drop the soft nodes that do not hold the page's text.
 
@@ -180,89 +208,98 @@ def _drop_furniture(tree: Tree) -> None:
     element named like text that lies apart from it has a tenth as much.
     """
     nodes = tree.nodes
-    no = {id(n): i for i, n in enumerate(nodes)}
     own, last, holds = [0] * len(nodes), list(range(len(nodes))), [False] * len(nodes)
     headed: dict[int, str] = {}
     for node, text, links in tree.texts:
-        own[no[id(node)]] += len(text) - min(links, len(text))
+        own[node.no] += len(text) - min(links, len(text))
         if node.tag in HEADINGS and node.parent is not None:
-            headed.setdefault(id(node.parent), re.sub(r"[\W_]+", "-", text.lower()).strip("-"))
-    for i in range(len(nodes) - 1, 0, -1):  # parents stand before their children
-        up = no[id(nodes[i].parent)]
+            headed.setdefault(node.parent.no, re.sub(r"[\W_]+", "-", text.lower()).strip("-"))
+    for n in reversed(nodes[1:]):
+        i, up = n.no, n.parent.no
         own[up] += own[i]
         last[up] = max(last[up], last[i])
-        holds[up] = holds[up] or holds[i] or (nodes[i].plain and not nodes[i].dropped and own[i] > 0)
+        holds[up] = holds[up] or holds[i] or (n.plain and not n.dropped and own[i] > 0)
     under = [False] * len(nodes)
-    for i, n in enumerate(nodes):
-        under[i] = n.soft or n.dropped or (i > 0 and under[no[id(n.parent)]])
-    named = [i for i, n in enumerate(nodes) if (n.plain or n.named) and not under[i]]
-    for i, n in enumerate(nodes):
-        if i and nodes[no[id(n.parent)]].dropped:
+    for n in nodes:
+        under[n.no] = n.soft or n.dropped or (n.parent is not None and under[n.parent.no])
+    # The most text of an article, main or node named like text that begins at a node or later, or ends before it.
+    later, ended = [0] * (len(nodes) + 1), [0] * (len(nodes) + 1)
+    for n in nodes:
+        if (n.plain or n.named) and not under[n.no]:
+            later[n.no] = own[n.no]
+            ended[last[n.no] + 1] = max(ended[last[n.no] + 1], own[n.no])
+    for i in range(len(nodes)):
+        ended[i + 1] = max(ended[i + 1], ended[i])
+        later[-2 - i] = max(later[-2 - i], later[-1 - i])
+    for n in nodes[1:]:
+        i = n.no
+        if n.parent.dropped:
             n.dropped = True
         elif n.soft and not n.dropped and not holds[i] and not n.plain:
-            chapter = n.anchor and not n.anchor.startswith(("comment", "repl")) and headed.get(id(n)) == n.anchor
-            n.dropped = not chapter and (2 * own[i] <= own[0] or any(
-                10 * own[k] >= own[i] for k in named if k > last[i] or last[k] < i))
+            chapter = n.anchor and not n.anchor.startswith(("comment", "repl")) and headed.get(i) == n.anchor
+            apart = max(later[last[i] + 1], ended[i])
+            n.dropped = not chapter and (2 * own[i] <= own[0] or (apart > 0 and 10 * apart >= own[i]))
     tree.texts = [x for x in tree.texts if not x[0].dropped]
 
 
+def _score(tree: Tree) -> None:
+    """Lengths, link lengths and points of all nodes, added up from the leaves."""
+    nodes = tree.nodes
+    whole, passed = [0.0] * len(nodes), [0.0] * len(nodes)  # points below a node; what of them reaches it
+    for node, text, links in tree.texts:
+        node.length += len(text)
+        node.links += links
+        points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - min(1.0, links / len(text)))
+        # Paragraphs score; so does text that lies directly in a container.
+        at = node if node.tag in CONTAINER else node.parent
+        if at is not None:
+            whole[at.no] += points
+            passed[at.no] += points
+    parts = [False] * len(nodes)  # holds a plain article with text
+    for n in reversed(nodes):
+        i = n.no
+        # An article counts its parts in full, so no part of it outweighs it; so does a main without articles.
+        full = n.tag == "article" or (n.plain and n.length > 0 and not parts[i])
+        if n.tag in CONTAINER:
+            n.score += whole[i] if full else passed[i]
+            passed[i] /= 2
+        if n.parent is not None:
+            up = n.parent
+            up.length += n.length
+            up.links += n.links
+            whole[up.no] += whole[i]
+            passed[up.no] += passed[i]
+            parts[up.no] = parts[up.no] or parts[i] or (n.tag == "article" and n.plain and n.length > 0)
+
+
 def main_text(html: str | None) -> str:
     """The page's main text, a line for each block."""
     tree = Tree()
-    tree.feed(html or "")
+    tree.feed(TOO_LARGE.sub("&#65533", ZEROS.sub("&#", html or "")))
     tree.close()
     _drop_furniture(tree)
     if not tree.texts:
         return ""
-    for node, text, links in tree.texts:
-        at: Node | None = node
-        while at is not None:
-            at.length += len(text)
-            at.links += links
-            at = at.parent
-    # An article counts its parts in full, so no part of it outweighs it; so does a main without articles.
-    full = {id(n) for n in tree.nodes if n.tag == "article" or (n.plain and n.length)}
-    for n in tree.nodes:
-        if n.tag == "article" and n.plain and n.length:
-            at = n.parent
-            while at is not None:
-                if at.tag != "article":
-                    full.discard(id(at))
-                at = at.parent
-    for node, text, links in tree.texts:
-        points = 1 + text.count(",") + min(len(text) / 100, 3)
-        points *= 1 - min(1.0, links / len(text))
-        # Paragraphs score; so does text that lies directly in a container.
-        at, share = (node.parent if node.tag not in CONTAINER else node), 1.0
-        while at is not None:
-            if at.tag in CONTAINER:
-                at.score += points * (1.0 if id(at) in full else share)
-                share /= 2
-            at = at.parent
+    _score(tree)
     containers = [n for n in tree.nodes if n.tag in CONTAINER and n.length] or [tree.nodes[0]]
-    worth = {id(n): n.score * (1 - min(1.0, n.links / max(1, n.length))) for n in containers}
-    best = max(containers, key=lambda n: worth[id(n)])
-    least = max(10.0, worth[id(best)] * 0.2)
+    worth = {n.no: n.score * (1 - min(1.0, n.links / max(1, n.length))) for n in containers}
+    best = max(containers, key=lambda n: worth[n.no])
+    least = max(10.0, worth[best.no] * 0.2)
 
-    kept = {id(best)}
+    kept = [False] * len(tree.nodes)
+    kept[best.no] = True
     for n in containers:
-        if n.parent is best.parent and n is not best and worth[id(n)] >= least:
-            kept.add(id(n))
+        if n.parent is best.parent and worth[n.no] >= least:
+            kept[n.no] = True
     opened = _beside(tree, best, kept)
-    out = []
-    for node, text, links in tree.texts:
-        inside = id(node) in opened and 4 * links < len(text)
-        at = node
-        while at is not None and not inside:
-            inside = id(at) in kept
-            at = at.parent
-        if inside:
-            out.append(text)
-    return "\n".join(out)
+    for n in tree.nodes[1:]:
+        kept[n.no] = kept[n.no] or kept[n.parent.no]
+    return "\n".join(text for node, text, links in tree.texts
+                     if kept[node.no] or (node.no in opened and 4 * links < len(text)))
 
 
-def _beside(tree: Tree, best: Node, kept: set[int]) -> set[int]:
-    """Add what stands beside the best container to ``kept``; the nodes whose own texts stand there.
+def _beside(tree: Tree, best: Node, kept: list[bool]) -> set[int]:
+    """Mark what stands beside the best container in ``kept``; the nodes whose own texts stand there.
 
     An article, a main or the body is whole.  Else the blocks beside it are a
     part of it unless a quarter of their text is links, and so are those beside
@@ -274,15 +311,17 @@ def _beside(tree: Tree, best: Node, kept: set[int]) -> set[int]:
         return opened
     children: dict[int, list[Node]] = {}
     for n in tree.nodes[1:]:
-        children.setdefault(id(n.parent), []).append(n)
+        children.setdefault(n.parent.no, []).append(n)
     at, in_main = best.parent, False
     while at is not None and not in_main:
         in_main, at = at.plain, at.parent
     at = best
     while at.parent is not None:
         up = at.parent
-        kept.update(id(n) for n in children[id(up)] if n is not at and 4 * n.links < n.length)
-        opened.add(id(up))
+        for n in children[up.no]:
+            if n is not at and 4 * n.links < n.length:
+                kept[n.no] = True
+        opened.add(up.no)
         named = at is best and at.named or up.named
         if up.plain or up.tag in ("body", "html", "#page") or 4 * up.links >= up.length or (named and not in_main):
             break

@@ -11,7 +11,8 @@ not searched) with the least estimated cost.
 Cases: texts with fewer words than a shingle hash their whole sequence of
 words; null, empty and blank texts have fingerprint zero and link like any
 other.  Repeated rows are equal documents.  A null id never names a component
-that has another id.  Input columns that carry an output's name are replaced.
+that has another id.  Input columns that carry an output's name are replaced;
+``deduplicate`` reserves names that start with ``_simhash_``, ``_r1`` or ``_r2``.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .anchors import named
-from .common import as_struct_type, blocks, is_separator, staged, utf8, without, words
+from .common import as_struct_type, blocks, is_separator, reserved, staged, utf8, without, words
 from .components import components
 
 BITS = 64
@@ -299,17 +300,19 @@ def deduplicate(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col: st
     text hashes, so texts cross one exchange.  Rows that agree in both, of which
     one stays, need another; whether there are any is looked up first.
     """
+    for prefix in ("_simhash_", "_r1", "_r2"):
+        reserved(docs, prefix)
     text = [F.col("_r1"), F.col("_r2")]
     chosen = (_classes(docs, shingle, distance, id_col, text_col)
               .filter(F.col(id_col).eqNullSafe(F.col("component_id")))
               .groupBy("component", F.col(id_col).alias("id"), *text).agg(F.count("*").alias("n"))
               .groupBy("component").agg(F.min(F.struct("id", *text, "n")).alias("first"))
-              .select(F.col("first.id").alias("_id"), F.col("first._r1").alias("_t1"),
-                      F.col("first._r2").alias("_t2"), F.col("first.n").alias("_n")))
+              .select(F.col("first.id").alias("_simhash_id"), F.col("first._r1").alias("_simhash_1"),
+                      F.col("first._r2").alias("_simhash_2"), F.col("first.n").alias("_simhash_n")))
     chosen = staged(chosen, "simhash-chosen")
-    kept = named(without(docs, ["_r1", "_r2"]), text_col).join(
-        chosen, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_r1") == F.col("_t1")) & (F.col("_r2") == F.col("_t2")),
-        "left_semi")
-    if not chosen.filter(F.col("_n") > 1).isEmpty():
+    kept = named(docs, text_col).join(
+        chosen, F.col(id_col).eqNullSafe(F.col("_simhash_id")) & (F.col("_r1") == F.col("_simhash_1"))
+        & (F.col("_r2") == F.col("_simhash_2")), "left_semi")
+    if not chosen.filter(F.col("_simhash_n") > 1).isEmpty():
         kept = kept.dropDuplicates([id_col, "_r1", "_r2"])
     return kept.select(*[f"`{c}`" for c in docs.columns])

@@ -31,7 +31,10 @@ def clashing():
     from pyspark.sql import functions as F
 
     names = ["ids", "bytes", "size", "shard", "slot", "kept", "n_words", "fingerprint", "copies", "target",
-             "host", "rule", "N_Removed", "n_bytes", "base_failed", "source_size", "a column"]
+             "host", "rule", "N_Removed", "n_bytes", "base_failed", "source_size", "a column",
+             "whole", "need", "_last", "_before", "_end", "_source", "_place", "_range", "_id", "_t1", "_t2", "_n",
+             "_stratum", "_stratum_of", "_first", "_cut_long_words", "_quality", "_keys", "_key", "_allow", "_copy",
+             "word", "words", "code", "output", "labels", "place", "of", "range", "end", "last", "before", "upto"]
     return lambda df: df.select("*", *[F.lit(i).alias(n) for i, n in enumerate(names) if n.lower() not in
                                        [c.lower() for c in df.columns]])
 

@@ -31,13 +31,42 @@ def test_a_long_text_with_hard_boundaries(spark):
     assert data.multiset(got.collect()) == data.multiset(data.bpe_reference(rows, PATH, PATTERN))
 
 
+def _pieces(spark, text, chunk, overlap):
+    df = spark.createDataFrame([("k", text)], "_bpe_row string, text string")
+    found = bpe._stitched(bpe._chunks(df, "text", chunk, overlap), PATTERN, overlap).collect()
+    return [r._piece for r in sorted(found, key=lambda r: r._no)]
+
+
 def test_chunks_are_stitched_not_joined(spark):
     text = "some plain words, 123 and more. " * 200
-    df = spark.createDataFrame([("k", text)], "_row string, text string")
-    chunks = bpe._boundaries(bpe._chunks(df, "text", 512, 64), PATTERN, 512, 64)
-    pieces = bpe._stitched(chunks, 512).collect()
-    assert len(pieces) == math.ceil(len(text) / 512)
-    assert "".join(r._piece for r in sorted(pieces, key=lambda r: r._no)) == text
+    pieces = _pieces(spark, text, 512, 64)
+    assert len(pieces) == math.ceil(len(text) / 512) and "".join(pieces) == text
+
+
+def test_a_broken_chain_goes_on_after_the_break(spark):
+    text = "some plain words, 123 and more. " * 100 + "a" * 700 + " " * 2000 + "b" * 90 + " and so on" * 300
+    pieces = _pieces(spark, text, 512, 64)
+    assert "".join(pieces) == text and len(pieces) >= math.ceil(len(text) / 512) - 6
+    found = bpe.pretokens(PATTERN)
+    assert [x for p in pieces for x in found(p)] == found(text)
+
+
+def test_reserved_names_are_refused(docs):
+    with pytest.raises(ValueError):
+        bpe.encode(docs.withColumn("_bpe_row", F.lit(1)), PATH, PATTERN)
+    wide = docs.select("doc_id", "text", F.lit(1).alias("_row"), F.lit(2).alias("_no"))
+    assert {"_row", "_no"} < set(bpe.encode(wide, PATH, PATTERN, chunk=100, overlap=20).columns)
+
+
+def test_bpe_query(spark):
+    from pinax.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    got = queries.op1_byte_bpe(spark, sf)
+    assert got.dtypes == [("doc_id", "bigint"), ("n_tokens", "bigint"), ("ids_sha256", "string"),
+                          ("decoded_sha256", "string")]
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    assert data.multiset(got.collect()) == data.multiset(data.bpe_reference(rows, PATH, PATTERN))
 
 
 def test_measures(docs, rows):
@@ -45,7 +74,47 @@ def test_measures(docs, rows):
     assert data.multiset(got.collect()) == data.multiset(data.measures_reference(rows))
 
 
+def _thue_morse(n, a, b):
+    """A text of n units on which polynomial hashes modulo a power of two cannot tell a from b."""
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_texts_that_fool_polynomial_hashes(spark):
+    rows = []
+    for i, n in enumerate((64, 1024, 2048, 8192)):
+        one, two = _thue_morse(n, "a", "b"), _thue_morse(n, "b", "a")
+        rows.append((i, f"{one}\n{two}\n{one}\n" + f"x {one} y x {two} y x {one} y ", None, None, None))
+    got = quality.measure(spark.createDataFrame(rows, data.DOC_SCHEMA)).select("doc_id", *quality.MEASURES[:5])
+    assert data.multiset(got.collect()) == data.multiset(data.measures_reference(rows))
+
+
+def test_numbers_tell_ranges_apart(monkeypatch):
+    import numpy as np
+
+    from pinax.llm import common
+
+    r = random.Random(4)
+    parts = [bytes(r.choice(b"ab") for _ in range(r.choice([0, 1, 2, 7, 8, 9, 600]))) for _ in range(300)]
+    parts += parts[:40]
+    ends = np.cumsum([len(p) for p in parts])
+    starts, raw = ends - [len(p) for p in parts], np.frombuffer(b"".join(parts), np.uint8)
+    real = common.range_hashes
+    for bits in (64, 9):  # with few bits, different ranges share a hash under most seeds
+        monkeypatch.setattr(common, "range_hashes",
+                            lambda d, s, e, seed=0: real(d, s, e, seed) >> np.uint64(64 - bits if seed < 3 else 0))
+        got = common.numbered(raw, starts, ends).tolist()
+        assert [[a == b for b in got] for a in got] == [[a == b for b in parts] for a in parts]
+    assert len(common.packed([np.array([1 << 40]), np.array([1 << 22]), np.array([1])])) == 2
+
+
+def test_quality_reserved_names(docs, labels):
+    with pytest.raises(ValueError):
+        quality.quality_rules(docs.withColumn("_quality_cut_long_words", F.lit(1)), labels)
+
+
 def test_binomial_tail_is_exact():
+    assert quality.binomial_tail(2 * 10 ** 7, 10 ** 9, 0.02) == pytest.approx(0.5, abs=0.01)
+    assert quality.binomial_tail(10 ** 9 - 5, 10 ** 9, 0.02) == 1.0
     for k, n, p in ((0, 10, 0.2), (3, 10, 0.2), (9, 10, 0.9), (10, 10, 0.5), (40, 1000, 0.05)):
         want = sum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(k + 1))
         assert quality.binomial_tail(k, n, p) == pytest.approx(want, rel=1e-9)
@@ -236,3 +305,75 @@ def test_extract(spark, clashing):
     assert [(r.page_id, r.n_chars) for r in got].count((2, 0)) == 1
     assert all(len(r.text) == r.n_chars for r in got)
     assert html_text.extract(clashing(df)).count() == 3 and html_text.extract(df.limit(0)).count() == 0
+
+
+MARKUP = ["<div>", "</div>", "<div class=content>", "<div class='sidebar ad'>", "<p>", "</p>", "<article>", "</article>",
+          "<main>", "</main>", "<section id=comments>", "<section id=intro>", "<h2>Intro</h2>", "</section>", "<ul><li>",
+          "<li>", "</ul>", "<a href=x>", "</a>", "<table><tr><td>", "</table>", "<form>", "</form>", "<nav>", "</nav>",
+          "<header>", "</header>", "<body>", "<head>", "<br>", "<span>", "</span>", "<template>", "</template>", "<title>",
+          "</title>", "<!-- c -->", "<b>", "<script>if (a<b) {}</script>", "<blockquote>", "</blockquote>", "<td>", "</h1>"]
+ODD = ["<!--", "-->", "<!-->", "<![foo[bar]]>", "<![CDATA[x]]>", "<![if !IE]>", "<!", "<?", "<?php x ?>", "</", "<", ">", "&",
+       "&#0000000000065;", "&#" + "9" * 5000 + ";", "&#xFFFFFFFFFF;", "&#" + "0" * 5000 + "66;", "&amp", "&notit;", "<a <b>",
+       "<div class=", "<div class='", "<!DOCTYPE", "<!ELEMENT x>", "</div", "<script>", "<style>", "<textarea>", "\x00", "é",
+       "<svg><title>x</svg>", "<![", "<!-", "--!>", "]]>", "<p/>", "<br/>", "</br>", "</p>"]
+
+
+def _random_page(r, odd):
+    say = lambda: " ".join(r.choice(["word", "and", "so,", "long" * 5]) for _ in range(r.randint(0, 25)))
+    return "".join(r.choice(MARKUP + (ODD if odd else [])) + (say() if r.random() < 0.6 else "")
+                   for _ in range(r.randint(0, 60)))
+
+
+def test_main_text_against_plain_walks():
+    from tests.llm import plain_html
+
+    r = random.Random(11)
+    for _ in range(1500):
+        page = _random_page(r, odd=False)
+        assert html_text.main_text(page) == plain_html.main_text(page), page
+
+
+def test_no_page_stops_the_job():
+    r = random.Random(12)
+    for _ in range(4000):
+        html_text.main_text(_random_page(r, odd=True))
+    for _ in range(2000):
+        html_text.main_text("".join(r.choice("<>!-[]&#x;'\"/ =adivp0") for _ in range(r.randint(0, 80))))
+    assert html_text.main_text("<body><![foo[bar]]><p>text</p>") == "text"
+    assert html_text.main_text(f"<p>a &#{'9' * 5000}; &#{'0' * 5000}66; &#xFFFFFFFFFF;</p>") == "a \ufffd B \ufffd"
+
+
+def test_what_the_page_end_cuts_off_is_no_text():
+    for rest in ("<!-- hidden note", "<!hidden", "<?hidden", "</hidden", "<div class='hidden", "<![CDATA[hidden"):
+        assert html_text.main_text(f"<body><div><p>seen</p></div>{rest}") == "seen"
+    assert html_text.main_text("<p>a <!--> b <!---> c <!-- no --!> d</p> 1 < 2") == "a b c d\n1 < 2"
+
+
+def test_an_article_keeps_its_own_header():
+    page = "<body><header>Site</header><article><header><h1>Title</h1><p>Lead</p></header><p>Story.</p></article></body>"
+    assert html_text.main_text(page).split("\n") == ["Title", "Lead", "Story."]
+
+
+def test_main_text_is_linear():
+    import time
+
+    n = 100_000
+    pages = ["<div>x" * n, "<div>" * n + "</section>" * n, "<p><nav><div>" + "<ul>" * n + "</p>" * n,
+             "<div>" * n + "<body>" * n, "<div class=sidebar>a b c</div><div class=content>d</div>" * (n // 2),
+             "<article>x" * (n // 2)]
+    for page in pages:
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 20
+
+
+def test_main_text_query(spark):
+    from pinax.llm import queries
+    from tests.llm import plain_html
+
+    sf = "/root/testdata/sf0.001"
+    got = queries.op10_main_text(spark, sf)
+    assert got.dtypes == [("page_id", "bigint"), ("url", "string"), ("text", "string"), ("n_chars", "bigint")]
+    want = [(r.page_id, r.url, plain_html.main_text(r.html), len(plain_html.main_text(r.html)))
+            for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    assert data.multiset(got.collect()) == data.multiset(want)
