@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import BLOCK_BYTES, BYTE_VALUES, PrefixHash, blocks, range_hashes, staged, utf8, words
+from .common import BLOCK_BYTES, BYTE_VALUES, PrefixHash, blocks, range_hashes, release_spare, staged, utf8, words
 
 #: Bytes of passages that a task resolves at a time (more, if one gram has more); each
 #: takes some 40 bytes of arrays.
@@ -190,6 +190,8 @@ def shared_anchors(texts: DataFrame, text_col: str, units: Callable, window: int
             shared = (low < high) | (np.bincount(of, kind == 2, n) > 0)
             yes = (kind == 1) | ((kind == 0) & shared[of])
             yield pa.RecordBatch.from_pydict({"_r1": pa.array(r[yes]), "_h": pa.array(h[yes])})
+        held = x = None
+        release_spare()
 
     asked = texts.select("_r1", text_col).mapInArrow(ask, "_h long, _r1 long, kind byte")
     return (asked.repartition(F.when(F.col("kind") == 1, F.col("_r1")).otherwise(F.col("_h")))
@@ -332,5 +334,7 @@ def by_gram(rows: DataFrame, resolve: Callable[[pa.Table], pa.Table], schema: st
                 size = sum(b.nbytes for b in held)
             if upto:
                 yield from resolve(t.slice(0, upto)).to_batches()
+        t = None
+        release_spare()
 
     return rows.repartition("_h").sortWithinPartitions("_h").mapInArrow(run, schema)

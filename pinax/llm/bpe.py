@@ -27,12 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 from pyspark.sql.window import Window
 
-from .common import as_struct_type, blocks, reserved, staged, without
+from .common import as_struct_type, blocks, release_spare, reserved, staged, without
 
 #: Code points that a chunk adds to the one before, and by which it runs on.
 CHUNK, OVERLAP = 1 << 15, 1 << 11
+#: Bytes of text whose tokens are made in one step: lists of numbers take several times as many.
+STEP_BYTES = 1 << 18
 #: Tokens that one numpy step decodes; a longer row is a step of its own.
-DECODED = 1 << 18
+DECODED = 1 << 16
 #: The pattern never looks further than this beyond the end of a match.
 LOOKAHEAD = 4
 
@@ -150,7 +152,7 @@ def _encoded(df: DataFrame, text_col: str, vocabulary: list[tuple[bytes, int]],
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = piece_encoder(vocabulary, pattern)
-        for rb in blocks(batches, text_col):
+        for rb in blocks(batches, text_col, STEP_BYTES):
             at = rb.schema.get_field_index(text_col)
             found = _list_array([encode(t or "") for t in rb.column(at).to_pylist()])
             yield rb.remove_column(at).append_column("ids", found)
@@ -201,5 +203,6 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
                 ends = upto[np.append(0, np.cumsum(n_ids[a:b]))]
                 out = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(ends), pa.py_buffer(flat[from_])])
                 yield rb.slice(a, b - a).append_column("bytes", out.cast(pa.binary()))
+        release_spare()
 
     return encoded.mapInArrow(join, as_struct_type(encoded, ("bytes", BinaryType())))

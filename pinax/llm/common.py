@@ -7,6 +7,7 @@ from prefix sums, so no per-word Python object is made.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -96,7 +97,19 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
         for a, b in zip(cuts, cuts[1:]):
             if b > a:
                 yield rb.slice(a, b - a)
-    pa.default_memory_pool().release_unused()  # a worker that is kept for later tasks holds no spare memory
+    release_spare()
+
+
+def release_spare() -> None:
+    """Give memory that is no longer used back to the system.
+
+    Spark keeps a task's Python worker for later tasks; what it holds meanwhile
+    counts against its executor.  Allocators keep freed memory until asked.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of most Linux systems has it
+    if trim is not None:
+        trim(0)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -37,7 +37,7 @@ from .common import blocks, mixed, range_hashes, runs, same_bytes, staged, utf8
 PIECE_ENDS, GAPS = b".,;:!?\n\v\f\r", b" \t"
 LONGEST = 4
 #: Suffixes that one subtree's task may hold, and bytes of text that one numpy step handles.
-BUDGET, STEP_BYTES = 1 << 20, 4 << 20
+BUDGET, STEP_BYTES = 1 << 20, 3 << 20
 #: Bits of the filter that knows the frequent words; a collision only lets a suffix run on.
 FILTER_BITS = 1 << 23
 #: Slots of prefixes for each group, at least; a group takes whole slots.
@@ -90,7 +90,7 @@ def _counted(texts: DataFrame, seed: int, n_slots: int) -> DataFrame:
         for rb in blocks(batches, "text", STEP_BYTES):
             w = _Words(rb, seed)
             n = len(w.starts)
-            order = np.argsort(w.codes[:n], kind="stable")
+            order = np.argsort(w.codes[:n])
             codes, starts, size = w.codes[order], w.starts[order], (w.ends - w.starts)[order]
             new = np.ones(n, bool)  # equal codes of different words, which the check then finds, stay apart
             lang = rb.column(0).dictionary_encode().indices.to_numpy()[w.row[order]]

@@ -167,8 +167,8 @@ scored AS (
   JOIN found y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.j + 1:], ' ')),
 worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
 parts AS (
-  SELECT lang, f, array_to_string(ws[at + 1:at + n], ' ') AS phrase FROM (
-    SELECT lang, f, ws, n, unnest(range(k - n + 1)) AS at FROM found, (VALUES (2), (3)) AS s(n) WHERE k > n)),
+  SELECT lang, f, array_to_string(ws[b + 1:b + n], ' ') AS phrase FROM (
+    SELECT lang, f, ws, n, unnest(range(k - n + 1)) AS b FROM found, (VALUES (2), (3)) AS s(n) WHERE k > n)),
 longer AS (SELECT lang, phrase, max(f) AS f FROM parts GROUP BY 1, 2),
 kept AS (SELECT w.* FROM worst w LEFT JOIN longer o ON o.lang = w.lang AND o.phrase = w.phrase
          WHERE o.f IS NULL OR CAST(100 AS HUGEINT) * o.f < CAST(80 AS HUGEINT) * w.a),

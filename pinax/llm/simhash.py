@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from .anchors import named
-from .common import as_struct_type, blocks, is_separator, reserved, staged, utf8, without, words
+from .common import as_struct_type, blocks, is_separator, release_spare, reserved, staged, utf8, without, words
 from .components import components
 
 BITS = 64
@@ -263,6 +263,7 @@ def links(distinct: DataFrame, distance: int) -> DataFrame:
             if out_a:
                 yield pa.RecordBatch.from_pydict({"a": pa.array(np.concatenate(out_a).view(np.int64)),
                                                   "b": pa.array(np.concatenate(out_b).view(np.int64))})
+        release_spare()
 
     dealt = distinct.select("fingerprint").mapInArrow(deal, "part int, key long, own boolean, fp long")
     return (dealt.repartition("part", "key").sortWithinPartitions("part", "key")
