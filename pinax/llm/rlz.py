@@ -4,11 +4,13 @@ The reference is the corpus itself, indexed in blocks: a block holds the
 passages around the anchors (``anchors.py``) whose grams are dealt to it.  The
 place where a window of a document can be found again is fixed by its anchor,
 so the blocks of a document's shared anchors are every block in which it has a
-match.  In each, its passage is factored greedily against the documents that
-come before it: a factor goes on as long as the earliest occurrence does.  A
-window that crosses from one factor into the next may still occur as a whole
-elsewhere, so the windows at factor boundaries are looked up on their own.
-Factors of at least ``window`` words are the duplicate spans.
+match.  A block's index holds the suffixes of its passages in order, with the
+number of words that neighbours share.  Each passage is factored greedily against
+the documents that come before it: a factor is the longest sequence that one of
+them has, and the next factor begins at its end.  Factors of at least ``window``
+words are duplicate spans.  A window that crosses from one factor into the next
+may still occur as a whole elsewhere, so the windows at factor boundaries are
+looked up in the index on their own.
 
 Cases: a null or empty text has no words and stays as it is.  Copies of a text
 lose all words that lie in a window, but for those with the smallest id.  Rows with
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
 from . import anchors
-from .common import PrefixHash, as_struct_type, blocks, range_hashes, staged, utf8, without, words
+from .common import as_struct_type, blocks, numbered, staged, utf8, without, words
 
 WINDOW, GRAM = 13, 6
 #: Texts of one gram that are factored in one block; with more, windows are grouped by Spark.
@@ -43,49 +45,90 @@ def _ids(column) -> np.ndarray:
     return column.fill_null(LAST).to_numpy()
 
 
-def _windows(t: pa.Table, window: int) -> tuple:
-    """Words of the passages in ``t`` and the places at which a window starts."""
+def _passages(t: pa.Table) -> tuple:
+    """Words of the passages in ``t``, their passage, where each passage's words begin and
+    end, and the number in its text of a passage's first word."""
     data, offs = utf8(t.column("around"))
     starts, ends, record = words(data, offs)
-    hashes = range_hashes(data, starts, ends)
-    upto = np.searchsorted(record, np.arange(t.num_rows), side="right")
     first = np.searchsorted(record, np.arange(t.num_rows), side="left")
-    at = np.arange(max(0, len(starts) - window + 1))
-    at = at[at + window <= upto[record[at]]]
+    upto = np.searchsorted(record, np.arange(t.num_rows), side="right")
     unit = (pc.list_element(t.column("units"), 0) if "units" in t.column_names else t.column("unit")).to_numpy()
-    place = unit - t.column("back").to_numpy()  # word number at which a passage starts
-    return data, starts, ends, hashes, record, at, place[record[at]] + at - first[record[at]]
+    return data, starts, ends, record, first, upto, unit - t.column("back").to_numpy()
+
+
+class PassageIndex:
+    """The suffixes of a block's passages in order, and the words each shares with the one before it."""
+
+    def __init__(self, word: np.ndarray, left: np.ndarray):
+        """``word``: numbers of the passages' words; ``left``: words from each to its passage's end."""
+        n, self.left, ranks = len(word), left, [word]
+        while 1 << (len(ranks) - 1) < left.max(initial=0):  # ranks by 1, 2, 4, ... words
+            k, rank = 1 << (len(ranks) - 1), ranks[-1]
+            then = np.zeros(n, np.int64)
+            more = np.flatnonzero(left > k)
+            then[more] = rank[more + k] + 1
+            pair = rank * (int(then.max(initial=0)) + 1) + then
+            order = np.argsort(pair)
+            new = np.zeros(n, np.int64)
+            new[1:] = pair[order][1:] != pair[order][:-1]
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(new)
+            ranks.append(rank)
+        self.order = np.argsort(ranks[-1], kind="stable")
+        a, b = self.order[:-1], self.order[1:]
+        shared = np.zeros(len(a), np.int64)
+        for j in reversed(range(len(ranks))):
+            inside = np.flatnonzero((shared < left[a]) & (shared < left[b]))
+            same = inside[ranks[j][a[inside] + shared[inside]] == ranks[j][b[inside] + shared[inside]]]
+            shared[same] += 1 << j
+        self.shared = np.minimum(shared, np.minimum(left[a], left[b]))
+
+    def longest_before(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place, the longest sequence from it that a smaller id has, and the smallest such id."""
+        of, left = ids[self.order], self.left[self.order]
+        length, source = np.zeros(len(of), np.int64), of.copy()
+        for size in range(1, int(left.max(initial=0)) + 1):
+            new = np.concatenate([[True], self.shared < size])  # runs of suffixes that share so many words
+            least = np.minimum.reduceat(of, np.flatnonzero(new))[np.cumsum(new) - 1]
+            earlier = np.flatnonzero((least < of) & (left >= size))
+            if not len(earlier):
+                break
+            length[earlier] = size
+            source[earlier] = least[earlier]
+        out = np.empty((2, len(of)), np.int64)
+        out[:, self.order] = length, source
+        return out[0], out[1]
+
+
+def parsed(longest: np.ndarray, first: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the factors of each passage: greedily from its first word, a word
+    that nobody has before being a factor of its own.  All passages go on at the same time."""
+    at, end, starts, ends = first[first < upto], upto[first < upto], [], []
+    while len(at):
+        then = at + np.maximum(1, longest[at])
+        starts.append(at)
+        ends.append(then)
+        at, end = then[then < end], end[then < end]
+    none = np.zeros(0, np.int64)
+    starts, ends = np.concatenate([none, *starts]), np.concatenate([none, *ends])
+    order = np.argsort(starts)
+    return starts[order], ends[order]
 
 
 def _factors(t: pa.Table, window: int) -> pa.Table:
-    """Factors of the passages of whole groups against those of smaller ids."""
-    _, _, _, hashes, record, at, place = _windows(t, window)
-    ids, no = _ids(t.column("first_id")), t.column("_no").to_numpy()
-    salt = np.uint64(0)
-    while True:
-        key = PrefixHash(hashes ^ salt).of(at, at + window)
-        rec = record[at]
-        order = np.lexsort((place, no[rec], ids[rec], key))
-        key = key[order]
-        new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)) if len(key) else np.zeros(0, np.int64)
-        source = np.empty(len(at), np.int64)
-        source[order] = order[lead]  # the window's first occurrence
-        if all((hashes[at + i] == hashes[at[source] + i]).all() for i in range(window)):
-            break
-        salt += np.uint64(0x9E3779B97F4A7C15)  # two windows share a hash: take another one
-    found = np.flatnonzero(ids[rec] > ids[rec[source]])
-    # A factor: windows one after the other whose first occurrences are so too.
-    here, there = at[found], at[source[found]]
-    go_on = np.zeros(len(found), bool)
-    go_on[1:] = ((here[1:] == here[:-1] + 1) & (there[1:] == there[:-1] + 1)
-                 & (rec[source[found]][1:] == rec[source[found]][:-1]))
-    begin = np.flatnonzero(~go_on)
-    last = np.append(begin[1:], len(found)) - 1 if len(found) else begin
-    w = found[begin]
-    start = place[w]
-    no, start, end, by = anchors.at_all_units(t, rec[w], start, start + (here[last] - here[begin]) + window,
-                                              ids[rec[source[w]]])
+    """Duplicate spans of the passages of whole groups against those of smaller ids."""
+    data, starts, ends, record, first, upto, place = _passages(t)
+    ids = _ids(t.column("first_id"))
+    index = PassageIndex(numbered(data, starts, ends), upto[record] - np.arange(len(record)))
+    longest, source = index.longest_before(ids[record])
+    begin, end = parsed(longest, first, upto)
+    here = np.arange(len(record))
+    # Windows that end beyond the factor they begin in, looked up as wholes.
+    crosses = here + window > np.repeat(end, end - begin)
+    spans = np.concatenate([begin[longest[begin] >= window], here[crosses & (longest >= window)]])
+    rec = record[spans]
+    start = place[rec] + spans - first[rec]
+    no, start, end, by = anchors.at_all_units(t, rec, start, start + longest[spans], source[spans])
     return pa.table({"_no": no, "start": start.astype(np.int32), "end": end.astype(np.int32), "source_id": by})
 
 
@@ -99,14 +142,16 @@ def _crowded(shown: DataFrame, window: int) -> DataFrame:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in blocks(batches, "around"):
             t = pa.Table.from_batches([rb])
-            data, starts, ends, _, record, at, place = _windows(t, window)
+            data, starts, ends, record, first, upto, place = _passages(t)
+            at = np.flatnonzero(np.arange(len(record)) + window <= upto[record])
+            start = place[record[at]] + at - first[record[at]]
             buf = data.tobytes()
             keys = [xxhash.xxh3_128_digest(b" ".join(buf[a:b].split())) for a, b in
                     zip(starts[at].tolist(), ends[at + window - 1].tolist())]
             pick = pa.array(record[at])
             yield pa.RecordBatch.from_pydict({
                 "key": pa.array(keys, pa.binary()), "_no": rb.column("_no").take(pick), "id": pa.array(_ids(t.column("first_id"))[record[at]]),
-                "start": pa.array(place.astype(np.int32))})
+                "start": pa.array(start.astype(np.int32))})
 
     single = shown.select("_no", "first_id", F.explode("units").alias("unit"), "back", "around")
     rows = single.mapInArrow(

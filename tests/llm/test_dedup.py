@@ -165,3 +165,51 @@ def test_clashing_columns(docs, clashing):
     out = rlz.remove_repeats(wide)
     assert out.count() == n and len({c.lower() for c in out.columns}) == len(out.columns)
     assert simhash.deduplicate(wide).columns == wide.columns
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_passage_index_and_parse(seed):
+    """Longest earlier sequences and greedy factors, against plain loops."""
+    import random
+
+    import numpy as np
+
+    r = random.Random(seed)
+    passages = [[r.randrange(3) for _ in range(r.choice([0, 1, 5, 20, 37]))] for _ in range(25)]
+    passages += passages[:3]
+    ids = [r.randrange(12) for _ in passages]
+    word = np.array([w for p in passages for w in p], np.int64)
+    size = np.array([len(p) for p in passages])
+    upto = np.cumsum(size)
+    first = upto - size
+    record = np.repeat(np.arange(len(passages)), size)
+    index = rlz.PassageIndex(word, upto[record] - np.arange(len(word)))
+    longest, source = index.longest_before(np.array(ids)[record])
+    for n, p in enumerate(passages):
+        for i in range(len(p)):
+            best, by = 0, ids[n]
+            for k in range(1, len(p) - i + 1):
+                have = [ids[m] for m, q in enumerate(passages) if ids[m] < ids[n]
+                        and any(q[j:j + k] == p[i:i + k] for j in range(len(q) - k + 1))]
+                if not have:
+                    break
+                best, by = k, min(have)
+            assert (longest[first[n] + i], source[first[n] + i]) == (best, by)
+    begin, end = rlz.parsed(longest, first, upto)
+    want = []
+    for n in range(len(passages)):
+        at = first[n]
+        while at < upto[n]:
+            want.append((at, at + max(1, longest[at])))
+            at = want[-1][1]
+    assert list(zip(begin.tolist(), end.tolist())) == want
+
+
+def test_words_that_fool_polynomial_hashes(spark):
+    tm = lambda n, a, b: "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+    head = " ".join(f"w{i}" for i in range(12))
+    rows = [(i, f"{head} {w}", None, None, None) for i, w in
+            enumerate([tm(1024, "a", "b"), tm(1024, "b", "a"), tm(8192, "a", "b"), tm(8192, "b", "a"), tm(1024, "a", "b")])]
+    df = spark.createDataFrame(rows, data.DOC_SCHEMA)
+    got = rlz.remove_repeats(df).select("doc_id", "n_words", "n_removed", words_sha(F.col("text")))
+    assert data.multiset(got.collect()) == data.multiset(data.word_dedup_reference(rows))
