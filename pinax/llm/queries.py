@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, fim, hamming_search, html_text, licenses, mixing, phrases, quality, rlz, shards, simhash, suffixes, urls
+from ..session import checkpoint_dir
 from .common import WORD, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -42,7 +44,9 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed, _ = shards.shard(table(spark, sf_dir, "documents"), N_SHARDS)
+    # A run of its own: version 1 is stored, loaded, edited, and version 2 places the records.
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/pinax-llm/slot-map-{uuid.uuid4().hex}"
+    placed, _ = shards.shard(table(spark, sf_dir, "documents"), N_SHARDS, folder=folder)
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                          "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 

@@ -3,7 +3,8 @@
 Records hash into thousands of slots, whose number never changes.  Bytes are
 summed per slot, and a versioned map says which shard holds each slot.  Shards
 are balanced, added or removed by editing the map: slots move, records never
-change slots.
+change slots.  Each version of the map is stored as a table in a shared folder;
+the next run loads the newest one and edits it, so that few records move.
 
 The law that holds is ``bytes``: the shards' sizes are near equal.
 
@@ -114,10 +115,40 @@ class SlotMap:
                 shards[slot] = new
         return SlotMap(tuple(shards), new + 1, self.version + 1)
 
+    def moved(self, other: SlotMap) -> int:
+        """Slots that another version holds elsewhere."""
+        return sum(a != b for a, b in zip(self.shards, other.shards))
+
     def table(self, spark: SparkSession) -> DataFrame:
-        """``(version, virtual_slot, shard)``: as many rows as there are slots."""
-        return spark.createDataFrame([(self.version, s, k) for s, k in enumerate(self.shards)],
-                                     "version int, virtual_slot int, shard int")
+        """``(virtual_slot, shard, n_shards)``: as many rows as there are slots."""
+        return spark.createDataFrame([(s, k, self.n_shards) for s, k in enumerate(self.shards)],
+                                     "virtual_slot int, shard int, n_shards int")
+
+
+def save_map(spark: SparkSession, slot_map: SlotMap, folder: str) -> None:
+    """Store a version as ``folder/version=N``; a version that is there already is an error, not replaced."""
+    slot_map.table(spark).coalesce(1).write.mode("error").parquet(f"{folder}/version={slot_map.version}")
+
+
+def load_map(spark: SparkSession, folder: str, version: int | None = None) -> SlotMap | None:
+    """The newest version stored in ``folder`` (or a given one), null if there is none.
+
+    A version counts once its write is complete, so one that a lost driver left half written is passed over.
+    """
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(hadoop)
+    if not fs.exists(path):
+        return None
+    found = [f.getPath() for f in fs.listStatus(path)]
+    whole = [int(p.getName().removeprefix("version=")) for p in found if p.getName().startswith("version=")
+             and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    if version is not None:
+        whole = [v for v in whole if v == version]
+    if not whole:
+        return None
+    rows = spark.read.parquet(f"{folder}/version={max(whole)}").orderBy("virtual_slot").collect()  # SLOTS rows
+    return SlotMap(tuple(r["shard"] for r in rows), rows[0]["n_shards"], max(whole))
 
 
 def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,6 +164,12 @@ def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                        F.pmod(F.xxhash64("id", "_hash", "_lot"), F.lit(SLOTS)).cast("int").alias("virtual_slot"))
 
 
+def grow(spark: SparkSession, sizes: list[int], folder: str) -> SlotMap:
+    """Store the next version of the newest map, with one more shard, which alone takes slots."""
+    save_map(spark, load_map(spark, folder).grown(sizes), folder)
+    return load_map(spark, folder)
+
+
 def slot_sizes(lots: DataFrame) -> DataFrame:
     """``(virtual_slot, bytes, rows)``: at most ``SLOTS`` rows."""
     return lots.groupBy("virtual_slot").agg(F.sum(F.col("size") * F.col("n")).alias("bytes"),
@@ -140,8 +177,12 @@ def slot_sizes(lots: DataFrame) -> DataFrame:
 
 
 def shard(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text",
-          slot_map: SlotMap | None = None) -> tuple[DataFrame, SlotMap]:
-    """Placed records and the map's new version.
+          folder: str | None = None, slot_map: SlotMap | None = None) -> tuple[DataFrame, SlotMap]:
+    """Placed records and the map by which they are placed.
+
+    With ``folder`` the newest map stored there is edited, and the next version
+    stored if a slot moves; an empty folder gets an even map as version 1 first.
+    Without, ``slot_map`` or an even one is edited and nothing is stored.
 
     The records have ``(id, size, text_crc32, shard, slot, virtual_slot,
     map_version)``; ``slot`` numbers a shard's records from 0 without gaps.
@@ -152,7 +193,20 @@ def shard(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str
     lots = staged(records(docs, id_col, text_col), "shard-records")
     sums = {r[0]: (r[1], r[2]) for r in slot_sizes(lots).collect()}
     sizes = [sums.get(s, (0, 0))[0] for s in range(SLOTS)]
-    new = (slot_map or SlotMap.even(n_shards)).rebalanced(sizes)
+    if folder is not None:
+        slot_map = load_map(spark, folder)
+        if slot_map is None:
+            save_map(spark, SlotMap.even(n_shards), folder)
+            slot_map = load_map(spark, folder)
+        if slot_map.n_shards != n_shards:
+            raise ValueError(f"the map in {folder} has {slot_map.n_shards} shards, not {n_shards}")
+    old = slot_map or SlotMap.even(n_shards)
+    new = old.rebalanced(sizes)
+    if folder is not None:
+        new = new if new.moved(old) else old
+        if new.version > old.version:
+            save_map(spark, new, folder)
+            new = load_map(spark, folder)
     first, offsets = [0] * n_shards, []
     for s, k in enumerate(new.shards):
         offsets.append((s, k, first[k]))

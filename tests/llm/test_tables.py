@@ -42,6 +42,34 @@ def test_the_map_is_edited_by_few_moves():
     assert third.loads(sizes)[40] > 0.9 * sum(sizes) / 41
 
 
+def test_the_stored_map_is_edited_by_the_next_run(spark, tmp_path):
+    """A second run on grown data loads version 2, moves few slots and stores version 3."""
+    folder, rows = str(tmp_path / "map"), [(i, "x" * (50 + i % 700)) for i in range(6000)]
+    frame = lambda n: spark.createDataFrame(rows[:n], "doc_id long, text string")
+    _, first = shards.shard(frame(5000), 8, folder=folder)
+    assert first.version == 2 and shards.load_map(spark, folder, 1) == shards.SlotMap.even(8)
+    again, same = shards.shard(frame(5000), 8, folder=folder)
+    assert same == first  # nothing to move: no new version
+    placed, third = shards.shard(frame(6000), 8, folder=folder)
+    assert third.version == 3 and 0 < third.moved(first) < 0.1 * shards.SLOTS and shards.load_map(spark, folder) == third
+    assert shards.load_map(spark, folder, 2) == first
+    got = placed.collect()
+    load = Counter()
+    for r in got:
+        load[r["shard"]] += r["size"]
+        assert r["shard"] == third.shards[r.virtual_slot] and r.map_version == 3
+    assert max(load.values()) - min(load.values()) <= 800
+    sizes = [0] * shards.SLOTS
+    for r in got:
+        sizes[r.virtual_slot] += r["size"]
+    grown = shards.grow(spark, sizes, folder)
+    assert grown.version == 4 and grown.n_shards == 9 and all(b in (a, 8) for a, b in zip(third.shards, grown.shards))
+    with pytest.raises(ValueError):
+        shards.shard(frame(10), 8, folder=folder)
+    (tmp_path / "map" / "version=9").mkdir()  # half written
+    assert shards.load_map(spark, folder).version == 4 and shards.load_map(spark, str(tmp_path / "none")) is None
+
+
 def test_a_row_repeated_very_often_is_spread(spark):
     df = spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("x" * 50).alias("text"))
     placed, _ = shards.shard(df, 4)
