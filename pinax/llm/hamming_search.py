@@ -77,7 +77,9 @@ def _lookups(asking: DataFrame, parts: list[tuple[int, int]], radius: int) -> Da
                         "segment": pa.array(np.full(keys.size, i, np.int32)), "key": pa.array(keys.ravel().view(np.int64)),
                         "query": pa.array(np.repeat(q, keys.shape[1]))})
 
-    return asking.select("query").mapInArrow(flip, "segment int, key long, query long")
+    # A few codes make very many rows, so they are dealt to a fixed number of tasks, which Spark does not put together by size.
+    n = int(asking.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return asking.select("query").repartition(n, "query").mapInArrow(flip, "segment int, key long, query long")
 
 
 def search(rows: DataFrame, queries: DataFrame, k: int, bits: int, id_col: str = "vec_id",

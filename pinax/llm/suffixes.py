@@ -31,6 +31,8 @@ from .common import BASE, BYTE_VALUES, as_struct_type, blocks, powers, staged, u
 from .rlz import _removed, marked
 
 WINDOW, GRAM = 200, 64
+#: Bytes of a window at most: on longer texts there are some that hashes of any base take for equal.
+LARGEST_WINDOW = 512
 #: Texts of one gram that are sorted in one task; with more, windows are grouped by Spark.
 CROWD = 1 << 16
 
@@ -203,6 +205,8 @@ def _crowded(shown: DataFrame, window: int, gram: int) -> DataFrame:
 def repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD
             ) -> tuple[DataFrame, DataFrame]:
     """``(spans, copies)``: bytes of each text in windows that occur at another place."""
+    if window > LARGEST_WINDOW:
+        raise ValueError(f"a window has at most {LARGEST_WINDOW} bytes")
     texts = anchors.named(docs.select(text_col), text_col)
     copies = anchors.copies_of(texts)
     shared = anchors.shared_anchors(texts, text_col, anchors.byte_units, window, gram, within=True)
