@@ -38,6 +38,8 @@ SEED = 42
 #: Fingerprints, at most, on which the partitions and thresholds are planned.
 #: The plan decides cost only; every link is found under any plan.
 SAMPLE = 4096
+#: Rows of a key above which it is split through the shuffle.
+SPLIT_ABOVE = 1 << 15
 
 
 def _fingerprints(data: np.ndarray, offs: np.ndarray, shingle: int) -> np.ndarray:
@@ -221,12 +223,29 @@ def _bucket_links(own: np.ndarray, probes: np.ndarray, distance: int) -> tuple[n
     return nodes[leaf], nodes[top[leaf]]
 
 
+def _split(dealt: DataFrame, distance: int) -> DataFrame:
+    """``dealt`` with the rows of keys that very many share dealt out again, by slices of the fingerprint.
+
+    Of ``distance + 1`` slices two linked fingerprints have one in common, so
+    each of a key's rows goes to as many smaller keys, and no link is lost.
+    """
+    big = staged(dealt.groupBy("part", "key").agg(F.count("*").alias("n")).filter(F.col("n") > SPLIT_ABOVE)
+                 .select("part", "key"), "simhash-big")
+    width = BITS // (distance + 1)
+    slices = F.array(*[F.struct(F.lit(k).alias("slice"), F.shiftrightunsigned("fp", k * width).bitwiseAND(
+        F.lit((1 << width) - 1 if k < distance else -1)).alias("bits")) for k in range(distance + 1)])
+    again = (dealt.join(big, ["part", "key"], "left_semi").withColumn("at", F.explode(slices))
+             .select("part", F.xxhash64("key", "at.slice", "at.bits").alias("key"), "own", "fp"))
+    return dealt.join(big, ["part", "key"], "left_anti").unionByName(again)
+
+
 def links(distinct: DataFrame, distance: int) -> DataFrame:
     """Edges ``(a, b)`` that join exactly the fingerprints joined by chains of links.
 
     ``distinct`` has one row for each fingerprint.  Fingerprints are dealt out by
-    their keys; equal keys meet in a task, which reads them in order, verifies
-    the distance, and returns a forest of a key's links instead of all its pairs.
+    their keys, and those of keys that very many share once more by slices; equal
+    keys meet in a task, which reads them in order, verifies the distance, and
+    returns a forest of a key's links instead of all its pairs.
     """
     drawn = distinct.orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(SAMPLE)
     sample = np.array([r[0] for r in drawn.collect()], np.int64).view(np.uint64)
@@ -266,6 +285,7 @@ def links(distinct: DataFrame, distance: int) -> DataFrame:
         release_spare()
 
     dealt = distinct.select("fingerprint").mapInArrow(deal, "part int, key long, own boolean, fp long")
+    dealt = _split(dealt, distance)
     return (dealt.repartition("part", "key").sortWithinPartitions("part", "key")
             .mapInArrow(verify, "a long, b long"))
 

@@ -213,3 +213,30 @@ def test_words_that_fool_polynomial_hashes(spark):
     df = spark.createDataFrame(rows, data.DOC_SCHEMA)
     got = rlz.remove_repeats(df).select("doc_id", "n_words", "n_removed", words_sha(F.col("text")))
     assert data.multiset(got.collect()) == data.multiset(data.word_dedup_reference(rows))
+
+
+@pytest.mark.parametrize("split", [1 << 15, 3, 1])
+def test_links_of_split_keys(spark, monkeypatch, split):
+    """Fingerprints crowd around a few centres; keys are split, and components stay the same."""
+    import random
+
+    from pinax.llm import simhash
+    from pinax.llm.components import components
+
+    monkeypatch.setattr(simhash, "SPLIT_ABOVE", split)
+    r = random.Random(9)
+    centres = [r.getrandbits(64) for _ in range(4)]
+    prints = {c ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 4))) for c in centres for _ in range(60)}
+    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+    found = components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fingerprint long"), 3)).collect()
+    got = {r.node: r.root for r in found}
+    group = {x: x for x in signed}
+    for a in signed:
+        for b in signed:
+            if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 3 and group[a] != group[b]:
+                old, new = group[b], group[a]
+                group = {k: new if v == old else v for k, v in group.items()}
+    least = {}
+    for x, g in group.items():
+        least[g] = min(least.get(g, x), x)
+    assert {x: got.get(x, x) for x in signed} == {x: least[g] for x, g in group.items()}
