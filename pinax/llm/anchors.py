@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -199,7 +200,7 @@ def shared_anchors(texts: DataFrame, text_col: str, units: Callable, window: int
 
 
 def located(texts: DataFrame, copies: DataFrame, shared: DataFrame, text_col: str, units: Callable, window: int,
-            gram: int, crowd: int) -> tuple[DataFrame, bool]:
+            gram: int, crowd: int, ordered: bool) -> tuple[DataFrame, bool]:
     """Shared anchors with their surroundings, and whether some gram is crowded.
 
     ``(_h, crowded, _no, first_id, units, back, ahead, around)``: the anchor's
@@ -208,6 +209,13 @@ def located(texts: DataFrame, copies: DataFrame, shared: DataFrame, text_col: st
     text that repeats itself, share a row that lists their ``units``.  Each text
     is looked at once however many copies it has.  Crowded grams have over
     ``crowd`` texts.
+
+    ``known`` says that a task has met these surroundings before, in a text of a
+    smaller id (``known_id``) if ids are ``ordered``, else in two others: all
+    their windows then occur elsewhere, so such a row needs no comparison and is
+    not dealt out by its gram.  A passage in a third of all texts thus sends a
+    row or two for each task.  Texts come in a fixed order, so a task that is run
+    again decides alike.
     """
     shared = staged(shared.distinct(), "anchors")
     crowds = shared.groupBy("_h").count().filter(F.col("count") > crowd).select("_h", F.lit(True).alias("crowded"))
@@ -218,10 +226,11 @@ def located(texts: DataFrame, copies: DataFrame, shared: DataFrame, text_col: st
         shared = shared.withColumn("crowded", F.lit(False))
     of_text = shared.groupBy("_r1").agg(F.collect_list(F.struct("_h", "crowded")).alias("_asked"))
     wanted = packed(texts.select("_r1", "_r2", text_col), text_col).join(
-        copies.drop("n").join(of_text, "_r1"), ["_r1", "_r2"])
+        copies.drop("n").join(of_text, "_r1"), ["_r1", "_r2"]).sortWithinPartitions("_r1", "_r2")
 
     def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
+        met = _Met(ordered)
 
         def fresh() -> Iterator[pa.RecordBatch]:
             for rb in batches:
@@ -270,21 +279,54 @@ def located(texts: DataFrame, copies: DataFrame, shared: DataFrame, text_col: st
             if any(around[i] != around[lead[i]] for i in np.flatnonzero(~new).tolist()):
                 first = np.arange(len(order))  # surroundings that share a hash but differ: list each place
             rep = order[first]
+            back, shown_bytes = (at - lo)[rep], [around[i] for i in first.tolist()]
+            first_id = _column(rb, "first_id").cast(pa.int64()).fill_null(LAST).to_numpy()[row[rep]]
+            known, known_id = met.look(back.tolist(), shown_bytes, first_id.tolist())
             units_of = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)).astype(np.int32)),
                                                 pa.array((at - u.offs[row])[order].astype(np.int32)))
             pick = pa.array(row[rep])
             yield pa.RecordBatch.from_pydict({
                 "_h": pa.array(h[rep].view(np.int64)), "crowded": pa.array(flag[rep]),
                 "_no": _column(rb, "_no").take(pick), "first_id": _column(rb, "first_id").take(pick).cast(pa.int64()),
-                "units": units_of, "back": pa.array((at - lo)[rep].astype(np.int32)),
-                "ahead": pa.array((hi - at)[rep].astype(np.int32)),
-                "around": pa.array([around[i] for i in first.tolist()], pa.binary())})
+                "units": units_of, "back": pa.array(back.astype(np.int32)),
+                "ahead": pa.array((hi - at)[rep].astype(np.int32)), "around": pa.array(shown_bytes, pa.binary()),
+                "known": pa.array(known, pa.bool_()), "known_id": pa.array(known_id, pa.int64())})
 
     shown = wanted.mapInArrow(show, "_h long, crowded boolean, _no long, first_id long, units array<int>, "
-                                    "back int, ahead int, around binary")
+                                    "back int, ahead int, around binary, known boolean, known_id long")
     return shown, any_crowd
 
 
+#: Id of texts that have none: they come after all others.
+LAST = np.iinfo(np.int64).max
+#: Bytes of passages that a task remembers.
+MET_BYTES = 8 << 20
+
+
+class _Met:
+    """Passages (with the place of their anchor) that a task has sent on, and the ids they were sent with."""
+
+    def __init__(self, ordered: bool) -> None:
+        self.ordered, self.size = ordered, 0
+        self.seen: dict[tuple[int, bytes], list[int]] = {}
+
+    def look(self, back: list[int], around: list[bytes], ids: list[int]) -> tuple[list[bool], list[int]]:
+        """For each passage whether its windows are known to occur elsewhere, and an id that has them."""
+        known, by = [], []
+        for key, own in zip(zip(back, around), ids):
+            sent = self.seen.get(key)
+            if sent is None:
+                if self.size > MET_BYTES:
+                    self.seen, self.size = {}, 0
+                sent = self.seen[key] = []
+                self.size += len(key[1]) + 200
+            known.append(min(sent, default=own) < own if self.ordered else len(sent) > 1)
+            by.append(min(sent, default=own))
+            if not known[-1]:
+                self.seen[key] = [own] if self.ordered else [*sent, own]
+        return known, by
+
+
 def at_all_units(t: pa.Table, record: np.ndarray, start: np.ndarray, end: np.ndarray, *more: np.ndarray
                  ) -> tuple[np.ndarray, ...]:
     """Spans found around a record's first unit, for each of its units; overlapping ones of a
@@ -311,8 +353,20 @@ def at_all_units(t: pa.Table, record: np.ndarray, start: np.ndarray, end: np.nda
     return no[begin], start[begin], (reach - far)[last], *(m[begin] for m in more)
 
 
-def by_gram(rows: DataFrame, resolve: Callable[[pa.Table], pa.Table], schema: str, most: int = AT_ONCE) -> DataFrame:
-    """``resolve`` on complete groups of equal ``_h``, as many at a time as hold about ``most`` bytes."""
+def by_gram(rows: DataFrame, resolve: Callable[[pa.Table], pa.Table], schema: str, window: int,
+            most: int = AT_ONCE) -> DataFrame:
+    """``resolve`` on complete groups of equal ``_h``, as many at a time as hold about ``most`` bytes.
+
+    Rows whose windows are ``known`` to occur elsewhere are spans as they are, and stay out of the groups.
+    """
+
+    def whole(t: pa.Table) -> pa.Table:
+        back, ahead = (t.column(c).to_numpy().astype(np.int64) for c in ("back", "ahead"))
+        who = np.flatnonzero(back + ahead >= window)
+        unit = pc.list_element(t.column("units"), 0).to_numpy().astype(np.int64)[who]
+        no, start, end, by = at_all_units(t, who, unit - back[who], unit + ahead[who], t.column("known_id").to_numpy()[who])
+        found = {"_no": no, "start": start.astype(np.int32), "end": end.astype(np.int32), "source_id": by}
+        return pa.table({name: found[name] for name in names})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -332,9 +386,14 @@ def by_gram(rows: DataFrame, resolve: Callable[[pa.Table], pa.Table], schema: st
             if upto < len(h):
                 held = t.slice(upto).to_batches()
                 size = sum(b.nbytes for b in held)
-            if upto:
-                yield from resolve(t.slice(0, upto)).to_batches()
+            part = t.slice(0, upto)
+            for ask, known in ((resolve, False), (whole, True)):
+                asked = part.filter(pc.equal(part.column("known"), known)).combine_chunks()
+                if asked.num_rows:
+                    yield from ask(asked).to_batches()
         t = None
         release_spare()
 
-    return rows.repartition("_h").sortWithinPartitions("_h").mapInArrow(run, schema)
+    names = [x.split()[0] for x in schema.split(", ")]
+    dealt = rows.withColumn("_h", F.when(F.col("known"), F.xxhash64("_no", "back")).otherwise(F.col("_h")))
+    return dealt.repartition("_h").sortWithinPartitions("_h").mapInArrow(run, schema)

@@ -38,7 +38,7 @@ WINDOW, GRAM = 13, 6
 #: Texts of one gram that are factored in one block; with more, windows are grouped by Spark.
 CROWD = 1 << 17
 
-LAST = np.iinfo(np.int64).max
+LAST = anchors.LAST
 
 
 def _ids(column) -> np.ndarray:
@@ -169,12 +169,12 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     copies = anchors.copies_of(texts, "_id")
     shared = anchors.shared_anchors(texts, text_col, anchors.word_units, window, gram, within=False)
     shown, any_crowd = anchors.located(texts, copies, shared, text_col, anchors.word_units, window, gram,
-                                       crowd)
-    cols = ["_h", "_no", "first_id", "units", "back", "around"]
+                                       crowd, ordered=True)
+    cols = ["_h", "_no", "first_id", "units", "back", "ahead", "around", "known", "known_id"]
     if not any_crowd:
-        return anchors.by_gram(shown.select(*cols), lambda t: _factors(t, window), SPAN), copies
+        return anchors.by_gram(shown.select(*cols), lambda t: _factors(t, window), SPAN, window), copies
     shown = staged(shown, "rlz-passages")
-    few = anchors.by_gram(shown.filter(~F.col("crowded")).select(*cols), lambda t: _factors(t, window), SPAN)
+    few = anchors.by_gram(shown.filter(~F.col("crowded")).select(*cols), lambda t: _factors(t, window), SPAN, window)
     return few.unionByName(_crowded(shown.filter("crowded"), window)), copies
 
 

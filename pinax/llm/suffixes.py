@@ -211,12 +211,12 @@ def repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW, gram:
     copies = anchors.copies_of(texts)
     shared = anchors.shared_anchors(texts, text_col, anchors.byte_units, window, gram, within=True)
     shown, any_crowd = anchors.located(texts, copies, shared, text_col, anchors.byte_units, window, gram,
-                                       crowd)
-    cols = ["_h", "_no", "units", "back", "ahead", "around"]
+                                       crowd, ordered=False)
+    cols = ["_h", "_no", "units", "back", "ahead", "around", "known", "known_id"]
     if not any_crowd:
-        return anchors.by_gram(shown.select(*cols), lambda t: _repeats(t, window, gram), SPAN), copies
+        return anchors.by_gram(shown.select(*cols), lambda t: _repeats(t, window, gram), SPAN, window), copies
     shown = staged(shown, "suffix-passages")
-    few = anchors.by_gram(shown.filter(~F.col("crowded")).select(*cols), lambda t: _repeats(t, window, gram), SPAN)
+    few = anchors.by_gram(shown.filter(~F.col("crowded")).select(*cols), lambda t: _repeats(t, window, gram), SPAN, window)
     return few.unionByName(_crowded(shown.filter("crowded"), window, gram)), copies
 
 

@@ -240,3 +240,24 @@ def test_links_of_split_keys(spark, monkeypatch, split):
     for x, g in group.items():
         least[g] = min(least.get(g, x), x)
     assert {x: got.get(x, x) for x in signed} == {x: least[g] for x, g in group.items()}
+
+
+@pytest.mark.parametrize("most", [8 << 20, 0])
+def test_a_passage_of_very_many_texts(spark, monkeypatch, most):
+    """Copies of a passage are told by the task that meets them, with ids in no order; the result stays whole."""
+    import random
+
+    from pinax.llm import anchors
+
+    monkeypatch.setattr(anchors, "MET_BYTES", most)
+    r = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(45))
+    say = lambda k: " ".join(f"w{r.randrange(10 ** 6)}" for _ in range(k))
+    rows = [(i, f"{say(20)} {passage} {say(20)}" if i % 3 else f"{say(3)} {passage}", None, None, None) for i in range(150)]
+    rows += [(i, f"{passage} x {passage}", None, None, None) for i in range(150, 156)] + [(None, passage + " end", None, None, None)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, data.DOC_SCHEMA).repartition(3)
+    got = rlz.remove_repeats(df).select("doc_id", "n_words", "n_removed", words_sha(F.col("text")))
+    assert data.multiset(got.collect()) == data.multiset(data.word_dedup_reference(rows))
+    kept = suffixes.remove_repeats(df).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+    assert data.multiset(kept.collect()) == data.multiset(data.byte_dedup_reference(rows))
