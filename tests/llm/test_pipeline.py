@@ -68,7 +68,7 @@ def test_run_and_registration(spark, stages):
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert set(queries.QUERIES) <= set(entry.queries())
     names = {int(q[2:].split("_")[0]) for q in queries.QUERIES}
-    assert names == set(range(1, 11))
+    assert names == set(range(1, 14))
     from pinax.llm.common import staged_paths
 
     before = len(staged_paths())
