@@ -147,8 +147,8 @@ def _stitched(chunks: DataFrame, pattern: str, overlap: int) -> DataFrame:
             .select("_row", "_no", F.substring(F.col("_text"), F.col("_sync") + 1, end - F.col("_sync")).alias("_piece")))
 
 
-def _encoded(df: DataFrame, text_col: str, vocabulary: list[tuple[bytes, int]], pattern: str) -> DataFrame:
-    shape = df.drop(text_col)
+def _encoder(vocabulary: list[tuple[bytes, int]], pattern: str, text_col: str):
+    """What a task does to encode: batches with the text replaced by ``ids``."""
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = piece_encoder(vocabulary, pattern)
@@ -157,33 +157,11 @@ def _encoded(df: DataFrame, text_col: str, vocabulary: list[tuple[bytes, int]],
             found = _list_array([encode(t or "") for t in rb.column(at).to_pylist()])
             yield rb.remove_column(at).append_column("ids", found)
 
-    return df.mapInArrow(ids, as_struct_type(shape, ("ids", ArrayType(IntegerType()))))
+    return ids
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", chunk: int = CHUNK,
-           overlap: int = OVERLAP) -> DataFrame:
-    """``docs`` without the text but with ``ids``, the tokens of each whole text.
-
-    ``path`` names the vocabulary of ranks; each match of ``pattern`` is encoded
-    separately and there are no special tokens.  A text of one chunk is its own
-    only piece and is encoded where it is read.  Longer ones are chunked into a
-    staged table, whose row keys stay fixed when a lost executor's tasks rerun.
-    """
-    docs, vocabulary = without(reserved(docs, "_bpe_"), ["ids"]), ranks(path)
-    long = F.coalesce(F.char_length(text_col) > chunk, F.lit(False))
-    short_ids = _encoded(docs.filter(~long), text_col, vocabulary, pattern)
-    rows = staged(docs.filter(long).withColumn("_bpe_row", F.expr("uuid()")), "bpe-long")
-    spread = _chunks(rows.select("_bpe_row", text_col), text_col, chunk, overlap).repartition("_row", "_no")
-    pieces = _encoded(_stitched(spread, pattern, overlap), "_piece", vocabulary, pattern)
-    whole = pieces.groupBy(F.col("_row").alias("_bpe_row")).agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_no", "ids"))), lambda x: x["ids"])).alias("ids"))
-    long_ids = rows.drop(text_col).join(whole, "_bpe_row").drop("_bpe_row")
-    return short_ids.unionByName(long_ids)
-
-
-def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """``encoded`` with ``bytes``, the concatenated bytes of the tokens."""
-    encoded, vocabulary = without(encoded, ["bytes"]), ranks(path)
+def _decoder(vocabulary: list[tuple[bytes, int]], ids_col: str):
+    """What a task does to decode: batches with ``bytes`` added."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: list[bytes] = [b""] * (1 + max((i for _, i in vocabulary), default=0))
@@ -205,4 +183,54 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
                 yield rb.slice(a, b - a).append_column("bytes", out.cast(pa.binary()))
         release_spare()
 
-    return encoded.mapInArrow(join, as_struct_type(encoded, ("bytes", BinaryType())))
+    return join
+
+
+_IDS, _BYTES = ("ids", ArrayType(IntegerType())), ("bytes", BinaryType())
+
+
+def _split(docs: DataFrame, path: str, pattern: str, text_col: str, chunk: int, overlap: int
+           ) -> tuple[DataFrame, DataFrame]:
+    """Texts of one chunk, and the other rows with the ``ids`` of their texts.
+
+    Longer texts are chunked into a staged table, whose row keys stay fixed when
+    a lost executor's tasks rerun.
+    """
+    long = F.coalesce(F.char_length(text_col) > chunk, F.lit(False))
+    rows = staged(docs.filter(long).withColumn("_bpe_row", F.expr("uuid()")), "bpe-long")
+    spread = _chunks(rows.select("_bpe_row", text_col), text_col, chunk, overlap).repartition("_row", "_no")
+    pieces = _stitched(spread, pattern, overlap)
+    encoded = pieces.mapInArrow(_encoder(ranks(path), pattern, "_piece"), as_struct_type(pieces.drop("_piece"), _IDS))
+    whole = encoded.groupBy(F.col("_row").alias("_bpe_row")).agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_no", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return docs.filter(~long), rows.drop(text_col).join(whole, "_bpe_row").drop("_bpe_row")
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", chunk: int = CHUNK,
+           overlap: int = OVERLAP) -> DataFrame:
+    """``docs`` without the text but with ``ids``, the tokens of each whole text.
+
+    ``path`` names the vocabulary of ranks; each match of ``pattern`` is encoded
+    separately and there are no special tokens.  A text of one chunk is its own
+    only piece and is encoded where it is read.
+    """
+    docs = without(reserved(docs, "_bpe_"), ["ids"])
+    short, long_ids = _split(docs, path, pattern, text_col, chunk, overlap)
+    ids = short.mapInArrow(_encoder(ranks(path), pattern, text_col), as_struct_type(docs.drop(text_col), _IDS))
+    return ids.unionByName(long_ids)
+
+
+def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
+    """``encoded`` with ``bytes``, the concatenated bytes of the tokens."""
+    encoded = without(encoded, ["bytes"])
+    return encoded.mapInArrow(_decoder(ranks(path), ids_col), as_struct_type(encoded, _BYTES))
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", chunk: int = CHUNK,
+               overlap: int = OVERLAP) -> DataFrame:
+    """``decode(encode(docs))``, with both steps of a text of one chunk in one Python worker instead of two."""
+    docs, vocabulary = without(reserved(docs, "_bpe_"), ["ids", "bytes"]), ranks(path)
+    short, long_ids = _split(docs, path, pattern, text_col, chunk, overlap)
+    ids, back = _encoder(vocabulary, pattern, text_col), _decoder(vocabulary, "ids")
+    both = short.mapInArrow(lambda batches: back(ids(batches)), as_struct_type(docs.drop(text_col), _IDS, _BYTES))
+    return both.unionByName(decode(long_ids, path))

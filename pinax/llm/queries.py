@@ -36,7 +36,7 @@ PHRASES = {"min_count": 30, "top": 2000, "scale": 2_000_000, "covered_percent":
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path(VOCABULARY)
-    both = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    both = bpe.round_trip(docs, path, public_tokenizers.PATTERN)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.encode(ids, "UTF-8"), 256).alias("ids_sha256"),

@@ -21,6 +21,14 @@ def test_tokens_equal_the_library(docs, rows, chunk, overlap):
     assert data.multiset(got.collect()) == data.multiset(data.bpe_reference(rows, PATH, PATTERN))
 
 
+def test_round_trip_in_one_worker(docs, rows, clashing):
+    both = bpe.round_trip(clashing(docs), PATH, PATTERN, chunk=100, overlap=20)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    got = both.select("doc_id", F.size("ids"), F.sha2(F.encode(ids, "UTF-8"), 256), F.sha2("bytes", 256))
+    assert data.multiset(got.collect()) == data.multiset(data.bpe_reference(rows, PATH, PATTERN))
+    assert "a column" in both.columns and "text" not in both.columns
+
+
 def test_a_long_text_with_hard_boundaries(spark):
     text = ("a" * 700 + " " * 300 + "don't  we'll" + "\n\n\n   1234567" * 40 + "é" * 500 + "!?" * 200) * 4
     rows = [(1, text), (2, text[::-1])]
