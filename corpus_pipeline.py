@@ -46,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens of each document, with the number of bytes they decode to."""
     path = public_tokenizers.path(queries.VOCABULARY)
-    both = bpe.decode(bpe.encode(docs.select(*COLUMNS), path, public_tokenizers.PATTERN), path)
+    both = bpe.round_trip(docs.select(*COLUMNS), path, public_tokenizers.PATTERN)
     return both.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
                        F.octet_length("bytes").cast("long").alias("n_bytes"))
 
